@@ -1,0 +1,7 @@
+"""Streaming.
+
+The analysed application has no streaming path: every read is a one-shot query against
+stored tables, with no watermark, window, state or late data anywhere. Nothing is built
+here. The batch operators are plain DataFrame functions, so a caller who receives
+prescriptions as a stream can apply them to each micro-batch with ``foreachBatch``.
+"""
