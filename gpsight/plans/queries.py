@@ -1,7 +1,8 @@
 """Registered queries: name -> callable(spark, sf_dir) -> DataFrame.
 
-Each query builds the practice tables lazily from the test tables in ``sf_dir`` (see
-``gpsight.sources.fixtures``) and applies one operator to all of their rows. Single-practice
+Each query reads the practice tables derived from the test tables in ``sf_dir`` — built by
+Spark from them on first use and stored (``gpsight.sources.store``) — and applies one
+operator to all of their rows. Single-practice
 queries use ``CHOSEN_PRACTICE``: the analysed code's operators take one practice id, and
 the filter on it is the operator.
 """
@@ -17,7 +18,7 @@ from pyspark.sql import functions as F
 from gpsight.functions.expr import NATIONAL_CODE
 from gpsight.operators import correlate, drugs, profile, rates, register, spend, validate
 from gpsight.sources import catalog
-from gpsight.sources.fixtures import load_fixture_tables
+from gpsight.sources.store import practice_tables
 from gpsight.sources.tables import PracticeTables
 
 # Fixed value: the practice used for the single-practice queries (present at every scale).
@@ -30,7 +31,7 @@ _REGISTRY: dict[str, QueryFn] = {}
 def query(name: str):
     def wrap(fn: Callable[[PracticeTables], DataFrame]):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            return fn(load_fixture_tables(spark, sf_dir))
+            return fn(practice_tables(spark, sf_dir))
         run.__name__ = name
         run.__doc__ = fn.__doc__
         _REGISTRY[name] = run
@@ -82,13 +83,13 @@ def qof_renamed(t: PracticeTables) -> DataFrame:
 
 def list_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tables visible after the practice views are registered."""
-    load_fixture_tables(spark, sf_dir).register_views()
+    practice_tables(spark, sf_dir).register_views()
     return catalog.list_tables(spark)
 
 
 def describe_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Structure of the prescription table."""
-    load_fixture_tables(spark, sf_dir).register_views()
+    practice_tables(spark, sf_dir).register_views()
     return catalog.describe_table(spark, "gp_data")
 
 

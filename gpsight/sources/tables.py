@@ -102,16 +102,23 @@ def read_jdbc_tables(
     )
 
 
-def write_parquet_tables(tables: PracticeTables, path: str, mode: str = "overwrite") -> None:
+def write_parquet_tables(tables: PracticeTables, path: str, mode: str = "overwrite",
+                         partitions: int | None = None) -> None:
     """Store the practice tables as Parquet under ``path`` (readable by ``read_parquet_tables``).
 
+    Each table is hash-partitioned on a key with many distinct values — (practice, period,
+    drug code) for prescriptions, (organisation, indicator) for QOF — so one practice holding
+    many rows is still spread over many files, and every later scan has parallel splits.
     Prescriptions are sorted by practice inside each file so that a one-practice filter
-    skips row groups by their min/max statistics; no repartition by practice is done, since
-    one practice may hold a large share of all rows.
+    skips row groups by their min/max statistics.
     """
+    spark = tables.rx.sparkSession
+    n = partitions or spark.sparkContext.defaultParallelism
     base = path.rstrip("/")
-    (tables.rx.sortWithinPartitions("practiceid", "period")
+    (tables.rx.repartition(n, "practiceid", "period", "bnfcode")
+     .sortWithinPartitions("practiceid", "period")
      .write.mode(mode).parquet(f"{base}/{SOURCE_NAMES['rx']}"))
-    (tables.qof.sortWithinPartitions("orgcode")
+    (tables.qof.repartition(n, "orgcode", "indicator")
+     .sortWithinPartitions("orgcode")
      .write.mode(mode).parquet(f"{base}/{SOURCE_NAMES['qof']}"))
     tables.address.write.mode(mode).parquet(f"{base}/{SOURCE_NAMES['address']}")
