@@ -62,7 +62,8 @@ def t_two_sided_p(t: Column, df: Column) -> Column:
     exp_width = F.try_divide(F.lit(DECAY_EXPONENT), power * F.tan(theta))
     tail = _simpson_cos_power(theta, F.least(half_pi - theta, gauss_width, exp_width), power)
     whole = _simpson_cos_power(F.lit(0.0), F.least(half_pi, gauss_width), power)
-    return F.when(nu >= 1, F.least(F.lit(1.0), tail / whole))
+    # least() would also skip a NULL ratio, so the NULL cases are excluded explicitly.
+    return F.when((nu >= 1) & t.isNotNull(), F.least(F.lit(1.0), tail / whole))
 
 
 def pearson_columns(n: Column, sxx: Column, syy: Column, sxy: Column,

@@ -126,7 +126,7 @@ d as (select n, r, df, abs(r) >= 1 perfect,
              case when abs(r) < 1 then r * sqrt(cast(df as double) / (1.0 - r * r)) end t
       from c),
 e as (select *, case when perfect then 0.0
-                     when df >= 1 then least(1.0, {tail} / {whole}) end p,
+                     when df >= 1 and t is not null then least(1.0, {tail} / {whole}) end p,
              {Z_975} / sqrt(cast(n - 3 as double)) half
       from d)
 select n, round(r, 9) r, round(t, 9) t, case when n >= 3 then df end df, round(p, 9) p_value,
