@@ -6,8 +6,9 @@ Environment:
   BENCH_RUNS     timed runs per query after one warm-up run (default 5)
   BENCH_QUERIES  comma-separated query names (default: the headline set)
 
-First the practice tables are built from the test tables and stored (``ingest_sec``, timed
-once: the analogue of loading the database the analysed scripts query). Then each query
+First the practice tables are built from the test tables and stored (``ingest_sec``; the
+analogue of loading the database the analysed scripts query; run twice, the first run
+``ingest_cold_sec`` includes JVM warm-up). Then each query
 runs over the stored tables into the ``noop`` sink (no collect to the driver). The
 per-query figure is the median of the timed runs; ``value`` is the sum of the medians.
 Prints one JSON line on stdout.
@@ -47,9 +48,12 @@ def main() -> None:
     spark = build_session(f"local[{cpus}]", shuffle_partitions=cpus * 2)
     reg = registry()
 
-    start = time.perf_counter()
-    ingest(spark, sf_dir)
-    ingest_sec = round(time.perf_counter() - start, 4)
+    # Ingest twice: the first run also pays JVM warm-up, the second is the steady cost.
+    ingest_runs = []
+    for _ in range(2):
+        start = time.perf_counter()
+        ingest(spark, sf_dir)
+        ingest_runs.append(round(time.perf_counter() - start, 4))
 
     timings: dict[str, float] = {}
     for name in names:
@@ -70,7 +74,8 @@ def main() -> None:
         "value": round(sum(timings.values()), 4),
         "unit": "sec",
         "queries": timings,
-        "ingest_sec": ingest_sec,
+        "ingest_sec": ingest_runs[1],
+        "ingest_cold_sec": ingest_runs[0],
         "sf": float(match.group(1)) if match else sf_dir,
         "cpus": cpus,
         "runs": runs,

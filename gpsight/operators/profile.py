@@ -7,10 +7,14 @@ and four full reads of the QOF table. Here it is one plan:
   the month count, the actual-cost total and the net-ingredient-cost total together;
 * QOF is aggregated once per organisation (list size and diabetes numerators); the national
   rate comes out of the same aggregate as a scalar subquery (one value, run once);
-* the two per-practice tables are inner-joined (= practices with both kinds of data), the
-  address joined on, and the postcode-area means joined back by area.
-
-One practice's profile is a filter on the result; Catalyst pushes it below the aggregates.
+* the two per-practice tables are inner-joined (= practices with both kinds of data) and
+  the address joined on. This per-practice table feeds two consumers (the postcode-area
+  means and the rows they are joined back to) that need different columns, so Spark would
+  aggregate the prescriptions twice; it is therefore written once to the shared checkpoint
+  folder (one row per practice) and read back by both — each fact table is scanned once.
+
+With ``materialize=False`` the function stays lazy (no job at call time) and reads the
+prescriptions twice.
 """
 
 from __future__ import annotations
@@ -18,6 +22,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gpsight.session import materialize as write_once
 from gpsight.functions.expr import (NATIONAL_CODE, floor_div, month_start, percent,
                                     postcode_area, ratio, round_half_even, starts_with,
                                     year_month)
@@ -41,7 +46,8 @@ def _qof_by_practice(qof: DataFrame, prefix: str) -> DataFrame:
 
 
 def practice_profile(rx: DataFrame, qof: DataFrame, address: DataFrame, prefix: str = "DM",
-                     national_code: str = NATIONAL_CODE, width: int = 2) -> DataFrame:
+                     national_code: str = NATIONAL_CODE, width: int = 2,
+                     materialize: bool = True) -> DataFrame:
     """One row per practice with prescriptions and QOF rows.
 
     Columns: practiceid, no_of_patients, months, avg_monthly_spend, avg_monthly_spend_compat,
@@ -64,6 +70,8 @@ def practice_profile(rx: DataFrame, qof: DataFrame, address: DataFrame, prefix:
                     ratio("total_costs", "no_of_patients").alias("spend_per_patient"),
                     rate.alias("rate_pct"),
                     postcode_area("postcode", width).alias("_area")))
+    if materialize:
+        base = write_once(base, "practice-profile")
 
     areas = (base.filter(F.col("postcode").isNotNull())
              .groupBy("_area")

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings every gpsight session wants. AQE re-plans joins from runtime sizes (a size-checked
 # broadcast with sort-merge as the fallback) and splits skewed shuffle partitions.
@@ -57,3 +58,17 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if not sc._jsc.sc().getCheckpointDir().isDefined():
         sc.setCheckpointDir(configured)
     return configured
+
+
+def materialize(df: DataFrame, label: str) -> DataFrame:
+    """Write ``df`` once as Parquet in the shared checkpoint folder and read it back.
+
+    Used where a plan would otherwise compute the same intermediate result twice (two
+    consumers whose column sets differ, so Spark cannot reuse the exchange). One job computes
+    the result; the written copy survives executor loss and cuts the lineage, like
+    ``checkpoint()`` but without its second computation pass.
+    """
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark).rstrip('/')}/gpsight-materialized/{label}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

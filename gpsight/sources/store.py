@@ -51,12 +51,15 @@ def fingerprint(spark: SparkSession, sf_dir: str) -> str:
     return digest.hexdigest()[:16]
 
 
-def _complete(spark: SparkSession, root: str) -> bool:
+def _commit_stamp(spark: SparkSession, root: str) -> tuple | None:
+    """Modification times of the three tables' commit markers; None if any is missing."""
+    stamp = []
     for name in SOURCE_NAMES.values():
         fs, path = _fs(spark, f"{root}/{name}/_SUCCESS")
         if not fs.exists(path):
-            return False
-    return True
+            return None
+        stamp.append(fs.getFileStatus(path).getModificationTime())
+    return tuple(stamp)
 
 
 def store_location(spark: SparkSession, sf_dir: str) -> str:
@@ -73,9 +76,21 @@ def ingest(spark: SparkSession, sf_dir: str, location: str | None = None) -> str
     return root
 
 
+# Opened tables per (session, folder, commit stamp): opening lists files and reads Parquet
+# footers, which would otherwise be repeated by every query. A new commit (re-ingest) changes
+# the stamp, so a rewritten folder is always re-opened.
+_OPENED: dict[tuple, PracticeTables] = {}
+
+
 def practice_tables(spark: SparkSession, sf_dir: str) -> PracticeTables:
     """The practice tables for ``sf_dir``, stored on first use and read from storage after."""
     root = store_location(spark, sf_dir)
-    if not _complete(spark, root):
+    stamp = _commit_stamp(spark, root)
+    if stamp is None:
         ingest(spark, sf_dir, root)
-    return read_parquet_tables(spark, root)
+        stamp = _commit_stamp(spark, root)
+    key = (id(spark), spark.sparkContext.applicationId, root, stamp)
+    tables = _OPENED.get(key)
+    if tables is None:
+        tables = _OPENED[key] = read_parquet_tables(spark, root)
+    return tables
