@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from gpsight.functions.expr import NATIONAL_CODE
 from gpsight.operators import correlate, drugs, profile, rates, register, spend, validate
-from gpsight.sources import catalog
+from gpsight.sources import catalog, sql
 from gpsight.sources.store import practice_tables
 from gpsight.sources.tables import PracticeTables
 
@@ -57,22 +57,16 @@ def scan_address(t: PracticeTables) -> DataFrame:
     return t.address.select("practiceid", "postcode")
 
 
-@query("practice_prescriptions")
-def practice_prescriptions(t: PracticeTables) -> DataFrame:
-    """S3/F1: one practice's prescriptions."""
-    return spend.practice_prescriptions(t.rx, CHOSEN_PRACTICE)
+def _practice_sql(text: str) -> QueryFn:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return sql.run_sql(spark, practice_tables(spark, sf_dir), text, practiceid=CHOSEN_PRACTICE)
+    return run
 
 
-@query("practice_qof")
-def practice_qof(t: PracticeTables) -> DataFrame:
-    """One practice's QOF rows."""
-    return rates.practice_qof(t.qof, CHOSEN_PRACTICE)
-
-
-@query("practice_address")
-def practice_address(t: PracticeTables) -> DataFrame:
-    """One practice's address row."""
-    return spend.practice_address(t.address, CHOSEN_PRACTICE)
+# One practice's rows, as parameterised SQL text.
+_REGISTRY["practice_prescriptions"] = _practice_sql(sql.PRACTICE_PRESCRIPTIONS)
+_REGISTRY["practice_qof"] = _practice_sql(sql.PRACTICE_QOF)
+_REGISTRY["practice_address"] = _practice_sql(sql.PRACTICE_ADDRESS)
 
 
 @query("qof_renamed")

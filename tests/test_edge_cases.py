@@ -152,3 +152,16 @@ def test_practices_with_both(spark):
     counts = {x.practiceid: (x.med_rows, x.qof_rows)
               for x in validate.practice_row_counts(r, q, a).collect()}
     assert counts["W00077"] == (1, 0) and counts["WAL"] == (0, 1) and counts["W99999"] == (0, 0)
+
+
+def test_sql_parameters_stay_values(spark):
+    from gpsight.sources import sql
+    from gpsight.sources.tables import PracticeTables
+    from gpsight.operators.register import area_table
+    q = b.qof(spark, [("W00001", "DM001", 1, 10), ("x' or '1'='1", "DM001", 2, 20)])
+    t = PracticeTables(rx=b.rx(spark, []), qof=q, address=b.address(spark, []),
+                       area=area_table(spark))
+    hostile = sql.run_sql(spark, t, sql.PRACTICE_QOF, practiceid="x' or '1'='1; drop table t")
+    assert hostile.count() == 0
+    exact = sql.run_sql(spark, t, sql.PRACTICE_QOF, practiceid="x' or '1'='1")
+    assert [r.numerator for r in exact.collect()] == [2]
