@@ -45,7 +45,7 @@ def main() -> None:
     from gpsight.session import build_session
     from gpsight.sources.store import ingest
 
-    spark = build_session(f"local[{cpus}]", shuffle_partitions=cpus * 2)
+    spark = build_session(f"local[{cpus}]", shuffle_partitions=int(os.environ.get("BENCH_SHUFFLE_PARTITIONS", cpus * 2)))
     reg = registry()
 
     # Ingest twice: the first run also pays JVM warm-up, the second is the steady cost.

@@ -46,8 +46,12 @@ def read_base(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
     key = _SPREAD_KEYS.get(name)
     if key is not None:
-        cores = spark.sparkContext.defaultParallelism
-        if df.rdd.getNumPartitions() < cores:
+        try:
+            cores = spark.sparkContext.defaultParallelism
+            splits = df.rdd.getNumPartitions()
+        except Exception:  # sessions without RDD access (e.g. Spark Connect): leave as is
+            return df
+        if splits < cores:
             df = df.repartition(cores, key)
     return df
 
