@@ -45,22 +45,13 @@ def _qof_by_practice(qof: DataFrame, prefix: str) -> DataFrame:
                  F.sum(F.when(starts_with("indicator", prefix), F.col("numerator"))).alias("_dm")))
 
 
-def practice_profile(rx: DataFrame, qof: DataFrame, address: DataFrame, prefix: str = "DM",
-                     national_code: str = NATIONAL_CODE, width: int = 2,
-                     materialize: bool = True) -> DataFrame:
-    """One row per practice with prescriptions and QOF rows.
-
-    Columns: practiceid, no_of_patients, months, avg_monthly_spend, avg_monthly_spend_compat,
-    postcode, total_costs, spend_per_patient, area_practices, area_mean, rate_pct,
-    national_rate_pct.
-    """
+def practice_base(rx: DataFrame, qof: DataFrame, address: DataFrame, prefix: str = "DM",
+                  width: int = 2) -> DataFrame:
+    """One row per practice with both kinds of data: the per-practice part of the profile."""
     rx_p = _rx_by_practice(rx)
     qof_p = _qof_by_practice(qof, prefix)
     rate = round_half_even(percent(ratio("_dm", "no_of_patients")), 1)
-    national = (qof_p.filter(F.col("practiceid") == F.lit(national_code))
-                .agg(F.max(rate).alias("national_rate_pct")).scalar())
-
-    base = (rx_p.join(qof_p, "practiceid")
+    return (rx_p.join(qof_p, "practiceid")
             .join(address.select("practiceid", "postcode"), "practiceid", "left")
             .select("practiceid", "no_of_patients", "months",
                     ratio("_total_cost", "months").alias("avg_monthly_spend"),
@@ -70,9 +61,25 @@ def practice_profile(rx: DataFrame, qof: DataFrame, address: DataFrame, prefix:
                     ratio("total_costs", "no_of_patients").alias("spend_per_patient"),
                     rate.alias("rate_pct"),
                     postcode_area("postcode", width).alias("_area")))
+
+
+def practice_profile(rx: DataFrame, qof: DataFrame, address: DataFrame, prefix: str = "DM",
+                     national_code: str = NATIONAL_CODE, width: int = 2,
+                     materialize: bool = True) -> DataFrame:
+    """One row per practice with prescriptions and QOF rows.
+
+    Columns: practiceid, no_of_patients, months, avg_monthly_spend, avg_monthly_spend_compat,
+    postcode, total_costs, spend_per_patient, area_practices, area_mean, rate_pct,
+    national_rate_pct.
+    """
+    base = practice_base(rx, qof, address, prefix, width)
     if materialize:
         base = write_once(base, "practice-profile")
 
+    national_qof = _qof_by_practice(qof, prefix).filter(F.col("practiceid") == F.lit(national_code))
+    national = national_qof.agg(
+        F.max(round_half_even(percent(ratio("_dm", "no_of_patients")), 1))).scalar()
+
     areas = (base.filter(F.col("postcode").isNotNull())
              .groupBy("_area")
              .agg(F.count(F.lit(1)).alias("area_practices"),

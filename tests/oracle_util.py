@@ -21,6 +21,8 @@ STRICT = os.environ.get("ORACLE_STRICT", "1") == "1"
 def normalise(value):
     if STRICT and isinstance(value, float):
         return repr(value)
+    if STRICT and isinstance(value, decimal.Decimal):
+        return str(value)
     if value is None:
         return "NULL"
     if isinstance(value, bool):
