@@ -19,6 +19,28 @@ SESSION_DEFAULTS = {
 }
 
 
+def scale_settings(input_bytes: int, total_cores: int,
+                   target_partition_bytes: int = 256 * 1024 * 1024) -> dict[str, str]:
+    """Partition sizing for a given input volume and cluster size.
+
+    * input splits of ``target_partition_bytes`` (``spark.sql.files.maxPartitionBytes``);
+    * enough shuffle partitions that each holds about one split's worth of the largest
+      shuffle (at least 2 per core, so every core has work in every stage) — AQE then
+      coalesces small ones towards the same advisory size and splits skewed ones;
+    * a skewed partition is one 4x the median and above 2x the advisory size.
+
+    For 100 TB on 1,000 executors x 8 cores: 409,600 splits, 409,600 shuffle partitions.
+    """
+    partitions = max(2 * total_cores, -(-input_bytes // target_partition_bytes))
+    return {
+        "spark.sql.files.maxPartitionBytes": str(target_partition_bytes),
+        "spark.sql.shuffle.partitions": str(partitions),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(target_partition_bytes),
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "4",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(2 * target_partition_bytes),
+    }
+
+
 def build_session(
     master: str | None = None,
     shuffle_partitions: int | None = None,

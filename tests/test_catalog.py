@@ -27,3 +27,11 @@ def test_describe_varchar_length(spark):
     rows = {r.name: r for r in catalog.describe_dataframe(spark, df).collect()}
     # Spark may widen char/varchar to string when reading; the length is reported when kept.
     assert rows["v"].length in (7, None)
+
+
+def test_scale_settings_grow_with_input():
+    from gpsight.session import scale_settings
+    small = scale_settings(10 * 1024 ** 2, 8)
+    big = scale_settings(100 * 1024 ** 4, 8000)
+    assert small["spark.sql.shuffle.partitions"] == "16"
+    assert big["spark.sql.shuffle.partitions"] == str(100 * 1024 ** 4 // (256 * 1024 ** 2))
