@@ -69,11 +69,12 @@ def avg_monthly_spend(rx: DataFrame) -> DataFrame:
 
 
 def monthly_cost_per_patient(rx: DataFrame, qof: DataFrame) -> DataFrame:
-    """(practiceid, month, avg_cost): monthly cost %/% list size, for every practice."""
+    """(practiceid, month, total_cost_meds, avg_cost): monthly cost and monthly cost %/% list
+    size, for every practice."""
     monthly = monthly_cost(rx)
     pop = list_size_by_practice(qof)
     return (monthly.join(pop, "practiceid")
-            .select("practiceid", "month",
+            .select("practiceid", "month", "total_cost_meds",
                     floor_div("total_cost_meds", "total_pop").alias("avg_cost")))
 
 
@@ -101,7 +102,9 @@ def area_peers(spp: DataFrame, practiceid: str, width: int = 2) -> DataFrame:
     """
     chosen = (spp.filter(F.col("practiceid") == F.lit(practiceid))
               .agg(F.min(postcode_area("postcode", width))).scalar())
-    return (spp.filter(postcode_area("postcode", width) == chosen)
+    # ``str_detect(postcode, '^<area>')``: a prefix test (equal to comparing the first two
+    # characters unless the chosen postcode is shorter than that).
+    return (spp.filter(F.col("postcode").startswith(chosen))
             .withColumn("is_chosen", F.col("practiceid") == F.lit(practiceid)))
 
 

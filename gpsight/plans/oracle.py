@@ -213,19 +213,20 @@ from qof_achievement where orgcode = {CHOSEN}""",
 from (select practiceid, count(*) AS months, cast(sum(total_cost_meds) as double) total
       from ({MONTHLY}) m group by practiceid) t""",
     "monthly_cost_per_patient": f"""select m.practiceid, m.month,
+       cast(m.total_cost_meds as double) total_cost_meds,
        floor(cast(m.total_cost_meds as double) / cast(p.total_pop as double)) avg_cost
 from ({MONTHLY}) m join ({LIST_SIZE}) p on m.practiceid = p.practiceid""",
     "spend_per_patient": SPP,
     "spend_per_patient_area": f"""select s.*, s.practiceid = {CHOSEN} is_chosen from ({SPP}) s
-where substring(s.postcode, 1, 2) =
-      (select min(substring(postcode, 1, 2)) from ({SPP}) c where c.practiceid = {CHOSEN})""",
+where regexp_matches(s.postcode, '^' ||
+      (select min(substring(postcode, 1, 2)) from ({SPP}) c where c.practiceid = {CHOSEN}))""",
     "area_peer_stats": f"""select practiceid, substring(postcode, 1, 2) area, spend_per_patient,
        count(*) over (partition by substring(postcode, 1, 2)) area_practices,
        round(avg(spend_per_patient) over (partition by substring(postcode, 1, 2)), 6) area_mean
 from ({SPP}) s""",
     "area_practice_counts": f"""select practiceid, count(*) n from ({SPP}) s
-where substring(s.postcode, 1, 2) =
-      (select min(substring(postcode, 1, 2)) from ({SPP}) c where c.practiceid = {CHOSEN})
+where regexp_matches(s.postcode, '^' ||
+      (select min(substring(postcode, 1, 2)) from ({SPP}) c where c.practiceid = {CHOSEN}))
 group by practiceid""",
     "practice_row_share": f"""select practiceid,
        cast(count(*) as double) / sum(count(*)) over (partition by practiceid) prop

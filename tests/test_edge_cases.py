@@ -165,3 +165,11 @@ def test_sql_parameters_stay_values(spark):
     assert hostile.count() == 0
     exact = sql.run_sql(spark, t, sql.PRACTICE_QOF, practiceid="x' or '1'='1")
     assert [r.numerator for r in exact.collect()] == [2]
+
+
+def test_short_postcode_area_is_a_prefix(spark):
+    r = b.rx(spark, [(p, "201501", "x", "a", 1, 10, 1) for p in ("W00001", "W00002", "W00003")])
+    q = b.qof(spark, [(p, "DM001", 1, 10) for p in ("W00001", "W00002", "W00003")])
+    a = b.address(spark, [("W00001", "a", "L"), ("W00002", "b", "L2 3CD"), ("W00003", "c", "M1 1AA")])
+    peers = spend.area_peers(spend.spend_per_patient(r, q, a), "W00001")
+    assert sorted(x.practiceid for x in peers.collect()) == ["W00001", "W00002"]
