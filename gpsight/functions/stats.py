@@ -44,7 +44,12 @@ def _simpson_cos_power(start: Column, width: Column, power: Column,
         weight = (F.when((i == 0) | (i == intervals), F.lit(1.0))
                   .when(i % 2 == 1, F.lit(4.0))
                   .otherwise(F.lit(2.0)))
-        value = F.pow(F.greatest(F.cos(start + i.cast("double") * h), F.lit(0.0)), power)
+        # cos(phi)^m = exp(m/2 * log1p(-sin(phi)^2)): exact near phi = 0, where cos(phi) is
+        # within an ulp of 1 and a plain power would lose all precision for large m.
+        s2 = F.pow(F.sin(start + i.cast("double") * h), 2)
+        value = (F.when(power == 0, F.lit(1.0))
+                 .when(s2 >= 1, F.lit(0.0))
+                 .otherwise(F.exp(power / 2 * F.log1p(-s2))))
         return acc + weight * value
 
     total = F.aggregate(F.sequence(F.lit(0), F.lit(intervals)), F.lit(0.0), step)

@@ -101,8 +101,13 @@ from ({RATE_DM}) r join ({_share(where, num, name)}) s on r.practiceid = s.pract
 def _simpson(start: str, width: str, power: str) -> str:
     n = SIMPSON_INTERVALS
     h = f"(({width}) / {float(n)})"
-    body = (f"(case when i = 0 or i = {n} then 1.0 when i % 2 = 1 then 4.0 else 2.0 end) * "
-            f"pow(greatest(cos(({start}) + i * {h}), 0.0), {power})")
+    s2 = f"pow(sin(({start}) + i * {h}), 2)"
+    # log1p(-s2) by Kahan's identity (DuckDB has no log1p)
+    log1p = (f"(case when 1.0 - {s2} = 1.0 then -{s2} "
+             f"else ln(1.0 - {s2}) * -{s2} / ((1.0 - {s2}) - 1.0) end)")
+    value = (f"(case when {power} = 0 then 1.0 when {s2} >= 1 then 0.0 "
+             f"else exp({power} / 2 * {log1p}) end)")
+    body = f"(case when i = 0 or i = {n} then 1.0 when i % 2 = 1 then 4.0 else 2.0 end) * {value}"
     return f"(list_sum(list_transform(range(0, {n + 1}), lambda i: {body})) * {h} / 3.0)"
 
 

@@ -116,3 +116,11 @@ def test_result_independent_of_partitioning(spark):
     assert one.n == many.n == 200
     assert one.r == pytest.approx(many.r, abs=1e-9)
     assert one.p_value == pytest.approx(many.p_value, abs=1e-9)
+
+
+@pytest.mark.parametrize("df", [10**6, 10**9, 10**12])
+def test_p_value_large_df_approaches_normal(spark, df):
+    # P(|T| > 1.96) - P(|Z| > 1.96) shrinks like 1/df (about 0.2773 / df here)
+    normal = math.erfc(1.96 / math.sqrt(2))
+    diff = _p(spark, 1.96, df) - normal
+    assert diff == pytest.approx(0.2773 / df, rel=0.1, abs=1e-14)
