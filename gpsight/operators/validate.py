@@ -68,3 +68,27 @@ def practices_with_both_semi(rx: DataFrame, qof: DataFrame, address: DataFrame)
     return (address.select("practiceid").distinct()
             .join(med_ids, "practiceid", "left_semi")
             .join(qof_ids, "practiceid", "left_semi"))
+
+
+def check_practices(ids: DataFrame, rx: DataFrame, qof: DataFrame,
+                    column: str = "practiceid") -> DataFrame:
+    """(practiceid, is_valid, has_med, has_qof, has_both) for each requested id.
+
+    The batch form of the analysed code's first steps: format check, then the two existence
+    tests, then their conjunction. Ids that appear in neither table get false/false. The
+    flags come from one aggregation over the id columns of both tables (one row per
+    practice), left-joined to the requested ids; AQE picks broadcast or sort-merge from the
+    measured sizes.
+    """
+    flags = data_availability(rx, qof)
+    requested = ids.select(F.col(column).alias("practiceid"))
+    joined = requested.join(flags, "practiceid", "left")
+    has_med = F.coalesce(F.col("has_med"), F.lit(False))
+    has_qof = F.coalesce(F.col("has_qof"), F.lit(False))
+    return joined.select(
+        "practiceid",
+        is_valid_practice_id("practiceid").alias("is_valid"),
+        has_med.alias("has_med"),
+        has_qof.alias("has_qof"),
+        (has_med & has_qof).alias("has_both"),
+    )

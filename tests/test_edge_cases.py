@@ -173,3 +173,12 @@ def test_short_postcode_area_is_a_prefix(spark):
     a = b.address(spark, [("W00001", "a", "L"), ("W00002", "b", "L2 3CD"), ("W00003", "c", "M1 1AA")])
     peers = spend.area_peers(spend.spend_per_patient(r, q, a), "W00001")
     assert sorted(x.practiceid for x in peers.collect()) == ["W00001", "W00002"]
+
+
+def test_check_practices_for_requested_ids(spark):
+    r, q, _ = _spp_tables(spark)
+    ids = spark.createDataFrame([("W00001",), ("W12345",), ("WAL",), ("bad",)], "practiceid string")
+    got = {x.practiceid: (x.is_valid, x.has_med, x.has_qof, x.has_both)
+           for x in validate.check_practices(ids, r, q).collect()}
+    assert got == {"W00001": (True, True, True, True), "W12345": (True, False, False, False),
+                   "WAL": (False, False, True, False), "bad": (False, False, False, False)}
