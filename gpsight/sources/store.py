@@ -24,6 +24,9 @@ from gpsight.sources.tables import (SOURCE_NAMES, PracticeTables, read_parquet_t
 
 STORE_FOLDER = "gpsight-practice-tables"
 
+# Bumped whenever the stored layout changes, so an older layout is never served.
+STORE_LAYOUT_VERSION = 2
+
 # Target size of one stored file; the number of files grows with the input.
 TARGET_FILE_BYTES = 256 * 1024 * 1024
 
@@ -44,7 +47,7 @@ def _input_files(spark: SparkSession, sf_dir: str):
 
 def fingerprint(spark: SparkSession, sf_dir: str) -> str:
     """Hash of the input tables' paths, sizes and modification times."""
-    digest = hashlib.sha1(sf_dir.rstrip("/").encode())
+    digest = hashlib.sha1(f"v{STORE_LAYOUT_VERSION}|{sf_dir.rstrip('/')}".encode())
     for status in _input_files(spark, sf_dir):
         digest.update(f"{status.getPath()}|{status.getLen()}|{status.getModificationTime()}"
                       .encode())

@@ -106,19 +106,22 @@ def write_parquet_tables(tables: PracticeTables, path: str, mode: str = "overwri
                          partitions: int | None = None) -> None:
     """Store the practice tables as Parquet under ``path`` (readable by ``read_parquet_tables``).
 
-    Each table is hash-partitioned on a key with many distinct values — (practice, period,
-    drug code) for prescriptions, (organisation, indicator) for QOF — so one practice holding
-    many rows is still spread over many files, and every later scan has parallel splits.
-    Prescriptions are sorted by practice inside each file so that a one-practice filter
-    skips row groups by their min/max statistics.
+    Each table is range-partitioned on its practice key followed by columns with many
+    distinct values — (practice, period, drug code) for prescriptions, (organisation,
+    indicator) for QOF — and sorted the same way inside each file. Each file then holds a
+    contiguous slice of practice ids, so an equality or prefix filter on the practice
+    (one practice's rows, the national ``WAL`` rows) skips the other files' row groups by
+    their min/max statistics; and because the range key goes beyond the practice, one
+    practice holding many rows is still split over several files and write tasks. The
+    range bounds come from a sample taken once, so retried tasks write the same rows.
     """
     spark = tables.rx.sparkSession
     n = partitions or spark.sparkContext.defaultParallelism
     base = path.rstrip("/")
-    (tables.rx.repartition(n, "practiceid", "period", "bnfcode")
-     .sortWithinPartitions("practiceid", "period")
+    rx_key = ("practiceid", "period", "bnfcode")
+    (tables.rx.repartitionByRange(n, *rx_key).sortWithinPartitions(*rx_key)
      .write.mode(mode).parquet(f"{base}/{SOURCE_NAMES['rx']}"))
-    (tables.qof.repartition(n, "orgcode", "indicator")
-     .sortWithinPartitions("orgcode")
+    qof_key = ("orgcode", "indicator")
+    (tables.qof.repartitionByRange(n, *qof_key).sortWithinPartitions(*qof_key)
      .write.mode(mode).parquet(f"{base}/{SOURCE_NAMES['qof']}"))
     tables.address.write.mode(mode).parquet(f"{base}/{SOURCE_NAMES['address']}")

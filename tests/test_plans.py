@@ -64,3 +64,32 @@ def test_no_python_in_headline_plans(tables01):
 def test_partial_aggregation_before_shuffle(tables01):
     plan = _formatted(spend.total_cost_by_practice(tables01.rx))
     assert "partial_sum" in plan
+
+
+def _scan_output_rows(spark, df) -> int:
+    """Rows the Parquet scan produced for ``df`` (after row-group skipping, before filters)."""
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        df.collect()
+        plan = df._jdf.queryExecution().executedPlan()
+        nodes, total = [plan], 0
+        while nodes:
+            node = nodes.pop()
+            if node.nodeName().startswith("Scan parquet"):
+                total += node.metrics().apply("numOutputRows").value()
+            it = node.children().iterator()
+            while it.hasNext():
+                nodes.append(it.next())
+        return total
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
+def test_one_practice_lookup_skips_most_row_groups(spark, tables01):
+    from pyspark.sql import functions as F
+    total = tables01.rx.count()
+    read = _scan_output_rows(spark, tables01.rx.filter(F.col("practiceid") == "W00004"))
+    assert read < total / 3
+    qof_total = tables01.qof.count()
+    national = _scan_output_rows(spark, tables01.qof.filter(F.col("orgcode") == "WAL"))
+    assert national < qof_total / 3
