@@ -59,6 +59,7 @@ def main(argv: list[str]) -> None:
              "the final adaptive plan is shown (AQE has already turned small sort-merge joins "
              "into broadcast joins from measured sizes). Scans read the stored practice tables.\n"]
     from gpsight.operators.profile import practice_base
+    from gpsight.sources.fixtures import gp_data_view, qof_view
     from gpsight.sources.store import practice_tables
 
     t = practice_tables(spark, sf_dir)
@@ -66,6 +67,11 @@ def main(argv: list[str]) -> None:
     runs.insert(QUERIES.index("practice_profile"),
                 ("practice_profile: per-practice table (job written once, read by the plan below)",
                  lambda: practice_base(t.rx, t.qof, t.address)))
+    runs += [
+        ("ingest: prescription view (lineitem x part)", lambda: gp_data_view(spark, sf_dir)),
+        ("ingest: QOF view (lineitem x orders x part x areas, distinct patients)",
+         lambda: qof_view(spark, sf_dir)),
+    ]
     for name, build in runs:
         df = build()
         df.write.format("noop").mode("overwrite").save()
