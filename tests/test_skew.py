@@ -76,3 +76,19 @@ def test_every_practice_shuffle_is_fed_by_an_aggregate(skewed, spark):
             if "Exchange hashpartitioning(practiceid" in line or "Exchange hashpartitioning(orgcode" in line:
                 # fed by an aggregate (partial, or a final one bounded per practice)
                 assert "HashAggregate" in lines[i + 1], line
+
+
+from hypothesis import HealthCheck, given, settings  # noqa: E402
+from hypothesis import strategies as st  # noqa: E402
+
+
+@settings(max_examples=10, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(st.tuples(st.sampled_from(["W00001", "W00002", "W00003"]),
+                          st.sampled_from(["0601010A0", "0101010B0"]),
+                          st.integers(min_value=0, max_value=100)), min_size=1, max_size=40))
+def test_share_between_zero_and_one_and_equal_to_two_scans(spark, rows):
+    rx = b.rx(spark, [(p, "201501", code, "x", q, 1, 1) for p, code, q in rows])
+    one = sorted(drugs.drug_share(rx, drugs.is_insulin(), "s").collect())
+    two = sorted(drugs.drug_share_two_scans(rx, drugs.is_insulin(), "s").collect())
+    assert one == two
+    assert all(r.s is None or 0.0 <= r.s <= 1.0 for r in one)
