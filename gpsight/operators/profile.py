@@ -40,9 +40,11 @@ def _rx_by_practice(rx: DataFrame) -> DataFrame:
 
 
 def _qof_by_practice(qof: DataFrame, prefix: str) -> DataFrame:
+    # The profile's rate is the single-practice figure: an ungrouped sum, 0 without matches.
     return (qof.groupBy(F.col("orgcode").alias("practiceid"))
             .agg(F.max("field4").alias("no_of_patients"),
-                 F.sum(F.when(starts_with("indicator", prefix), F.col("numerator"))).alias("_dm")))
+                 F.coalesce(F.sum(F.when(starts_with("indicator", prefix), F.col("numerator"))),
+                            F.lit(0)).alias("_dm")))
 
 
 def practice_base(rx: DataFrame, qof: DataFrame, address: DataFrame, prefix: str = "DM",

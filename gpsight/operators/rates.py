@@ -78,7 +78,9 @@ def rate_percent(qof: DataFrame, prefix: str = "DM", digits: int = 1) -> DataFra
     Filter ``qof`` to one practice first for the analysed code's single-practice figure.
     """
     hit = starts_with("indicator", prefix)
-    return (qof.agg(F.sum(F.when(hit, F.col("numerator"))).alias("_patients"),
+    # An ungrouped sum over no matching rows is 0 in the analysed code (not NA), so a
+    # practice without prefix indicators has rate 0; no rows at all leave the list size NULL.
+    return (qof.agg(F.coalesce(F.sum(F.when(hit, F.col("numerator"))), F.lit(0)).alias("_patients"),
                     F.max("field4").alias("_pop"))
             .select(round_half_even(percent(ratio("_patients", "_pop")), digits).alias("rate_pct")))
 

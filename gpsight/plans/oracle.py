@@ -159,7 +159,7 @@ with mo as (select practiceid, {MONTH} AS month, sum(actcost) c, sum(nic) n
 r as (select practiceid, count(*) AS months, cast(sum(c) as double) tc,
              cast(sum(n) as double) total_costs from mo group by practiceid),
 q as (select orgcode practiceid, max(field4) no_of_patients,
-             sum(case when indicator like 'DM%' then numerator end) dm
+             coalesce(sum(case when indicator like 'DM%' then numerator end), 0) dm
       from qof_achievement group by orgcode),
 b as (select r.practiceid, q.no_of_patients, r.months, r.tc / r.months avg_monthly_spend,
              round_even(floor(r.tc / r.months) / r.months, 1) avg_monthly_spend_compat,
@@ -202,7 +202,7 @@ left join (select orgcode, count(*) c from qof_achievement group by orgcode) q
     "list_size_by_practice": LIST_SIZE,
     "diabetes_patients": (f"select practiceid, cast(diabetes_patients as bigint) diabetes_patients "
                           f"from ({DM_PATIENTS}) d"),
-    "diabetes_rate_one": f"""select round_even((cast(sum(case when indicator like 'DM%' then numerator end) as double)
+    "diabetes_rate_one": f"""select round_even((cast(coalesce(sum(case when indicator like 'DM%' then numerator end), 0) as double)
                    / cast(max(field4) as double)) * 100.0, 1) rate_pct
 from qof_achievement where orgcode = {CHOSEN}""",
     "diabetes_rate_by_practice": RATE_DM,

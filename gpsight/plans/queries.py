@@ -26,6 +26,7 @@ CHOSEN_PRACTICE = "W00004"
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 _REGISTRY: dict[str, QueryFn] = {}
+_ON_TABLES: dict[str, Callable[[PracticeTables], DataFrame]] = {}
 
 
 def query(name: str):
@@ -35,6 +36,7 @@ def query(name: str):
         run.__name__ = name
         run.__doc__ = fn.__doc__
         _REGISTRY[name] = run
+        _ON_TABLES[name] = fn
         return fn
     return wrap
 
@@ -43,6 +45,11 @@ def registry() -> dict[str, QueryFn]:
     return dict(_REGISTRY)
 
 
+def on_tables(name: str) -> Callable[[PracticeTables], DataFrame]:
+    """The operator behind a registered query, applied to any PracticeTables."""
+    return _ON_TABLES[name]
+
+
 # --- scans, projections, catalog -----------------------------------------------------------
 
 @query("scan_qof")

@@ -182,3 +182,11 @@ def test_check_practices_for_requested_ids(spark):
            for x in validate.check_practices(ids, r, q).collect()}
     assert got == {"W00001": (True, True, True, True), "W12345": (True, False, False, False),
                    "WAL": (False, False, True, False), "bad": (False, False, False, False)}
+
+
+def test_single_practice_rate_without_dm_rows_is_zero(spark):
+    # ungrouped: sum over no matching rows is 0; grouped per-practice table: NULL
+    q = b.qof(spark, [("W00001", "AF001", 5, 100)])
+    assert rates.rate_percent(q).collect()[0].rate_pct == 0.0
+    assert b.as_dict(rates.indicator_rate(q), "practiceid", "rate_diabetes") == {"W00001": None}
+    assert rates.rate_percent(b.qof(spark, [])).collect()[0].rate_pct is None
