@@ -38,19 +38,27 @@ def _fs(spark: SparkSession, path: str):
     return hpath.getFileSystem(conf), hpath
 
 
-def _input_files(spark: SparkSession, sf_dir: str):
+def _input_summaries(spark: SparkSession, sf_dir: str):
+    """(path, bytes, files, modification time) per input table.
+
+    Two file-system calls per table, answered on the JVM side (a content summary and the
+    table's own status), so the cost does not grow with the number of files — listing
+    hundreds of thousands of files through the Python gateway would stall the driver.
+    """
     for name in BASE_TABLES:
         fs, path = _fs(spark, f"{sf_dir.rstrip('/')}/{name}.parquet")
         if fs.exists(path):
-            yield from fs.listStatus(path)
+            summary = fs.getContentSummary(path)
+            status = fs.getFileStatus(path)
+            yield (str(path), summary.getLength(), summary.getFileCount(),
+                   status.getModificationTime())
 
 
 def fingerprint(spark: SparkSession, sf_dir: str) -> str:
-    """Hash of the input tables' paths, sizes and modification times."""
+    """Hash of the input tables' paths, sizes, file counts and modification times."""
     digest = hashlib.sha1(f"v{STORE_LAYOUT_VERSION}|{sf_dir.rstrip('/')}".encode())
-    for status in _input_files(spark, sf_dir):
-        digest.update(f"{status.getPath()}|{status.getLen()}|{status.getModificationTime()}"
-                      .encode())
+    for path, size, files, mtime in _input_summaries(spark, sf_dir):
+        digest.update(f"{path}|{size}|{files}|{mtime}".encode())
     return digest.hexdigest()[:16]
 
 
@@ -72,7 +80,7 @@ def store_location(spark: SparkSession, sf_dir: str) -> str:
 def ingest(spark: SparkSession, sf_dir: str, location: str | None = None) -> str:
     """Build the practice tables from ``sf_dir`` and write them; returns the folder."""
     root = location or store_location(spark, sf_dir)
-    input_bytes = sum(status.getLen() for status in _input_files(spark, sf_dir))
+    input_bytes = sum(size for _, size, _, _ in _input_summaries(spark, sf_dir))
     partitions = max(spark.sparkContext.defaultParallelism,
                      -(-input_bytes // TARGET_FILE_BYTES))
     write_parquet_tables(load_fixture_tables(spark, sf_dir), root, partitions=partitions)
