@@ -46,16 +46,22 @@ def build_session(
     shuffle_partitions: int | None = None,
     app_name: str = "gpsight",
     extra: dict[str, str] | None = None,
+    input_bytes: int | None = None,
+    total_cores: int | None = None,
 ) -> SparkSession:
     """Create (or reuse) a session with gpsight's defaults.
 
-    On a cluster pass ``master=None`` and let spark-submit decide; ``shuffle_partitions``
-    should then be sized so one shuffle partition is ~128-256 MB at the target scale.
+    On a cluster pass ``master=None`` and let spark-submit decide, and give the expected
+    ``input_bytes`` and ``total_cores`` so that splits and shuffle partitions are sized by
+    :func:`scale_settings`; an explicit ``shuffle_partitions`` wins over that sizing.
     """
     builder = SparkSession.builder.appName(app_name)
     if master:
         builder = builder.master(master)
-    for key, value in SESSION_DEFAULTS.items():
+    settings = dict(SESSION_DEFAULTS)
+    if input_bytes is not None and total_cores is not None:
+        settings.update(scale_settings(input_bytes, total_cores))
+    for key, value in settings.items():
         builder = builder.config(key, value)
     if shuffle_partitions:
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
