@@ -1,8 +1,9 @@
 """Column expressions with the arithmetic of the analysed R code, all JVM-side built-ins.
 
-Spark 4 runs with ANSI mode on: division by zero and unparsable dates raise. The
-analysed code instead yields Inf/NaN/NA, so every division here is ``try_divide``
-(NULL instead of an error) and dates are parsed with ``try_to_date``.
+Spark 4 runs with ANSI mode on: division by zero and unparsable dates raise. The analysed
+code instead yields IEEE results (x/0 = Inf, -x/0 = -Inf, 0/0 = NaN) and NA for an
+unparsable date, so ``ratio`` produces the IEEE values explicitly for a zero denominator
+and dates are parsed with ``try_to_date``.
 """
 
 from __future__ import annotations
@@ -19,14 +20,31 @@ def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+_INF = float("inf")
+_NAN = float("nan")
+
+
 def ratio(numerator: Column | str, denominator: Column | str) -> Column:
-    """Real division as a double; NULL when the denominator is 0 or NULL."""
-    return F.try_divide(_col(numerator).cast("double"), _col(denominator).cast("double"))
+    """Real division as a double, with IEEE results for a zero denominator (x/0 = +-Inf,
+    0/0 = NaN, as in R) instead of an ANSI error; NULL when either side is NULL."""
+    n = _col(numerator).cast("double")
+    d = _col(denominator).cast("double")
+    by_zero = (F.when(F.isnan(n), F.lit(_NAN))
+               .when(n > 0, F.lit(_INF))
+               .when(n < 0, F.lit(-_INF))
+               .when(n == 0, F.lit(_NAN)))
+    return F.when(d == 0, by_zero).otherwise(F.try_divide(n, d))
 
 
 def floor_div(numerator: Column | str, denominator: Column | str) -> Column:
-    """R's ``%/%``: floor of the real quotient (not truncation), as a double."""
-    return F.floor(ratio(numerator, denominator)).cast("double")
+    """R's ``%/%``: floor of the real quotient (not truncation), as a double.
+
+    NaN, infinities and values already integral (|q| >= 2^52) pass through unchanged: Spark's
+    ``floor`` of a double returns a long, which would turn Inf into 2^63 - 1.
+    """
+    q = ratio(numerator, denominator)
+    return (F.when(F.isnan(q) | (F.abs(q) >= F.lit(float(2 ** 52))), q)
+            .otherwise(F.floor(q).cast("double")))
 
 
 def round_half_even(x: Column | str, digits: int = 1) -> Column:

@@ -118,9 +118,10 @@ def area_peer_stats(spp: DataFrame, width: int = 2) -> DataFrame:
     """
     keyed = spp.select("practiceid", postcode_area("postcode", width).alias("area"),
                        "spend_per_patient")
-    stats = (keyed.groupBy("area")
+    stats = (keyed.groupBy(F.col("area").alias("_area"))
              .agg(F.count(F.lit(1)).alias("area_practices"),
                   F.avg("spend_per_patient").alias("area_mean")))
-    return (keyed.join(stats, "area")
+    # Null-safe key: practices without a postcode form one group, as NA does in group_by.
+    return (keyed.join(stats, keyed["area"].eqNullSafe(stats["_area"]))
             .select("practiceid", "area", "spend_per_patient", "area_practices",
                     F.round("area_mean", 6).alias("area_mean")))

@@ -71,9 +71,12 @@ def _practice_sql(text: str) -> QueryFn:
 
 
 # One practice's rows, as parameterised SQL text.
-_REGISTRY["practice_prescriptions"] = _practice_sql(sql.PRACTICE_PRESCRIPTIONS)
-_REGISTRY["practice_qof"] = _practice_sql(sql.PRACTICE_QOF)
-_REGISTRY["practice_address"] = _practice_sql(sql.PRACTICE_ADDRESS)
+for _name, _text in (("practice_prescriptions", sql.PRACTICE_PRESCRIPTIONS),
+                     ("practice_qof", sql.PRACTICE_QOF),
+                     ("practice_address", sql.PRACTICE_ADDRESS)):
+    _REGISTRY[_name] = _practice_sql(_text)
+    _ON_TABLES[_name] = (lambda text: lambda t: sql.run_sql(
+        t.rx.sparkSession, t, text, practiceid=CHOSEN_PRACTICE))(_text)
 
 
 @query("qof_renamed")

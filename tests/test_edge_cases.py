@@ -17,10 +17,25 @@ def test_practice_without_dm_rows_gets_null_rate(spark):
     assert one_pass == written == {"W00001": None, "W00009": 0.1}
 
 
-def test_zero_list_size_gives_null_not_error(spark):
-    q = b.qof(spark, [("W00002", "DM001", 1, 0)])
-    assert b.as_dict(rates.indicator_rate(q), "practiceid", "rate_diabetes") == {"W00002": None}
-    assert rates.rate_percent(q).collect()[0]["rate_pct"] is None
+def test_zero_list_size_gives_ieee_values_not_error(spark):
+    import math
+    q = b.qof(spark, [("W00002", "DM001", 1, 0), ("W00003", "DM001", 0, 0),
+                      ("W00005", "DM001", None, 0)])
+    got = b.as_dict(rates.indicator_rate(q), "practiceid", "rate_diabetes")
+    assert got["W00002"] == math.inf and math.isnan(got["W00003"]) and got["W00005"] is None
+    one = rates.rate_percent(rates.practice_qof(q, "W00002")).collect()[0]["rate_pct"]
+    assert one == math.inf
+
+
+def test_floor_division_passes_special_values(spark):
+    import math
+    from gpsight.functions.expr import floor_div
+    row = spark.range(1).select(
+        floor_div(F.lit(5.0), F.lit(0.0)).alias("a"), floor_div(F.lit(-5.0), F.lit(0)).alias("b"),
+        floor_div(F.lit(0.0), F.lit(0.0)).alias("c"), floor_div(F.lit(1e300), F.lit(1.0)).alias("d"),
+        floor_div(F.lit(None).cast("double"), F.lit(0.0)).alias("e")).collect()[0]
+    assert row.a == math.inf and row.b == -math.inf and math.isnan(row.c)
+    assert row.d == 1e300 and row.e is None
 
 
 def test_null_numerator_policies(spark):
