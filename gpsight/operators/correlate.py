@@ -12,13 +12,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gpsight.functions.stats import DEFAULT_ALPHA, pearson_columns
+from gpsight.operators.keys import join_on
 from gpsight.operators.drugs import drug_share, is_insulin, is_metformin
 from gpsight.operators.rates import indicator_rate
 
 
 def rate_pairs(rate: DataFrame, share: DataFrame) -> DataFrame:
     """(practiceid, <rate column>, <share column>) for practices present in both."""
-    return rate.join(share, "practiceid")
+    return join_on(rate, share)
 
 
 def pearson_test(pairs: DataFrame, x: str, y: str, alpha: float = DEFAULT_ALPHA,

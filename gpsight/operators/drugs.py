@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gpsight.functions.expr import ratio, starts_with, starts_with_ci
+from gpsight.operators.keys import join_on
 
 # The drug groups of the analysed code — insulin by BNF code prefix, metformin
 # by a case-insensitive drug-name prefix.
@@ -58,7 +59,7 @@ def drug_share_two_scans(rx: DataFrame, predicate: Column, name: str) -> DataFra
     """The same share as written: matching sum INNER JOIN total sum."""
     drug = drug_quantity(rx, predicate, "_drug")
     total = total_quantity_by_practice(rx)
-    return (drug.join(total, "practiceid")
+    return (join_on(drug, total)
             .select("practiceid", ratio("_drug", "total_drugs_prescribed").alias(name)))
 
 

@@ -22,6 +22,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gpsight.operators.keys import join_on
 from gpsight.session import materialize as write_once
 from gpsight.functions.expr import (NATIONAL_CODE, floor_div, month_start, percent,
                                     postcode_area, ratio, round_half_even, starts_with,
@@ -53,8 +54,7 @@ def practice_base(rx: DataFrame, qof: DataFrame, address: DataFrame, prefix: str
     rx_p = _rx_by_practice(rx)
     qof_p = _qof_by_practice(qof, prefix)
     rate = round_half_even(percent(ratio("_dm", "no_of_patients")), 1)
-    return (rx_p.join(qof_p, "practiceid")
-            .join(address.select("practiceid", "postcode"), "practiceid", "left")
+    return (join_on(join_on(rx_p, qof_p), address.select("practiceid", "postcode"), "left")
             .select("practiceid", "no_of_patients", "months",
                     ratio("_total_cost", "months").alias("avg_monthly_spend"),
                     round_half_even(ratio(floor_div("_total_cost", "months"), "months"), 1)

@@ -13,6 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gpsight.operators.keys import join_on
 from gpsight.functions.expr import (NATIONAL_CODE, max_na, percent, ratio, round_half_even,
                                     starts_with, sum_na)
 
@@ -68,7 +69,7 @@ def indicator_rate_full_join(qof: DataFrame, prefix: str = "DM",
     """The same rate as written: prefix sum FULL OUTER JOIN list size, then the ratio."""
     patients = indicator_patients(qof, prefix, "_patients")
     pop = list_size_by_practice(qof)
-    return (patients.join(pop, "practiceid", "full")
+    return (join_on(patients, pop, "full")
             .select("practiceid", ratio("_patients", "total_pop").alias(name)))
 
 

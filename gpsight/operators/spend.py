@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from gpsight.functions.expr import (floor_div, month_start, postcode_area, ratio,
                                     round_half_even, year_month)
+from gpsight.operators.keys import join_on
 from gpsight.operators.rates import list_size_by_practice
 
 
@@ -73,7 +74,7 @@ def monthly_cost_per_patient(rx: DataFrame, qof: DataFrame) -> DataFrame:
     size, for every practice."""
     monthly = monthly_cost(rx)
     pop = list_size_by_practice(qof)
-    return (monthly.join(pop, "practiceid")
+    return (join_on(monthly, pop)
             .select("practiceid", "month", "total_cost_meds",
                     floor_div("total_cost_meds", "total_pop").alias("avg_cost")))
 
@@ -87,8 +88,7 @@ def spend_per_patient(rx: DataFrame, qof: DataFrame, address: DataFrame) -> Data
     """
     costs = total_cost_by_practice(rx)
     pop = list_size_by_practice(qof)
-    return (address.select("practiceid", "postcode")
-            .join(costs.join(pop, "practiceid"), "practiceid")
+    return (join_on(address.select("practiceid", "postcode"), join_on(costs, pop))
             .select("practiceid", "postcode", "total_costs", "total_pop",
                     ratio("total_costs", "total_pop").alias("spend_per_patient")))
 

@@ -25,7 +25,8 @@ def _id_flags(rx: DataFrame, qof: DataFrame, address: DataFrame | None) -> DataF
     out = sides[0]
     for side in sides[1:]:
         out = out.unionByName(side)
-    return out
+    # id checks are about practice ids; a row without one belongs to no practice
+    return out.filter(F.col("practiceid").isNotNull())
 
 
 def validate_practice_ids(ids: DataFrame, column: str = "practiceid") -> DataFrame:
@@ -65,6 +66,7 @@ def practices_with_both_semi(rx: DataFrame, qof: DataFrame, address: DataFrame)
     """
     med_ids = rx.select("practiceid").distinct()
     qof_ids = qof.select(F.col("orgcode").alias("practiceid")).distinct()
+    # (a NULL id matches nothing in a semi join, so NULL ids drop out as in data_availability)
     return (address.select("practiceid").distinct()
             .join(med_ids, "practiceid", "left_semi")
             .join(qof_ids, "practiceid", "left_semi"))

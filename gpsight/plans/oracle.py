@@ -69,7 +69,7 @@ DM_PATIENTS = ("select orgcode practiceid, sum(numerator) diabetes_patients from
                "where indicator like 'DM%' group by orgcode")
 RATE_DM = f"""select coalesce(d.practiceid, p.practiceid) practiceid,
        cast(d.diabetes_patients as double) / cast(p.total_pop as double) rate_diabetes
-from ({DM_PATIENTS}) d full join ({LIST_SIZE}) p on d.practiceid = p.practiceid"""
+from ({DM_PATIENTS}) d full join ({LIST_SIZE}) p on d.practiceid is not distinct from p.practiceid"""
 TOTAL_QTY = ("select practiceid, sum(quantity) total_drugs_prescribed from gp_data "
              "group by practiceid")
 MONTH = "cast(date_trunc('month', try_strptime(period, '%Y%m')) as date)"
@@ -79,23 +79,24 @@ SPP = f"""select a.practiceid, a.postcode, c.total_costs, p.total_pop,
        c.total_costs / cast(p.total_pop as double) spend_per_patient
 from address a
 join (select practiceid, cast(sum(nic) as double) total_costs from gp_data group by practiceid) c
-  on a.practiceid = c.practiceid
-join ({LIST_SIZE}) p on p.practiceid = c.practiceid"""
+  on a.practiceid is not distinct from c.practiceid
+join ({LIST_SIZE}) p on p.practiceid is not distinct from c.practiceid"""
 INSULIN = "bnfcode like '060101%'"
 METFORMIN = "lower(bnfname) like 'metformin%'"
-KNOWN_IDS = ("select practiceid from gp_data union select orgcode from qof_achievement "
-             "union select practiceid from address")
+KNOWN_IDS = ("select practiceid from (select practiceid from gp_data union "
+             "select orgcode from qof_achievement union select practiceid from address) u "
+             "where practiceid is not null")
 
 
 def _share(where: str, num: str, name: str) -> str:
     return f"""select d.practiceid, d.{num} / t.total_drugs_prescribed {name}
 from (select practiceid, sum(quantity) {num} from gp_data where {where} group by practiceid) d
-join ({TOTAL_QTY}) t on d.practiceid = t.practiceid"""
+join ({TOTAL_QTY}) t on d.practiceid is not distinct from t.practiceid"""
 
 
 def _pairs(where: str, num: str, name: str) -> str:
     return f"""select r.practiceid, r.rate_diabetes, s.{name}
-from ({RATE_DM}) r join ({_share(where, num, name)}) s on r.practiceid = s.practiceid"""
+from ({RATE_DM}) r join ({_share(where, num, name)}) s on r.practiceid is not distinct from s.practiceid"""
 
 
 def _simpson(start: str, width: str, power: str) -> str:
@@ -166,8 +167,8 @@ b as (select r.practiceid, q.no_of_patients, r.months, r.tc / r.months avg_month
              a.postcode, r.total_costs,
              r.total_costs / cast(q.no_of_patients as double) spend_per_patient,
              {rate} rate_pct
-      from r join q on r.practiceid = q.practiceid
-      left join address a on a.practiceid = r.practiceid),
+      from r join q on r.practiceid is not distinct from q.practiceid
+      left join address a on a.practiceid is not distinct from r.practiceid),
 ar as (select substring(postcode, 1, 2) area, count(*) area_practices,
               round(avg(spend_per_patient), 6) area_mean
        from b where postcode is not null group by area)
@@ -220,7 +221,7 @@ from (select practiceid, count(*) AS months, cast(sum(total_cost_meds) as double
     "monthly_cost_per_patient": f"""select m.practiceid, m.month,
        cast(m.total_cost_meds as double) total_cost_meds,
        floor(cast(m.total_cost_meds as double) / cast(p.total_pop as double)) avg_cost
-from ({MONTHLY}) m join ({LIST_SIZE}) p on m.practiceid = p.practiceid""",
+from ({MONTHLY}) m join ({LIST_SIZE}) p on m.practiceid is not distinct from p.practiceid""",
     "spend_per_patient": SPP,
     "spend_per_patient_area": f"""select s.*, s.practiceid = {CHOSEN} is_chosen from ({SPP}) s
 where regexp_matches(s.postcode, '^' ||

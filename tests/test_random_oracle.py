@@ -38,7 +38,7 @@ def _tables(seed):
     rnd = random.Random(seed)
     rx = []
     for _ in range(rnd.randint(40, 120)):
-        rx.append((rnd.choice(PRACTICES), rnd.choice(PERIODS), rnd.choice(CODES),
+        rx.append((_maybe(rnd, rnd.choice(PRACTICES), 0.03), rnd.choice(PERIODS), rnd.choice(CODES),
                    rnd.choice(NAMES), _maybe(rnd, float(rnd.randint(0, 40))),
                    _maybe(rnd, Decimal(rnd.randint(0, 99999)) / 100),
                    _maybe(rnd, Decimal(rnd.randint(0, 9999999)) / 10000)))
@@ -49,8 +49,14 @@ def _tables(seed):
         size = rnd.choice([0, 10, 250, 1000, None])
         for ind in rnd.sample(INDICATORS, rnd.randint(1, 6)):
             qof.append((org, ind, _maybe(rnd, rnd.randint(0, 300)), size))
+        if rnd.random() < 0.2:  # a repeated (organisation, indicator) row
+            qof.append((org, qof[-1][1], rnd.randint(0, 50), size))
+    if rnd.random() < 0.5:
+        qof.append((None, "DM001", 5, 10))
     address = [(p, f"Practice {i}", rnd.choice(POSTCODES))
                for i, p in enumerate(PRACTICES) if rnd.random() < 0.85]
+    if address and rnd.random() < 0.5:  # a practice listed twice
+        address.append((address[0][0], "Branch", rnd.choice(POSTCODES)))
     return rx, qof, address
 
 
@@ -70,7 +76,7 @@ def _duck(rx, qof, address):
     return con
 
 
-@pytest.fixture(scope="module", params=[1, 2, 3, 4])
+@pytest.fixture(scope="module", params=[1, 2, 3, 4, 5, 6])
 def pair(request, spark):
     rx, qof, address = _tables(request.param)
     tables = PracticeTables(rx=b.rx(spark, rx), qof=b.qof(spark, qof),
