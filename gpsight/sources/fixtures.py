@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from gpsight.functions.expr import NATIONAL_CODE
 from gpsight.operators.register import area_table
-from gpsight.sources.tables import PracticeTables
+from gpsight.sources.tables import ROW_KEY, PracticeTables
 
 # The test tables the views read.
 BASE_TABLES = ("region", "nation", "supplier", "part", "orders", "lineitem")
@@ -81,9 +81,12 @@ def address_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def gp_data_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+def gp_data_view(spark: SparkSession, sf_dir: str, row_key: bool = False) -> DataFrame:
+    """The prescription table. ``row_key`` adds ``_row_key``, a hash of the line item's unique
+    (order, line number) key, which the stored-table writer uses to split copies of a row."""
     lineitem = read_base(spark, sf_dir, "lineitem").select(
-        "l_partkey", "l_suppkey", "l_shipdate", "l_quantity", "l_extendedprice", "l_discount")
+        "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_quantity",
+        "l_extendedprice", "l_discount")
     part = read_base(spark, sf_dir, "part").select("p_partkey", "p_name", "p_size")
     joined = lineitem.join(part, F.col("l_partkey") == F.col("p_partkey"))
 
@@ -101,7 +104,7 @@ def gp_data_view(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.concat(F.lit("Metformin HCl_"), name.substr(F.lit(5), F.length(name))))
                .otherwise(name))
     nic = F.col("l_extendedprice").cast("decimal(18,2)")
-    return joined.select(
+    columns = [
         practice_code(F.col("l_suppkey")).alias("practiceid"),
         (F.year("l_shipdate") * 100 + F.month("l_shipdate")).cast("string").alias("period"),
         bnfcode.alias("bnfcode"),
@@ -109,7 +112,10 @@ def gp_data_view(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("l_quantity").alias("quantity"),
         nic.alias("nic"),
         (nic * (F.lit(1) - F.col("l_discount").cast("decimal(4,2)"))).alias("actcost"),
-    )
+    ]
+    if row_key:
+        columns.append(F.xxhash64("l_orderkey", "l_linenumber").alias(ROW_KEY))
+    return joined.select(*columns)
 
 
 def qof_view(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -149,10 +155,10 @@ def qof_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     return practice_rows.unionByName(national_rows)
 
 
-def load_fixture_tables(spark: SparkSession, sf_dir: str) -> PracticeTables:
+def load_fixture_tables(spark: SparkSession, sf_dir: str, row_key: bool = False) -> PracticeTables:
     """The practice tables built lazily from the test tables in ``sf_dir``."""
     return PracticeTables(
-        rx=gp_data_view(spark, sf_dir),
+        rx=gp_data_view(spark, sf_dir, row_key),
         qof=qof_view(spark, sf_dir),
         address=address_view(spark, sf_dir),
         area=area_table(spark),

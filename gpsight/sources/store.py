@@ -25,7 +25,7 @@ from gpsight.sources.tables import (SOURCE_NAMES, PracticeTables, read_parquet_t
 STORE_FOLDER = "gpsight-practice-tables"
 
 # Bumped whenever the stored layout changes, so an older layout is never served.
-STORE_LAYOUT_VERSION = 2
+STORE_LAYOUT_VERSION = 3
 
 # Target size of one stored file; the number of files grows with the input.
 TARGET_FILE_BYTES = 256 * 1024 * 1024
@@ -83,7 +83,8 @@ def ingest(spark: SparkSession, sf_dir: str, location: str | None = None) -> str
     input_bytes = sum(size for _, size, _, _ in _input_summaries(spark, sf_dir))
     partitions = max(spark.sparkContext.defaultParallelism,
                      -(-input_bytes // TARGET_FILE_BYTES))
-    write_parquet_tables(load_fixture_tables(spark, sf_dir), root, partitions=partitions)
+    write_parquet_tables(load_fixture_tables(spark, sf_dir, row_key=True), root,
+                         partitions=partitions)
     return root
 
 

@@ -30,6 +30,10 @@ SOURCE_NAMES = {
 }
 
 RX_COLUMNS = ("practiceid", "period", "bnfcode", "bnfname", "quantity", "nic", "actcost")
+
+# Optional column of a prescription DataFrame about to be stored: a deterministic value that
+# differs between distinct source rows (a hash of the source's unique key). Not stored.
+ROW_KEY = "_row_key"
 QOF_COLUMNS = ("orgcode", "indicator", "numerator", "field4")
 ADDRESS_COLUMNS = ("practiceid", "name", "postcode")
 
@@ -106,20 +110,27 @@ def write_parquet_tables(tables: PracticeTables, path: str, mode: str = "overwri
                          partitions: int | None = None) -> None:
     """Store the practice tables as Parquet under ``path`` (readable by ``read_parquet_tables``).
 
-    Each table is range-partitioned on its practice key followed by columns with many
-    distinct values — (practice, period, drug code) for prescriptions, (organisation,
-    indicator) for QOF — and sorted the same way inside each file. Each file then holds a
-    contiguous slice of practice ids, so an equality or prefix filter on the practice
-    (one practice's rows, the national ``WAL`` rows) skips the other files' row groups by
-    their min/max statistics; and because the range key goes beyond the practice, one
-    practice holding many rows is still split over several files and write tasks. The
-    range bounds come from a sample taken once, so retried tasks write the same rows.
+    Each table is range-partitioned on its practice key followed by further columns —
+    (practice, period, drug code, source row key) for prescriptions, (organisation,
+    indicator) for QOF, which is unique — and sorted the same way inside each file. Each
+    file then holds a contiguous slice of practice ids, so an equality or prefix filter on
+    the practice (one practice's rows, the national ``WAL`` rows) skips the other files' row
+    groups by their min/max statistics; and because the range key goes beyond the practice,
+    one practice holding many rows — or many copies of one row, told apart by the source
+    row key ``_row_key`` — is still split over several files and write tasks. Without a
+    source row key every column is part of the range key, so only exact copies of a row
+    stay together. All keys are deterministic and the range bounds come from a sample taken
+    once, so retried tasks write the same rows.
     """
     spark = tables.rx.sparkSession
     n = partitions or spark.sparkContext.defaultParallelism
     base = path.rstrip("/")
-    rx_key = ("practiceid", "period", "bnfcode")
+    if ROW_KEY in tables.rx.columns:
+        rx_key = ("practiceid", "period", "bnfcode", ROW_KEY)
+    else:
+        rx_key = ("practiceid", "period", "bnfcode", "bnfname", "quantity", "nic", "actcost")
     (tables.rx.repartitionByRange(n, *rx_key).sortWithinPartitions(*rx_key)
+     .select(*RX_COLUMNS)
      .write.mode(mode).parquet(f"{base}/{SOURCE_NAMES['rx']}"))
     qof_key = ("orgcode", "indicator")
     (tables.qof.repartitionByRange(n, *qof_key).sortWithinPartitions(*qof_key)

@@ -47,3 +47,29 @@ def test_incomplete_store_is_rebuilt(spark, tmp_path):
     tables = store.practice_tables(spark, sf)
     assert store._commit_stamp(spark, root) is not None
     assert tables.qof.count() > 0
+
+
+def test_copies_of_one_row_are_split_by_the_row_key(spark, tmp_path):
+    import pyarrow.parquet as pq
+    from decimal import Decimal
+
+    from pyspark.sql import functions as F
+
+    import builders as b
+    from gpsight.operators.register import area_table
+    from gpsight.sources.tables import ROW_KEY, PracticeTables, write_parquet_tables
+
+    copies = spark.range(3000).select(
+        F.lit("W00001").alias("practiceid"), F.lit("201501").alias("period"),
+        F.lit("0601010A0").alias("bnfcode"), F.lit("Insulin").alias("bnfname"),
+        F.lit(1.0).alias("quantity"), F.lit(Decimal("2.00")).cast("decimal(18,2)").alias("nic"),
+        F.lit(Decimal("1.5")).cast("decimal(24,4)").alias("actcost"),
+        F.xxhash64("id").alias(ROW_KEY))
+    tables = PracticeTables(rx=copies, qof=b.qof(spark, [("W00001", "DM001", 1, 10)]),
+                            address=b.address(spark, []), area=area_table(spark))
+    out = tmp_path / "stored"
+    write_parquet_tables(tables, str(out), partitions=4)
+    folder = out / "gp_data_up_to_2015"
+    sizes = [pq.ParquetFile(f).metadata.num_rows for f in folder.glob("*.parquet")]
+    assert sum(sizes) == 3000 and len([s for s in sizes if s]) == 4  # spread over all files
+    assert ROW_KEY not in pq.ParquetFile(next(folder.glob("*.parquet"))).schema_arrow.names
