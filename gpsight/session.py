@@ -78,12 +78,16 @@ def build_session(
 def checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    The cluster's setting always wins. Only when it is unset (local tests) is a fresh
-    scratch folder created and registered with the context.
+    The cluster's setting always wins. Only when it is unset and the session runs in local
+    mode (tests) is a fresh scratch folder created and registered with the context; on a
+    cluster an unset folder is an error, since a machine-local folder is not shared.
     """
     sc = spark.sparkContext
     configured = sc.getConf().get("spark.checkpoint.dir", None)
     if not configured:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name shared storage (HDFS, S3, ...) "
+                               "when running on a cluster")
         configured = tempfile.mkdtemp(prefix="gpsight-ckpt-")
     if not sc._jsc.sc().getCheckpointDir().isDefined():
         sc.setCheckpointDir(configured)
