@@ -23,7 +23,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # The 97.5 % standard-normal quantile used by cor.test's 95 % interval, and the
@@ -71,32 +71,38 @@ def t_two_sided_p(t: Column, df: Column) -> Column:
     return F.when((nu >= 1) & t.isNotNull(), F.least(F.lit(1.0), tail / whole))
 
 
-def pearson_columns(n: Column, sxx: Column, syy: Column, sxy: Column,
-                    alpha: float = DEFAULT_ALPHA, digits: int | None = 9) -> list[Column]:
+def pearson_test_from_moments(moments: DataFrame, n: str, sxx: str, syy: str, sxy: str,
+                              alpha: float = DEFAULT_ALPHA, digits: int | None = 9) -> DataFrame:
     """Test outputs from the pair count and centred sums of squares / cross-products.
 
     Returns columns ``n, r, t, df, p_value, ci_low, ci_high, significant``. ``r`` is NULL for
     fewer than 3 pairs and for a constant column; ``t`` is NULL for |r| = 1 (p is then 0).
+    The p-value is computed in its own projection and read by the next, so its integrals
+    are evaluated once (Catalyst does not inline a costly expression used twice).
     """
-    r = F.when((n >= 3) & (sxx * syy > 0), sxy / F.sqrt(sxx * syy))
-    df = (n - F.lit(2)).cast("bigint")
-    perfect = F.abs(r) >= 1.0
-    t = F.when(~perfect, r * F.sqrt(df.cast("double") / (F.lit(1.0) - r * r)))
-    p = F.when(perfect, F.lit(0.0)).otherwise(t_two_sided_p(t, df))
-    half = F.lit(Z_975) / F.sqrt((n - F.lit(3)).cast("double"))
-    ci_low = F.when(n > 3, F.when(perfect, r).otherwise(F.tanh(F.atanh(r) - half)))
-    ci_high = F.when(n > 3, F.when(perfect, r).otherwise(F.tanh(F.atanh(r) + half)))
+    n_, sxx_, syy_, sxy_ = F.col(n), F.col(sxx), F.col(syy), F.col(sxy)
+    r = F.when((n_ >= 3) & (sxx_ * syy_ > 0), sxy_ / F.sqrt(sxx_ * syy_))
+    df = (n_ - F.lit(2)).cast("bigint")
+    stage1 = moments.select(n_.cast("bigint").alias("n"), r.alias("r"), df.alias("_df"))
+    perfect = F.abs(F.col("r")) >= 1.0
+    t = F.when(~perfect, F.col("r") * F.sqrt(F.col("_df").cast("double") / (F.lit(1.0) - F.col("r") ** 2)))
+    stage2 = stage1.select("*", t.alias("t"))
+    p = F.when(perfect, F.lit(0.0)).otherwise(t_two_sided_p(F.col("t"), F.col("_df")))
+    stage3 = stage2.select("*", p.alias("_p"))
+    half = F.lit(Z_975) / F.sqrt((F.col("n") - F.lit(3)).cast("double"))
+    ci_low = F.when(F.col("n") > 3, F.when(perfect, F.col("r")).otherwise(F.tanh(F.atanh(F.col("r")) - half)))
+    ci_high = F.when(F.col("n") > 3, F.when(perfect, F.col("r")).otherwise(F.tanh(F.atanh(F.col("r")) + half)))
 
     def rnd(c: Column) -> Column:
         return F.round(c, digits) if digits is not None else c
 
-    return [
-        n.cast("bigint").alias("n"),
-        rnd(r).alias("r"),
-        rnd(t).alias("t"),
-        F.when(n >= 3, df).alias("df"),
-        rnd(p).alias("p_value"),
+    return stage3.select(
+        "n",
+        rnd(F.col("r")).alias("r"),
+        rnd(F.col("t")).alias("t"),
+        F.when(F.col("n") >= 3, F.col("_df")).alias("df"),
+        rnd(F.col("_p")).alias("p_value"),
         rnd(ci_low).alias("ci_low"),
         rnd(ci_high).alias("ci_high"),
-        (p < F.lit(alpha)).alias("significant"),
-    ]
+        (F.col("_p") < F.lit(alpha)).alias("significant"),
+    )

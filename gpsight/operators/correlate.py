@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gpsight.functions.stats import DEFAULT_ALPHA, pearson_columns
+from gpsight.functions.stats import DEFAULT_ALPHA, pearson_test_from_moments
 from gpsight.operators.drugs import drug_share, is_insulin, is_metformin
 from gpsight.operators.keys import join_on
 from gpsight.operators.rates import indicator_rate
@@ -37,8 +37,8 @@ def pearson_test(pairs: DataFrame, x: str, y: str, alpha: float = DEFAULT_ALPHA,
         F.regr_syy(ys, xs).alias("_syy"),
         F.regr_sxy(ys, xs).alias("_sxy"),
     )
-    return moments.select(*pearson_columns(F.col("_n"), F.col("_sxx"), F.col("_syy"), F.col("_sxy"),
-                                           alpha=alpha, digits=digits))
+    return pearson_test_from_moments(moments, "_n", "_sxx", "_syy", "_sxy", alpha=alpha,
+                                     digits=digits)
 
 
 def diabetes_insulin_pairs(rx: DataFrame, qof: DataFrame) -> DataFrame:
