@@ -4,8 +4,9 @@ In the analysed application the prescription, QOF and address tables are stored
 tables; loading them is not part of any analysis. ``practice_tables`` mirrors that: the
 first call for an input folder builds the views (``gpsight.sources.fixtures``) and writes
 them as Parquet under the shared checkpoint folder (``spark.checkpoint.dir``); later calls
-read the stored tables. The location is keyed by a fingerprint of the input files (path,
-size, modification time), so changed inputs are never served from an old copy.
+read the stored tables. Copies are keyed by a fingerprint of the input files (path, size,
+file count, modification time), so changed inputs are never served from an old copy; each
+ingest writes a new folder and only complete folders (three commit markers) are read.
 
 All file-system calls go through Hadoop's FileSystem API, so the folder can be HDFS, S3 or
 any other shared store the cluster names in ``spark.checkpoint.dir``.
@@ -14,6 +15,7 @@ any other shared store the cluster names in ``spark.checkpoint.dir``.
 from __future__ import annotations
 
 import hashlib
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -73,13 +75,30 @@ def _commit_stamp(spark: SparkSession, root: str) -> tuple | None:
     return tuple(stamp)
 
 
-def store_location(spark: SparkSession, sf_dir: str) -> str:
+def store_base(spark: SparkSession, sf_dir: str) -> str:
     return f"{checkpoint_dir(spark).rstrip('/')}/{STORE_FOLDER}/{fingerprint(spark, sf_dir)}"
 
 
+def current_location(spark: SparkSession, sf_dir: str) -> str | None:
+    """The newest complete stored copy for ``sf_dir`` (all three commit markers present)."""
+    base = store_base(spark, sf_dir)
+    fs, pattern = _fs(spark, f"{base}-*")
+    found = fs.globStatus(pattern) or []
+    candidates = sorted(((st.getModificationTime(), str(st.getPath())) for st in found
+                         if st.isDirectory()), reverse=True)
+    for _, path in candidates:
+        if _commit_stamp(spark, path) is not None:
+            return path
+    return None
+
+
 def ingest(spark: SparkSession, sf_dir: str, location: str | None = None) -> str:
-    """Build the practice tables from ``sf_dir`` and write them; returns the folder."""
-    root = location or store_location(spark, sf_dir)
+    """Build the practice tables from ``sf_dir`` and write them; returns the folder.
+
+    Each ingest writes a new folder, so a copy being written (or abandoned half-way by a
+    failed job) is never read, and readers of an older copy are never disturbed.
+    """
+    root = location or f"{store_base(spark, sf_dir)}-{uuid.uuid4().hex[:12]}"
     input_bytes = sum(size for _, size, _, _ in _input_summaries(spark, sf_dir))
     partitions = max(spark.sparkContext.defaultParallelism,
                      -(-input_bytes // TARGET_FILE_BYTES))
@@ -89,18 +108,17 @@ def ingest(spark: SparkSession, sf_dir: str, location: str | None = None) -> str
 
 
 # Opened tables per (session, folder, commit stamp): opening lists files and reads Parquet
-# footers, which would otherwise be repeated by every query. A new commit (re-ingest) changes
-# the stamp, so a rewritten folder is always re-opened.
+# footers, which would otherwise be repeated by every query.
 _OPENED: dict[tuple, PracticeTables] = {}
 
 
 def practice_tables(spark: SparkSession, sf_dir: str) -> PracticeTables:
     """The practice tables for ``sf_dir``, stored on first use and read from storage after."""
-    root = store_location(spark, sf_dir)
+    root = current_location(spark, sf_dir)
+    if root is None:
+        ingest(spark, sf_dir)
+        root = current_location(spark, sf_dir)  # the qualified path, as later lookups see it
     stamp = _commit_stamp(spark, root)
-    if stamp is None:
-        ingest(spark, sf_dir, root)
-        stamp = _commit_stamp(spark, root)
     key = (id(spark), spark.sparkContext.applicationId, root, stamp)
     tables = _OPENED.get(key)
     if tables is None:

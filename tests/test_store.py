@@ -22,9 +22,10 @@ def _copy_inputs(dst) -> str:
 def test_store_is_reused_and_follows_its_inputs(spark, tmp_path):
     sf = _copy_inputs(tmp_path)
     first = store.practice_tables(spark, sf)
-    root = store.store_location(spark, sf)
-    assert store._commit_stamp(spark, root) is not None
+    root = store.current_location(spark, sf)
+    assert root is not None and store._commit_stamp(spark, root) is not None
     assert store.practice_tables(spark, sf) is first  # opened once per session and commit
+    assert store.current_location(spark, sf) == root  # no second build
 
     # same rows as the views they were built from
     views = load_fixture_tables(spark, sf)
@@ -33,7 +34,7 @@ def test_store_is_reused_and_follows_its_inputs(spark, tmp_path):
 
     # a changed input file gives a new location (and a fresh build)
     os.utime(f"{sf}/lineitem.parquet", (1_000_000_000, 1_000_000_000))
-    assert store.store_location(spark, sf) != root
+    assert store.current_location(spark, sf) is None
     rebuilt = store.practice_tables(spark, sf)
     assert rebuilt is not first and rebuilt.rx.count() == views.rx.count()
 
@@ -41,11 +42,14 @@ def test_store_is_reused_and_follows_its_inputs(spark, tmp_path):
 def test_incomplete_store_is_rebuilt(spark, tmp_path):
     sf = _copy_inputs(tmp_path)
     store.practice_tables(spark, sf)
-    root = store.store_location(spark, sf)
-    os.remove(f"{root}/qof_achievement/_SUCCESS")  # as if a write had died half-way
+    root = store.current_location(spark, sf)
+    local = root[len("file:"):] if root.startswith("file:") else root
+    os.remove(f"{local}/qof_achievement/_SUCCESS")  # as if a write had died half-way
     assert store._commit_stamp(spark, root) is None
+    assert store.current_location(spark, sf) is None  # the incomplete copy is never read
     tables = store.practice_tables(spark, sf)
-    assert store._commit_stamp(spark, root) is not None
+    fresh = store.current_location(spark, sf)
+    assert fresh is not None and fresh != root
     assert tables.qof.count() > 0
 
 
