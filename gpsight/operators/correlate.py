@@ -1,6 +1,8 @@
 """Diabetes rate against a drug's share of prescribing, across practices.
 
 ``rate_pairs`` inner-joins two one-row-per-practice tables (the scatter plot's data);
+``rate_share_pairs`` computes the same pairs for a QOF rate and a prescription share in one
+co-grouped aggregation;
 ``pearson_test`` reduces a pair table to one row with a single global aggregation. The
 aggregation is partial per partition and merged once, so it is a fixed-size exchange no
 matter how many practices there are.
@@ -8,13 +10,14 @@ matter how many practices there are.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gpsight.functions.expr import ratio, starts_with
 from gpsight.functions.stats import DEFAULT_ALPHA, pearson_test_from_moments
-from gpsight.operators.drugs import drug_share, is_insulin, is_metformin
+from gpsight.operators.cogroup import side_counts, stacked
+from gpsight.operators.drugs import is_insulin, is_metformin
 from gpsight.operators.keys import join_on
-from gpsight.operators.rates import indicator_rate
 
 
 def rate_pairs(rate: DataFrame, share: DataFrame) -> DataFrame:
@@ -41,14 +44,33 @@ def pearson_test(pairs: DataFrame, x: str, y: str, alpha: float = DEFAULT_ALPHA,
                                      digits=digits)
 
 
+def rate_share_pairs(rx: DataFrame, qof: DataFrame, predicate: Column, name: str,
+                     prefix: str = "DM", rate_name: str = "rate_diabetes") -> DataFrame:
+    """(practiceid, <rate_name>, <name>): indicator rate next to a drug's share, one pass.
+
+    Equal to ``rate_pairs(indicator_rate(qof, prefix), drug_share(rx, predicate, name))``:
+    both tables are stacked and grouped once by practice (``cogroup``); a practice is kept
+    when it has QOF rows (the rate's full join) and matching prescriptions (the share's inner
+    join). One shuffle of partial aggregates, no join.
+    """
+    rows = stacked(rx, {"_qty": F.col("quantity"), "_hit": predicate},
+                   qof, {"_dm": F.when(starts_with("indicator", prefix), F.col("numerator")),
+                         "_size": F.col("field4")})
+    grouped = rows.groupBy("practiceid").agg(
+        F.sum("_dm").alias("_patients"), F.max("_size").alias("_pop"),
+        F.sum(F.when(F.col("_hit"), F.col("_qty"))).alias("_drug"), F.sum("_qty").alias("_total"),
+        F.count_if(F.col("_hit")).alias("_matches"), *side_counts())
+    return (grouped.filter((F.col("_qof_rows") > 0) & (F.col("_matches") > 0))
+            .select("practiceid", ratio("_patients", "_pop").alias(rate_name),
+                    ratio("_drug", "_total").alias(name)))
+
+
 def diabetes_insulin_pairs(rx: DataFrame, qof: DataFrame) -> DataFrame:
-    return rate_pairs(indicator_rate(qof, "DM", "rate_diabetes"),
-                      drug_share(rx, is_insulin(), "rate_insulin"))
+    return rate_share_pairs(rx, qof, is_insulin(), "rate_insulin")
 
 
 def diabetes_metformin_pairs(rx: DataFrame, qof: DataFrame) -> DataFrame:
-    return rate_pairs(indicator_rate(qof, "DM", "rate_diabetes"),
-                      drug_share(rx, is_metformin(), "rate_metformin"))
+    return rate_share_pairs(rx, qof, is_metformin(), "rate_metformin")
 
 
 def cor_diabetes_insulin(rx: DataFrame, qof: DataFrame, alpha: float = DEFAULT_ALPHA) -> DataFrame:

@@ -25,19 +25,16 @@ from pyspark.sql import functions as F
 from gpsight.functions.expr import (NATIONAL_CODE, floor_div, month_start, percent,
                                     postcode_area, ratio, round_half_even, starts_with,
                                     year_month)
+from gpsight.operators.cogroup import on_both_sides, side_counts, stacked
 from gpsight.operators.keys import join_on
 from gpsight.session import materialize as write_once
 
 
-def _rx_by_practice(rx: DataFrame) -> DataFrame:
-    monthly = (rx.select("practiceid", month_start(year_month("period")).alias("month"),
-                         "actcost", "nic")
-               .groupBy("practiceid", "month")
-               .agg(F.sum("actcost").alias("_cost"), F.sum("nic").alias("_nic")))
-    return (monthly.groupBy("practiceid")
-            .agg(F.count(F.lit(1)).alias("months"),
-                 F.sum("_cost").cast("double").alias("_total_cost"),
-                 F.sum("_nic").cast("double").alias("total_costs")))
+def _monthly(rx: DataFrame) -> DataFrame:
+    return (rx.select("practiceid", month_start(year_month("period")).alias("month"),
+                      "actcost", "nic")
+            .groupBy("practiceid", "month")
+            .agg(F.sum("actcost").alias("_cost"), F.sum("nic").alias("_nic")))
 
 
 def _qof_by_practice(qof: DataFrame, prefix: str) -> DataFrame:
@@ -51,10 +48,20 @@ def _qof_by_practice(qof: DataFrame, prefix: str) -> DataFrame:
 def practice_base(rx: DataFrame, qof: DataFrame, address: DataFrame, prefix: str = "DM",
                   width: int = 2) -> DataFrame:
     """One row per practice with both kinds of data: the per-practice part of the profile."""
-    rx_p = _rx_by_practice(rx)
-    qof_p = _qof_by_practice(qof, prefix)
+    # monthly prescription rows and QOF rows, grouped once by practice (= inner join of the
+    # per-practice prescription figures and the per-practice QOF figures)
+    rows = stacked(_monthly(rx), {"_cost": F.col("_cost"), "_nic": F.col("_nic")},
+                   qof, {"_size": F.col("field4"),
+                         "_dmn": F.when(starts_with("indicator", prefix), F.col("numerator"))})
+    per_practice = on_both_sides(rows.groupBy("practiceid").agg(
+        F.count_if(F.col("_source") == "rx").alias("months"),
+        F.sum("_cost").cast("double").alias("_total_cost"),
+        F.sum("_nic").cast("double").alias("total_costs"),
+        F.max("_size").alias("no_of_patients"),
+        F.coalesce(F.sum("_dmn"), F.lit(0)).alias("_dm"),
+        *side_counts()))
     rate = round_half_even(percent(ratio("_dm", "no_of_patients")), 1)
-    return (join_on(join_on(rx_p, qof_p), address.select("practiceid", "postcode"), "left")
+    return (join_on(per_practice, address.select("practiceid", "postcode"), "left")
             .select("practiceid", "no_of_patients", "months",
                     ratio("_total_cost", "months").alias("avg_monthly_spend"),
                     round_half_even(ratio(floor_div("_total_cost", "months"), "months"), 1)

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from gpsight.functions.expr import (floor_div, month_start, postcode_area, ratio,
                                     round_half_even, year_month)
+from gpsight.operators.cogroup import on_both_sides, side_counts, stacked
 from gpsight.operators.keys import join_on
 from gpsight.operators.rates import list_size_by_practice
 
@@ -82,13 +83,16 @@ def monthly_cost_per_patient(rx: DataFrame, qof: DataFrame) -> DataFrame:
 def spend_per_patient(rx: DataFrame, qof: DataFrame, address: DataFrame) -> DataFrame:
     """(practiceid, postcode, total_costs, total_pop, spend_per_patient).
 
-    Both sides are one row per practice before the joins; the address join drops ``WAL``.
-    Join strategy is left to AQE: the per-practice tables grow with the number of practices,
-    so no broadcast is forced.
+    Costs and list sizes come from one co-grouped aggregation of both tables (practices on
+    both sides only, as the inner join); the address join then drops ``WAL``. Its strategy
+    is left to AQE: the per-practice table grows with the number of practices, so no
+    broadcast is forced.
     """
-    costs = total_cost_by_practice(rx)
-    pop = list_size_by_practice(qof)
-    return (join_on(address.select("practiceid", "postcode"), join_on(costs, pop))
+    rows = stacked(rx, {"_nic": F.col("nic")}, qof, {"_size": F.col("field4")})
+    per_practice = on_both_sides(
+        rows.groupBy("practiceid").agg(F.sum("_nic").cast("double").alias("total_costs"),
+                                       F.max("_size").alias("total_pop"), *side_counts()))
+    return (join_on(address.select("practiceid", "postcode"), per_practice)
             .select("practiceid", "postcode", "total_costs", "total_pop",
                     ratio("total_costs", "total_pop").alias("spend_per_patient")))
 
