@@ -76,3 +76,29 @@ def test_drug_share_bounds(tables01):
     share = drugs.drug_share(tables01.rx, drugs.is_metformin(), "s")
     lo, hi = share.agg(F.min("s"), F.max("s")).collect()[0]
     assert 0.0 <= lo <= hi <= 1.0
+
+
+def test_profile_row_equals_single_practice_operators(tables01):
+    from pyspark.sql import functions as F
+
+    from gpsight.operators import profile, spend
+
+    pid = "W00004"
+    row = (profile.practice_profile(tables01.rx, tables01.qof, tables01.address)
+           .filter(F.col("practiceid") == pid).collect())
+    assert len(row) == 1
+    row = row[0]
+    one_qof = rates.practice_qof(tables01.qof, pid)
+    assert row.no_of_patients == rates.list_size(one_qof).collect()[0].total
+    assert row.rate_pct == rates.rate_percent(one_qof).collect()[0].rate_pct
+    national = rates.rate_percent(rates.practice_qof(tables01.qof, "WAL")).collect()[0].rate_pct
+    assert row.national_rate_pct == national
+    spendrow = (spend.avg_monthly_spend(spend.practice_prescriptions(tables01.rx, pid))
+                .collect()[0])
+    assert (row.months, row.avg_monthly_spend, row.avg_monthly_spend_compat) == (
+        spendrow.months, spendrow.avg_monthly_spend, spendrow.avg_monthly_spend_compat)
+    spp = spend.spend_per_patient(tables01.rx, tables01.qof, tables01.address)
+    peers = spend.area_peers(spp, pid).collect()
+    mine = [p for p in peers if p.is_chosen][0]
+    assert row.spend_per_patient == mine.spend_per_patient
+    assert row.area_practices == len(peers)
