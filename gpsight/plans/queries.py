@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from gpsight.functions.expr import NATIONAL_CODE
 from gpsight.operators import correlate, drugs, profile, rates, register, spend, validate
-from gpsight.sources import catalog, sql
+from gpsight.sources import sql
 from gpsight.sources.store import practice_tables
 from gpsight.sources.tables import PracticeTables
 
@@ -85,20 +85,9 @@ def qof_renamed(t: PracticeTables) -> DataFrame:
     return rates.qof_renamed(t.qof)
 
 
-def list_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tables visible after the practice views are registered."""
-    practice_tables(spark, sf_dir).register_views()
-    return catalog.list_tables(spark)
-
-
-def describe_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Structure of the prescription table."""
-    practice_tables(spark, sf_dir).register_views()
-    return catalog.describe_table(spark, "gp_data")
-
-
-_REGISTRY["list_tables"] = list_tables
-_REGISTRY["describe_table"] = describe_table
+# S8/S9 (list_tables, describe_table) are catalog reads: they touch no rows, so their work
+# does not grow with the tables. They live in gpsight.sources.catalog (tested there) and are
+# not registered as queries.
 
 
 # --- validation and availability -----------------------------------------------------------
