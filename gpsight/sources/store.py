@@ -15,6 +15,7 @@ any other shared store the cluster names in ``spark.checkpoint.dir``.
 from __future__ import annotations
 
 import hashlib
+import inspect
 import uuid
 
 from pyspark.sql import SparkSession
@@ -56,9 +57,19 @@ def _input_summaries(spark: SparkSession, sf_dir: str):
                    status.getModificationTime())
 
 
+def _builder_source() -> bytes:
+    """The code that builds and lays out the stored tables: a change to it is a new copy."""
+    from gpsight.operators import register
+    from gpsight.sources import fixtures, tables
+
+    return b"".join(inspect.getsource(m).encode() for m in (fixtures, tables, register))
+
+
 def fingerprint(spark: SparkSession, sf_dir: str) -> str:
-    """Hash of the input tables' paths, sizes, file counts and modification times."""
+    """Hash of the input tables (paths, sizes, file counts, modification times) and of the
+    code that builds the stored copy from them."""
     digest = hashlib.sha1(f"v{STORE_LAYOUT_VERSION}|{sf_dir.rstrip('/')}".encode())
+    digest.update(_BUILDER_DIGEST)
     for path, size, files, mtime in _input_summaries(spark, sf_dir):
         digest.update(f"{path}|{size}|{files}|{mtime}".encode())
     return digest.hexdigest()[:16]
@@ -124,3 +135,7 @@ def practice_tables(spark: SparkSession, sf_dir: str) -> PracticeTables:
     if tables is None:
         tables = _OPENED[key] = read_parquet_tables(spark, root)
     return tables
+
+
+# Computed once per process; read by fingerprint().
+_BUILDER_DIGEST = hashlib.sha1(_builder_source()).digest()
