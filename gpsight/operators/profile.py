@@ -3,12 +3,13 @@
 The analysed code builds one practice's profile with eleven separate database round trips
 and four full reads of the QOF table. Here it is one plan:
 
-* prescriptions are aggregated once, per (practice, month) and then per practice, giving
-  the month count, the actual-cost total and the net-ingredient-cost total together;
-* QOF is aggregated once per organisation (list size and diabetes numerators); the national
-  rate comes out of the same aggregate as a scalar subquery (one value, run once);
-* the two per-practice tables are inner-joined (= practices with both kinds of data) and
-  the address joined on. This per-practice table feeds two consumers (the postcode-area
+* prescriptions are aggregated per (practice, month); those monthly rows and the QOF rows
+  are stacked and grouped once by practice (``cogroup``), giving the month count, the
+  actual-cost and net-ingredient-cost totals, the list size and the diabetes numerators
+  together — practices with both kinds of data only, as the inner join of the original;
+* the national rate is a scalar subquery over the QOF table (one value, run once; the
+  ``orgcode = 'WAL'`` filter reaches the scan);
+* the address is joined on. This per-practice table feeds two consumers (the postcode-area
   means and the rows they are joined back to) that need different columns, so Spark would
   aggregate the prescriptions twice; it is therefore written once to the shared checkpoint
   folder (one row per practice) and read back by both — each fact table is scanned once.
