@@ -104,3 +104,19 @@ def test_profile_reads_each_fact_table_once(tables01):
     assert folders == ["address", "gp_data_up_to_2015", "qof_achievement"]
     final_plan = _formatted(profile.practice_profile(tables01.rx, tables01.qof, tables01.address))
     assert "gp_data_up_to_2015" not in final_plan  # the final job reads the per-practice table
+
+
+def test_headline_queries_keep_their_shuffle_counts(spark):
+    """Regression guard on the executed (adaptive) plans at sf0.01."""
+    from conftest import SF01
+    from gpsight.plans.queries import registry
+
+    expected = {"diabetes_rate_by_practice": 1, "insulin_rate": 1, "diabetes_insulin_pairs": 1,
+                "spend_per_patient": 1, "disease_register": 1, "avg_monthly_spend": 2,
+                "cor_diabetes_insulin": 2}
+    for name, most in expected.items():
+        df = registry()[name](spark, SF01)
+        df.collect()
+        final = re.split(r"\n\+- == Initial Plan ==", _plan(df))[0]
+        shuffles = len(re.findall(r"Exchange (hashpartitioning|rangepartitioning|SinglePartition)", final))
+        assert shuffles <= most, (name, shuffles)
