@@ -45,3 +45,33 @@ def side_counts() -> list[Column]:
 def on_both_sides(grouped: DataFrame) -> DataFrame:
     """Keep practices with rows on both sides (the inner join of the two aggregates)."""
     return grouped.filter((F.col("_rx_rows") > 0) & (F.col("_qof_rows") > 0))
+
+
+# A null-safe practice key as two plain columns: (is the id missing, the id or ''). Grouping on
+# them equals grouping on the id (NULL forms one group), and a plain equi-join on them equals
+# the null-safe join ``<=>`` — but, unlike ``<=>`` on the id, it can reuse the partitioning
+# the grouping produced, so the per-practice side is not shuffled again.
+KEY_COLUMNS = ("_key_missing", "_key")
+
+
+def key_columns(column: str = "practiceid") -> list[Column]:
+    c = F.col(column)
+    return [c.isNull().alias(KEY_COLUMNS[0]), F.coalesce(c, F.lit("")).alias(KEY_COLUMNS[1])]
+
+
+def practice_from_key() -> Column:
+    return F.when(~F.col(KEY_COLUMNS[0]), F.col(KEY_COLUMNS[1])).alias("practiceid")
+
+
+def group_by_practice_key(rows: DataFrame):
+    """``rows.groupBy`` on the two-column null-safe practice key."""
+    return rows.groupBy(*key_columns())
+
+
+def join_address(per_practice: DataFrame, address: DataFrame, how: str = "inner") -> DataFrame:
+    """Attach ``postcode`` to a table grouped by the two-column key; restores ``practiceid``."""
+    addr = address.select(*key_columns(), "postcode")
+    joined = per_practice.join(addr, list(KEY_COLUMNS), how)
+    rest = [c for c in joined.columns if c not in KEY_COLUMNS]
+    return joined.select(practice_from_key(), *rest)
+

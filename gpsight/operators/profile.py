@@ -26,8 +26,8 @@ from pyspark.sql import functions as F
 from gpsight.functions.expr import (NATIONAL_CODE, floor_div, month_start, percent,
                                     postcode_area, ratio, round_half_even, starts_with,
                                     year_month)
-from gpsight.operators.cogroup import on_both_sides, side_counts, stacked
-from gpsight.operators.keys import join_on
+from gpsight.operators.cogroup import (group_by_practice_key, join_address, on_both_sides,
+                                       side_counts, stacked)
 from gpsight.session import materialize as write_once
 
 
@@ -54,7 +54,7 @@ def practice_base(rx: DataFrame, qof: DataFrame, address: DataFrame, prefix: str
     rows = stacked(_monthly(rx), {"_cost": F.col("_cost"), "_nic": F.col("_nic")},
                    qof, {"_size": F.col("field4"),
                          "_dmn": F.when(starts_with("indicator", prefix), F.col("numerator"))})
-    per_practice = on_both_sides(rows.groupBy("practiceid").agg(
+    per_practice = on_both_sides(group_by_practice_key(rows).agg(
         F.count_if(F.col("_source") == "rx").alias("months"),
         F.sum("_cost").cast("double").alias("_total_cost"),
         F.sum("_nic").cast("double").alias("total_costs"),
@@ -62,7 +62,7 @@ def practice_base(rx: DataFrame, qof: DataFrame, address: DataFrame, prefix: str
         F.coalesce(F.sum("_dmn"), F.lit(0)).alias("_dm"),
         *side_counts()))
     rate = round_half_even(percent(ratio("_dm", "no_of_patients")), 1)
-    return (join_on(per_practice, address.select("practiceid", "postcode"), "left")
+    return (join_address(per_practice, address, "left")
             .select("practiceid", "no_of_patients", "months",
                     ratio("_total_cost", "months").alias("avg_monthly_spend"),
                     round_half_even(ratio(floor_div("_total_cost", "months"), "months"), 1)

@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from gpsight.functions.expr import (floor_div, month_start, postcode_area, ratio,
                                     round_half_even, year_month)
-from gpsight.operators.cogroup import on_both_sides, side_counts, stacked
+from gpsight.operators.cogroup import (group_by_practice_key, join_address, on_both_sides,
+                                       side_counts, stacked)
 from gpsight.operators.keys import join_on
 from gpsight.operators.rates import list_size_by_practice
 
@@ -90,9 +91,9 @@ def spend_per_patient(rx: DataFrame, qof: DataFrame, address: DataFrame) -> Data
     """
     rows = stacked(rx, {"_nic": F.col("nic")}, qof, {"_size": F.col("field4")})
     per_practice = on_both_sides(
-        rows.groupBy("practiceid").agg(F.sum("_nic").cast("double").alias("total_costs"),
-                                       F.max("_size").alias("total_pop"), *side_counts()))
-    return (join_on(address.select("practiceid", "postcode"), per_practice)
+        group_by_practice_key(rows).agg(F.sum("_nic").cast("double").alias("total_costs"),
+                                        F.max("_size").alias("total_pop"), *side_counts()))
+    return (join_address(per_practice, address)
             .select("practiceid", "postcode", "total_costs", "total_pop",
                     ratio("total_costs", "total_pop").alias("spend_per_patient")))
 
