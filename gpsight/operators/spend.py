@@ -11,10 +11,9 @@ from pyspark.sql import functions as F
 
 from gpsight.functions.expr import (floor_div, month_start, postcode_area, ratio,
                                     round_half_even, year_month)
-from gpsight.operators.cogroup import (group_by_practice_key, join_address, on_both_sides,
+from gpsight.operators.cogroup import (KEY_COLUMNS, group_by_practice_key, join_address,
+                                       key_columns, on_both_sides, practice_from_key,
                                        side_counts, stacked)
-from gpsight.operators.keys import join_on
-from gpsight.operators.rates import list_size_by_practice
 
 
 def practice_prescriptions(rx: DataFrame, practiceid: str) -> DataFrame:
@@ -74,10 +73,14 @@ def avg_monthly_spend(rx: DataFrame) -> DataFrame:
 def monthly_cost_per_patient(rx: DataFrame, qof: DataFrame) -> DataFrame:
     """(practiceid, month, total_cost_meds, avg_cost): monthly cost and monthly cost %/% list
     size, for every practice."""
-    monthly = monthly_cost(rx)
-    pop = list_size_by_practice(qof)
-    return (join_on(monthly, pop)
-            .select("practiceid", "month", "total_cost_meds",
+    # Both sides grouped on the two-column null-safe key, so the join matches a missing id
+    # with a missing id (as dplyr does) and reuses the list-size side's partitioning.
+    monthly = (rx.select(*key_columns(), month_start(year_month("period")).alias("month"), "actcost")
+               .groupBy(*KEY_COLUMNS, "month")
+               .agg(F.sum("actcost").cast("double").alias("total_cost_meds")))
+    pop = qof.groupBy(*key_columns("orgcode")).agg(F.max("field4").alias("total_pop"))
+    return (monthly.join(pop, list(KEY_COLUMNS))
+            .select(practice_from_key(), "month", "total_cost_meds",
                     floor_div("total_cost_meds", "total_pop").alias("avg_cost")))
 
 
