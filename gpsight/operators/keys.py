@@ -4,6 +4,10 @@ dplyr's joins match a missing key with a missing key (and ``group_by`` keeps a m
 as its own group, as SQL ``GROUP BY`` does). Spark's ``join(on="practiceid")`` drops NULL
 keys, so the joins here compare keys with ``<=>``; Spark still plans them as hash or
 sort-merge joins, on (coalesce(key, ''), isnull(key)).
+
+Used by the written forms kept for equivalence (full-join rate, two-scan share) and by the
+generic ``rate_pairs``. The hot paths avoid the join altogether (``cogroup``) or group on the
+same two-column key beforehand (``cogroup.key_columns``) so that their partitioning is reused.
 """
 
 from __future__ import annotations
