@@ -20,3 +20,12 @@ def test_cli_writes_every_report(spark, tmp_path):
     assert pq.read_table(out / "rate_vs_national").num_rows == 2
     assert pq.read_table(out / "disease_register").num_rows == 19
     assert pq.read_table(out / "cor_diabetes_metformin").column("n").to_pylist() == [100]
+
+
+def test_cli_prints_reports(spark, capsys):
+    from conftest import SF001
+    main(["--testdata", SF001, "--practice", "W00004"], spark=spark)
+    out = capsys.readouterr().out
+    for name in ("checks", "profile", "area_peers", "rate_vs_national", "disease_register"):
+        assert f"== {name}" in out
+    assert "W00004" in out
