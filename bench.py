@@ -4,7 +4,7 @@ Environment:
   BENCH_SF_DIR   test-table folder (default /root/testdata/sf0.1)
   BENCH_CPUS     local[N] threads (default: all cores)
   BENCH_RUNS     timed runs per query after one warm-up run (default 5)
-  BENCH_QUERIES  comma-separated query names (default: the headline set)
+  BENCH_QUERIES  comma-separated query names, or "all" (default: the headline set)
 
 First the practice tables are built from the test tables and stored (``ingest_sec``; the
 analogue of loading the database the analysed scripts query; run twice, the first run
@@ -48,6 +48,8 @@ def main() -> None:
 
     spark = build_session(f"local[{cpus}]", shuffle_partitions=int(os.environ.get("BENCH_SHUFFLE_PARTITIONS", cpus * 2)))
     reg = registry()
+    if names == ["all"]:
+        names = list(reg)
 
     # Ingest twice: the first run also pays JVM warm-up, the second is the steady cost.
     ingest_runs = []
