@@ -1,12 +1,12 @@
 """Byte-level BPE encoding and decoding with a lazily determinised merge transducer.
 
-The merges are compiled into a transducer over bytes. While it reads a piece it keeps every
-position from which a token may still be running, together with the tokens that lead up to
-that position; of the tokens that end at a position only the one that the merges would leave
-next to its left neighbour survives, so each prefix has one encoding. Tokens on which all
-running positions agree are emitted: the lookahead is bounded by the longest token. The set of
-running positions, with emitted tokens cut off, is the state; states and their transitions are
-made when first met and then reused.
+The merges are compiled into a transducer over bytes. Every prefix of a piece has one
+encoding, so a position is described by the last token of the encoding of what lies before
+it: of the tokens that end there, the one that the merges leave next to its own left
+neighbour. A state is the longest part of a token that is being read and the last tokens of the
+positions inside it. States and their transitions are made when first met and then reused.
+Tokens are emitted once every position from which one may still be running agrees on them:
+the lookahead is bounded by the longest token.
 
 Edge cases: null and empty texts have no ids and decode to no bytes; a piece that is itself a
 vocabulary entry is that one id; text of any length is read piece by piece.
@@ -16,7 +16,8 @@ from __future__ import annotations
 
 import base64
 import codecs
-from collections.abc import Iterable, Iterator
+import re
+from collections.abc import Iterator
 
 import numpy as np
 import public_tokenizers
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 from gpsight.llm.common import map_rows, once
 
 # Bounds of what a task remembers; when one is reached the memory starts anew.
-MAX_STATES, MAX_PIECES = 100_000, 300_000
+MAX_STATES, MAX_PIECES, MAX_NEIGHBOURS = 200_000, 300_000, 1_000_000
 NEVER = 1 << 62  # a rank beyond all others
 
 
@@ -43,27 +44,47 @@ class MergeTransducer:
         self.ranks = ranks
         self.words = {rank: word for word, rank in ranks.items()}
         self.child: dict[int, int] = {}  # (node << 8 | byte) -> node
-        self.token = [-1]
-        self.inner = bytearray(1)  # whether a node has children
+        token, parent, depth = [-1], [(0, 0)], [0]
         for word, rank in ranks.items():
             node = 0
             for byte in word:
                 nxt = self.child.get(node << 8 | byte)
                 if nxt is None:
-                    nxt = self.child[node << 8 | byte] = len(self.token)
-                    self.token.append(-1)
-                    self.inner.append(0)
-                    self.inner[node] = 1
+                    nxt = self.child[node << 8 | byte] = len(token)
+                    token.append(-1)
+                    parent.append((node, byte))
+                    depth.append(depth[node] + 1)
                 node = nxt
-            self.token[node] = rank
+            token[node] = rank
+        # the longest proper suffix of each node that is a node too, and the tokens that end there
+        self.depth, self.suffix = depth, [0] * len(token)
+        self.ending: list[tuple[tuple[int, int], ...]] = [()] * len(token)
+        for node in sorted(range(1, len(token)), key=depth.__getitem__):
+            above, byte = parent[node]
+            shorter = self.move(self.suffix[above], byte) if above else 0
+            self.suffix[node] = shorter
+            own = ((token[node], depth[node]),) if token[node] >= 0 else ()
+            self.ending[node] = own + self.ending[shorter] if own else self.ending[shorter]
+        self.longest = max(depth, default=1)
         self.neighbours: dict[tuple[int, int], bool] = {}
         self.edges: dict[tuple[int, int], list[tuple[int, bytes]]] = {}
         self.forget()
 
+    def move(self, node: int, byte: int) -> int:
+        """The longest suffix of what is read, with the next byte, that starts some token."""
+        child = self.child
+        while True:
+            found = child.get(node << 8 | byte)
+            if found is not None:
+                return found
+            if not node:
+                return 0
+            node = self.suffix[node]
+
     def forget(self) -> None:
-        start = (-1, ((0, ()),))
+        start = (0, (-1,))
         self.states, self.number = [start], {start: 0}
-        self.arcs: dict[int, tuple[int, tuple[int, ...]]] = {}
+        self.arcs: dict[int, int] = {}
 
     def parts(self, word: bytes) -> tuple[bytes, bytes] | None:
         """The two tokens whose merge makes a token; None for a token that no merge makes."""
@@ -114,33 +135,20 @@ class MergeTransducer:
         self.neighbours[left, right] = apart
         return apart
 
-    def step(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
-        last, running = self.states[state]
-        kept, ended = [], None
-        for node, pending in running:
-            node = self.child.get(node << 8 | byte, -1)
-            if node < 0:
-                continue
-            if self.inner[node]:
-                kept.append((node, pending))
-            token = self.token[node]
-            if ended is None and token >= 0:
-                before = pending[-1] if pending else last
-                if before < 0 or self.stay_apart(before, token):
-                    ended = (*pending, token)
-        kept.append((0, ended))
-        agreed = 0
-        shortest = min(len(p) for _, p in kept)
-        while agreed < shortest and all(p[agreed] == ended[agreed] for _, p in kept):
-            agreed += 1
-        out = ended[:agreed]
-        after = (out[-1] if out else last, tuple((n, p[agreed:]) for n, p in kept))
-        number = self.number.get(after)
+    def step(self, state: int, byte: int) -> int:
+        node, lasts = self.states[state]
+        after = self.move(node, byte)
+        for token, length in self.ending[after]:
+            before = lasts[-length]
+            if before < 0 or self.stay_apart(before, token):
+                break
+        made = (after, (*lasts, token)[-self.depth[after] - 1:])
+        number = self.number.get(made)
         if number is None:
-            number = self.number[after] = len(self.states)
-            self.states.append(after)
-        arc = self.arcs[state << 8 | byte] = (number, out)
-        return arc
+            number = self.number[made] = len(self.states)
+            self.states.append(made)
+        self.arcs[state << 8 | byte] = number
+        return number
 
     def encode(self, piece: bytes) -> list[int]:
         whole = self.ranks.get(piece)
@@ -148,30 +156,57 @@ class MergeTransducer:
             return [whole]
         if len(self.states) > MAX_STATES:
             self.forget()
-        if len(self.neighbours) > MAX_PIECES:
+        if len(self.neighbours) > MAX_NEIGHBOURS:
             self.neighbours.clear()
-        state, out, arcs = 0, [], self.arcs
+        state, lasts, out, arcs, limit = 0, [], [], self.arcs, 8 * self.longest
         for byte in piece:
-            arc = arcs.get(state << 8 | byte) or self.step(state, byte)
-            state = arc[0]
-            if arc[1]:
-                out.extend(arc[1])
-        out.extend(self.states[state][1][-1][1])
-        return out
+            nxt = arcs.get(state << 8 | byte)
+            state = self.step(state, byte) if nxt is None else nxt
+            lasts.append(self.states[state][1][-1])
+            if len(lasts) >= limit:
+                self.emit(lasts, self.depth[self.states[state][0]], out)
+        return out + self.backwards(lasts, len(lasts))
+
+    def backwards(self, lasts: list[int], end: int) -> list[int]:
+        """The tokens up to a position, from the last token of each position."""
+        found = []
+        while end > 0:
+            found.append(lasts[end - 1])
+            end -= len(self.words[lasts[end - 1]])
+        return found[::-1]
+
+    def emit(self, lasts: list[int], running: int, out: list[int]) -> None:
+        """Moves the tokens on which all running positions agree from ``lasts`` to ``out``."""
+        end = len(lasts)
+        paths = [self.backwards(lasts, at) for at in range(end - running, end + 1)]
+        agreed = 0
+        while all(agreed < len(p) and p[agreed] == paths[0][agreed] for p in paths):
+            agreed += 1
+        out += paths[0][:agreed]
+        del lasts[:sum(len(self.words[t]) for t in paths[0][:agreed])]
+
+
+# White space that is more than one character between two words.
+_WIDE_SPACE = re.compile(r"\s\s|\A\s|\s\Z").search
 
 
 class Encoder:
-    """Whole texts: the pattern splits a text, the transducer encodes each match."""
+    """Whole texts: the pattern splits a text, the transducer encodes each match.
+
+    Where single white space separates words, no match of the pattern goes past the character
+    before a space, so words with their leading space are split and remembered one by one.
+    """
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.transducer = MergeTransducer(ranks)
         self.split = regex.compile(pattern).findall
+        self.by_space = pattern == public_tokenizers.PATTERN
         self.pieces: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}
 
-    def ids(self, text: str | None) -> bytes:
-        """Ids as little-endian unsigned 32-bit integers."""
+    def by_pattern(self, text: str) -> bytes:
         found, pieces = [], self.pieces
-        for piece in self.split(text or ""):
+        for piece in self.split(text):
             packed = pieces.get(piece)
             if packed is None:
                 if len(pieces) >= MAX_PIECES:
@@ -181,20 +216,32 @@ class Encoder:
             found.append(packed)
         return b"".join(found)
 
+    def ids(self, text: str | None) -> bytes:
+        """Ids as little-endian unsigned 32-bit integers."""
+        text = text or ""
+        if not self.by_space or _WIDE_SPACE(text):
+            return self.by_pattern(text)
+        first, *rest = text.split(" ")
+        found, words = [self.by_pattern(first)], self.words
+        for word in rest:
+            packed = words.get(word)
+            if packed is None:
+                if len(words) >= MAX_PIECES:
+                    words.clear()
+                packed = words[word] = self.by_pattern(" " + word)
+            found.append(packed)
+        return b"".join(found)
+
 
-def decode_stream(ids: Iterable[int], words: dict[int, bytes], block: int = 4096) -> Iterator[str]:
-    """Text of a stream of ids, block by block; a character cut by a block's end waits for the next.
+def decode_stream(ids: list[int], words: dict[int, bytes], block: int = 4096) -> Iterator[str]:
+    """Text of ids, block by block; a character cut by a block's end waits for the next.
 
     Bytes that aren't UTF-8 come out as U+FFFD.
     """
     machine = codecs.getincrementaldecoder("utf-8")("replace")
-    waiting: list[bytes] = []
-    for number in ids:
-        waiting.append(words[number])
-        if len(waiting) == block:
-            yield machine.decode(b"".join(waiting))
-            waiting.clear()
-    yield machine.decode(b"".join(waiting), final=True)
+    for at in range(0, len(ids), block):
+        yield machine.decode(b"".join(map(words.__getitem__, ids[at:at + block])))
+    yield machine.decode(b"", final=True)
 
 
 def encode_decode(docs: DataFrame, ranks_path: str | None = None, pattern: str | None = None) -> DataFrame:

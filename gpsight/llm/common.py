@@ -58,6 +58,15 @@ def once(key, make: Callable):
     return kept[key]
 
 
+def carried(docs: DataFrame, carry: bool) -> list[Column]:
+    """The other columns of ``docs`` as one column ``row``, if they are to be carried along."""
+    return [F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")] if carry else []
+
+
+def row_schema(docs: DataFrame, carry: bool) -> str:
+    return f", row {docs.schema.simpleString()}" if carry else ""
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -79,5 +88,5 @@ def bounded_sample(labelled: DataFrame, key: str, label: str, per_label: int) ->
     return labelled.drop("_slot")
 
 
-__all__ = ["SLICE_ROWS", "bounded_sample", "fold", "map_rows", "materialize", "once", "shuffle_partitions",
+__all__ = ["SLICE_ROWS", "bounded_sample", "carried", "fold", "map_rows", "materialize", "once", "row_schema", "shuffle_partitions",
            "slices", "table"]

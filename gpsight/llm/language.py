@@ -18,6 +18,7 @@ from __future__ import annotations
 import unicodedata
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -184,8 +185,6 @@ def label_texts(texts: list[str | None], model: Model, letters: np.ndarray, pena
 
 def identify(docs: DataFrame, model: Model | None, penalty: float = SWITCH_PENALTY) -> DataFrame:
     """doc_id, lang_pred, score and spans of every text."""
-    import pyarrow as pa
-
     schema = "doc_id long, lang_pred string, score double, spans array<struct<lang:string,start:long,end:long>>"
     span = pa.struct([("lang", pa.string()), ("start", pa.int64()), ("end", pa.int64())])
     arrow = pa.schema([("doc_id", pa.int64()), ("lang_pred", pa.string()), ("score", pa.float64()), ("spans", pa.list_(span))])
@@ -212,6 +211,19 @@ def identify(docs: DataFrame, model: Model | None, penalty: float = SWITCH_PENAL
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 
 
+def keep_identified(docs: DataFrame, model: Model | None, penalty: float = SWITCH_PENALTY) -> DataFrame:
+    """The rows of ``docs``, with all their columns, whose text has a language."""
+    def run(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                texts = part.column("text").to_pylist()
+                found = label_texts(texts, model, once("letters", letter_table), penalty) if model else [("und",)] * len(texts)
+                yield part.filter(pa.array([f[0] != "und" for f in found]))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def learn(docs: DataFrame, folds: int = 4, held_out: int = 2, per_language: int = PER_LANGUAGE) -> Model | None:
     """Fits on text and non-null lang outside the held-out fold; ids are sampled before texts are read."""
     known = (docs.filter(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & (fold("doc_id", folds) != held_out))

@@ -18,7 +18,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gpsight.llm.common import map_rows
+from gpsight.llm.common import carried, map_rows, row_schema
 
 # The three patterns of the contract, in the order of their kinds.
 KINDS = ("assign", "access", "hex", "novel")
@@ -96,8 +96,11 @@ def joined(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[kind]}:{start}:{end}" for start, kind, end in spans)
 
 
-def scan_secrets(docs: DataFrame, primer: bytes = PRIMER) -> DataFrame:
-    """doc_id, spans (array of kind, start, end by start), base (string), spans_text, masked (string)."""
+def scan_secrets(docs: DataFrame, primer: bytes = PRIMER, carry: bool = False) -> DataFrame:
+    """doc_id, spans (array of kind, start, end by start), base (string), spans_text, masked (string).
+
+    With ``carry`` also row, the whole input row as a struct.
+    """
     def make():
         novelty = Novelty(primer)
 
@@ -110,12 +113,12 @@ def scan_secrets(docs: DataFrame, primer: bytes = PRIMER) -> DataFrame:
                 out["base"].append(joined(base))
                 out["spans_text"].append(joined(every))
                 out["masked"].append(mask(text, every))
-            return out
+            return out | ({"row": part["row"]} if carry else {})
         return step
 
     schema = ("doc_id long, spans array<struct<kind:string,start:long,end:long>>, base string, "
-              "spans_text string, masked string")
-    return map_rows(docs.select("doc_id", "text"), None, schema, make=make)
+              "spans_text string, masked string" + row_schema(docs, carry))
+    return map_rows(docs.select("doc_id", "text", *carried(docs, carry)), None, schema, make=make)
 
 
 def mask(text: str | None, spans: list[tuple[int, int, int]]) -> str | None:
