@@ -118,6 +118,8 @@ def block_of(kept: dict[int, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 def shared_shingles(docs: DataFrame, bins: int) -> DataFrame:
     """owner and s: at least the number of its shingles that occur in another class.
 
+    Shingles are told apart by their bin and 32 bits of their hash; a rare mix-up only adds to s.
+
     A shingle that several classes of a block have is counted for them there, and goes on as one
     entry, so a very common shingle is one entry of each block.
     """
@@ -142,7 +144,7 @@ def shared_shingles(docs: DataFrame, bins: int) -> DataFrame:
                 who = np.append(known, 0)[used]
                 many = used == len(known)  # marks the shingles counted already
                 rows["bin"].append(place)
-                rows["tokens"].append(tokens[a:b].view(np.uint8).reshape(-1, 8)[:, 2:7].tobytes())
+                rows["tokens"].append((tokens[a:b] >> np.uint64(24)).astype("<u4").tobytes())
                 rows["index"].append((short + 1 if not many.any() else np.where(short == len(used) - 1, 0, short + 1))
                                      .astype("<u2" if len(used) < 65535 else "<u4").tobytes())
                 rows["owners"].append(who[~many].tobytes())
@@ -162,11 +164,8 @@ def shared_shingles(docs: DataFrame, bins: int) -> DataFrame:
             if len(counts):
                 out.append(pd.DataFrame({"owner": who, "here": np.frombuffer(counts, "<i8"), "elsewhere": 0}))
                 continue
-            raw = np.frombuffer(tokens, np.uint8).reshape(-1, 5)
-            full = np.zeros((len(raw), 8), np.uint8)
-            full[:, :5] = raw
-            token_parts.append(full.view("<u8")[:, 0])
-            short = np.frombuffer(index, "<u2" if len(index) == 2 * len(raw) else "<u4")
+            token_parts.append(np.frombuffer(tokens, "<u4"))
+            short = np.frombuffer(index, "<u2" if 2 * len(index) == len(tokens) else "<u4")
             owner_parts.append((np.insert(who, 0, 0)[short], short == 0))
         if token_parts:
             tokens = np.concatenate(token_parts)
@@ -174,7 +173,7 @@ def shared_shingles(docs: DataFrame, bins: int) -> DataFrame:
             marked = np.concatenate([m for _, m in owner_parts])
             order = np.argsort(tokens, kind="stable")
             tokens, owners, marked = tokens[order], owners[order], marked[order]
-            first = np.flatnonzero(np.diff(tokens, prepend=tokens[:1] + np.uint64(1)))
+            first = np.flatnonzero(np.diff(tokens, prepend=tokens[:1] + np.uint32(1)))
             size = np.diff(np.append(first, len(tokens)))
             several = np.logical_or.reduceat(marked, first) | (np.minimum.reduceat(owners, first) != np.maximum.reduceat(owners, first))
             who, times = np.unique(owners[np.repeat(several, size) & ~marked], return_counts=True)
@@ -205,8 +204,13 @@ def live_sets(docs: DataFrame, classes: DataFrame, bins: int) -> DataFrame:
 
 
 def profiles(sets: DataFrame, bins: int) -> DataFrame:
-    """owner, shared (its shingles that other classes have), long (those in long lists, with the
-    lists' lengths) and leaders (the classes that lead its lists, most frequent first)."""
+    """owner, shared (its shingles that other classes have), tokens (those of them in long lists),
+    lengths (of these lists) and leaders (the classes that lead most of its lists).
+
+    The index answers in packed blocks, one for each bin and bucket of owners.
+    """
+    names = ["bucket", "owners", "shared", "of_long", "tokens", "lengths", "members", "led", "times"]
+    buckets = bins
     def pack(batches):
         schema = pa.schema([("bin", pa.int32()), ("tokens", pa.binary()), ("owners", pa.binary())])
         decoded = lambda part: ((o, np.frombuffer(t, np.uint64)) for o, t in zip(part["owner"], part["tokens"]))
@@ -226,7 +230,7 @@ def profiles(sets: DataFrame, bins: int) -> DataFrame:
         length = np.repeat(np.diff(np.append(first, len(tokens))), np.diff(np.append(first, len(tokens))))
         shared = length > 1
         if not shared.any():
-            return pd.DataFrame({"owner": [], "shared": [], "tokens": [], "lengths": [], "leaders": []})
+            return pd.DataFrame({n: [] for n in names})
         tokens, owners, length = tokens[shared], owners[shared], length[shared]
         # the leader of a list: the class whose lists here are the longest, then the smallest
         who, number = np.unique(owners, return_inverse=True)
@@ -240,33 +244,53 @@ def profiles(sets: DataFrame, bins: int) -> DataFrame:
         pairs, times = np.unique(number * np.int64(len(who)) + leader, return_counts=True)
         member, led = pairs // len(who), who[pairs % len(who)]
         is_long = length > LONG_LIST
-        order = np.argsort(number, kind="stable")
-        tokens, length, is_long = tokens[order], length[order], is_long[order]
-        cuts = np.searchsorted(number[order], np.arange(len(who) + 1))
-        pair_cuts = np.searchsorted(member, np.arange(len(who) + 1))
+        of_long, tokens, length = number[is_long], tokens[is_long], length[is_long]
+        by_owner = np.argsort(of_long, kind="stable")
+        of_long, tokens, length = of_long[by_owner], tokens[by_owner], length[by_owner]
+        each = np.bincount(number, minlength=len(who))
+        bucket = bucket_of(who, buckets)
         out = []
-        for i, owner in enumerate(who.tolist()):
-            a, b, c, d = cuts[i], cuts[i + 1], pair_cuts[i], pair_cuts[i + 1]
-            top = np.argsort(-times[c:d], kind="stable")[:LEADERS] + c
-            keep = is_long[a:b]
-            out.append((owner, int(b - a), tokens[a:b][keep].tobytes(), length[a:b][keep].astype("<i8").tobytes(),
-                        [{"leader": int(led[t]), "times": int(times[t])} for t in top if led[t] != owner]))
-        return pd.DataFrame(out, columns=["owner", "shared", "tokens", "lengths", "leaders"])
+        for place in np.unique(bucket).tolist():
+            own, some, led_here = bucket == place, bucket[of_long] == place, bucket[member] == place
+            out.append((place, who[own].tobytes(), each[own].tobytes(), who[of_long[some]].tobytes(), tokens[some].tobytes(),
+                        length[some].astype("<i8").tobytes(), who[member[led_here]].tobytes(), led[led_here].tobytes(),
+                        times[led_here].tobytes()))
+        return pd.DataFrame(out, columns=names)
+
+    def assemble(frame: pd.DataFrame) -> pd.DataFrame:
+        owners, shared, of_long, tokens, lengths, members, led, times = (
+            np.frombuffer(b"".join(frame[c]), np.uint64 if c == "tokens" else np.int64) for c in names[1:])
+        who, number = np.unique(owners, return_inverse=True)
+        total = np.zeros(len(who), np.int64)
+        np.add.at(total, number, shared)
+        order = np.argsort(of_long, kind="stable")
+        of_long, tokens, lengths = of_long[order], tokens[order], lengths[order]
+        cuts = np.searchsorted(of_long, who), np.searchsorted(of_long, who, "right")
+        order = np.lexsort((led, members))
+        members, led, times = members[order], led[order], times[order]
+        new = np.flatnonzero((np.diff(members, prepend=members[:1] - 1) != 0) | (np.diff(led, prepend=led[:1] - 1) != 0))
+        members, led, times = members[new], led[new], np.add.reduceat(times, new)
+        order = np.lexsort((led, -times, members))
+        members, led = members[order], led[order]
+        met = np.searchsorted(members, who), np.searchsorted(members, who, "right")
+        return pd.DataFrame({
+            "owner": who, "shared": total, "tokens": [tokens[a:b].tobytes() for a, b in zip(*cuts)],
+            "lengths": [lengths[a:b].tobytes() for a, b in zip(*cuts)],
+            "leaders": [[x for x in led[a:b].tolist() if x != o][:LEADERS] for o, a, b in zip(who.tolist(), *met)]})
 
     packed = sets.select("owner", "tokens").mapInArrow(pack, "bin int, tokens binary, owners binary")
-    found = packed.groupBy("bin").applyInPandas(
-        read, "owner long, shared long, tokens binary, lengths binary, leaders array<struct<leader:long,times:long>>")
-    # a class has at most as many parts as shingles
-    return found.groupBy("owner").agg(
-        F.sum("shared").alias("shared"), F.collect_list(F.struct("tokens", "lengths")).alias("long"),
-        F.flatten(F.collect_list("leaders")).alias("leaders"))
+    read_schema = "bucket int, " + ", ".join(f"{n} binary" for n in names[1:])
+    return (packed.groupBy("bin").applyInPandas(read, read_schema).groupBy("bucket")
+            .applyInPandas(assemble, "owner long, shared long, tokens binary, lengths binary, leaders array<long>"))
+
+
+def bucket_of(owners: np.ndarray, buckets: int) -> np.ndarray:
+    return (mixed(owners.view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
 
 
 def star_links(sets: DataFrame, found: DataFrame) -> DataFrame:
     """Links (a, b) between classes and the leaders that they meet most often."""
-    met = (found.select("owner", F.explode("leaders").alias("l")).groupBy("owner", "l.leader").agg(F.sum("l.times").alias("times")))
-    top = (met.groupBy("owner").agg(F.slice(F.sort_array(F.collect_list(F.struct("times", "leader")), asc=False), 1, LEADERS).alias("t"))
-           .select("owner", F.explode("t.leader").alias("leader")))
+    top = found.select("owner", F.explode("leaders").alias("leader"))
     pairs = (top.join(sets, "owner").join(sets.select(F.col("owner").alias("leader"), F.col("tokens").alias("theirs")), "leader"))
 
     def step(part):
@@ -287,27 +311,29 @@ def overlap(x: np.ndarray, y: np.ndarray) -> int:
     return int((y[np.minimum(at, len(y) - 1)] == x).sum()) if len(y) else 0
 
 
-def prefixes(sets: DataFrame, found: DataFrame) -> DataFrame:
-    """token and owner for the prefix of each class that may still reach a T; shortest lists first."""
+def prefixes(sets: DataFrame, found: DataFrame, joined: DataFrame) -> DataFrame:
+    """token, owner, component, n and s for the prefix of each class that may still reach a T;
+    the classes with the shortest lists come first in a prefix."""
     def step(part):
-        out = {"token": [], "owner": []}
-        for owner, raw, shared, parts in zip(part["owner"], part["tokens"], part["shared"], part["long"]):
+        out = {"token": [], "owner": [], "component": [], "n": [], "s": []}
+        for owner, component, raw, shared, in_long, lengths in zip(*(part[c] for c in columns)):
             tokens = np.frombuffer(raw, np.uint64)
             n = len(tokens)
             if 4 * shared < 3 * n:
                 continue
-            in_long = np.frombuffer(b"".join(p["tokens"] for p in parts), np.uint64)
-            lengths = np.frombuffer(b"".join(p["lengths"] for p in parts), "<i8")
-            by_token = np.argsort(in_long)
+            in_long, lengths = np.frombuffer(in_long, np.uint64), np.frombuffer(lengths, np.int64)
             length = np.zeros(n, np.int64)
-            length[np.searchsorted(tokens, in_long[by_token])] = lengths[by_token]
-            size = n - -(-3 * n // 4) + 1
-            chosen = tokens[np.lexsort((tokens, length))[:size]]
+            length[np.searchsorted(tokens, in_long)] = lengths
+            chosen = tokens[np.lexsort((tokens, length))[:n - -(-3 * n // 4) + 1]]
             out["token"] += chosen.view(np.int64).tolist()
-            out["owner"] += [owner] * len(chosen)
+            for name, value in (("owner", owner), ("component", component), ("n", n), ("s", shared)):
+                out[name] += [value] * len(chosen)
         return out
-    both = sets.join(found.select("owner", "shared", "long"), "owner")
-    return map_rows(both.select("owner", "tokens", "shared", "long"), step, "token long, owner long")
+    columns = ["owner", "component", "set", "shared", "tokens", "lengths"]
+    both = (sets.select("owner", F.col("tokens").alias("set")).join(found, "owner")
+            .join(joined.select(F.col("node").alias("owner"), "component"), "owner", "left")
+            .withColumn("component", F.coalesce("component", "owner")))
+    return map_rows(both.select(*columns), step, "token long, owner long, component long, n long, s long")
 
 
 class Index:
@@ -368,45 +394,35 @@ def merged_counts(lists: list[list[int]], least: int) -> Iterator[tuple[int, int
             yield number, count
 
 
-def search_links(sets: DataFrame, prefix: DataFrame, joined: DataFrame) -> DataFrame:
-    """Links (a, b) between classes of different components that share a prefix list."""
-    part_of = joined.select(F.col("node").alias("owner"), "component")
-    held = materialize(prefix.join(part_of, "owner", "left").withColumn("component", F.coalesce("component", "owner")), "prefix-lists")
-    open_lists = (held.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min("owner").alias("first"))
-                  .filter("lo != hi").select("token", "first"))
-    members = held.join(open_lists, "token")
-    reach = components(members.select(F.col("owner").alias("a"), F.col("first").alias("b")), "list-reach")
-    # the members of each connected set of open lists, with their components
-    where = materialize(reach.select(F.col("node").alias("owner"), F.col("component").alias("area"))
-                        .join(part_of, "owner", "left").withColumn("component", F.coalesce("component", "owner")), "search-areas")
-    sizes = where.groupBy("area", "component").agg(F.count("*").alias("n"))
-    areas = sizes.groupBy("area").agg(F.sum("n").alias("total"), F.max(F.struct("n", "component")).alias("largest"))
-    areas = areas.select("area", F.ceil(F.col("total") / SEARCH_BLOCK).cast("int").alias("blocks"),
-                         F.ceil((F.col("total") - F.col("largest.n")) / SEARCH_BLOCK).cast("int").alias("turns"),
-                         F.col("largest.component").alias("main"))
-    full = where.join(areas, "area").join(sets.select("owner", "tokens"), "owner")
-    slot = lambda n: F.pmod(F.xxhash64("owner"), F.col(n)).cast("int")
-    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    columns = ["area", "block", "turn", "owner", "component", "tokens"]
-    stored = full.withColumn("block", slot("blocks")).withColumn("turn", each("turns")).select(*columns)
-    asking = (full.filter("component != main").withColumn("turn", slot("turns")).withColumn("block", each("blocks"))
-              .select(*columns).toDF(*(f"q_{c}" for c in columns)))
-
-    def search(queries: pd.DataFrame, block: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        if len(queries) and len(block):
-            index = Index([np.frombuffer(t, np.uint64) for t in block["tokens"]])
-            owners, of = block["owner"].tolist(), block["component"].tolist()
-            for owner, component, tokens in zip(queries["q_owner"], queries["q_component"], queries["q_tokens"]):
-                met = set()
-                for number in index.reach(np.frombuffer(tokens, np.uint64)):
-                    if of[number] != component and of[number] not in met:
-                        met.add(of[number])  # one link to a component is enough
-                        out.append((owner, owners[number]))
-        return pd.DataFrame(out, columns=["a", "b"])
+def search_links(sets: DataFrame, prefix: DataFrame) -> DataFrame:
+    """Links (a, b) between classes of different components that share a prefix list.
 
-    keys = ["area", "block", "turn"]
-    return asking.groupBy(*(f"q_{c}" for c in keys)).cogroup(stored.groupBy(*keys)).applyInPandas(search, "a long, b long")
+    ``prefix`` is a table. Lists that hold one component have nothing to add. Of two classes the
+    larger asks; a pair that can't reach its T with the shingles that either shares isn't asked.
+    """
+    spread = prefix.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
+    members = materialize(prefix.join(spread.filter("lo != hi").select("token"), "token", "left_semi"), "open-lists")
+    other = members.toDF("token", "o_owner", "o_component", "o_n", "o_s")
+    pairs = members.join(other, (members["token"] == other["token"]) & (F.col("component") != F.col("o_component"))
+                         & ((F.col("n") > F.col("o_n")) | ((F.col("n") == F.col("o_n")) & (F.col("owner") > F.col("o_owner"))))
+                         & (7 * F.least("s", "o_s") >= 3 * (F.col("n") + F.col("o_n"))))
+    asked = pairs.select("owner", "o_owner", "o_component").distinct()
+    # the candidates of a class in blocks
+    block = F.pmod(F.xxhash64("o_owner"), F.ceil(F.col("many") / SEARCH_BLOCK))
+    asked = materialize(asked, "asked-pairs")
+    many = asked.groupBy("owner").agg(F.count("*").alias("many"))
+    blocks = asked.join(many, "owner").withColumn("block", block).drop("many")
+    rows = (blocks.join(sets.select("owner", F.col("tokens").alias("query")), "owner")
+            .join(sets.select(F.col("owner").alias("o_owner"), "tokens"), "o_owner"))
+
+    def search(frame: pd.DataFrame) -> pd.DataFrame:
+        index = Index([np.frombuffer(t, np.uint64) for t in frame["tokens"]])
+        owners, of = frame["o_owner"].tolist(), frame["o_component"].tolist()
+        # one link to a component is enough
+        met = {of[i]: owners[i] for i in index.reach(np.frombuffer(frame["query"].iloc[0], np.uint64))}
+        return pd.DataFrame({"a": frame["owner"].iloc[0], "b": list(met.values())}, columns=["a", "b"])
+
+    return rows.groupBy("owner", "block").applyInPandas(search, "a long, b long")
 
 
 def jaccard_join(docs: DataFrame) -> DataFrame:
@@ -418,7 +434,8 @@ def jaccard_join(docs: DataFrame) -> DataFrame:
     sets = materialize(live_sets(docs, classes, bins), "live-sets")
     found = materialize(profiles(sets, bins), "live-profiles")
     stars = materialize(star_links(sets, found), "star-links")
-    links = materialize(search_links(sets, prefixes(sets, found), components(stars, "star-components")), "search-links")
+    prefix = materialize(prefixes(sets, found, components(stars, "star-components")), "prefix-lists")
+    links = materialize(search_links(sets, prefix), "search-links")
     joined = components(stars.union(links), "link-components")
     least = classes.groupBy("owner").agg(F.min("doc_id").alias("class_id"))
     named = (joined.join(least, F.col("node") == F.col("owner")).groupBy("component").agg(F.min("class_id").alias("component_id"))
