@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from gpsight.llm.bytehash import hash_at, mixed, sliding, words64
 from gpsight.llm.common import carried, map_rows, materialize, row_schema, shuffle_partitions, slices
-from gpsight.llm.ngram_join import bin_of, cut_by_bin
+from gpsight.llm.ngram_join import bin_of, bucket_of, cut_by_bin
 
 WINDOW, KMER = 50, 24
 LEFT = WINDOW - KMER  # bytes of a window that can lie left of its anchor
@@ -95,7 +95,10 @@ def number_of(raw: np.ndarray) -> np.ndarray:
 
 
 def shared_anchors(docs: DataFrame, bins: int) -> DataFrame:
-    """owner, bin and hashes: the anchors of each class (owner: xxhash64 of the text) that another has too."""
+    """owner and live: of each class (owner: xxhash64 of the text) the anchors that another has too.
+
+    Answers go back in packed blocks, one for each bin and bucket of owners.
+    """
     schema = pa.schema([("bin", pa.int32()), ("hashes", pa.binary()), ("index", pa.binary()), ("owners", pa.binary())])
 
     def pack(batches):
@@ -123,14 +126,13 @@ def shared_anchors(docs: DataFrame, bins: int) -> DataFrame:
         first = np.flatnonzero(np.diff(hashes, prepend=hashes[:1] + np.uint64(1)))
         size = np.diff(np.append(first, len(hashes)))
         several = np.repeat(size > 1, size)
-        # what several classes of this block have needs no answer
-        by_owner = np.argsort(index[several], kind="stable")
-        who, what = index[several][by_owner], hashes[several][by_owner]
-        cuts = np.flatnonzero(np.diff(who, prepend=-1))
-        for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(who)]):
-            for place, c, d in cut_by_bin(what[a:b], bins):
-                for name, value in zip(rows, (place, short_hash(what[a:b][c:d]).tobytes(), b"", known[who[a]].tobytes())):
-                    rows[name].append(value)
+        # what several classes of this block have needs no answer: it goes to the owners' buckets
+        who, what = known[index[several]], place_key(hashes[several], bins)
+        bucket = bucket_of(who, bins)
+        for place in np.unique(bucket).tolist():
+            own = bucket == place
+            for name, value in zip(rows, (-1 - place, what[own].tobytes(), b"", who[own].tobytes())):
+                rows[name].append(value)
         one = np.where(size > 1, len(known), index[first])
         hashes = hashes[first]
         for place, a, b in cut_by_bin(hashes, bins):
@@ -143,37 +145,43 @@ def shared_anchors(docs: DataFrame, bins: int) -> DataFrame:
         return pa.RecordBatch.from_pydict(rows, schema=schema)
 
     def answer(frame: pd.DataFrame) -> pd.DataFrame:
-        known = frame["index"].str.len() == 0  # what needs no answer
-        out = [pd.DataFrame({"owner": np.frombuffer(b"".join(frame["owners"][known]), np.int64), "bin": frame["bin"][known].to_numpy(),
-                             "hashes": frame["hashes"][known].to_numpy()})]
-        rest = frame[~known]
-        if len(rest):
-            place = int(rest["bin"].iloc[0])
-            hashes, owners, marked = [], [], []
-            for raw, index, who in zip(rest["hashes"], rest["index"], rest["owners"]):
-                hashes.append(np.frombuffer(raw, np.uint8).reshape(-1, 5))
-                short = np.frombuffer(index, "<u4")
-                owners.append(np.insert(np.frombuffer(who, np.int64), 0, 0)[short])
-                marked.append(short == 0)
-            raw, owners, marked = np.concatenate(hashes), np.concatenate(owners), np.concatenate(marked)
-            number = number_of(raw)
-            order = np.argsort(number, kind="stable")
-            number, owners, marked = number[order], owners[order], marked[order]
-            first = np.flatnonzero(np.diff(number, prepend=number[:1] + np.uint64(1)))
-            size = np.diff(np.append(first, len(number)))
-            lo = np.minimum.reduceat(np.where(marked, np.iinfo(np.int64).max, owners), first)
-            hi = np.maximum.reduceat(np.where(marked, np.iinfo(np.int64).min, owners), first)
-            live = np.repeat(np.logical_or.reduceat(marked, first) | (lo != hi), size) & ~marked
-            owners, raw = owners[live], raw[order][live]
-            by_owner = np.argsort(owners, kind="stable")
-            owners, raw = owners[by_owner], raw[by_owner]
-            cuts = np.flatnonzero(np.diff(owners, prepend=owners[:1] - 1)) if len(owners) else np.zeros(0, int)
-            out.append(pd.DataFrame({"owner": owners[cuts], "bin": place, "hashes": [
-                raw[a:b].tobytes() for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(owners)])]}))
-        return pd.concat(out)
+        place = int(frame["bin"].iloc[0])
+        if place < 0:
+            return pd.DataFrame({"bucket": -1 - place, "owners": frame["owners"], "keys": frame["hashes"]})
+        hashes, owners, marked = [], [], []
+        for raw, index, who in zip(frame["hashes"], frame["index"], frame["owners"]):
+            hashes.append(np.frombuffer(raw, np.uint8).reshape(-1, 5))
+            short = np.frombuffer(index, "<u4")
+            owners.append(np.insert(np.frombuffer(who, np.int64), 0, 0)[short])
+            marked.append(short == 0)
+        number, owners, marked = number_of(np.concatenate(hashes)), np.concatenate(owners), np.concatenate(marked)
+        order = np.argsort(number, kind="stable")
+        number, owners, marked = number[order], owners[order], marked[order]
+        first = np.flatnonzero(np.diff(number, prepend=number[:1] + np.uint64(1)))
+        size = np.diff(np.append(first, len(number)))
+        lo = np.minimum.reduceat(np.where(marked, np.iinfo(np.int64).max, owners), first)
+        hi = np.maximum.reduceat(np.where(marked, np.iinfo(np.int64).min, owners), first)
+        live = np.repeat(np.logical_or.reduceat(marked, first) | (lo != hi), size) & ~marked
+        owners, keys = owners[live], number[live] | np.uint64(place << 40)
+        bucket = bucket_of(owners, bins)
+        return pd.DataFrame([(b, owners[bucket == b].tobytes(), keys[bucket == b].tobytes()) for b in np.unique(bucket).tolist()],
+                            columns=["bucket", "owners", "keys"])
+
+    def assemble(frame: pd.DataFrame) -> pd.DataFrame:
+        owners, keys = np.frombuffer(b"".join(frame["owners"]), np.int64), np.frombuffer(b"".join(frame["keys"]), np.uint64)
+        order = np.argsort(owners, kind="stable")
+        owners, keys = owners[order], keys[order]
+        who, cuts = np.unique(owners, return_index=True)
+        return pd.DataFrame({"owner": who, "live": [keys[a:b].tobytes() for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(keys)])]})
 
     packed = docs.select("owner", "text").mapInArrow(pack, "bin int, hashes binary, index binary, owners binary")
-    return packed.groupBy("bin").applyInPandas(answer, "owner long, bin int, hashes binary")
+    return (packed.groupBy("bin").applyInPandas(answer, "bucket int, owners binary, keys binary")
+            .groupBy("bucket").applyInPandas(assemble, "owner long, live binary"))
+
+
+def place_key(hashes: np.ndarray, bins: int) -> np.ndarray:
+    """The bin of a hash and 40 bits more."""
+    return number_of(short_hash(hashes)) | (bin_of(hashes, bins) << np.uint64(40))
 
 
 def keys_of(data: bytes, at: np.ndarray, hashes: np.ndarray) -> np.ndarray:
@@ -203,11 +211,11 @@ def sorted_runs(texts: DataFrame, bins: int) -> DataFrame:
     def run(batches):
         kept, size = [], 0
         for part in slices(batches):
-            for i, parts in enumerate(part["live"]):
-                live = np.concatenate([number_of(np.frombuffer(p["hashes"], np.uint8).reshape(-1, 5)) | np.uint64(p["bin"] << 40) for p in parts])
+            for i, raw in enumerate(part["live"]):
+                live = np.frombuffer(raw, np.uint64)
                 data = encoded(part["text"][i:i + 1])
                 for _, at, hashes in anchors(data):
-                    here = np.isin(number_of(short_hash(hashes)) | (bin_of(hashes, bins) << np.uint64(40)), live)
+                    here = np.isin(place_key(hashes, bins), live)
                     kept.append((keys_of(data[0], at[here], hashes[here]), at[here], part["doc_id"][i], part["owner"][i]))
                     size += int(here.sum())
                 if size >= RUN_SUFFIXES:
@@ -353,8 +361,8 @@ def removals(keys: np.ndarray, least: np.ndarray) -> np.ndarray:
     return out
 
 
-def merged_bin(frame: pd.DataFrame) -> pd.DataFrame:
-    """owner, doc and the intervals that go, from all runs of a bin."""
+def merged_bin(frame: pd.DataFrame, buckets: int) -> pd.DataFrame:
+    """The intervals that go, from all runs of a bin, packed for each bucket of owners."""
     runs = [Run(s, r) for s, r in zip(frame["shared"], frame["rests"])]
     starts = np.concatenate(([0], np.cumsum([len(r.shared) for r in runs])))
     total = int(starts[-1])
@@ -387,12 +395,18 @@ def merged_bin(frame: pd.DataFrame) -> pd.DataFrame:
         high = LEFT - gone[some][:, ::-1].argmax(1)
         spot = place[members][some]
         out.append((owner[members][some], doc[members][some], spot - high, spot - low + WINDOW))
-    if not out:
-        return pd.DataFrame({"owner": [], "doc_id": [], "cuts": []})
     owner, doc, begin, end = (np.concatenate(x) for x in zip(*out))
-    by = np.lexsort((begin, doc, owner))
-    owner, doc, pairs = owner[by], doc[by], np.stack([begin, end], 1)[by].astype("<u4")
-    cuts = np.flatnonzero((np.diff(owner, prepend=owner[:1] - 1) != 0) | (np.diff(doc, prepend=doc[:1] - 1) != 0)) if len(owner) else np.zeros(0, int)
+    bucket, pairs = bucket_of(owner, buckets), np.stack([begin, end], 1).astype("<u4")
+    return pd.DataFrame([(b, owner[bucket == b].tobytes(), doc[bucket == b].tobytes(), pairs[bucket == b].tobytes())
+                         for b in np.unique(bucket).tolist()], columns=["bucket", "owners", "docs", "cuts"])
+
+
+def cuts_by_owner(frame: pd.DataFrame) -> pd.DataFrame:
+    owner, doc = (np.frombuffer(b"".join(frame[c]), np.int64) for c in ("owners", "docs"))
+    pairs = np.frombuffer(b"".join(frame["cuts"]), "<u4").reshape(-1, 2)
+    by = np.lexsort((doc, owner))
+    owner, doc, pairs = owner[by], doc[by], pairs[by]
+    cuts = np.flatnonzero((np.diff(owner, prepend=owner[:1] - 1) != 0) | (np.diff(doc, prepend=doc[:1] - 1) != 0))
     return pd.DataFrame({"owner": owner[cuts], "doc_id": doc[cuts], "cuts": [
         pairs[a:b].tobytes() for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(owner)])]})
 
@@ -422,12 +436,11 @@ def remove_repeats(docs: DataFrame, carry: bool = False) -> DataFrame:
     ids = materialize(texts.select("doc_id", "owner", F.md5(F.col("text").cast("binary")).alias("check")), "text-ids")
     classes = ids.filter("doc_id IS NOT NULL").groupBy("owner", "check").agg(F.min("doc_id").alias("first_id"))
     live = materialize(shared_anchors(texts.filter("doc_id IS NOT NULL"), bins), "shared-anchors")
-    # a class has an answer from each bin at most twice per block of texts: its anchors bound it
-    heard = live.groupBy("owner").agg(F.collect_list(F.struct("bin", "hashes")).alias("live"))
-    searched = heard.join(classes, "owner").select("owner", F.col("first_id").alias("doc_id"), "live").dropDuplicates(["owner", "doc_id"])
+    searched = live.join(classes, "owner").select("owner", F.col("first_id").alias("doc_id"), "live").dropDuplicates(["owner", "doc_id"])
     runs = sorted_runs(texts.join(searched, ["doc_id", "owner"]), bins)
-    cuts = runs.groupBy("bin").applyInPandas(merged_bin, "owner long, doc_id long, cuts binary")
-    cuts = materialize(cuts, "cut-intervals").groupBy("owner", "doc_id").agg(F.collect_list("cuts").alias("cuts"))
+    cuts = (runs.groupBy("bin").applyInPandas(lambda f: merged_bin(f, bins), "bucket int, owners binary, docs binary, cuts binary")
+            .groupBy("bucket").applyInPandas(cuts_by_owner, "owner long, doc_id long, cuts binary"))
+    cuts = materialize(cuts, "cut-intervals")
     fate = (ids.distinct().join(classes, ["owner", "check"], "left")
             .select("owner", "doc_id", (F.col("doc_id") > F.col("first_id")).alias("copy"))
             .filter("doc_id IS NOT NULL").groupBy("owner", "doc_id").agg(F.max("copy").alias("copy"))
@@ -437,11 +450,11 @@ def remove_repeats(docs: DataFrame, carry: bool = False) -> DataFrame:
 
     def step(part):
         out = {"doc_id": part["doc_id"], "n_bytes": [], "spans": [], "kept": []}
-        for data, copy, parts in zip(encoded(part["text"]), part["copy"], part["cuts"]):
+        for data, copy, pairs in zip(encoded(part["text"]), part["copy"], part["cuts"]):
             if copy:
                 spans = [(0, len(data))] if len(data) >= WINDOW else []
             else:
-                spans = spans_of(np.frombuffer(b"".join(parts), "<u4").reshape(-1, 2).astype(np.int64)) if parts else []
+                spans = spans_of(np.frombuffer(pairs, "<u4").reshape(-1, 2).astype(np.int64)) if pairs else []
             kept, at = [], 0
             for begin, end in spans:
                 kept.append(data[at:begin])
