@@ -86,7 +86,7 @@ def with_following(docs: DataFrame, ranges: int | None = None) -> DataFrame:
     the ranges (at most MAX_RANGES numbers) pass through the driver.
     """
     spark = docs.sparkSession
-    n = min(ranges or shuffle_partitions(spark), MAX_RANGES)
+    n = min(ranges or 6 * shuffle_partitions(spark), MAX_RANGES)
     quantiles = docs.approxQuantile("doc_id", [i / n for i in range(1, n)], 1 / (4 * n)) if n > 1 else []
     borders = np.unique(np.array(quantiles, np.float64)).astype(np.int64)
 
@@ -112,7 +112,7 @@ def with_following(docs: DataFrame, ranges: int | None = None) -> DataFrame:
         return pd.Series([[int(r), last[i]] if i in last else [int(r)] for i, r in zip(values, own)])
 
     return (docs.select("doc_id", "text", F.posexplode(ranges_of("doc_id")).alias("_extra", "_range"))
-            .repartition(n, "_range")
+            .repartition(min(n, shuffle_partitions(spark)), "_range")
             .sortWithinPartitions("_range", F.desc("_extra"), F.asc_nulls_first("doc_id"), F.asc_nulls_first("text")))
 
 
