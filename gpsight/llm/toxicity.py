@@ -74,7 +74,9 @@ def choose_features(sample: DataFrame, features: int) -> list[bytes]:
     spread = F.sqrt((F.col("n") + 1) / (F.col("t") + 1))
     best = (counts.filter(F.col("n") >= MIN_DOCS).crossJoin(F.broadcast(total))  # the total is one row
             .orderBy(F.desc(F.abs(share) / spread), "word").limit(features).collect())
-    own = [bytes(r["word"]) for r in best]
+    # the beginnings of identity terms would go round the swaps
+    shared = {t.encode()[:k] + b"*" for terms in IDENTITY for t in terms for k in BEGINNINGS}
+    own = [bytes(r["word"]) for r in best if bytes(r["word"]) not in shared]
     return list(dict.fromkeys([*own, *(t.encode() for terms in IDENTITY for t in terms)]))
 
 
