@@ -10,7 +10,6 @@ sources    readers for the practice tables (Parquet, JDBC, views over the test t
 functions  column expressions (R-compatible arithmetic, id checks, Student-t p-value)
 operators  the analysis operators (rates, spend, drug shares, correlation, register, profile)
 plans      the query registry used by ``__spark_entry__`` and the DuckDB oracle SQL
-streaming  notes only: the analysed application has no streaming path
 """
 
 from gpsight.session import build_session, checkpoint_dir

@@ -57,7 +57,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> di
             df.write.mode("overwrite").parquet(f"{args.out.rstrip('/')}/{name}")
         else:
             print(f"== {name}")
-            df.show(50, truncate=False)
+            df.show(df.count(), truncate=False)  # whole, as the analysed code prints it
     return results
 
 

@@ -72,7 +72,7 @@ def t_two_sided_p(t: Column, df: Column) -> Column:
 
 
 def pearson_test_from_moments(moments: DataFrame, n: str, sxx: str, syy: str, sxy: str,
-                              alpha: float = DEFAULT_ALPHA, digits: int | None = 9) -> DataFrame:
+                              alpha: float = DEFAULT_ALPHA, digits: int | None = None) -> DataFrame:
     """Test outputs from the pair count and centred sums of squares / cross-products.
 
     Returns columns ``n, r, t, df, p_value, ci_low, ci_high, significant``. ``r`` is NULL for

@@ -26,11 +26,11 @@ def rate_pairs(rate: DataFrame, share: DataFrame) -> DataFrame:
 
 
 def pearson_test(pairs: DataFrame, x: str, y: str, alpha: float = DEFAULT_ALPHA,
-                 digits: int | None = 9) -> DataFrame:
+                 digits: int | None = None) -> DataFrame:
     """One row: n, r, t, df, p_value, ci_low, ci_high, significant (``cor.test(x, y)``).
 
-    Pairs with a NULL on either side are dropped (``regr_*`` ignore them). Outputs are
-    rounded to ``digits`` decimals; the last few binary digits of a floating sum depend on
+    Pairs with a NULL on either side are dropped (``regr_*`` ignore them). Outputs have full
+    precision, or are rounded to ``digits`` decimals; the last few binary digits of a floating sum depend on
     the order in which partitions are merged.
     """
     xs, ys = F.col(x).cast("double"), F.col(y).cast("double")

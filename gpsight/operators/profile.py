@@ -10,17 +10,17 @@ and four full reads of the QOF table. Here it is one plan:
 * the national rate is a scalar subquery over the QOF table (one value, run once; the
   ``orgcode = 'WAL'`` filter reaches the scan);
 * the address is joined on. This per-practice table feeds two consumers (the postcode-area
-  means and the rows they are joined back to) that need different columns, so Spark would
-  aggregate the prescriptions twice; it is therefore written once to the shared checkpoint
-  folder (one row per practice) and read back by both — each fact table is scanned once.
+  means and the rows they are joined back to).
 
-With ``materialize=False`` the function stays lazy (no job at call time) and reads the
-prescriptions twice.
+The function is lazy: no job runs at call time. Each consumer then reads the facts; with
+``materialize=True`` the per-practice table is written once to the shared checkpoint folder
+(``session.remove_written`` deletes it later) and read back by both. The national rate reads
+the ``WAL`` rows of the QOF table besides.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gpsight.functions.expr import (NATIONAL_CODE, floor_div, month_start, percent,
@@ -62,7 +62,9 @@ def practice_base(rx: DataFrame, qof: DataFrame, address: DataFrame, prefix: str
         F.coalesce(F.sum("_dmn"), F.lit(0)).alias("_dm"),
         *side_counts()))
     rate = round_half_even(percent(ratio("_dm", "no_of_patients")), 1)
-    return (join_address(per_practice, address, "left")
+    # a practice can have several addresses: the smallest postcode is the deterministic pick
+    one = address.groupBy("practiceid").agg(F.min("postcode").alias("postcode"))
+    return (join_address(per_practice, one, "left")
             .select("practiceid", "no_of_patients", "months",
                     ratio("_total_cost", "months").alias("avg_monthly_spend"),
                     round_half_even(ratio(floor_div("_total_cost", "months"), "months"), 1)
@@ -75,7 +77,7 @@ def practice_base(rx: DataFrame, qof: DataFrame, address: DataFrame, prefix: str
 
 def practice_profile(rx: DataFrame, qof: DataFrame, address: DataFrame, prefix: str = "DM",
                      national_code: str = NATIONAL_CODE, width: int = 2,
-                     materialize: bool = True) -> DataFrame:
+                     materialize: bool = False) -> DataFrame:
     """One row per practice with prescriptions and QOF rows.
 
     Columns: practiceid, no_of_patients, months, avg_monthly_spend, avg_monthly_spend_compat,
@@ -93,7 +95,9 @@ def practice_profile(rx: DataFrame, qof: DataFrame, address: DataFrame, prefix:
     areas = (base.filter(F.col("postcode").isNotNull())
              .groupBy("_area")
              .agg(F.count(F.lit(1)).alias("area_practices"),
-                  F.round(F.avg("spend_per_patient"), 6).alias("area_mean")))
+                  F.avg("spend_per_patient").alias("area_mean")))
+    # at most as many areas as prefixes of two characters; longer prefixes are left to AQE
+    areas = F.broadcast(areas) if width <= 2 else areas
 
     return (base.join(areas, "_area", "left")
             .withColumn("national_rate_pct", national)
@@ -103,14 +107,23 @@ def practice_profile(rx: DataFrame, qof: DataFrame, address: DataFrame, prefix:
 
 
 def practice_report(profile: DataFrame) -> DataFrame:
-    """(practiceid, summary): the profile as one sentence per practice."""
-    summary = F.format_string(
-        "%s has %d patients. Average medication spend per month: %.2f (as computed by the "
-        "original script: %.1f). Spend per patient: %.2f against a mean of %.2f over %d "
-        "practices in postcode area %s. Diabetes rate: %.1f%% (national: %.1f%%).",
-        F.col("practiceid"), F.col("no_of_patients"), F.col("avg_monthly_spend"),
-        F.col("avg_monthly_spend_compat"), F.col("spend_per_patient"), F.col("area_mean"),
-        F.col("area_practices"), F.substring(F.col("postcode"), 1, 2), F.col("rate_pct"),
-        F.col("national_rate_pct"),
-    )
+    """(practiceid, summary): the profile as one sentence per practice.
+
+    A missing figure reads ``unknown``; without an address the area clause is left out.
+    """
+    def shown(column: str, digits: int) -> Column:
+        return F.coalesce(F.round(column, 6).cast(f"decimal(18,{digits})").cast("string"), F.lit("unknown"))
+
+    def said(column: str) -> Column:
+        return F.coalesce(F.col(column).cast("string"), F.lit("unknown"))
+
+    area = F.when(F.col("area_mean").isNull(), "").otherwise(F.concat(
+        F.lit(" against a mean of "), shown("area_mean", 2), F.lit(" over "), F.col("area_practices").cast("string"),
+        F.lit(" practices in postcode area "), F.substring("postcode", 1, 2)))
+    summary = F.concat(
+        said("practiceid"), F.lit(" has "), said("no_of_patients"),
+        F.lit(" patients. Average medication spend per month: "), shown("avg_monthly_spend", 2),
+        F.lit(" (as computed by the original script: "), shown("avg_monthly_spend_compat", 1),
+        F.lit("). Spend per patient: "), shown("spend_per_patient", 2), area, F.lit(". Diabetes rate: "),
+        shown("rate_pct", 1), F.lit("% (national: "), shown("national_rate_pct", 1), F.lit("%)."))
     return profile.select("practiceid", summary.alias("summary"))

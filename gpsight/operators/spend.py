@@ -120,9 +120,8 @@ def area_peer_stats(spp: DataFrame, width: int = 2) -> DataFrame:
     """(practiceid, area, spend_per_patient, area_practices, area_mean) for every practice.
 
     The per-area aggregate is joined back on the area key; it has one row per postcode
-    area, so AQE broadcasts it at run time, and with a broadcast a populous area never
-    concentrates in one task. ``area_mean`` (a floating mean, whose last bits depend on the
-    summation order) is rounded to 6 decimals.
+    area, so it is broadcast, and a populous area never concentrates in one task. The last
+    bits of ``area_mean``, a floating mean, depend on the summation order.
     """
     keyed = spp.select("practiceid", postcode_area("postcode", width).alias("area"),
                        "spend_per_patient")
@@ -130,6 +129,7 @@ def area_peer_stats(spp: DataFrame, width: int = 2) -> DataFrame:
              .agg(F.count(F.lit(1)).alias("area_practices"),
                   F.avg("spend_per_patient").alias("area_mean")))
     # Null-safe key: practices without a postcode form one group, as NA does in group_by.
-    return (keyed.join(stats, keyed["area"].eqNullSafe(stats["_area"]))
-            .select("practiceid", "area", "spend_per_patient", "area_practices",
-                    F.round("area_mean", 6).alias("area_mean")))
+    # At most as many areas as prefixes of two characters; longer prefixes are left to AQE.
+    stats = F.broadcast(stats) if width <= 2 else stats
+    return (keyed.join(stats, keyed["area"].eqNullSafe(F.col("_area")))
+            .select("practiceid", "area", "spend_per_patient", "area_practices", "area_mean"))

@@ -12,7 +12,6 @@ Agreement rules: money is summed as DECIMAL and cast to DOUBLE at the end; ``bro
 
 from __future__ import annotations
 
-from gpsight.functions.stats import DECAY_EXPONENT, DEFAULT_ALPHA, SIMPSON_INTERVALS, Z_975
 from gpsight.operators.register import AREAS
 from gpsight.plans.queries import CHOSEN_PRACTICE
 
@@ -23,7 +22,7 @@ area_dim AS (
   select * from (values
  {_AREA_VALUES}) t(idx,prefix,area)),
 address AS (
-  select concat('W',lpad(cast(s_suppkey as string),5,'0')) practiceid,
+  select concat('W',case when length(cast(s_suppkey as string)) < 5 then lpad(cast(s_suppkey as string),5,'0') else cast(s_suppkey as string) end) practiceid,
          s_name name,
          concat(upper(substr(r_name,1,2)),cast(n_nationkey as string),' ',
                 cast(s_suppkey % 10 as string),'AA') postcode
@@ -31,12 +30,12 @@ address AS (
   join nation on s_nationkey = n_nationkey
   join region on n_regionkey = r_regionkey),
 gp_data AS (
-  select concat('W',lpad(cast(l_suppkey as string),5,'0')) practiceid,
+  select concat('W',case when length(cast(l_suppkey as string)) < 5 then lpad(cast(l_suppkey as string),5,'0') else cast(l_suppkey as string) end) practiceid,
          cast(year(l_shipdate)*100+month(l_shipdate) as string) period,
-         concat(lpad(cast(p_size % 15 + 1 as string),2,'0'),
-                lpad(cast(p_partkey % 4 + 1 as string),2,'0'),
-                lpad(cast(p_partkey % 3 + 1 as string),2,'0'),
-                lpad(cast(p_partkey as string),9,'0')) bnfcode,
+         concat(case when length(cast(p_size % 15 + 1 as string)) < 2 then lpad(cast(p_size % 15 + 1 as string),2,'0') else cast(p_size % 15 + 1 as string) end,
+                case when length(cast(p_partkey % 4 + 1 as string)) < 2 then lpad(cast(p_partkey % 4 + 1 as string),2,'0') else cast(p_partkey % 4 + 1 as string) end,
+                case when length(cast(p_partkey % 3 + 1 as string)) < 2 then lpad(cast(p_partkey % 3 + 1 as string),2,'0') else cast(p_partkey % 3 + 1 as string) end,
+                case when length(cast(p_partkey as string)) < 9 then lpad(cast(p_partkey as string),9,'0') else cast(p_partkey as string) end) bnfcode,
          case when p_name like 'red %' then concat('Metformin HCl_',substr(p_name,5))
               else p_name end bnfname,
          l_quantity quantity,
@@ -45,8 +44,8 @@ gp_data AS (
   from lineitem join part on l_partkey = p_partkey),
 qof_achievement AS (
   with pl as (
-    select concat('W',lpad(cast(l_suppkey as string),5,'0')) orgcode, o_custkey,
-           concat(prefix,lpad(cast(p_partkey % 3 + 1 as string),3,'0')) indicator
+    select concat('W',case when length(cast(l_suppkey as string)) < 5 then lpad(cast(l_suppkey as string),5,'0') else cast(l_suppkey as string) end) orgcode, o_custkey,
+           concat(prefix,case when length(cast(p_partkey % 3 + 1 as string)) < 3 then lpad(cast(p_partkey % 3 + 1 as string),3,'0') else cast(p_partkey % 3 + 1 as string) end) indicator
     from lineitem
     join orders on l_orderkey = o_orderkey
     join part on l_partkey = p_partkey
@@ -99,28 +98,19 @@ def _pairs(where: str, num: str, name: str) -> str:
 from ({RATE_DM}) r join ({_share(where, num, name)}) s on r.practiceid is not distinct from s.practiceid"""
 
 
-def _simpson(start: str, width: str, power: str) -> str:
-    n = SIMPSON_INTERVALS
-    h = f"(({width}) / {float(n)})"
-    s2 = f"pow(sin(({start}) + i * {h}), 2)"
-    # log1p(-s2) by Kahan's identity (DuckDB has no log1p)
-    log1p = (f"(case when 1.0 - {s2} = 1.0 then -{s2} "
-             f"else ln(1.0 - {s2}) * -{s2} / ((1.0 - {s2}) - 1.0) end)")
-    value = (f"(case when {power} = 0 then 1.0 when {s2} >= 1 then 0.0 "
-             f"else exp({power} / 2 * {log1p}) end)")
-    body = f"(case when i = 0 or i = {n} then 1.0 when i % 2 = 1 then 4.0 else 2.0 end) * {value}"
-    return f"(list_sum(list_transform(range(0, {n + 1}), lambda i: {body})) * {h} / 3.0)"
-
-
 def _pearson(pairs: str, x: str, y: str) -> str:
-    """cor.test(x, y) in SQL: moments, r, t, df, two-sided p (Simpson), 95 % CI."""
-    nu = "cast(df as double)"
-    pw = f"({nu} - 1.0)"
-    theta = f"atan(abs(t) / sqrt({nu}))"
-    gauss = f"(case when {pw} > 0 then sqrt({2 * DECAY_EXPONENT} / {pw}) end)"
-    expo = f"(case when {pw} * tan({theta}) > 0 then {DECAY_EXPONENT} / ({pw} * tan({theta})) end)"
-    tail = _simpson(theta, f"least(pi() / 2 - {theta}, {gauss}, {expo})", pw)
-    whole = _simpson("0.0", f"least(pi() / 2, {gauss})", pw)
+    """cor.test(x, y) in SQL: moments, r, t, df, two-sided p, 95 % CI.
+
+    p by the finite trigonometric series for whole degrees of freedom: another method than the
+    engine's integration, and no shared constants.
+    """
+    theta = "atan(abs(t) / sqrt(cast(df as double)))"
+    even = (f"list_sum(list_transform(range(0, df // 2), lambda k: "
+            f"exp(lgamma(k + 0.5) - lgamma(k + 1.0)) / sqrt(pi()) * pow(cos({theta}), 2 * k)))")
+    odd = (f"list_sum(list_transform(range(0, (df - 1) // 2), lambda k: "
+           f"exp(lgamma(k + 1.0) - lgamma(k + 1.5)) * sqrt(pi()) / 2 * pow(cos({theta}), 2 * k + 1)))")
+    inside = (f"(case when df = 1 then 2 * {theta} / pi() when df % 2 = 0 then sin({theta}) * {even} "
+              f"else 2 / pi() * ({theta} + sin({theta}) * {odd}) end)")
     return f"""
 with m as (
   select cast(regr_count({y}, {x}) as bigint) n, regr_sxx({y}, {x}) sxx,
@@ -132,13 +122,13 @@ d as (select n, r, df, abs(r) >= 1 perfect,
              case when abs(r) < 1 then r * sqrt(cast(df as double) / (1.0 - r * r)) end t
       from c),
 e as (select *, case when perfect then 0.0
-                     when df >= 1 and t is not null then least(1.0, {tail} / {whole}) end p,
-             {Z_975} / sqrt(cast(n - 3 as double)) half
+                     when df >= 1 and t is not null then least(1.0, 1.0 - {inside}) end p,
+             1.959963984540054 / sqrt(cast(n - 3 as double)) half
       from d)
 select n, round(r, 9) r, round(t, 9) t, case when n >= 3 then df end df, round(p, 9) p_value,
        round(case when n > 3 then (case when perfect then r else tanh(atanh(r) - half) end) end, 9) ci_low,
        round(case when n > 3 then (case when perfect then r else tanh(atanh(r) + half) end) end, 9) ci_high,
-       p < {DEFAULT_ALPHA} significant
+       p < 0.005 significant
 from e"""
 
 
@@ -168,7 +158,8 @@ b as (select r.practiceid, q.no_of_patients, r.months, r.tc / r.months avg_month
              r.total_costs / cast(q.no_of_patients as double) spend_per_patient,
              {rate} rate_pct
       from r join q on r.practiceid is not distinct from q.practiceid
-      left join address a on a.practiceid is not distinct from r.practiceid),
+      left join (select practiceid, min(postcode) postcode from address group by practiceid) a
+        on a.practiceid is not distinct from r.practiceid),
 ar as (select substring(postcode, 1, 2) area, count(*) area_practices,
               round(avg(spend_per_patient), 6) area_mean
        from b where postcode is not null group by area)
@@ -177,6 +168,18 @@ select b.*, ar.area_practices, ar.area_mean,
 from b left join ar on substring(b.postcode, 1, 2) = ar.area"""
 
 
+def _report() -> str:
+    two = lambda c, n: f"coalesce(cast(try_cast(round({c}, 6) as decimal(18,{n})) as string), 'unknown')"
+    return f"""select practiceid, concat(coalesce(practiceid, 'unknown'), ' has ',
+  coalesce(cast(no_of_patients as string), 'unknown'), ' patients. Average medication spend per month: ',
+  {two("avg_monthly_spend", 2)}, ' (as computed by the original script: ', {two("avg_monthly_spend_compat", 1)},
+  '). Spend per patient: ', {two("spend_per_patient", 2)},
+  case when area_mean is null then '' else concat(' against a mean of ', {two("area_mean", 2)}, ' over ', area_practices,
+    ' practices in postcode area ', substring(postcode, 1, 2)) end,
+  '. Diabetes rate: ', {two("rate_pct", 1)}, '% (national: ', {two("national_rate_pct", 1)}, '%).') summary
+from ({_profile()}) report"""
+
+
 BODIES: dict[str, str] = {
     "scan_qof": "select orgcode, indicator, numerator, field4 from qof_achievement",
     "scan_address": "select practiceid, postcode from address",
@@ -255,6 +258,7 @@ from ({RATE_DM}) r group by practiceid""",
     "disease_register": _register_union(),
     "disease_register_union": _register_union(),
     "practice_profile": _profile(),
+    "practice_report": _report(),
 }
 
 

@@ -207,7 +207,7 @@ def spend_per_patient_area(t: PracticeTables) -> DataFrame:
 @query("area_peer_stats")
 def area_peer_stats(t: PracticeTables) -> DataFrame:
     """J8 for all practices: each practice with its postcode area's count and mean."""
-    return spend.area_peer_stats(spend.spend_per_patient(t.rx, t.qof, t.address))
+    return spend.area_peer_stats(spend.spend_per_patient(t.rx, t.qof, t.address)).withColumn("area_mean", F.round("area_mean", 6))
 
 
 @query("area_practice_counts")
@@ -286,16 +286,21 @@ def diabetes_metformin_pairs(t: PracticeTables) -> DataFrame:
     return correlate.diabetes_metformin_pairs(t.rx, t.qof)
 
 
+def _rounded(test: DataFrame) -> DataFrame:
+    """The operators give full precision; the comparison is of 9 decimals."""
+    return test.withColumns({c: F.round(c, 9) for c in ("r", "t", "p_value", "ci_low", "ci_high")})
+
+
 @query("cor_diabetes_insulin")
 def cor_diabetes_insulin(t: PracticeTables) -> DataFrame:
     """Pearson test, diabetes rate ~ insulin share."""
-    return correlate.cor_diabetes_insulin(t.rx, t.qof)
+    return _rounded(correlate.cor_diabetes_insulin(t.rx, t.qof))
 
 
 @query("cor_diabetes_metformin")
 def cor_diabetes_metformin(t: PracticeTables) -> DataFrame:
     """Pearson test, diabetes rate ~ metformin share."""
-    return correlate.cor_diabetes_metformin(t.rx, t.qof)
+    return _rounded(correlate.cor_diabetes_metformin(t.rx, t.qof))
 
 
 # --- disease register and profile ----------------------------------------------------------
@@ -315,7 +320,8 @@ def disease_register_union(t: PracticeTables) -> DataFrame:
 @query("practice_profile")
 def practice_profile(t: PracticeTables) -> DataFrame:
     """The profile of every practice with both kinds of data."""
-    return profile.practice_profile(t.rx, t.qof, t.address)
+    found = profile.practice_profile(t.rx, t.qof, t.address)
+    return found.withColumn("area_mean", F.round("area_mean", 6))
 
 
 @query("practice_report")

@@ -79,21 +79,39 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
     The cluster's setting always wins. Only when it is unset and the session runs in local
-    mode (tests) is a fresh scratch folder created and registered with the context; on a
-    cluster an unset folder is an error, since a machine-local folder is not shared.
+    mode (tests) is a scratch folder created and registered with the context, once: later calls
+    return the same one, as they return a folder set by ``setCheckpointDir``. On a cluster an
+    unset folder is an error, since a machine-local folder is not shared.
     """
     sc = spark.sparkContext
     configured = sc.getConf().get("spark.checkpoint.dir", None)
+    current = sc._jsc.sc().getCheckpointDir()
+    if not configured and current.isDefined():
+        return current.get()  # set by setCheckpointDir, here or by the caller
     if not configured:
-        if not sc.master.startswith("local"):
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
             raise RuntimeError("spark.checkpoint.dir must name shared storage (HDFS, S3, ...) "
                                "when running on a cluster")
-        configured = tempfile.mkdtemp(prefix="gpsight-ckpt-")
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="gpsight-ckpt-"))
+        return sc._jsc.sc().getCheckpointDir().get()
+    if not current.isDefined():
         sc.setCheckpointDir(configured)
     return configured
 
 
+def remove_written(spark: SparkSession, label: str | None = None) -> int:
+    """Delete what :func:`materialize` has written (only ``label``'s, if given); the number of folders.
+
+    Call it when no query that reads them runs any more.
+    """
+    jvm = spark.sparkContext._jvm
+    pattern = jvm.org.apache.hadoop.fs.Path(
+        f"{checkpoint_dir(spark).rstrip('/')}/gpsight-materialized/{label or ''}*")
+    fs = pattern.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found = fs.globStatus(pattern) or []
+    return sum(bool(fs.delete(status.getPath(), True)) for status in found)
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` once as Parquet in the shared checkpoint folder and read it back.
 

@@ -8,16 +8,14 @@ Plan notes (scale):
 * ``nation`` / ``region`` / the area table have a fixed row count, so they are broadcast.
 * ``lineitem`` joins ``orders`` / ``part`` without hints: Catalyst and AQE choose from
   the measured sizes (broadcast under the threshold, sort-merge above it).
-* The QOF view counts distinct patients per (practice, indicator) and per practice. Both
-  counts come out of one grouping by (practice, patient), so the line-item joins run once
-  per query; the per-practice total is a window over per-indicator rows (bounded by the
-  number of indicators), so a practice holding a large share of all rows never lands
-  whole in one task.
+* The QOF view counts distinct patients per (practice, indicator) and per practice, by plain
+  hash aggregates over one grouping of (practice, patient, indicator): partial aggregates
+  before each exchange, and no state that depends on the order of rows.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gpsight.functions.expr import NATIONAL_CODE
@@ -27,37 +25,27 @@ from gpsight.sources.tables import ROW_KEY, PracticeTables
 # The test tables the views read.
 BASE_TABLES = ("region", "nation", "supplier", "part", "orders", "lineitem")
 
-# Fact-table key used to spread a scan that arrives in fewer splits than the session has
-# cores (a single-row-group file cannot be split by the Parquet reader).
-_SPREAD_KEYS = {"lineitem": "l_orderkey"}
 
 
-def read_base(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """Read one test table.
+def read_base(spark: SparkSession, sf_dir: str, name: str, spread: int | None = None) -> DataFrame:
+    """Read one test table; ``spread`` deals the line items to so many partitions by order key.
 
-    The line-item fact table is hash-partitioned on its order key when the scan yields
-    fewer input splits than the session's default parallelism, so the per-row work of the
-    views (joins, string keys, decimal arithmetic) runs on every core. Hashing on the order
-    key (at most seven lines per order) spreads rows evenly and deterministically, so a
-    retried task sees the same rows. A large input already has at least that many splits and
-    is left as it is.
+    Spreading is the caller's choice (a file of one row group is one input split); nothing
+    here depends on the size of the input.
     """
     df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
-    key = _SPREAD_KEYS.get(name)
-    if key is not None:
-        try:
-            cores = spark.sparkContext.defaultParallelism
-            splits = df.rdd.getNumPartitions()
-        except Exception:  # sessions without RDD access (e.g. Spark Connect): leave as is
-            return df
-        if splits < cores:
-            df = df.repartition(cores, key)
-    return df
+    return df.repartition(spread, "l_orderkey") if spread and name == "lineitem" else df
+
+
+def padded(value: Column, width: int) -> Column:
+    """Digits with leading zeros to at least ``width``; longer numbers keep all their digits."""
+    text = value.cast("string")
+    return F.when(F.length(text) < width, F.lpad(text, width, "0")).otherwise(text)
 
 
 def practice_code(key: Column) -> Column:
-    """Supplier key -> practice id ``W`` + five digits."""
-    return F.concat(F.lit("W"), F.lpad(key.cast("string"), 5, "0"))
+    """Supplier key -> practice id ``W`` + at least five digits."""
+    return F.concat(F.lit("W"), padded(key, 5))
 
 
 def address_view(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -81,23 +69,20 @@ def address_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def gp_data_view(spark: SparkSession, sf_dir: str, row_key: bool = False) -> DataFrame:
+def gp_data_view(spark: SparkSession, sf_dir: str, row_key: bool = False, spread: int | None = None) -> DataFrame:
     """The prescription table. ``row_key`` adds ``_row_key``, a hash of the line item's unique
     (order, line number) key, which the stored-table writer uses to split copies of a row."""
-    lineitem = read_base(spark, sf_dir, "lineitem").select(
+    lineitem = read_base(spark, sf_dir, "lineitem", spread).select(
         "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_quantity",
         "l_extendedprice", "l_discount")
     part = read_base(spark, sf_dir, "part").select("p_partkey", "p_name", "p_size")
     joined = lineitem.join(part, F.col("l_partkey") == F.col("p_partkey"))
 
-    def digits(value: Column, width: int) -> Column:
-        return F.lpad(value.cast("string"), width, "0")
-
     bnfcode = F.concat(
-        digits(F.col("p_size") % 15 + 1, 2),
-        digits(F.col("p_partkey") % 4 + 1, 2),
-        digits(F.col("p_partkey") % 3 + 1, 2),
-        digits(F.col("p_partkey"), 9),
+        padded(F.col("p_size") % 15 + 1, 2),
+        padded(F.col("p_partkey") % 4 + 1, 2),
+        padded(F.col("p_partkey") % 3 + 1, 2),
+        padded(F.col("p_partkey"), 9),
     )
     name = F.col("p_name")
     bnfname = (F.when(name.like("red %"),
@@ -118,13 +103,13 @@ def gp_data_view(spark: SparkSession, sf_dir: str, row_key: bool = False) -> Dat
     return joined.select(*columns)
 
 
-def qof_view(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lineitem = read_base(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey")
+def qof_view(spark: SparkSession, sf_dir: str, spread: int | None = None) -> DataFrame:
+    lineitem = read_base(spark, sf_dir, "lineitem", spread).select("l_orderkey", "l_partkey", "l_suppkey")
     orders = read_base(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
     part = read_base(spark, sf_dir, "part").select("p_partkey", "p_size")
     area = area_table(spark).select("idx", "prefix")
 
-    indicator = F.concat(F.col("prefix"), F.lpad((F.col("p_partkey") % 3 + 1).cast("string"), 3, "0"))
+    indicator = F.concat(F.col("prefix"), padded(F.col("p_partkey") % 3 + 1, 3))
     patient_rows = (lineitem
                     .join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
                     .join(part, F.col("l_partkey") == F.col("p_partkey"))
@@ -133,21 +118,14 @@ def qof_view(spark: SparkSession, sf_dir: str) -> DataFrame:
                             indicator.alias("indicator"),
                             F.col("o_custkey")))
 
-    # One shuffle on (practice, patient): the set of indicators each patient has at each
-    # practice (partial sets are built map-side). Exploding the set gives one row per distinct
-    # (practice, indicator, patient); position 0 marks each distinct (practice, patient) once.
-    per_patient = (patient_rows.filter(F.col("o_custkey").isNotNull())
-                   .groupBy("orgcode", "o_custkey")
-                   .agg(F.collect_set("indicator").alias("indicators")))
-    exploded = per_patient.select("orgcode", F.posexplode("indicators").alias("pos", "indicator"))
-    counts = (exploded.groupBy("orgcode", "indicator")
-              .agg(F.count(F.lit(1)).alias("numerator"),
-                   F.count_if(F.col("pos") == 0).alias("_first")))
-    # The list size sums the first-position counts over the practice's indicator rows: a
-    # window over at most one row per indicator, whatever the practice's size.
-    practice_rows = counts.select(
-        "orgcode", "indicator", "numerator",
-        F.sum("_first").over(Window.partitionBy("orgcode")).cast("bigint").alias("field4"))
+    # Distinct (practice, patient, indicator) rows feed both counts; they need the same columns,
+    # so Spark computes the joins and the first exchange once.
+    patients = (patient_rows.filter(F.col("o_custkey").isNotNull())
+                .groupBy("orgcode", "o_custkey", "indicator").agg(F.count(F.lit(1)).alias("_rows")))
+    numerators = patients.groupBy("orgcode", "indicator").agg(F.count(F.lit(1)).alias("numerator"))
+    sizes = (patients.groupBy("orgcode", "o_custkey").agg(F.sum("_rows").alias("_rows"))
+             .groupBy("orgcode").agg(F.count(F.lit(1)).cast("bigint").alias("field4")))
+    practice_rows = numerators.join(sizes, "orgcode").select("orgcode", "indicator", "numerator", "field4")
     national_rows = (practice_rows.groupBy("indicator")
                      .agg(F.sum("numerator").cast("bigint").alias("numerator"),
                           F.sum("field4").cast("bigint").alias("field4"))
@@ -155,11 +133,12 @@ def qof_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     return practice_rows.unionByName(national_rows)
 
 
-def load_fixture_tables(spark: SparkSession, sf_dir: str, row_key: bool = False) -> PracticeTables:
+def load_fixture_tables(spark: SparkSession, sf_dir: str, row_key: bool = False,
+                        spread: int | None = None) -> PracticeTables:
     """The practice tables built lazily from the test tables in ``sf_dir``."""
     return PracticeTables(
-        rx=gp_data_view(spark, sf_dir, row_key),
-        qof=qof_view(spark, sf_dir),
+        rx=gp_data_view(spark, sf_dir, row_key, spread),
+        qof=qof_view(spark, sf_dir, spread),
         address=address_view(spark, sf_dir),
         area=area_table(spark),
     )

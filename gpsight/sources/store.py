@@ -103,17 +103,19 @@ def current_location(spark: SparkSession, sf_dir: str) -> str | None:
     return None
 
 
-def ingest(spark: SparkSession, sf_dir: str, location: str | None = None) -> str:
+def ingest(spark: SparkSession, sf_dir: str, location: str | None = None,
+           spread: int | None = None) -> str:
     """Build the practice tables from ``sf_dir`` and write them; returns the folder.
 
     Each ingest writes a new folder, so a copy being written (or abandoned half-way by a
-    failed job) is never read, and readers of an older copy are never disturbed.
+    failed job) is never read, and readers of an older copy are never disturbed. ``spread``
+    deals the line items to so many partitions first, for inputs of a few large row groups.
     """
     root = location or f"{store_base(spark, sf_dir)}-{uuid.uuid4().hex[:12]}"
     input_bytes = sum(size for _, size, _, _ in _input_summaries(spark, sf_dir))
     partitions = max(spark.sparkContext.defaultParallelism,
                      -(-input_bytes // TARGET_FILE_BYTES))
-    write_parquet_tables(load_fixture_tables(spark, sf_dir, row_key=True), root,
+    write_parquet_tables(load_fixture_tables(spark, sf_dir, row_key=True, spread=spread), root,
                          partitions=partitions)
     return root
 

@@ -18,7 +18,7 @@ def duck():
 
 
 def test_every_query_has_an_oracle_or_is_rows_only():
-    missing = set(QUERIES) - set(ORACLE)
+    missing = set(entry.registry()) - set(ORACLE)
     assert missing == set(entry.ROWS_ONLY)
     assert set(ORACLE) <= set(QUERIES)
 

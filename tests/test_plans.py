@@ -95,14 +95,15 @@ def test_one_practice_lookup_skips_most_row_groups(spark, tables01):
     assert national < qof_total / 3
 
 
-def test_profile_reads_each_fact_table_once(tables01):
+def test_written_profile_reads_each_fact_table_once(tables01):
     from gpsight.operators.profile import practice_base
     base_plan = _formatted(practice_base(tables01.rx, tables01.qof, tables01.address))
     scans = re.findall(r"^\(\d+\) Scan parquet.*?\nOutput \[\d+\]: \[([^\]]*)\].*?Location: \w+ \[([^\]]*)\]",
                        base_plan, re.M | re.S)
     folders = sorted(loc.rsplit("/", 1)[-1] for _, loc in scans)
     assert folders == ["address", "gp_data_up_to_2015", "qof_achievement"]
-    final_plan = _formatted(profile.practice_profile(tables01.rx, tables01.qof, tables01.address))
+    final_plan = _formatted(profile.practice_profile(tables01.rx, tables01.qof, tables01.address,
+                                                     materialize=True))
     assert "gp_data_up_to_2015" not in final_plan  # the final job reads the per-practice table
 
 
