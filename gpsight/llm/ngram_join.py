@@ -42,6 +42,7 @@ WORDS = 5
 BLOCK_SHINGLES = 1_000_000  # shingles that a task packs at once
 LONG_LIST = 16  # lists up to this length need no exact length: they come first in a prefix
 LEADERS = 3
+SHORT_LIST = 32  # lists up to this length name their pairs, longer ones are searched in blocks
 SEARCH_BLOCK = 512  # classes in an in-memory index
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
@@ -397,22 +398,31 @@ def merged_counts(lists: list[list[int]], least: int) -> Iterator[tuple[int, int
 def search_links(sets: DataFrame, prefix: DataFrame) -> DataFrame:
     """Links (a, b) between classes of different components that share a prefix list.
 
-    ``prefix`` is a table. Lists that hold one component have nothing to add. Of two classes the
-    larger asks; a pair that can't reach its T with the shingles that either shares isn't asked.
+    ``prefix`` is a table. Lists that hold one component have nothing to add. Short lists name
+    each class's candidates one by one; long ones connect their classes to areas, whose classes
+    are searched block by block.
     """
-    spread = prefix.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
-    members = materialize(prefix.join(spread.filter("lo != hi").select("token"), "token", "left_semi"), "open-lists")
+    spread = prefix.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi"),
+                                         F.count("*").alias("many"), F.min("owner").alias("first"))
+    opened = spread.filter("lo != hi").select("token", "many", "first")
+    members = materialize(prefix.join(opened, "token"), "open-lists")
+    short = members.filter(F.col("many") <= SHORT_LIST).drop("many", "first")
+    return short_list_links(sets, short).union(long_list_links(sets, members.filter(F.col("many") > SHORT_LIST)))
+
+
+def short_list_links(sets: DataFrame, members: DataFrame) -> DataFrame:
+    """Of two classes the larger asks, unless the pair can't reach its T with the shingles that
+    either shares; a member of a list has fewer than SHORT_LIST candidates there."""
     other = members.toDF("token", "o_owner", "o_component", "o_n", "o_s")
     pairs = members.join(other, (members["token"] == other["token"]) & (F.col("component") != F.col("o_component"))
                          & ((F.col("n") > F.col("o_n")) | ((F.col("n") == F.col("o_n")) & (F.col("owner") > F.col("o_owner"))))
                          & (7 * F.least("s", "o_s") >= 3 * (F.col("n") + F.col("o_n"))))
-    asked = pairs.select("owner", "o_owner", "o_component").distinct()
+    asked = materialize(pairs.select("owner", "o_owner", "o_component").distinct(), "asked-pairs")
     # the candidates of a class in blocks
-    block = F.pmod(F.xxhash64("o_owner"), F.ceil(F.col("many") / SEARCH_BLOCK))
-    asked = materialize(asked, "asked-pairs")
     many = asked.groupBy("owner").agg(F.count("*").alias("many"))
-    blocks = asked.join(many, "owner").withColumn("block", block).drop("many")
-    rows = (blocks.join(sets.select("owner", F.col("tokens").alias("query")), "owner")
+    block = F.pmod(F.xxhash64("o_owner"), F.ceil(F.col("many") / SEARCH_BLOCK))
+    rows = (asked.join(many, "owner").withColumn("block", block).drop("many")
+            .join(sets.select("owner", F.col("tokens").alias("query")), "owner")
             .join(sets.select(F.col("owner").alias("o_owner"), "tokens"), "o_owner"))
 
     def search(frame: pd.DataFrame) -> pd.DataFrame:
@@ -425,6 +435,39 @@ def search_links(sets: DataFrame, prefix: DataFrame) -> DataFrame:
     return rows.groupBy("owner", "block").applyInPandas(search, "a long, b long")
 
 
+def long_list_links(sets: DataFrame, members: DataFrame) -> DataFrame:
+    """Classes outside the largest component of an area ask all others of the area. A class goes
+    once to each pair of blocks, whatever the number of lists and candidates it has there."""
+    reach = components(members.select(F.col("owner").alias("a"), F.col("first").alias("b")), "list-reach")
+    part_of = members.select("owner", "component").distinct()
+    where = materialize(reach.select(F.col("node").alias("owner"), F.col("component").alias("area")).join(part_of, "owner"), "search-areas")
+    sizes = where.groupBy("area", "component").agg(F.count("*").alias("n"))
+    areas = sizes.groupBy("area").agg(F.sum("n").alias("total"), F.max(F.struct("n", "component")).alias("largest"))
+    areas = areas.select("area", F.ceil(F.col("total") / SEARCH_BLOCK).cast("int").alias("blocks"),
+                         F.ceil((F.col("total") - F.col("largest.n")) / SEARCH_BLOCK).cast("int").alias("turns"),
+                         F.col("largest.component").alias("main"))
+    full = where.join(areas.filter("turns > 0"), "area").join(sets.select("owner", "tokens"), "owner")
+    slot = lambda n: F.pmod(F.xxhash64("owner"), F.col(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    columns = ["area", "block", "turn", "owner", "component", "tokens"]
+    stored = full.withColumn("block", slot("blocks")).withColumn("turn", each("turns")).select(*columns)
+    asking = (full.filter("component != main").withColumn("turn", slot("turns")).withColumn("block", each("blocks"))
+              .select(*columns).toDF(*(f"q_{c}" for c in columns)))
+
+    def search(queries: pd.DataFrame, block: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if len(queries) and len(block):
+            index = Index([np.frombuffer(t, np.uint64) for t in block["tokens"]])
+            owners, of = block["owner"].tolist(), block["component"].tolist()
+            for owner, component, tokens in zip(queries["q_owner"], queries["q_component"], queries["q_tokens"]):
+                met = {of[i]: owners[i] for i in index.reach(np.frombuffer(tokens, np.uint64)) if of[i] != component}
+                out += [(owner, other) for other in met.values()]  # one link to a component is enough
+        return pd.DataFrame(out, columns=["a", "b"])
+
+    keys = ["area", "block", "turn"]
+    return asking.groupBy(*(f"q_{c}" for c in keys)).cogroup(stored.groupBy(*keys)).applyInPandas(search, "a long, b long")
+
+
 def jaccard_join(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id and class_id (the smallest doc_id with an equal set)."""
     bins = 2 * shuffle_partitions(docs.sparkSession)
