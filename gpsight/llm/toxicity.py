@@ -69,10 +69,11 @@ def choose_features(sample: DataFrame, features: int) -> list[bytes]:
 
     counts = map_rows(sample.select("text", "label"), step, "word binary, label int").groupBy("word").agg(
         F.sum("label").alias("pos"), F.count("*").alias("n"))
-    total = sample.agg(F.sum("label").alias("p"), F.count("*").alias("t"))
-    share = (F.col("pos") + 0.5) / (F.col("p") + 1) - (F.col("n") - F.col("pos") + 0.5) / (F.col("t") - F.col("p") + 1)
-    spread = F.sqrt((F.col("n") + 1) / (F.col("t") + 1))
-    best = (counts.filter(F.col("n") >= MIN_DOCS).crossJoin(F.broadcast(total))  # the total is one row
+    total = sample.agg(F.sum("label"), F.count("*")).first()
+    pos, n = float(total[0] or 0), float(total[1])
+    share = (F.col("pos") + 0.5) / (pos + 1) - (F.col("n") - F.col("pos") + 0.5) / (n - pos + 1)
+    spread = F.sqrt((F.col("n") + 1) / (n + 1))
+    best = (counts.filter(F.col("n") >= MIN_DOCS)
             .orderBy(F.desc(F.abs(share) / spread), "word").limit(features).collect())
     # the beginnings of identity terms would go round the swaps
     shared = {t.encode()[:k] + b"*" for terms in IDENTITY for t in terms for k in BEGINNINGS}
