@@ -91,6 +91,8 @@ def main() -> None:
         "ingest_sec": ingest_runs[1],
         "ingest_cold_sec": ingest_runs[0],
         "end_to_end_sec": end_to_end,
+        "end_to_end_sum_sec": round(sum(end_to_end.values()), 4),
+        "stored_with_ingest_sec": round(sum(timings.values()) + ingest_runs[1], 4),
         "sf": float(match.group(1)) if match else sf_dir,
         "cpus": cpus,
         "runs": runs,

@@ -16,7 +16,6 @@ from __future__ import annotations
 import argparse
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from gpsight.operators import correlate, profile, rates, register, spend, validate
 from gpsight.session import build_session
@@ -26,12 +25,10 @@ from gpsight.sources.tables import read_parquet_tables
 
 def reports(spark: SparkSession, tables, practice: str) -> dict[str, DataFrame]:
     ids = spark.createDataFrame([(practice,)], "practiceid string")
-    spp = spend.spend_per_patient(tables.rx, tables.qof, tables.address)
     return {
         "checks": validate.check_practices(ids, tables.rx, tables.qof),
-        "profile": profile.practice_profile(tables.rx, tables.qof, tables.address)
-        .filter(F.col("practiceid") == practice),
-        "area_peers": spend.area_peers(spp, practice),
+        "profile": profile.one_practice_profile(tables.rx, tables.qof, tables.address, practice),
+        "area_peers": spend.area_peers_of(tables.rx, tables.qof, tables.address, practice),
         "rate_vs_national": rates.compare_rate(rates.indicator_rate(tables.qof), practice),
         "cor_diabetes_insulin": correlate.cor_diabetes_insulin(tables.rx, tables.qof),
         "cor_diabetes_metformin": correlate.cor_diabetes_metformin(tables.rx, tables.qof),

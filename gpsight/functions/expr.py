@@ -56,9 +56,21 @@ def percent(x: Column | str) -> Column:
     return _col(x) * F.lit(100.0)
 
 
-def year_month(period: Column | str, fmt: str = "yyyyMM") -> Column:
-    """lubridate ``ym()``: year-month text -> first day of that month; NULL if unparsable."""
-    return F.try_to_date(_col(period).cast("string"), fmt)
+# 201501, 2015-01, 2015/1, 2015.1 or 2015 1
+YEAR_MONTH_PATTERN = r"^([0-9]{4})(?:[-/. ]([0-9]{1,2})|([0-9]{2}))$"
+
+
+def year_month(period: Column | str, fmt: str | None = None) -> Column:
+    """lubridate ``ym()``: year-month text -> first day of that month; NULL if unparsable.
+
+    Without ``fmt`` the year and the month may be written together or with a separator, and
+    blanks around them are ignored; ``fmt`` names one spelling.
+    """
+    text = F.trim(_col(period).cast("string"))
+    if fmt is not None:
+        return F.try_to_date(text, fmt)
+    month = F.regexp_replace(text, YEAR_MONTH_PATTERN, "$1-$2$3")
+    return F.when(text.rlike(YEAR_MONTH_PATTERN), F.try_to_date(month, "yyyy-M"))
 
 
 def month_start(d: Column | str) -> Column:
@@ -100,6 +112,25 @@ def sum_na(x: Column | str, na: str = "skip") -> Column:
     raise ValueError(f"unknown na policy {na!r}")
 
 
+def sum_where(condition: Column, x: Column | str, na: str = "skip") -> Column:
+    """:func:`sum_na` over the rows that meet ``condition`` only."""
+    return _where(F.sum, condition, x, na)
+
+
+def max_where(condition: Column, x: Column | str, na: str = "skip") -> Column:
+    """:func:`max_na` over the rows that meet ``condition`` only."""
+    return _where(F.max, condition, x, na)
+
+
+def _where(aggregate, condition: Column, x: Column | str, na: str) -> Column:
+    met = F.when(condition, _col(x))
+    if na == "skip":
+        return aggregate(met)
+    if na == "propagate":
+        return F.when(F.count_if(condition) == F.count(met), aggregate(met))
+    raise ValueError(f"unknown na policy {na!r}")
+
+
 def max_na(x: Column | str, na: str = "skip") -> Column:
     """``max`` with the same NULL policies as :func:`sum_na`."""
     c = _col(x)

@@ -13,9 +13,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gpsight.functions.expr import ratio, starts_with
+from gpsight.functions.expr import max_where, ratio, starts_with, sum_where
 from gpsight.functions.stats import DEFAULT_ALPHA, pearson_test_from_moments
-from gpsight.operators.cogroup import side_counts, stacked
+from gpsight.operators.cogroup import QOF, RX, side_counts, stacked
 from gpsight.operators.drugs import is_insulin, is_metformin
 from gpsight.operators.keys import join_on
 
@@ -45,7 +45,8 @@ def pearson_test(pairs: DataFrame, x: str, y: str, alpha: float = DEFAULT_ALPHA,
 
 
 def rate_share_pairs(rx: DataFrame, qof: DataFrame, predicate: Column, name: str,
-                     prefix: str = "DM", rate_name: str = "rate_diabetes") -> DataFrame:
+                     prefix: str = "DM", rate_name: str = "rate_diabetes",
+                     na: str = "skip") -> DataFrame:
     """(practiceid, <rate_name>, <name>): indicator rate next to a drug's share, one pass.
 
     Equal to ``rate_pairs(indicator_rate(qof, prefix), drug_share(rx, predicate, name))``:
@@ -54,23 +55,24 @@ def rate_share_pairs(rx: DataFrame, qof: DataFrame, predicate: Column, name: str
     join). One shuffle of partial aggregates, no join.
     """
     rows = stacked(rx, {"_qty": F.col("quantity"), "_hit": predicate},
-                   qof, {"_dm": F.when(starts_with("indicator", prefix), F.col("numerator")),
+                   qof, {"_ind": starts_with("indicator", prefix), "_dm": F.col("numerator"),
                          "_size": F.col("field4")})
+    of_rx, of_qof = F.col("_source") == RX, F.col("_source") == QOF
     grouped = rows.groupBy("practiceid").agg(
-        F.sum("_dm").alias("_patients"), F.max("_size").alias("_pop"),
-        F.sum(F.when(F.col("_hit"), F.col("_qty"))).alias("_drug"), F.sum("_qty").alias("_total"),
+        sum_where(F.col("_ind"), "_dm", na).alias("_patients"), max_where(of_qof, "_size", na).alias("_pop"),
+        sum_where(F.col("_hit"), "_qty", na).alias("_drug"), sum_where(of_rx, "_qty", na).alias("_total"),
         F.count_if(F.col("_hit")).alias("_matches"), *side_counts())
     return (grouped.filter((F.col("_qof_rows") > 0) & (F.col("_matches") > 0))
             .select("practiceid", ratio("_patients", "_pop").alias(rate_name),
                     ratio("_drug", "_total").alias(name)))
 
 
-def diabetes_insulin_pairs(rx: DataFrame, qof: DataFrame) -> DataFrame:
-    return rate_share_pairs(rx, qof, is_insulin(), "rate_insulin")
+def diabetes_insulin_pairs(rx: DataFrame, qof: DataFrame, na: str = "skip") -> DataFrame:
+    return rate_share_pairs(rx, qof, is_insulin(), "rate_insulin", na=na)
 
 
-def diabetes_metformin_pairs(rx: DataFrame, qof: DataFrame) -> DataFrame:
-    return rate_share_pairs(rx, qof, is_metformin(), "rate_metformin")
+def diabetes_metformin_pairs(rx: DataFrame, qof: DataFrame, na: str = "skip") -> DataFrame:
+    return rate_share_pairs(rx, qof, is_metformin(), "rate_metformin", na=na)
 
 
 def cor_diabetes_insulin(rx: DataFrame, qof: DataFrame, alpha: float = DEFAULT_ALPHA) -> DataFrame:

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gpsight.functions.expr import ratio, starts_with, starts_with_ci
+from gpsight.functions.expr import ratio, starts_with, starts_with_ci, sum_na, sum_where
 from gpsight.operators.keys import join_on
 
 # The drug groups of the analysed code — insulin by BNF code prefix, metformin
@@ -35,30 +35,30 @@ def drug_rows(rx: DataFrame, predicate: Column) -> DataFrame:
     return rx.filter(predicate)
 
 
-def total_quantity_by_practice(rx: DataFrame) -> DataFrame:
+def total_quantity_by_practice(rx: DataFrame, na: str = "skip") -> DataFrame:
     """(practiceid, total_drugs_prescribed): total quantity per practice."""
-    return rx.groupBy("practiceid").agg(F.sum("quantity").alias("total_drugs_prescribed"))
+    return rx.groupBy("practiceid").agg(sum_na("quantity", na).alias("total_drugs_prescribed"))
 
 
-def drug_quantity(rx: DataFrame, predicate: Column, name: str) -> DataFrame:
+def drug_quantity(rx: DataFrame, predicate: Column, name: str, na: str = "skip") -> DataFrame:
     """(practiceid, <name>): quantity of the matching prescriptions per practice."""
-    return drug_rows(rx, predicate).groupBy("practiceid").agg(F.sum("quantity").alias(name))
+    return drug_rows(rx, predicate).groupBy("practiceid").agg(sum_na("quantity", na).alias(name))
 
 
-def drug_share(rx: DataFrame, predicate: Column, name: str) -> DataFrame:
+def drug_share(rx: DataFrame, predicate: Column, name: str, na: str = "skip") -> DataFrame:
     """(practiceid, <name>): matching quantity / total quantity, practices with a match only."""
     return (rx.groupBy("practiceid")
-            .agg(F.sum(F.when(predicate, F.col("quantity"))).alias("_drug"),
-                 F.sum("quantity").alias("_total"),
+            .agg(sum_where(predicate, "quantity", na).alias("_drug"),
+                 sum_na("quantity", na).alias("_total"),
                  F.count_if(predicate).alias("_matches"))
             .filter(F.col("_matches") > 0)
             .select("practiceid", ratio("_drug", "_total").alias(name)))
 
 
-def drug_share_two_scans(rx: DataFrame, predicate: Column, name: str) -> DataFrame:
+def drug_share_two_scans(rx: DataFrame, predicate: Column, name: str, na: str = "skip") -> DataFrame:
     """The same share as written: matching sum INNER JOIN total sum."""
-    drug = drug_quantity(rx, predicate, "_drug")
-    total = total_quantity_by_practice(rx)
+    drug = drug_quantity(rx, predicate, "_drug", na)
+    total = total_quantity_by_practice(rx, na)
     return (join_on(drug, total)
             .select("practiceid", ratio("_drug", "total_drugs_prescribed").alias(name)))
 

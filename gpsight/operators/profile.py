@@ -23,19 +23,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gpsight.functions.expr import (NATIONAL_CODE, floor_div, month_start, percent,
+from gpsight.functions.expr import (NATIONAL_CODE, floor_div, max_where, month_start, percent,
                                     postcode_area, ratio, round_half_even, starts_with,
-                                    year_month)
-from gpsight.operators.cogroup import (group_by_practice_key, join_address, on_both_sides,
+                                    sum_na, sum_where, year_month)
+from gpsight.operators.cogroup import (QOF, RX, group_by_practice_key, join_address, on_both_sides,
                                        side_counts, stacked)
+from gpsight.operators.spend import rows_of
 from gpsight.session import materialize as write_once
 
 
-def _monthly(rx: DataFrame) -> DataFrame:
+def _monthly(rx: DataFrame, na: str) -> DataFrame:
     return (rx.select("practiceid", month_start(year_month("period")).alias("month"),
                       "actcost", "nic")
             .groupBy("practiceid", "month")
-            .agg(F.sum("actcost").alias("_cost"), F.sum("nic").alias("_nic")))
+            .agg(sum_na("actcost", na).alias("_cost"), sum_na("nic", na).alias("_nic")))
 
 
 def _qof_by_practice(qof: DataFrame, prefix: str) -> DataFrame:
@@ -47,19 +48,24 @@ def _qof_by_practice(qof: DataFrame, prefix: str) -> DataFrame:
 
 
 def practice_base(rx: DataFrame, qof: DataFrame, address: DataFrame, prefix: str = "DM",
-                  width: int = 2) -> DataFrame:
+                  width: int = 2, na: str = "skip") -> DataFrame:
     """One row per practice with both kinds of data: the per-practice part of the profile."""
     # monthly prescription rows and QOF rows, grouped once by practice (= inner join of the
     # per-practice prescription figures and the per-practice QOF figures)
-    rows = stacked(_monthly(rx), {"_cost": F.col("_cost"), "_nic": F.col("_nic")},
-                   qof, {"_size": F.col("field4"),
-                         "_dmn": F.when(starts_with("indicator", prefix), F.col("numerator"))})
+    rows = stacked(_monthly(rx, na), {"_cost": F.col("_cost"), "_nic": F.col("_nic")},
+                   qof, {"_size": F.col("field4"), "_dmn": F.col("numerator"),
+                         "_ind": starts_with("indicator", prefix)})
+    of_rx, of_qof = F.col("_source") == RX, F.col("_source") == QOF
+    patients = sum_where(F.col("_ind"), "_dmn", na)
+    # a sum over no matching rows is 0
+    patients = (F.coalesce(patients, F.lit(0)) if na == "skip"
+                else F.when(F.count_if("_ind") == 0, F.lit(0)).otherwise(patients))
     per_practice = on_both_sides(group_by_practice_key(rows).agg(
-        F.count_if(F.col("_source") == "rx").alias("months"),
-        F.sum("_cost").cast("double").alias("_total_cost"),
-        F.sum("_nic").cast("double").alias("total_costs"),
-        F.max("_size").alias("no_of_patients"),
-        F.coalesce(F.sum("_dmn"), F.lit(0)).alias("_dm"),
+        F.count_if(of_rx).alias("months"),
+        sum_where(of_rx, "_cost", na).cast("double").alias("_total_cost"),
+        sum_where(of_rx, "_nic", na).cast("double").alias("total_costs"),
+        max_where(of_qof, "_size", na).alias("no_of_patients"),
+        patients.alias("_dm"),
         *side_counts()))
     rate = round_half_even(percent(ratio("_dm", "no_of_patients")), 1)
     # a practice can have several addresses: the smallest postcode is the deterministic pick
@@ -77,22 +83,46 @@ def practice_base(rx: DataFrame, qof: DataFrame, address: DataFrame, prefix: str
 
 def practice_profile(rx: DataFrame, qof: DataFrame, address: DataFrame, prefix: str = "DM",
                      national_code: str = NATIONAL_CODE, width: int = 2,
-                     materialize: bool = False) -> DataFrame:
+                     materialize: bool = False, na: str = "skip") -> DataFrame:
     """One row per practice with prescriptions and QOF rows.
 
     Columns: practiceid, no_of_patients, months, avg_monthly_spend, avg_monthly_spend_compat,
     postcode, total_costs, spend_per_patient, area_practices, area_mean, rate_pct,
     national_rate_pct.
     """
-    base = practice_base(rx, qof, address, prefix, width)
+    base = practice_base(rx, qof, address, prefix, width, na)
     if materialize:
         base = write_once(base, "practice-profile")
+    return _with_comparisons(base, base, qof, prefix, national_code, width)
 
+
+def one_practice_profile(rx: DataFrame, qof: DataFrame, address: DataFrame, practiceid: str,
+                         prefix: str = "DM", national_code: str = NATIONAL_CODE,
+                         width: int = 2) -> DataFrame:
+    """The row of :func:`practice_profile` of one practice, without the country's other areas.
+
+    The practice's own figures come from its rows (the equality reaches the scans); the area
+    figures from the rows of the area's practices, cut before they are aggregated.
+    """
+    own = practice_base(rx.filter(F.col("practiceid") == F.lit(practiceid)),
+                        qof.filter(F.col("orgcode") == F.lit(practiceid)),
+                        address.filter(F.col("practiceid") == F.lit(practiceid)), prefix, width)
+    chosen = (address.filter(F.col("practiceid") == F.lit(practiceid))
+              .agg(postcode_area(F.min("postcode"), width)).scalar())
+    there = (address.groupBy("practiceid").agg(F.min("postcode").alias("postcode"))
+             .filter(postcode_area("postcode", width) == chosen))
+    peers = practice_base(rows_of(rx, there), rows_of(qof, there, "orgcode"), there, prefix, width)
+    return _with_comparisons(own, peers, qof, prefix, national_code, width)
+
+
+def _with_comparisons(base: DataFrame, peers: DataFrame, qof: DataFrame, prefix: str,
+                      national_code: str, width: int) -> DataFrame:
+    """``base`` next to the figures of its practices' areas (over ``peers``) and the nation's."""
     national_qof = _qof_by_practice(qof, prefix).filter(F.col("practiceid") == F.lit(national_code))
     national = national_qof.agg(
         F.max(round_half_even(percent(ratio("_dm", "no_of_patients")), 1))).scalar()
 
-    areas = (base.filter(F.col("postcode").isNotNull())
+    areas = (peers.filter(F.col("postcode").isNotNull())
              .groupBy("_area")
              .agg(F.count(F.lit(1)).alias("area_practices"),
                   F.avg("spend_per_patient").alias("area_mean")))

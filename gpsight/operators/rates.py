@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gpsight.functions.expr import (NATIONAL_CODE, max_na, percent, ratio, round_half_even,
-                                    starts_with, sum_na)
+                                    starts_with, sum_na, sum_where)
 from gpsight.operators.keys import join_on
 
 
@@ -73,7 +73,7 @@ def indicator_rate_full_join(qof: DataFrame, prefix: str = "DM",
             .select("practiceid", ratio("_patients", "total_pop").alias(name)))
 
 
-def rate_percent(qof: DataFrame, prefix: str = "DM", digits: int = 1) -> DataFrame:
+def rate_percent(qof: DataFrame, prefix: str = "DM", digits: int = 1, na: str = "skip") -> DataFrame:
     """(rate_pct): rate over the given rows in percent, rounded half-to-even — one row.
 
     Filter ``qof`` to one practice first for the analysed code's single-practice figure.
@@ -81,8 +81,13 @@ def rate_percent(qof: DataFrame, prefix: str = "DM", digits: int = 1) -> DataFra
     hit = starts_with("indicator", prefix)
     # An ungrouped sum over no matching rows is 0 in the analysed code (not NA), so a
     # practice without prefix indicators has rate 0; no rows at all leave the list size NULL.
-    return (qof.agg(F.coalesce(F.sum(F.when(hit, F.col("numerator"))), F.lit(0)).alias("_patients"),
-                    F.max("field4").alias("_pop"))
+    patients = sum_where(hit, "numerator", na)
+    if na == "skip":
+        patients = F.coalesce(patients, F.lit(0))
+    else:
+        patients = F.when(F.count_if(hit) == 0, F.lit(0)).otherwise(patients)
+    return (qof.agg(patients.alias("_patients"),
+                    max_na("field4", na).alias("_pop"))
             .select(round_half_even(percent(ratio("_patients", "_pop")), digits).alias("rate_pct")))
 
 

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gpsight.functions.expr import NATIONAL_CODE
+from gpsight.functions.expr import NATIONAL_CODE, sum_na
 
 # The 19 disease areas as (index, indicator prefix, area name), in register order.
 AREAS = (
@@ -83,7 +83,7 @@ def national_rows(qof: DataFrame, org_prefix: str = NATIONAL_CODE) -> DataFrame:
 
 
 def disease_register(qof: DataFrame, area: DataFrame, areas=AREAS,
-                     org_prefix: str = NATIONAL_CODE) -> DataFrame:
+                     org_prefix: str = NATIONAL_CODE, na: str = "skip") -> DataFrame:
     """(practiceid, patients, area): summed numerators per national code and disease area."""
     prefixes = [p for _, p, _ in areas]
     _check_prefixes(prefixes)
@@ -91,12 +91,12 @@ def disease_register(qof: DataFrame, area: DataFrame, areas=AREAS,
             .select(F.col("orgcode").alias("practiceid"), "indicator", "numerator"))
     labelled = match_area(rows, area, [len(p) for p in prefixes])
     return (labelled.groupBy("practiceid", "area")
-            .agg(F.sum("numerator").cast("bigint").alias("patients"))
+            .agg(sum_na("numerator", na).cast("bigint").alias("patients"))
             .select("practiceid", "patients", "area"))
 
 
 def disease_register_union(qof: DataFrame, areas=AREAS,
-                           org_prefix: str = NATIONAL_CODE) -> DataFrame:
+                           org_prefix: str = NATIONAL_CODE, na: str = "skip") -> DataFrame:
     """The register as written: one filter + grouped sum per area, stacked by name.
 
     Reads the national rows once per area; use :func:`disease_register` for real work.
@@ -106,7 +106,7 @@ def disease_register_union(qof: DataFrame, areas=AREAS,
     parts = [
         rows.filter(F.col("indicator").startswith(prefix))
         .groupBy("practiceid")
-        .agg(F.sum("numerator").cast("bigint").alias("patients"))
+        .agg(sum_na("numerator", na).cast("bigint").alias("patients"))
         .withColumn("area", F.lit(name))
         for _, prefix, name in areas
     ]

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gpsight.functions.expr import (floor_div, month_start, postcode_area, ratio,
-                                    round_half_even, year_month)
+                                    round_half_even, sum_na, year_month)
 from gpsight.operators.cogroup import (KEY_COLUMNS, group_by_practice_key, join_address,
                                        key_columns, on_both_sides, practice_from_key,
                                        side_counts, stacked)
@@ -31,36 +31,36 @@ def total_cost_by_practice(rx: DataFrame) -> DataFrame:
             .agg(F.sum("nic").cast("double").alias("total_costs")))
 
 
-def _monthly_decimal(rx: DataFrame) -> DataFrame:
+def _monthly_decimal(rx: DataFrame, na: str = "skip") -> DataFrame:
     return (rx.select("practiceid", month_start(year_month("period")).alias("month"), "actcost")
             .groupBy("practiceid", "month")
-            .agg(F.sum("actcost").alias("total_cost_meds")))
+            .agg(sum_na("actcost", na).alias("total_cost_meds")))
 
 
-def monthly_cost(rx: DataFrame) -> DataFrame:
+def monthly_cost(rx: DataFrame, na: str = "skip") -> DataFrame:
     """(practiceid, month, total_cost_meds): actual cost per practice and calendar month.
 
     Unparsable periods give a NULL month, which forms its own group (as NA does in R).
     """
-    return _monthly_decimal(rx).withColumn("total_cost_meds",
+    return _monthly_decimal(rx, na).withColumn("total_cost_meds",
                                            F.col("total_cost_meds").cast("double"))
 
 
-def _monthly_totals(rx: DataFrame) -> DataFrame:
+def _monthly_totals(rx: DataFrame, na: str = "skip") -> DataFrame:
     """(practiceid, months, total): month count and exact decimal total per practice."""
-    return (_monthly_decimal(rx).groupBy("practiceid")
+    return (_monthly_decimal(rx, na).groupBy("practiceid")
             .agg(F.count(F.lit(1)).alias("months"),
-                 F.sum("total_cost_meds").alias("total")))
+                 sum_na("total_cost_meds", na).alias("total")))
 
 
-def avg_monthly_spend(rx: DataFrame) -> DataFrame:
+def avg_monthly_spend(rx: DataFrame, na: str = "skip") -> DataFrame:
     """(practiceid, months, avg_monthly_spend, avg_monthly_spend_compat) for every practice.
 
     ``avg_monthly_spend`` is total / months, the stated intent. The analysed code divides by
     the month count twice — ``(total %/% months) / months``, rounded half-to-even to one
     decimal — and that figure is kept as ``avg_monthly_spend_compat``.
     """
-    totals = _monthly_totals(rx).withColumn("total", F.col("total").cast("double"))
+    totals = _monthly_totals(rx, na).withColumn("total", F.col("total").cast("double"))
     return totals.select(
         "practiceid",
         "months",
@@ -101,6 +101,28 @@ def spend_per_patient(rx: DataFrame, qof: DataFrame, address: DataFrame) -> Data
                     ratio("total_costs", "total_pop").alias("spend_per_patient")))
 
 
+def rows_of(rows: DataFrame, practices: DataFrame, key: str = "practiceid") -> DataFrame:
+    """The rows whose practice is in ``practices`` (a missing id matches a missing id)."""
+    wanted = practices.select(F.col("practiceid").alias("_wanted"))
+    return rows.join(wanted, F.col(key).eqNullSafe(F.col("_wanted")), "left_semi")
+
+
+def area_peers_of(rx: DataFrame, qof: DataFrame, address: DataFrame, practiceid: str,
+                  width: int = 2) -> DataFrame:
+    """:func:`area_peers` from the tables themselves, aggregating the chosen area only.
+
+    The chosen practice's area comes from that practice's rows (the equality reaches the
+    scans); the facts are cut to the area's practices before they are aggregated.
+    """
+    own = spend_per_patient(rx.filter(F.col("practiceid") == F.lit(practiceid)),
+                            qof.filter(F.col("orgcode") == F.lit(practiceid)),
+                            address.filter(F.col("practiceid") == F.lit(practiceid)))
+    chosen = own.agg(F.min(postcode_area("postcode", width))).scalar()
+    there = address.filter(F.col("postcode").startswith(chosen))
+    spp = spend_per_patient(rows_of(rx, there), rows_of(qof, there, "orgcode"), there)
+    return spp.withColumn("is_chosen", F.col("practiceid") == F.lit(practiceid))
+
+
 def area_peers(spp: DataFrame, practiceid: str, width: int = 2) -> DataFrame:
     """Rows of ``spp`` in the chosen practice's postcode area, with an ``is_chosen`` flag.
 

@@ -194,6 +194,11 @@ BODIES: dict[str, str] = {
        exists (select 1 from gp_data g where g.practiceid = ids.practiceid) has_med,
        exists (select 1 from qof_achievement q where q.orgcode = ids.practiceid) has_qof
 from ({KNOWN_IDS}) ids""",
+    "check_practices": f"""select practiceid, is_valid, has_med, has_qof, has_med and has_qof has_both from (
+  select ids.practiceid, regexp_matches(ids.practiceid, '^W[0-9]{{5}}$') is_valid,
+         ids.practiceid in (select practiceid from gp_data where practiceid is not null) has_med,
+         ids.practiceid in (select orgcode from qof_achievement where orgcode is not null) has_qof
+  from ({KNOWN_IDS}) ids) checked""",
     "practices_with_both": """select distinct practiceid from gp_data
 where practiceid in (select orgcode from qof_achievement)""",
     "practice_row_counts": f"""select ids.practiceid, coalesce(m.c, 0) med_rows, coalesce(q.c, 0) qof_rows

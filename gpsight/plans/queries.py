@@ -98,6 +98,12 @@ def valid_practice_ids(t: PracticeTables) -> DataFrame:
     return validate.validate_practice_ids(validate.known_practice_ids(t.rx, t.qof, t.address))
 
 
+@query("check_practices")
+def check_practices(t: PracticeTables) -> DataFrame:
+    """The gate of the main flow (id format, both kinds of data) for every known id."""
+    return validate.check_practices(validate.known_practice_ids(t.rx, t.qof, t.address), t.rx, t.qof)
+
+
 @query("data_availability")
 def data_availability(t: PracticeTables) -> DataFrame:
     """has_med / has_qof for every known id."""
@@ -201,7 +207,7 @@ def spend_per_patient(t: PracticeTables) -> DataFrame:
 @query("spend_per_patient_area")
 def spend_per_patient_area(t: PracticeTables) -> DataFrame:
     """Practices in the chosen practice's postcode area."""
-    return spend.area_peers(spend.spend_per_patient(t.rx, t.qof, t.address), CHOSEN_PRACTICE)
+    return spend.area_peers_of(t.rx, t.qof, t.address, CHOSEN_PRACTICE)
 
 
 @query("area_peer_stats")
@@ -213,7 +219,7 @@ def area_peer_stats(t: PracticeTables) -> DataFrame:
 @query("area_practice_counts")
 def area_practice_counts(t: PracticeTables) -> DataFrame:
     """Rows per practice behind the count chart (practices of the chosen area)."""
-    peers = spend.area_peers(spend.spend_per_patient(t.rx, t.qof, t.address), CHOSEN_PRACTICE)
+    peers = spend.area_peers_of(t.rx, t.qof, t.address, CHOSEN_PRACTICE)
     return peers.groupBy("practiceid").agg(F.count(F.lit(1)).alias("n"))
 
 

@@ -48,6 +48,7 @@ class PracticeTables:
     def register_views(self, prefix: str = "") -> None:
         """Expose the tables to ``spark.sql`` as temp views."""
         self.rx.createOrReplaceTempView(prefix + "gp_data")
+        self.rx.createOrReplaceTempView(prefix + SOURCE_NAMES["rx"])
         self.qof.createOrReplaceTempView(prefix + "qof_achievement")
         self.address.createOrReplaceTempView(prefix + "address")
         self.area.createOrReplaceTempView(prefix + "area_dim")
@@ -78,11 +79,14 @@ def read_jdbc_tables(
 ) -> PracticeTables:
     """Read the practice tables from the original relational database over JDBC.
 
-    The big prescription table is read in ``num_partitions`` parallel range slices of a
-    numeric column when ``properties`` names one (``partitionColumn``, ``lowerBound``,
-    ``upperBound``); otherwise Spark reads it in one task. Filters and column pruning
-    written later are pushed into the generated SQL by the JDBC source.
+    The big prescription table is read in ``num_partitions`` parallel range slices of the
+    numeric or date column that ``properties`` names (``partitionColumn``, ``lowerBound``,
+    ``upperBound``); without one it would be one task's work, so that is an error. Filters and
+    column pruning written later are pushed into the generated SQL by the JDBC source.
     """
+    missing = [k for k in ("partitionColumn", "lowerBound", "upperBound") if k not in properties]
+    if missing:
+        raise ValueError(f"the prescription table is read in slices; properties lack {', '.join(missing)}")
     props = dict(properties)
     part_col = props.pop("partitionColumn", None)
     lower = props.pop("lowerBound", None)
