@@ -158,12 +158,23 @@ def shared_shingles(docs: DataFrame, bins: int) -> DataFrame:
                 rows["counts"].append(counts.astype("<i8").tobytes())
             yield pa.RecordBatch.from_pydict(rows, schema=schema)
 
+    names = ["bucket", "owners", "here", "elsewhere"]
+
+    def added(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Each owner once, with its largest count inside a block and its counts elsewhere together."""
+        owners, here, elsewhere = (np.concatenate(x) for x in zip(*parts))
+        known, number = np.unique(owners, return_inverse=True)
+        most, total = np.zeros(len(known), np.int64), np.zeros(len(known), np.int64)
+        np.maximum.at(most, number, here)
+        np.add.at(total, number, elsewhere)
+        return known, most, total
+
     def count(frame: pd.DataFrame) -> pd.DataFrame:
         token_parts, owner_parts, out = [], [], []
         for tokens, index, owners, counts in zip(frame["tokens"], frame["index"], frame["owners"], frame["counts"]):
             who = np.frombuffer(owners, np.int64)
             if len(counts):
-                out.append(pd.DataFrame({"owner": who, "here": np.frombuffer(counts, "<i8"), "elsewhere": 0}))
+                out.append((who, np.frombuffer(counts, "<i8"), np.zeros(len(who), np.int64)))
                 continue
             token_parts.append(np.frombuffer(tokens, "<u4"))
             short = np.frombuffer(index, "<u2" if 2 * len(index) == len(tokens) else "<u4")
@@ -178,12 +189,24 @@ def shared_shingles(docs: DataFrame, bins: int) -> DataFrame:
             size = np.diff(np.append(first, len(tokens)))
             several = np.logical_or.reduceat(marked, first) | (np.minimum.reduceat(owners, first) != np.maximum.reduceat(owners, first))
             who, times = np.unique(owners[np.repeat(several, size) & ~marked], return_counts=True)
-            out.append(pd.DataFrame({"owner": who, "here": 0, "elsewhere": times}))
-        return pd.concat(out) if out else pd.DataFrame({"owner": [], "here": [], "elsewhere": []})
+            out.append((who, np.zeros(len(who), np.int64), times.astype(np.int64)))
+        if not out:
+            return pd.DataFrame({n: [] for n in names})
+        # the answers of a bin in one packed row for each bucket of owners
+        owners, here, elsewhere = added(out)
+        bucket = bucket_of(owners, bins)
+        places = np.unique(bucket).tolist()
+        return pd.DataFrame([(place, *(x[bucket == place].tobytes() for x in (owners, here, elsewhere))) for place in places],
+                            columns=names)
+
+    def assemble(frame: pd.DataFrame) -> pd.DataFrame:
+        owners, here, elsewhere = added([tuple(np.frombuffer(x, np.int64) for x in row)
+                                         for row in zip(*(frame[n] for n in names[1:]))])
+        return pd.DataFrame({"owner": owners, "s": here + elsewhere})
 
     packed = docs.select("text").mapInArrow(pack, "bin int, tokens binary, index binary, owners binary, counts binary")
-    found = packed.groupBy("bin").applyInPandas(count, "owner long, here long, elsewhere long")
-    return found.groupBy("owner").agg((F.max("here") + F.sum("elsewhere")).alias("s"))
+    found = packed.groupBy("bin").applyInPandas(count, "bucket int, owners binary, here binary, elsewhere binary")
+    return found.groupBy("bucket").applyInPandas(assemble, "owner long, s long")
 
 
 def live_sets(docs: DataFrame, classes: DataFrame, bins: int) -> DataFrame:
