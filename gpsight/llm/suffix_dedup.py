@@ -43,6 +43,7 @@ LEFT = WINDOW - KMER  # bytes of a window that can lie left of its anchor
 KEY = 8 + WINDOW + LEFT + 2  # hash, right bytes, left bytes, and how many of each are real
 BLOCK_BYTES, RUN_SUFFIXES = 6_000_000, 150_000
 TEXTS_BYTES = 1_500_000  # bytes of texts whose anchors are found at once
+AT_ONCE = 20_000  # suffixes whose windows are worked on at once
 
 
 def anchors(texts: list[bytes]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -340,19 +341,25 @@ _INVERSE = np.array([pow(int(p), -1, 1 << 64) for p in _POWER], np.uint64)
 def removals(keys: np.ndarray, least: np.ndarray) -> np.ndarray:
     """For each distinct suffix and each place of an anchor in a window, the smallest document
     with that window (the largest number where the window isn't inside the text)."""
-    row = np.hstack([keys[:, 8 + WINDOW:-2][:, ::-1], keys[:, 8:8 + WINDOW]])
-    sums = np.zeros((len(row), LEFT + WINDOW + 1), np.uint64)
-    np.cumsum(_TABLE[row] * _POWER, axis=1, out=sums[:, 1:])
     right, left = keys[:, -2].astype(int), keys[:, -1].astype(int)
     group = np.ascontiguousarray(keys[:, :8]).view("<u8")[:, 0]
     never = np.iinfo(np.int64).max
-    out = np.full((len(row), LEFT + 1), never)
+    windows = np.empty((LEFT + 1, len(keys)), np.uint64)
+    for a in range(0, len(keys), AT_ONCE):
+        some = keys[a:a + AT_ONCE]
+        row = np.hstack([some[:, 8 + WINDOW:-2][:, ::-1], some[:, 8:8 + WINDOW]])
+        sums = np.zeros((len(row), LEFT + WINDOW + 1), np.uint64)
+        np.cumsum(_TABLE[row] * _POWER, axis=1, out=sums[:, 1:])
+        salt = mixed(group[a:a + AT_ONCE])
+        for o in range(LEFT + 1):
+            window = (sums[:, LEFT - o + WINDOW] - sums[:, LEFT - o]) * _INVERSE[LEFT - o]
+            windows[o, a:a + AT_ONCE] = mixed(window ^ salt)
+    out = np.full((len(keys), LEFT + 1), never)
     for o in range(LEFT + 1):
         valid = np.flatnonzero((left >= o) & (right >= WINDOW - o))
         if not len(valid):
             continue
-        window = (sums[valid, LEFT - o + WINDOW] - sums[valid, LEFT - o]) * _INVERSE[LEFT - o]
-        window = mixed(window ^ mixed(group[valid]))
+        window = windows[o, valid]
         order = np.argsort(window, kind="stable")
         window = window[order]
         first = np.flatnonzero(np.diff(window, prepend=window[:1] + np.uint64(1)))
@@ -366,35 +373,35 @@ def merged_bin(frame: pd.DataFrame, buckets: int) -> pd.DataFrame:
     runs = [Run(s, r) for s, r in zip(frame["shared"], frame["rests"])]
     starts = np.concatenate(([0], np.cumsum([len(r.shared) for r in runs])))
     total = int(starts[-1])
-    order, fresh, distinct = np.empty(total, np.int64), np.empty(total, bool), []
+    order, fresh, distinct = np.empty(total, np.int64), np.empty(total, bool), bytearray()
     at = starts.tolist()
     for i, (run, entry, equal) in enumerate(merge(runs)):
         order[i] = at[run] + entry
         fresh[i] = not equal
         if not equal:
-            distinct.append(runs[run].head)
+            distinct += runs[run].head
     every = lambda name, kind: np.frombuffer(b"".join(frame[name]), kind)[order]
     doc, owner, place = every("doc", np.int64), every("owner", np.int64), every("at", "<u4").astype(np.int64)
-    keys = np.frombuffer(b"".join(distinct), np.uint8).reshape(-1, KEY)
+    keys = np.frombuffer(distinct, np.uint8).reshape(-1, KEY)
     first = np.flatnonzero(fresh)
     size = np.diff(np.append(first, total))
     least = np.minimum.reduceat(doc, first)
     out = []
-    for a in range(0, len(keys), 100_000):
-        # a cut at the end of an anchor, so that its suffixes stay together
-        b = min(len(keys), a + 100_000)
-        lo = a if a == 0 else group_start(keys, a)
-        hi = b if b == len(keys) else group_start(keys, b)
-        if hi <= lo:
-            continue
-        lowest = np.repeat(removals(keys[lo:hi], least[lo:hi]), size[lo:hi], axis=0)
-        members = slice(int(first[lo]), int(first[hi]) if hi < len(first) else total)
-        gone = lowest < doc[members, None]
-        some = np.flatnonzero(gone.any(1))
-        low = gone[some].argmax(1)
-        high = LEFT - gone[some][:, ::-1].argmax(1)
-        spot = place[members][some]
-        out.append((owner[members][some], doc[members][some], spot - high, spot - low + WINDOW))
+    # the suffixes of an anchor stay together
+    anchor = np.ascontiguousarray(keys[:, :8]).view("<u8")[:, 0]
+    heads = np.append(np.flatnonzero(np.diff(anchor, prepend=anchor[:1] + np.uint64(1))), len(keys))
+    bounds = np.unique(np.append(heads[np.searchsorted(heads, np.arange(0, len(keys), AT_ONCE), "right") - 1], len(keys)))
+    for lo, hi in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
+        lowest = removals(keys[lo:hi], least[lo:hi])
+        suffix = np.repeat(np.arange(hi - lo), size[lo:hi])
+        for a in range(0, len(suffix), AT_ONCE):
+            members = slice(int(first[lo]) + a, int(first[lo]) + min(a + AT_ONCE, len(suffix)))
+            gone = lowest[suffix[a:a + AT_ONCE]] < doc[members, None]
+            some = np.flatnonzero(gone.any(1))
+            low = gone[some].argmax(1)
+            high = LEFT - gone[some][:, ::-1].argmax(1)
+            spot = place[members][some]
+            out.append((owner[members][some], doc[members][some], spot - high, spot - low + WINDOW))
     owner, doc, begin, end = (np.concatenate(x) for x in zip(*out))
     bucket, pairs = bucket_of(owner, buckets), np.stack([begin, end], 1).astype("<u4")
     return pd.DataFrame([(b, owner[bucket == b].tobytes(), doc[bucket == b].tobytes(), pairs[bucket == b].tobytes())
@@ -411,13 +418,6 @@ def cuts_by_owner(frame: pd.DataFrame) -> pd.DataFrame:
         pairs[a:b].tobytes() for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(owner)])]})
 
 
-def group_start(keys: np.ndarray, at: int) -> int:
-    """The first key at or before ``at`` of the anchor that key ``at`` belongs to."""
-    while at > 0 and (keys[at - 1, :8] == keys[at, :8]).all():
-        at -= 1
-    return at
-
-
 def spans_of(cuts: np.ndarray) -> list[tuple[int, int]]:
     """Maximal runs of overlapping or adjacent (begin, end) pairs."""
     cuts = cuts[np.argsort(cuts[:, 0], kind="stable")]
