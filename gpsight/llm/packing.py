@@ -42,15 +42,16 @@ class WordEncoder:
 
     Words between white space are encoded once and remembered. Plain words are merged by a
     byte-pair core whose byte 0xFF (never part of UTF-8) stands for the word's end; any other
-    word goes through the library itself.
+    word goes through the library itself, and so does a whole text that holds an added token.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
         with open(path) as file:
             spec = json.load(file)
+        # tokens that the library takes out of a text before it splits it into words
+        self.added = [token["content"] for token in spec["added_tokens"]]
         self.split = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]).findall
         vocab, suffix = spec["model"]["vocab"], spec["model"]["end_of_word_suffix"]
         shown = byte_letters()
@@ -86,6 +87,8 @@ class WordEncoder:
         text = text or ""
         if any(c in text for c in "\x1c\x1d\x1e\x1f"):  # white space to Python alone
             return self.by_library(text)
+        if any(token in text for token in self.added):
+            return self.by_library(text)
         known, out = self.known, []
         for word in text.split():
             packed = known.get(word)

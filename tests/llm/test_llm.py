@@ -13,6 +13,7 @@ import public_tokenizers
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from gpsight.llm import (byte_bpe, language, neighbours, ngram_join, packing, quality, queries, secret_scan, suffix_dedup,
                          syncmers, toxicity)
@@ -153,6 +154,21 @@ def test_packing(docs, odd, empty):
     assert packing.pack_documents(empty).count() == 0
 
 
+def test_packing_gives_added_tokens_their_ids(spark):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    library = Tokenizer.from_file(path)
+    texts = ["a <|endoftext|> b", "a<|endoftext|>b", "<|startoftext|>Caf\u00e9 \u4e2d<|endoftext|> x", "A <|ENDOFTEXT|> < |endoftext|>",
+             "<|endoftext|>", "w1 " * 5000 + "<|startoftext|>" + " w2" * 5000]
+    ids = [library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert ids[0] == [320, 49407, 321]
+    encoder = packing.WordEncoder(path)
+    assert [np.frombuffer(encoder.ids(t), "<u4").tolist() for t in texts] == ids
+    want = {(d, p, at, zlib.crc32(np.array((own + [1])[at:at + 4096], "<u4").tobytes()))
+            for d, own in enumerate(ids) for p, at in enumerate(range(0, len(own) + 1, 4096))}
+    rows = packing.pack_documents(frame(spark, list(enumerate(texts)))).collect()
+    assert {(r["doc_id"], r["piece"], r["start"], r["ids_crc32"]) for r in rows} == want
+
+
 def brute_best_fit(lengths, capacity):
     room = []
     for length in sorted(lengths, reverse=True):
