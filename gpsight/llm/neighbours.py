@@ -1,13 +1,15 @@
 """Approximate nearest neighbours by largest inner product, over balanced posting lists.
 
 Centroids come from balanced splits of a bounded sample. A graph over the centroids, searched
-best-first with a beam, finds the lists near a vector. Vectors near a border go to every list
-whose centroid is almost as near as the nearest. A query reads the lists whose distance is
-within a ratio of its nearest. Inner products become distances by one more component
+best-first with a beam, finds the lists near a vector that is placed. Vectors near a border go
+to every list whose centroid is almost as near as the nearest. A query is compared with all
+centroids (at most MAX_LISTS; the beam would leave lists out) and reads every list whose
+distance is within a ratio of its nearest. Inner products become distances by one more component
 (sqrt(M² - |x|²), M the largest norm).
 
-All vectors are indexed; only the fit uses the sample. Lists are cut into parts of bounded
-size, and the queries of a list into blocks, so no task holds a whole hot list. Scores are
+All vectors are indexed; only the fit uses the sample. Small lists are read together as a
+cell; large ones are cut into parts of bounded size, and the queries of a cell into blocks, so
+no task holds a whole hot list. Scores are
 computed on the original vectors in double precision, a component at a time, so equal vectors
 score equally and ties go to the smaller id.
 
@@ -128,8 +130,31 @@ def place(vectors: DataFrame, graph: CentroidGraph, largest: float) -> DataFrame
     return vectors.mapInArrow(run, schema)
 
 
-def choose_lists(queries: DataFrame, graph: CentroidGraph, sizes: dict[int, int], k: int, ratio: float) -> DataFrame:
-    """query_id, embedding and list for each list that a query reads."""
+def list_cells(rows: np.ndarray) -> np.ndarray:
+    """The cell of each list: lists in turn, together at most PART_ROWS rows, or one list alone."""
+    cells, cell, held = np.zeros(len(rows), np.int64), 0, 0
+    for i, n in enumerate(rows.tolist()):
+        if held and held + n > PART_ROWS:
+            cell, held = cell + 1, 0
+        cells[i], held = cell, held + n
+    return cells
+
+
+def lists_to_read(x: np.ndarray, graph: CentroidGraph, count: np.ndarray, k: int, ratio: float) -> np.ndarray:
+    """For each row and list whether the row reads it: all within the ratio, and enough for k other vectors."""
+    read = np.zeros((len(x), len(count)), bool)
+    for at, own in enumerate(x):
+        dist = np.sqrt(((graph.centroids - own) ** 2).sum(1))
+        nodes = np.argsort(dist, kind="stable")
+        dist = dist[nodes]
+        before = np.cumsum(count[nodes]) - count[nodes]
+        read[at, nodes[(dist <= ratio * dist[0]) | (before <= k)]] = True
+    return read
+
+
+def choose_lists(queries: DataFrame, graph: CentroidGraph, sizes: dict[int, int], cells: np.ndarray, k: int,
+                 ratio: float) -> DataFrame:
+    """query_id, embedding, reads (a bit for each list) and the cells that hold those lists, of each query."""
     count = np.array([sizes.get(i, 0) for i in range(len(graph.centroids))])
 
     def run(batches):
@@ -137,22 +162,14 @@ def choose_lists(queries: DataFrame, graph: CentroidGraph, sizes: dict[int, int]
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
                 x = matrix(part.column("embedding"))
-                nodes, dist = graph.search(np.hstack([x, np.zeros((len(x), 1))]))
-                # as many lists as it takes to hold k other vectors, and all within the ratio
-                before = np.cumsum(count[nodes], 1) - count[nodes]
-                near = np.isfinite(dist) & ((dist <= ratio * dist[:, :1]) | (before <= k))
-                row, column = np.nonzero(near)
-                chosen = nodes[row, column]
-                short = np.flatnonzero(np.where(np.isfinite(dist), count[nodes], 0).sum(1) <= k)
-                if len(short) and nodes.shape[1] < len(count):  # the beam holds too few: read every list
-                    row, chosen = (np.concatenate([row[~np.isin(row, short)], np.repeat(short, len(count))]),
-                                   np.concatenate([chosen[~np.isin(row, short)], np.tile(np.arange(len(count)), len(short))]))
-                taken = part.take(pa.array(row))
+                read = lists_to_read(np.hstack([x, np.zeros((len(x), 1))]), graph, count, k, ratio)
                 yield pa.RecordBatch.from_arrays(
-                    [taken.column("vec_id"), taken.column("embedding"), pa.array(chosen, pa.int32())],
-                    ["query_id", "embedding", "list"])
+                    [part.column("vec_id"), part.column("embedding"),
+                     pa.array([bits.tobytes() for bits in np.packbits(read, axis=1)], pa.binary()),
+                     pa.array([np.unique(cells[r]).tolist() for r in read], pa.list_(pa.int32()))],
+                    ["query_id", "embedding", "reads", "cells"])
 
-    return queries.mapInArrow(run, "query_id long, embedding array<double>, list int")
+    return queries.mapInArrow(run, "query_id long, embedding array<double>, reads binary, cells array<int>")
 
 
 def exact_scores(q: np.ndarray, v: np.ndarray) -> np.ndarray:
@@ -162,21 +179,46 @@ def exact_scores(q: np.ndarray, v: np.ndarray) -> np.ndarray:
     return out
 
 
-def search_list(k: int):
+def best_pairs(q: np.ndarray, v: np.ndarray, ids: np.ndarray, read: np.ndarray, k: int):
+    """Row, id and score of the k best ids of each row; ``ids`` ascend, ``read`` are the pairs that count.
+
+    A matrix product leaves out what is below the k-th id by more than rounding can explain.
+    """
+    starts = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
+    with np.errstate(over="ignore", invalid="ignore"):
+        rough = np.where(read, q @ v.T, -np.inf)
+        by_id = np.maximum.reduceat(rough, starts, axis=1)
+        if len(starts) > k:
+            slack = 4 * q.shape[1] * np.finfo(float).eps * np.sqrt((q ** 2).sum(1) * (v ** 2).sum(1).max())
+            read = read & ~(rough < (np.partition(by_id, -k, axis=1)[:, -k] - slack)[:, None])
+        row, column = np.nonzero(read)
+        scores = np.zeros(len(row))
+        for a, b in zip(q.T, v.T):
+            scores += a[row] * b[column]
+    order = np.lexsort((ids[column], -scores, row))
+    row, found, scores = row[order], ids[column[order]], scores[order]
+    # an id once, with its best score
+    by_pair = np.lexsort((np.arange(len(row)), found, row))
+    again = np.zeros(len(row), bool)
+    again[by_pair[1:]] = (np.diff(row[by_pair]) == 0) & (found[by_pair[1:]] == found[by_pair[:-1]])
+    row, found, scores = row[~again], found[~again], scores[~again]
+    kept = np.arange(len(row)) - np.searchsorted(row, row) < k
+    return row[kept], found[kept], scores[kept]
+
+
+def search_cell(k: int):
     def run(queries: pd.DataFrame, vectors: pd.DataFrame) -> pd.DataFrame:
         out = []
         if len(queries) and len(vectors):
             vectors = vectors.sort_values("vec_id", kind="stable")
-            v, ids = matrix(vectors["embedding"]), vectors["vec_id"].to_numpy()
+            v, ids, lists = matrix(vectors["embedding"]), vectors["vec_id"].to_numpy(), vectors["list"].to_numpy()
             for at in range(0, len(queries), 256):
                 part = queries.iloc[at:at + 256]
                 own = part["query_id"].to_numpy()
-                scores = exact_scores(matrix(part["embedding"]), v)
-                scores[own[:, None] == ids[None, :]] = -np.inf
-                best = np.argsort(-scores, axis=1, kind="stable")[:, :k]  # ids ascend, so ties do
-                found = np.take_along_axis(scores, best, 1)
-                row, column = np.nonzero(found > -np.inf)
-                out.append(pd.DataFrame({"query_id": own[row], "vec_id": ids[best[row, column]], "score": found[row, column]}))
+                bits = np.frombuffer(b"".join(part["reads"]), np.uint8).reshape(len(part), -1)
+                read = np.unpackbits(bits, axis=1)[:, lists].astype(bool) & (own[:, None] != ids[None, :])
+                row, found, scores = best_pairs(matrix(part["embedding"]), v, ids, read, k)
+                out.append(pd.DataFrame({"query_id": own[row], "vec_id": found, "score": scores}))
         return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
     return run
 
@@ -197,20 +239,26 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, ratio: float =
     graph = CentroidGraph(balanced_centroids(lifted(matrix(chosen["embedding"]), total["m"]), leaf))
     lists = materialize(place(vectors, graph, total["m"]), "posting-lists")
     held = lists.groupBy("list").agg(F.count("*").alias("n"), F.sum(F.col("nearest").cast("int")).alias("own")).collect()
-    reads = materialize(choose_lists(queries, graph, {r["list"]: r["own"] for r in held}, k, ratio), "list-queries")
-    asked = {r["list"]: r["n"] for r in reads.groupBy("list").agg(F.count("*").alias("n")).collect()}
-    # parts of a list and blocks of its queries: a table with a row for each list
-    cuts = spark.createDataFrame([(r["list"], -(-r["n"] // PART_ROWS), -(-asked[r["list"]] // QUERY_BLOCK))
-                                  for r in held if r["list"] in asked], "list int, parts int, blocks int")
+    rows = {r["list"]: r["n"] for r in held}
+    cells = list_cells(np.array([rows.get(i, 0) for i in range(len(graph.centroids))]))
+    reads = materialize(choose_lists(queries, graph, {r["list"]: r["own"] for r in held}, cells, k, ratio), "list-queries")
+    asked = {r["cell"]: r["n"] for r in reads.select(F.explode("cells").alias("cell")).groupBy("cell")
+             .agg(F.count("*").alias("n")).collect()}
+    # parts of a cell and blocks of its queries: a table with a row for each list
+    in_cell = np.bincount(cells, [rows.get(i, 0) for i in range(len(cells))])
+    cuts = spark.createDataFrame([(i, c, max(1, -(-int(in_cell[c]) // PART_ROWS)), -(-asked[c] // QUERY_BLOCK))
+                                  for i, c in enumerate(cells.tolist()) if c in asked],
+                                 "list int, cell int, parts int, blocks int")
     slot = lambda key, n: F.pmod(F.xxhash64(key), F.col(n)).cast("int")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     stored = (lists.join(F.broadcast(cuts), "list").withColumn("part", slot("vec_id", "parts"))
-              .select("list", "part", each("blocks").alias("block"), "vec_id", "embedding"))
-    asking = (reads.join(F.broadcast(cuts), "list").withColumn("block", slot("query_id", "blocks"))
-              .select("list", each("parts").alias("part"), "block", "query_id", "embedding"))
-    keys = ["list", "part", "block"]
+              .select("cell", "part", each("blocks").alias("block"), "vec_id", "embedding", "list"))
+    asking = (reads.select("query_id", "embedding", "reads", F.explode("cells").alias("cell"))
+              .join(F.broadcast(cuts.drop("list").distinct()), "cell").withColumn("block", slot("query_id", "blocks"))
+              .select("cell", each("parts").alias("part"), "block", "query_id", "embedding", "reads"))
+    keys = ["cell", "part", "block"]
     found = asking.groupBy(*keys).cogroup(stored.groupBy(*keys)).applyInPandas(
-        lambda q, v: search_list(k)(q, v), "query_id long, vec_id long, score double")
+        lambda q, v: search_cell(k)(q, v), "query_id long, vec_id long, score double")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return (found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
             .withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)

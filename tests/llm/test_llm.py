@@ -235,6 +235,48 @@ def test_neighbours(spark):
     assert hits >= 0.9 * 20 * len(found)
 
 
+def test_neighbours_beyond_the_beam(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "LIST_SIZE", 8)
+    v = neighbours.usable(table(spark, "/root/testdata/sf0.1", "embeddings"))
+    local = v.toPandas().sort_values("vec_id")
+    x, ids = np.array(local["embedding"].tolist()), local["vec_id"].to_numpy()
+    graph = neighbours.CentroidGraph(neighbours.balanced_centroids(neighbours.lifted(x, 1.0), 8))
+    lists = len(graph.centroids)
+    assert lists > 4 * neighbours.BEAM
+    q = np.hstack([x[::20], np.zeros((len(x[::20]), 1))])
+    dist = np.sqrt(((q[:, None, :] - graph.centroids) ** 2).sum(2))
+    inside = dist <= neighbours.QUERY_RATIO * dist.min(1, keepdims=True)
+    assert (inside.sum(1) > neighbours.BEAM).any()
+    read = neighbours.lists_to_read(q, graph, np.full(lists, 8), 20, neighbours.QUERY_RATIO)
+    assert (read >= inside).all()
+    found = defaultdict(set)
+    for r in neighbours.nearest(v, v.filter("vec_id % 20 = 0")).collect():
+        found[r["query_id"]].add(r["vec_id"])
+    hits = 0
+    for query, near in found.items():
+        scores = neighbours.exact_scores(x[ids == query], x)[0]
+        scores[ids == query] = -np.inf
+        hits += len(near & set(ids[np.lexsort((ids, -scores))[:20]]))
+    print("recall", hits / (20 * len(found)), "lists", lists)
+    assert len(found) == 100 and hits >= 0.9 * 20 * len(found)
+
+
+def test_best_pairs_are_the_exact_ones():
+    rng = np.random.default_rng(5)
+    v = rng.integers(-2, 3, (300, 4)) / 3  # many ties
+    ids, q = np.sort(rng.integers(0, 200, 300)), rng.integers(-2, 3, (9, 4)) / 3
+    read = rng.random((9, 300)) < 0.8
+    scores = np.where(read, neighbours.exact_scores(q, v), -np.inf)
+    want = []
+    for i in range(9):
+        best = {}
+        for d, s in zip(ids.tolist(), scores[i].tolist()):
+            if s > -np.inf:
+                best[d] = max(s, best.get(d, -np.inf))
+        want += [(i, d, s) for d, s in sorted(best.items(), key=lambda p: (-p[1], p[0]))[:20]]
+    assert list(zip(*(a.tolist() for a in neighbours.best_pairs(q, v, ids, read, 20)))) == want
+
+
 def test_neighbours_odd_vectors(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(0, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [0.0, 0.0]), (3, None), (4, [nan, 1.0]), (5, [inf, 1.0]), (6, [None, 1.0]),
