@@ -1,7 +1,8 @@
 """Secret scans: fixed patterns, and zstandard novelty against code and identifier dictionaries.
 
 Three patterns give the base spans. The method adds candidates in a sensitive context (a word
-such as key or token shortly before): a string's marginal cost is what it adds to the
+such as key or token shortly before or after, or inside): the context goes on over strings with
+no letter or digit between them, as the lines of a key or the parts of a token. A string's marginal cost is what it adds to the
 compressed size of its surroundings, under a dictionary of code and identifiers. A string that
 costs nearly its own information content is new to both its surroundings and the dictionary,
 and is reported as kind ``novel``.
@@ -26,9 +27,12 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{32,}")  # a maximal run, as [0-9a-f]+ of 32 characters or more
 
-CONTEXT = re.compile(r"password|passwd|secret|token|api_?key|auth|credential|private|bearer|access|signature",
+CONTEXT = re.compile(r"password|passwd|passphrase|pwd|secret|token|key|auth|credential|private|bearer|access|signature",
                      re.ASCII | re.IGNORECASE)
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+ASSIGNED = re.compile(r"=+(?=[A-Za-z0-9+/])")  # between a name and its value, not a value's padding
+GAP = re.compile(r"[\W_]{0,32}")
+LAST_LINE = re.compile(r"\s+([A-Za-z0-9+/=]{1,15})(?=\s+-----END)")
 CONTEXT_CHARS, AROUND_CHARS = 64, 512
 # Bytes of marginal cost per character above which a string is new: random letters and digits
 # cost about 0.75 bytes, words and identifiers of the surroundings well under a half.
@@ -72,23 +76,61 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(found)
 
 
+def in_context(text: str) -> list[tuple[int, int, list[tuple[int, int]]]]:
+    """(start, end, sensitive words inside) of each candidate near a sensitive word, and of their neighbours."""
+    words = [m.span() for m in CONTEXT.finditer(text)]
+    if not words:
+        return []
+    pieces = []
+    for m in CANDIDATE.finditer(text):
+        at, known = m.start(), len(pieces)
+        for cut in [*ASSIGNED.finditer(text, m.start(), m.end()), None]:
+            end = cut.start() if cut else m.end()
+            if CANDIDATE.fullmatch(text, at, end):
+                pieces.append((at, end))
+            at = cut.end() if cut else end
+        if len(pieces) == known:  # only short parts
+            pieces.append(m.span())
+    near, inside = [], []
+    first = 0
+    for start, end in pieces:
+        while first < len(words) and words[first][1] <= start:
+            first += 1
+        after = first
+        while after < len(words) and words[after][0] < end:
+            after += 1
+        inside.append(words[first:after])
+        near.append(after > first or (first > 0 and start < words[first - 1][1] + CONTEXT_CHARS)
+                    or (after < len(words) and end > words[after][0] - CONTEXT_CHARS))
+    joins = [GAP.fullmatch(text, a, b) is not None for (_, a), (b, _) in zip(pieces, pieces[1:])]
+    for i, join in enumerate(joins):
+        near[i + 1] |= near[i] and join
+    for i in range(len(joins) - 1, -1, -1):
+        near[i] |= near[i + 1] and joins[i]
+    return [(*piece, own) for piece, own, n in zip(pieces, inside, near) if n]
+
+
 def novel_spans(text: str, base: list[tuple[int, int, int]], novelty: Novelty) -> list[tuple[int, int, int]]:
-    """Incompressible strings shortly after a sensitive word, outside base spans."""
-    found, taken = [], base
-    last = -1
-    for word in CONTEXT.finditer(text):
-        for m in CANDIDATE.finditer(text, max(last, word.end()), min(len(text), word.end() + CONTEXT_CHARS)):
-            if m.start() > 0 and m.start() == last:
-                continue  # the rest of a string cut by the window
-            whole = CANDIDATE.match(text, m.start())
-            start, end = whole.span()
-            last = max(last, end)
-            value = whole[0]
-            mixed = sum((any(c.isdigit() for c in value), any(c.islower() for c in value), any(c.isupper() for c in value)))
-            if mixed < 2 or not any(c.isdigit() for c in value) or any(a < end and start < b for a, _, b in taken):
-                continue
-            if novelty.cost(text, start, end) >= NOVELTY:
-                found.append((start, 3, end))
+    """Incompressible strings near a sensitive word, outside base spans."""
+    def novel(start: int, end: int) -> bool:
+        value = text[start:end]
+        mixed = sum((any(c.isdigit() for c in value), any(c.islower() for c in value), any(c.isupper() for c in value)))
+        return (mixed >= 2 and any(c.isdigit() for c in value) and not any(a < end and start < b for a, _, b in base)
+                and novelty.cost(text, start, end) >= NOVELTY)
+
+    found = []
+    for start, end, words in in_context(text):
+        # whole, or what stands beside the sensitive words in it
+        tries = [(start, end)]
+        if words:
+            tries += [(words[0][1], end), (words[-1][1], end), (start, words[0][0])]
+        for a, b in tries:
+            if CANDIDATE.fullmatch(text, a, b) and novel(a, b):
+                found.append((a, 3, b))
+                last = LAST_LINE.match(text, b)
+                if last and not any(x < last.end(1) and last.start(1) < y for x, _, y in base):
+                    found.append((last.start(1), 3, last.end(1)))
+                break
     return found
 
 
