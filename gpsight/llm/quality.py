@@ -3,8 +3,8 @@
 A document is a bag of passages. Every passage is encoded; gated attention (a tanh branch
 times a sigmoid branch) weighs the passages, and the weighted sum of their encodings is
 scored. Only documents have labels: the attention is learned from them. The model is a few
-hundred numbers, fitted on at most ``per_label`` labelled documents of each label, of which at
-most ``bag`` evenly spaced passages are used in fitting; scoring uses every passage.
+hundred numbers, fitted on at most ``per_label`` labelled documents of each label; fitting and
+scoring use every passage.
 
 Edge cases: null and empty texts are one passage without bytes; rows whose label is null teach
 nothing; with fewer than two classes every score is that class (0.0 without labels).
@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from gpsight.llm.common import fold, map_rows
 from gpsight.llm.toxicity import labelled_sample
 
-PER_LABEL, BAG, PASSAGE_BYTES = 2000, 32, 1024
+PER_LABEL, PASSAGE_BYTES = 2000, 1024
 HIDDEN, GATE, STEPS, DECAY = 16, 8, 400, 1e-3
 
 # Classes of bytes whose shares describe a passage.
@@ -109,15 +109,10 @@ def fit(x: np.ndarray, first: np.ndarray, y: np.ndarray, steps: int = STEPS) ->
     return m | fixed
 
 
-def fit_sample(sample: DataFrame, bag: int = BAG) -> dict[str, np.ndarray] | float:
+def fit_sample(sample: DataFrame) -> dict[str, np.ndarray] | float:
     """The model of a bounded sample with text and label; a constant if there aren't two classes."""
     def step(part):
-        out = []
-        for text in part["text"]:
-            every = passages(text)
-            chosen = every[::-(-len(every) // bag)]
-            out.append(features([chosen])[0].tobytes())
-        return {"label": part["label"], "bag": out}
+        return {"label": part["label"], "bag": [features([passages(t)])[0].tobytes() for t in part["text"]]}
 
     rows = map_rows(sample.select("text", "label"), step, "label int, bag binary").collect()
     y = np.array([r["label"] for r in rows], np.float64)

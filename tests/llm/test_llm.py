@@ -316,6 +316,16 @@ def test_classifiers_on_held_out_rows(spark):
     assert sum(r["lang_pred"] == r["lang"] for r in got) >= 0.98 * len(got)
 
 
+def test_quality_is_fitted_on_every_passage(spark, monkeypatch):
+    texts = ["".join(f"word{i} of the text " for i in range(n)) for n in (5000, 2000, 3)]
+    held = {}
+    monkeypatch.setattr(quality, "fit", lambda x, first, y: held.update(x=x, first=first))
+    quality.fit_sample(spark.createDataFrame(list(zip(texts, (1, 0, 1))), "text string, label int"))
+    want = [len(quality.passages(t)) for t in texts]
+    assert want[0] > 64 and want[1] > 32
+    assert sorted(np.diff(np.append(held["first"], len(held["x"])))) == sorted(want)
+
+
 def test_classifiers_odd_rows(spark, odd, empty):
     labels = spark.createDataFrame([(4, 1, 0), (6, 0, 1), (None, 1, 1), (11, None, None)], "doc_id long, quality int, toxic int")
     none = labels.filter("doc_id < 0")
