@@ -6,6 +6,7 @@ import sys
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,6 +14,8 @@ from gpsight.session import materialize
 
 # Rows of a batch that are held as Python objects at once; only memory depends on it.
 SLICE_ROWS = 256
+# Bytes of text that are worked on at once; only memory depends on it.
+SLICE_BYTES = 8 * 1024 * 1024
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,6 +34,18 @@ def slices(batches: Iterable[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterato
             yield batch.slice(at, rows).to_pydict()
 
 
+def byte_slices(batches: Iterable[pa.RecordBatch], column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Arrow batches cut where the bytes of a text column pass ``limit``; a row is never cut."""
+    for batch in batches:
+        sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).cumsum()
+        at = 0
+        while at < batch.num_rows:
+            before = sizes[at - 1] if at else 0
+            end = max(at + 1, int(sizes.searchsorted(before + limit, side="right")))
+            yield batch.slice(at, end - at)
+            at = end
+
+
 def map_rows(df: DataFrame, step: Callable[[dict[str, list]], dict[str, list]], schema: str,
              rows: int = SLICE_ROWS, make: Callable[[], Callable] | None = None) -> DataFrame:
     """Apply a function on column lists to slices of ``df`` in Python workers.
@@ -88,5 +103,5 @@ def bounded_sample(labelled: DataFrame, key: str, label: str, per_label: int) ->
     return labelled.drop("_slot")
 
 
-__all__ = ["SLICE_ROWS", "bounded_sample", "carried", "fold", "map_rows", "materialize", "once", "row_schema", "shuffle_partitions",
+__all__ = ["SLICE_BYTES", "SLICE_ROWS", "bounded_sample", "byte_slices", "carried", "fold", "map_rows", "materialize", "once", "row_schema", "shuffle_partitions",
            "slices", "table"]

@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from gpsight.llm import (
-    byte_bpe, language, neighbours, ngram_join, packing, quality, secret_scan, suffix_dedup, syncmers, toxicity)
+    byte_bpe, language, neighbours, ngram_join, packing, quality, secret_scan, source_divergence, suffix_dedup, syncmers,
+    toxicity)
 from gpsight.llm.common import table
 
 
@@ -54,9 +55,13 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_divergence.source_divergence(table(spark, sf_dir, "documents"))
+
+
 def registry() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: fn for name, fn in globals().items() if name.startswith("op") and callable(fn)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op11_source_divergence": source_divergence.ORACLE}
