@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from gpsight.llm import (
-    byte_bpe, language, neighbours, ngram_join, packing, quality, secret_scan, source_divergence, suffix_dedup, syncmers,
-    toxicity)
+    byte_bpe, collocations, language, neighbours, ngram_join, packing, quality, secret_scan, source_divergence, suffix_dedup,
+    syncmers, toxicity, vector_packing)
 from gpsight.llm.common import table
 
 
@@ -59,9 +59,17 @@ def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_divergence.source_divergence(table(spark, sf_dir, "documents"))
 
 
+def op12_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_packing.pack_documents(table(spark, sf_dir, "documents"))
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 def registry() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: fn for name, fn in globals().items() if name.startswith("op") and callable(fn)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op11_source_divergence": source_divergence.ORACLE}
+    return {"op11_source_divergence": source_divergence.ORACLE, "op13_collocations": collocations.ORACLE}

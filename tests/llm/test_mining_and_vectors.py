@@ -1,0 +1,234 @@
+"""Source divergence, vector packing and collocations against brute force."""
+
+from __future__ import annotations
+
+import random
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import public_tokenizers
+import pyarrow as pa
+import pytest
+from tokenizers import Tokenizer
+
+from gpsight.llm import collocations, source_divergence, vector_packing
+from gpsight.llm.common import byte_slices, table
+
+SF = "/root/testdata/sf0.001"
+COLUMNS = "doc_id long, text string, lang string, source string, n_chars long, term string, n long, first string, tokens int, item string"
+
+
+def frame(spark, rows):
+    return spark.createDataFrame([(*r, 0, "t", 1, "f", 2, "i") for r in rows], COLUMNS)
+
+
+@pytest.fixture(scope="session")
+def docs(spark):
+    return table(spark, SF, "documents")
+
+
+@pytest.fixture(scope="session")
+def odd(spark):
+    """Nulls, empty and very long texts, ties, repeated rows, odd separators, clashing columns."""
+    rows = [(1, None, "en", "a"), (2, "", None, None), (3, " .,;\t\n", "en", "b"), (4, "One two three. One two three", "en", "a")]
+    rows += [(4, "One two three. One two three", "en", "a")] * 12
+    rows += [(10 + i, "one two\tthree\x0bfour  five, é中 x1y \x00 z", "en", "b" if i % 3 else None) for i in range(15)]
+    rows += [(40 + i, "uno dos tres " * (i + 1), None, "c") for i in range(12)]
+    rows += [(60, "one two three four " * 20_000, "en", "a"), (61, "x" * 30_000, "de", "a"), (None, "one two three", "fr", "a"),
+             (62, "quatre cinq <|endoftext|> six", "fr", "b")]
+    return frame(spark, rows)
+
+
+@pytest.fixture(scope="session")
+def empty(spark):
+    return frame(spark, [])
+
+
+def fold(text):
+    return "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
+
+
+# --- 11 ---
+
+def brute_divergence(rows):
+    groups, in_docs, counts = defaultdict(set), defaultdict(Counter), defaultdict(Counter)
+    for _, text, lang, source in rows:
+        lang, source = lang or "", source or ""
+        found = re.findall(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+", fold(text))
+        groups[lang].add(source)
+        in_docs[lang].update(set(found))
+        counts[lang, source].update(found)
+    out = []
+    for lang, sources in groups.items():
+        kept = sorted(t for t, n in in_docs[lang].items() if n >= 10)
+
+        def shares(held):
+            total = sum(held[t] for t in kept) + 2 * len(kept)
+            return {t: 1 + 10 ** 9 * (held[t] + 2) // total for t in kept}
+        q = shares(sum((counts[lang, s] for s in sources), Counter()))
+        p = {s: shares(counts[lang, s]) for s in sources}
+        f = lambda x, y: (x - y) ** 2 // (x + y)
+        for s in sources:
+            pairs = [(sum(f(p[s][t], p[o][t]) for t in kept), o) for o in sources if o != s]
+            terms = [(f(p[s][t], q[t]), t) for t in kept if counts[lang, s][t] > 0 and p[s][t] > q[t]]
+            for part, found, most in (("pair", pairs, None), ("term", terms, 10)):
+                found.sort(key=lambda x: (-x[0], x[1].encode()))
+                out += [(lang, s, part, item, value, rank) for rank, (value, item) in enumerate(found[:most], 1)]
+    return sorted(out)
+
+
+def rows_of(df):
+    return [tuple(r) for r in df.select("doc_id", "text", "lang", "source").collect()]
+
+
+def test_divergence(docs, odd, empty, monkeypatch):
+    for some in (docs, odd):
+        want = brute_divergence(rows_of(some))
+        assert sorted(tuple(r) for r in source_divergence.source_divergence(some).collect()) == want
+    # many shards and source blocks, and counts that leave a task early
+    for name, value in (("SHARD_CELLS", 40), ("SOURCE_BLOCK", 2), ("HELD_COUNTS", 5)):
+        monkeypatch.setattr(source_divergence, name, value)
+    assert sorted(tuple(r) for r in source_divergence.source_divergence(odd).collect()) == want
+    assert source_divergence.source_divergence(empty).count() == 0
+
+
+def test_shares_are_exact_for_large_counts():
+    rng = random.Random(5)
+    for _ in range(500):
+        total = rng.randrange(1, 9 * 10 ** 15)
+        n = rng.randrange(total + 1)
+        assert source_divergence.share(np.array([n]), np.array([total]))[0] == 1 + 10 ** 9 * n // total
+
+
+# --- 12 ---
+
+def test_vector_packing_of_documents(docs, odd, empty):
+    library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    for some in (docs, odd):
+        rows = vector_packing.pack_documents(some).collect()
+        texts = defaultdict(list)
+        for doc, text, *_ in rows_of(some):
+            texts[doc].append(library.encode(text or "", add_special_tokens=False).ids + [1])
+        pieces = defaultdict(Counter)
+        for r in rows:
+            pieces[r["doc_id"]][r["start"], r["length"], r["ids_crc32"], r["doc_tokens"]] += 1
+        assert set(pieces) == set(texts)
+        for doc, held in pieces.items():
+            ids, copies = texts[doc][0], len(texts[doc])
+            assert all(other == ids for other in texts[doc])
+            covered = np.zeros(len(ids), int)
+            for (start, length, crc, total), n in held.items():
+                assert total == len(ids) and start + length <= total
+                assert zlib.crc32(np.array(ids[start:start + length], "<u4").tobytes()) == crc
+                covered[start:start + length] += n
+            assert (covered == copies).all()
+        sequences = defaultdict(list)
+        for r in rows:
+            sequences[r["sequence_id"]].append((r["offset"], r["length"]))
+        for held in sequences.values():
+            at = 0
+            for offset, length in sorted(held):
+                assert offset == at
+                at += length
+            assert at <= 2048 and (at == 2048 or at & (at - 1) == 0)
+            assert len(held) <= vector_packing.MAX_SEGMENTS
+    assert vector_packing.pack_documents(empty).count() == 0
+
+
+def test_vector_packing_keeps_all_limits(spark, monkeypatch):
+    monkeypatch.setattr(vector_packing, "RANKED_TOGETHER", 50)
+    rng = random.Random(7)
+    rows = []
+    for i in range(3000):
+        tokens = rng.choice([1, 5, 17, 100, 100, 100, 240, 256])
+        rows.append((i, tokens, rng.randrange(min(tokens, 120) + 1), rng.random() < 0.1))
+    examples = spark.createDataFrame(rows, "doc_id long, tokens int, loss int, cuttable boolean")
+    out = vector_packing.pack_vectors(examples, capacity=256, max_segments=6, max_loss=120).collect()
+    parts, bins = defaultdict(list), defaultdict(list)
+    for r in out:
+        parts[r["doc_id"]].append((r["part_start"], r["length"]))
+        bins[r["sequence_id"]].append((r["offset"], r["length"], r["loss"] if r["length"] == r["tokens"] else 0))
+    for doc, tokens, _, cuttable in rows:
+        at = 0
+        for start, length in sorted(parts[doc]):
+            assert start == at
+            at += length
+        assert at == tokens and (cuttable or len(parts[doc]) == 1)
+    for held in bins.values():
+        at = 0
+        for offset, length, _ in sorted(held):
+            assert offset == at
+            at += length
+        assert at <= 256 and len(held) <= 6 and sum(x[2] for x in held) <= 120
+    least = max(sum(r[1] for r in rows) / 256, len(rows) / 6, sum(r[2] for r in rows) / 120)
+    assert len(bins) < 1.5 * least
+
+
+# --- 13 ---
+
+def brute_phrases(rows):
+    f, n = defaultdict(Counter), Counter()
+    for _, text, lang, _ in rows:
+        for piece in re.split(r"[.,;:!?\x0A-\x0D]", fold(text)):
+            words = re.findall(r"[^\x20\x09]+", piece)
+            n[lang or "und"] += len(words)
+            for size in (1, 2, 3):
+                f[lang or "und"].update(tuple(words[i:i + size]) for i in range(len(words) - size + 1))
+    out = []
+    for lang, counts in f.items():
+        frequent = {p: a for p, a in counts.items() if len(p) > 1 and a >= 10}
+        found = []
+        for p, a in frequent.items():
+            if any(len(q) > len(p) and 100 * b >= 50 * a and any(q[i:i + len(p)] == p for i in range(len(q)))
+                   for q, b in frequent.items()):
+                continue
+            cuts = [(10 ** 6 * a * a // (counts[p[:k]] * counts[p[k:]]), k) for k in range(1, len(p))]
+            score, k = min(cuts)
+            found.append((-score, -a, " ".join(p).encode(), counts[p[:k]], counts[p[k:]]))
+        for rank, (score, a, phrase, left, right) in enumerate(sorted(found)[:2000], 1):
+            out.append((lang, rank, phrase.decode(), -a, left, right, n[lang], -score))
+    return sorted(out)
+
+
+def test_collocations(docs, odd, empty, monkeypatch):
+    for some in (docs, odd):
+        want = brute_phrases(rows_of(some))
+        assert sorted(tuple(r) for r in collocations.collocations(some).collect()) == want
+    # no hot word, and small slices and partitions
+    for name, value in (("HOT_SHARE", 0), ("SLICE", 100), ("PARTITION", 10_000)):
+        monkeypatch.setattr(collocations, name, value)
+    assert sorted(tuple(r) for r in collocations.collocations(odd).collect()) == want
+    assert collocations.collocations(empty).count() == 0
+
+
+def test_quicksort_counts_equal_suffixes():
+    rng = np.random.default_rng(11)
+    for size in (1, 5, 400, 3000):
+        words = [rng.zipf(1.3, size).clip(max=50) for _ in range(2)] + [rng.integers(-1, 4, size)]
+        weights = rng.integers(1, 4, size)
+        want = Counter()
+        for *row, n in zip(*words, weights):
+            for depth in (1, 2, 3):
+                if row[depth - 1] >= 0:
+                    want[tuple(int(x) for x in row[:depth])] += int(n)
+        got = {}
+        for depth, at, total in collocations.frequent_parts(words, weights, weights):
+            for i, n in zip(at, total):
+                got[tuple(int(words[d][i]) for d in range(depth))] = int(n)
+        assert {k: v for k, v in got.items() if v >= 10} == {k: v for k, v in want.items() if v >= 10}
+
+
+def test_scores_beyond_64_bits(spark):
+    rows = [(a, left, right) for a in (10, 123_456_789, 10 ** 13) for left in (a, a + 7, 3 * a) for right in (a + 1, 10 ** 14)]
+    got = spark.createDataFrame(rows, "a long, l long, r long").withColumn("score", collocations.scored("a", "l", "r")).collect()
+    for r in got:
+        assert r["score"] == 10 ** 6 * r["a"] * r["a"] // (r["l"] * r["r"])
+
+
+def test_byte_slices_never_cut_a_text():
+    batch = pa.record_batch({"text": ["aaa", None, "b" * 50, "", "cc", "dd"], "n": [1, 2, 3, 4, 5, 6]})
+    parts = list(byte_slices([batch, batch.slice(0, 0)], "text", 5))
+    assert pa.Table.from_batches(parts).equals(pa.Table.from_batches([batch]))
+    assert all(p.num_rows == 1 or sum(len(t or "") for t in p["text"].to_pylist()) <= 5 for p in parts)
