@@ -5,6 +5,7 @@ from __future__ import annotations
 import sys
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -16,6 +17,8 @@ from gpsight.session import materialize
 SLICE_ROWS = 256
 # Bytes of text that are worked on at once; only memory depends on it.
 SLICE_BYTES = 8 * 1024 * 1024
+# Bytes of words and their encodings that a worker remembers, and what an entry costs besides.
+CACHE_BYTES, CACHE_ENTRY = 96 * 1024 * 1024, 200
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,23 +30,39 @@ def fold(column: str, folds: int) -> Column:
     return F.coalesce(F.crc32(F.col(column).cast("string").cast("binary")) % folds, F.lit(0))
 
 
-def slices(batches: Iterable[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterator[dict[str, list]]:
-    """The rows of Arrow batches as column lists, a bounded number of rows at a time."""
+def _bounded(batch: pa.RecordBatch, sizes: np.ndarray, rows: int, limit: int) -> Iterator[pa.RecordBatch]:
+    total, at = sizes.cumsum(), 0
+    while at < batch.num_rows:
+        before = total[at - 1] if at else 0
+        end = min(at + rows, max(at + 1, int(total.searchsorted(before + limit, side="right"))))
+        yield batch.slice(at, end - at)
+        at = end
+
+
+def _bytes(column: pa.Array) -> np.ndarray:
+    """Bytes of each value; of other types than text and binary the mean."""
+    kind = column.type
+    if pa.types.is_string(kind) or pa.types.is_binary(kind) or pa.types.is_large_string(kind) or pa.types.is_large_binary(kind):
+        return pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    return np.full(len(column), -(-column.nbytes // max(1, len(column))), np.int64)
+
+
+def bounded_batches(batches: Iterable[pa.RecordBatch], rows: int = SLICE_ROWS, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Arrow batches cut to a number of rows and of bytes; a row is never cut."""
     for batch in batches:
-        for at in range(0, batch.num_rows, rows):
-            yield batch.slice(at, rows).to_pydict()
+        yield from _bounded(batch, sum(map(_bytes, batch.columns), np.zeros(batch.num_rows, np.int64)), rows, limit)
+
+
+def slices(batches: Iterable[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterator[dict[str, list]]:
+    """The rows of Arrow batches as column lists, a bounded number of rows and bytes at a time."""
+    for batch in bounded_batches(batches, rows):
+        yield batch.to_pydict()
 
 
 def byte_slices(batches: Iterable[pa.RecordBatch], column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Arrow batches cut where the bytes of a text column pass ``limit``; a row is never cut."""
     for batch in batches:
-        sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).cumsum()
-        at = 0
-        while at < batch.num_rows:
-            before = sizes[at - 1] if at else 0
-            end = max(at + 1, int(sizes.searchsorted(before + limit, side="right")))
-            yield batch.slice(at, end - at)
-            at = end
+        yield from _bounded(batch, _bytes(batch.column(column)), batch.num_rows, limit)
 
 
 def map_rows(df: DataFrame, step: Callable[[dict[str, list]], dict[str, list]], schema: str,
@@ -66,13 +85,36 @@ def map_rows(df: DataFrame, step: Callable[[dict[str, list]], dict[str, list]],
 
 
 def once(key, make: Callable):
-    """What ``make`` returns, made once in each Python worker and kept for its later tasks."""
+    """What ``make`` returns, made once in each Python worker and kept for its later tasks.
+
+    A worker serves several operators in turn; it keeps what the latest one asked for, and lets
+    go of the rest.
+    """
     kept = vars(sys).setdefault("_gpsight_kept", {})
     if key not in kept:
+        kept.clear()
         kept[key] = make()
     return kept[key]
 
 
+class Remembered(dict):
+    """Encodings of words, forgotten all together when they outgrow a number of bytes."""
+
+    def __init__(self, limit: int = CACHE_BYTES):
+        super().__init__()
+        self.limit, self.held = limit, 0
+
+    def keep(self, word: str, packed: bytes) -> bytes:
+        size = 2 * len(word) + len(packed) + CACHE_ENTRY
+        if self.held + size > self.limit:
+            self.clear()
+            self.held = 0
+        if size <= self.limit:
+            self[word] = packed
+            self.held += size
+        return packed
+
+
 def carried(docs: DataFrame, carry: bool) -> list[Column]:
     """The other columns of ``docs`` as one column ``row``, if they are to be carried along."""
     return [F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")] if carry else []
@@ -103,5 +145,5 @@ def bounded_sample(labelled: DataFrame, key: str, label: str, per_label: int) ->
     return labelled.drop("_slot")
 
 
-__all__ = ["SLICE_BYTES", "SLICE_ROWS", "bounded_sample", "byte_slices", "carried", "fold", "map_rows", "materialize", "once", "row_schema", "shuffle_partitions",
+__all__ = ["Remembered", "SLICE_BYTES", "SLICE_ROWS", "bounded_batches", "bounded_sample", "byte_slices", "carried", "fold", "map_rows", "materialize", "once", "row_schema", "shuffle_partitions",
            "slices", "table"]

@@ -22,10 +22,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gpsight.llm.common import bounded_sample, fold, map_rows, once, slices
+from gpsight.llm.common import bounded_batches, bounded_sample, fold, map_rows, once
 
 PER_LANGUAGE, BUCKETS, SWITCH_PENALTY = 500, 1 << 15, 12.0
-SMOOTHING, OTHER_SCRIPT, WORDS_TOGETHER = 0.5, -50.0, 1_000_000
+SMOOTHING, OTHER_SCRIPT = 0.5, -50.0
+# Code points whose letters are looked at together, and of texts labelled together: memory only.
+SEGMENT, TOGETHER = 250_000, 4_000_000
 
 # First code point of each block of letters and its script.
 SCRIPTS = (
@@ -156,12 +158,37 @@ def viterbi(scores: np.ndarray, of: np.ndarray, texts: int, penalty: float) -> n
     return label
 
 
+def segments(texts: list[str | None], limit: int):
+    """Groups of (text number, first code point, part) with about ``limit`` code points each.
+
+    A long text is cut where no letter stands; a run of letters that goes on for ``limit`` more is
+    cut all the same, and its parts are words of their own.
+    """
+    group, held = [], 0
+    for number, text in enumerate(texts):
+        text, at = text or "", 0
+        while at == 0 or at < len(text):
+            end = min(len(text), at + limit)
+            while end < len(text) and end < at + 2 * limit and text[end].isalpha():
+                end += 1
+            if held and held + end - at > limit:
+                yield group
+                group, held = [], 0
+            group.append((number, at, text[at:end]))
+            held += end - at
+            at = max(end, 1)
+    if group:
+        yield group
+
+
 def label_texts(texts: list[str | None], model: Model, letters: np.ndarray, penalty: float):
     """(language, score, spans) of each text; a span is (language, first code point, end)."""
     pieces = []
-    for at in range(0, len(texts), 64):
-        bucket, first, script, of, place, size = words_of(texts[at:at + 64], letters)
-        pieces.append((model.emissions(bucket, first, script), of + at, place, size, model.uses[script].any(1)))
+    for group in segments(texts, SEGMENT):
+        numbers, begins, parts = zip(*group)
+        bucket, first, script, of, place, size = words_of(list(parts), letters)
+        pieces.append((model.emissions(bucket, first, script), np.array(numbers)[of], place + np.array(begins)[of], size,
+                       model.uses[script].any(1)))
     scores, of, place, size, known = (np.concatenate(p) for p in zip(*pieces))
     label = viterbi(scores, of, len(texts), penalty)
     names, weight = model.languages, np.zeros((len(texts), len(model.languages)))
@@ -197,29 +224,27 @@ def identify(docs: DataFrame, model: Model | None, penalty: float = SWITCH_PENAL
             "spans": [[{"lang": a, "start": b, "end": c} for a, b, c in f[2]] for f in found]}, schema=arrow)
 
     def run(batches):
-        ids, texts, chars = [], [], 0
-        for part in slices(batches, 64):
-            ids += part["doc_id"]
-            texts += part["text"]
-            chars += sum(len(t or "") for t in part["text"])
-            if chars >= 6 * WORDS_TOGETHER or len(ids) >= 20_000:
-                yield done(ids, texts)
-                ids, texts, chars = [], [], 0
-        if ids:
-            yield done(ids, texts)
+        for part in bounded_batches(batches, 20_000, TOGETHER):
+            yield done(part["doc_id"].to_pylist(), part["text"].to_pylist())
 
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 
 
 def keep_identified(docs: DataFrame, model: Model | None, penalty: float = SWITCH_PENALTY) -> DataFrame:
-    """The rows of ``docs``, with all their columns, whose text has a language."""
+    """The rows of ``docs`` whose text has an identified language, which becomes their ``lang``.
+
+    Rejected are texts without a letter and texts in scripts that no learned language uses
+    (score 0): nothing is known about their language.
+    """
+    at = docs.columns.index("lang")
+
     def run(batches):
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                texts = part.column("text").to_pylist()
-                found = label_texts(texts, model, once("letters", letter_table), penalty) if model else [("und",)] * len(texts)
-                yield part.filter(pa.array([f[0] != "und" for f in found]))
+        for part in bounded_batches(batches, 20_000, TOGETHER):
+            texts = part.column("text").to_pylist()
+            found = label_texts(texts, model, once("letters", letter_table), penalty) if model else [("und", 0.0)] * len(texts)
+            lang = pa.array([f[0] for f in found], pa.string())
+            columns = [lang if i == at else c for i, c in enumerate(part.columns)]
+            yield pa.RecordBatch.from_arrays(columns, names=part.schema.names).filter(pa.array([f[1] > 0 for f in found]))
 
     return docs.mapInArrow(run, docs.schema)
 

@@ -28,9 +28,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from gpsight.llm.common import map_rows, materialize, once
+from gpsight.llm.common import Remembered, map_rows, materialize, once
 
-CAPACITY, END_ID, MAX_WORDS = 4096, 1, 600_000
+CAPACITY, END_ID = 4096, 1
 # Pieces of one length that one task ranks; more are dealt over several slots.
 RANKED_TOGETHER = 1_000_000
 # Letters whose lower case and composed form don't depend on what stands around them.
@@ -69,7 +69,7 @@ class WordEncoder:
                                        special_tokens={})._core_bpe.encode_single_piece
         name = lambda w: "".join(shown[b] for b in w.removesuffix(b"\xff")) + suffix * w.endswith(b"\xff")
         self.id_of = np.array([vocab.get(name(w), 0) if w != b"\xff" else 0 for w in order], "<u4")
-        self.known: dict[str, bytes] = {}
+        self.known = Remembered()
 
     def by_library(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
@@ -93,9 +93,7 @@ class WordEncoder:
         for word in text.split():
             packed = known.get(word)
             if packed is None:
-                if len(known) >= MAX_WORDS:
-                    known.clear()
-                packed = known[word] = self.word(word)
+                packed = known.keep(word, self.word(word))
             out.append(packed)
         return b"".join(out)
 
