@@ -17,6 +17,7 @@ from __future__ import annotations
 import base64
 import codecs
 import re
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,10 +26,10 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gpsight.llm.common import map_rows, once
+from gpsight.llm.common import Remembered, map_rows, once
 
 # Bounds of what a task remembers; when one is reached the memory starts anew.
-MAX_STATES, MAX_PIECES, MAX_NEIGHBOURS = 200_000, 300_000, 1_000_000
+MAX_STATES, MAX_NEIGHBOURS = 200_000, 1_000_000
 NEVER = 1 << 62  # a rank beyond all others
 
 
@@ -43,6 +44,7 @@ class MergeTransducer:
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
         self.words = {rank: word for word, rank in ranks.items()}
+        self.sizes = {rank: len(word) for word, rank in ranks.items()}
         self.child: dict[int, int] = {}  # (node << 8 | byte) -> node
         token, parent, depth = [-1], [(0, 0)], [0]
         for word, rank in ranks.items():
@@ -85,6 +87,7 @@ class MergeTransducer:
         start = (0, (-1,))
         self.states, self.number = [start], {start: 0}
         self.arcs: dict[int, int] = {}
+        self.last = [-1]  # the last token of each state
 
     def parts(self, word: bytes) -> tuple[bytes, bytes] | None:
         """The two tokens whose merge makes a token; None for a token that no merge makes."""
@@ -147,6 +150,7 @@ class MergeTransducer:
         if number is None:
             number = self.number[made] = len(self.states)
             self.states.append(made)
+            self.last.append(token)
         self.arcs[state << 8 | byte] = number
         return number
 
@@ -158,22 +162,27 @@ class MergeTransducer:
             self.forget()
         if len(self.neighbours) > MAX_NEIGHBOURS:
             self.neighbours.clear()
-        state, lasts, out, arcs, limit = 0, [], [], self.arcs, 8 * self.longest
-        for byte in piece:
-            nxt = arcs.get(state << 8 | byte)
-            state = self.step(state, byte) if nxt is None else nxt
-            lasts.append(self.states[state][1][-1])
-            if len(lasts) >= limit:
+        state, lasts, out, limit = 0, [], [], 8 * self.longest
+        arc, last, step = self.arcs.get, self.last, self.step
+        add = lasts.append
+        for at in range(0, len(piece), limit):
+            for byte in piece[at:at + limit]:
+                nxt = arc(state << 8 | byte)
+                state = step(state, byte) if nxt is None else nxt
+                add(last[state])
+            if at + limit < len(piece):
                 self.emit(lasts, self.depth[self.states[state][0]], out)
         return out + self.backwards(lasts, len(lasts))
 
     def backwards(self, lasts: list[int], end: int) -> list[int]:
         """The tokens up to a position, from the last token of each position."""
-        found = []
+        found, sizes = [], self.sizes
         while end > 0:
-            found.append(lasts[end - 1])
-            end -= len(self.words[lasts[end - 1]])
-        return found[::-1]
+            token = lasts[end - 1]
+            found.append(token)
+            end -= sizes[token]
+        found.reverse()
+        return found
 
     def emit(self, lasts: list[int], running: int, out: list[int]) -> None:
         """Moves the tokens on which all running positions agree from ``lasts`` to ``out``."""
@@ -183,7 +192,7 @@ class MergeTransducer:
         while all(agreed < len(p) and p[agreed] == paths[0][agreed] for p in paths):
             agreed += 1
         out += paths[0][:agreed]
-        del lasts[:sum(len(self.words[t]) for t in paths[0][:agreed])]
+        del lasts[:sum(self.sizes[t] for t in paths[0][:agreed])]
 
 
 # White space that is more than one character between two words.
@@ -201,18 +210,15 @@ class Encoder:
         self.transducer = MergeTransducer(ranks)
         self.split = regex.compile(pattern).findall
         self.by_space = pattern == public_tokenizers.PATTERN
-        self.pieces: dict[str, bytes] = {}
-        self.words: dict[str, bytes] = {}
+        self.pieces, self.words = Remembered(), Remembered()
 
     def by_pattern(self, text: str) -> bytes:
         found, pieces = [], self.pieces
         for piece in self.split(text):
             packed = pieces.get(piece)
             if packed is None:
-                if len(pieces) >= MAX_PIECES:
-                    pieces.clear()
-                packed = np.array(self.transducer.encode(piece.encode()), "<u4").tobytes()
-                pieces[piece] = packed
+                ids = self.transducer.encode(piece.encode())
+                packed = pieces.keep(piece, struct.pack(f"<{len(ids)}I", *ids))
             found.append(packed)
         return b"".join(found)
 
@@ -226,9 +232,7 @@ class Encoder:
         for word in rest:
             packed = words.get(word)
             if packed is None:
-                if len(words) >= MAX_PIECES:
-                    words.clear()
-                packed = words[word] = self.by_pattern(" " + word)
+                packed = words.keep(word, self.by_pattern(" " + word))
             found.append(packed)
         return b"".join(found)
 
