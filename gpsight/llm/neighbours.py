@@ -1,11 +1,15 @@
 """Approximate nearest neighbours by largest inner product, over balanced posting lists.
 
 Centroids come from balanced splits of a bounded sample. A graph over the centroids, searched
-best-first with a beam, finds the lists near a vector that is placed. Vectors near a border go
-to every list whose centroid is almost as near as the nearest. A query is compared with all
-centroids (at most MAX_LISTS; the beam would leave lists out) and reads every list whose
-distance is within a ratio of its nearest. Inner products become distances by one more component
-(sqrt(M² - |x|²), M the largest norm).
+best-first with a beam, finds the lists near a vector. Vectors near a border go to every list whose
+centroid is almost as near as the nearest. A query's beam is widened until it holds every list
+whose distance is within a ratio of its nearest. Inner products become distances by one more
+component (sqrt(M² - |x|²), M the largest norm).
+
+A query first reads its nearest lists, which gives a score that its k-th neighbour reaches at
+least. Then it reads those of the other lists that may hold a better one: a list whose centroid's
+score plus the query's length times the list's largest residual stays below that score is
+left out, and only scores that reach it are passed on.
 
 All vectors are indexed; only the fit uses the sample. Small lists are read together as a
 cell; large ones are cut into parts of bounded size, and the queries of a cell into blocks, so
@@ -30,6 +34,8 @@ from gpsight.llm.common import materialize
 
 SAMPLE, LIST_SIZE, MAX_LISTS = 20_000, 256, 2048
 BORDER_RATIO, REPLICAS, QUERY_RATIO, BEAM, LINKS = 1.08, 6, 1.3, 48, 16
+# The lists that a query reads first hold about so many times k vectors.
+FIRST = 8
 PART_ROWS, QUERY_BLOCK = 4096, 4096
 
 
@@ -98,8 +104,8 @@ class CentroidGraph:
             by_node = np.argsort(nodes, axis=1, kind="stable")
             nodes, dist = np.take_along_axis(nodes, by_node, 1), np.take_along_axis(dist, by_node, 1)
             dist = np.where(np.diff(nodes, axis=1, prepend=-1) == 0, np.inf, dist)
-        finite = np.isfinite(dist)
-        return nodes, np.where(finite, dist, np.inf)
+        order = np.argsort(dist, axis=1, kind="stable")[:, :beam]
+        return np.take_along_axis(nodes, order, 1), np.take_along_axis(dist, order, 1)
 
 
 def lifted(x: np.ndarray, largest: float) -> np.ndarray:
@@ -111,8 +117,9 @@ def matrix(column) -> np.ndarray:
 
 
 def place(vectors: DataFrame, graph: CentroidGraph, largest: float) -> DataFrame:
-    """vec_id, embedding, list and nearest (whether it is the nearest list) for each list of a vector."""
-    schema = "vec_id long, embedding array<double>, list int, nearest boolean"
+    """vec_id, embedding, list, nearest (whether it is the nearest list) and residual (the distance to
+    the list's centroid) for each list of a vector."""
+    schema = "vec_id long, embedding array<double>, list int, nearest boolean, residual double"
 
     def run(batches):
         for batch in batches:
@@ -125,7 +132,8 @@ def place(vectors: DataFrame, graph: CentroidGraph, largest: float) -> DataFrame
                 taken = part.take(pa.array(row))
                 yield pa.RecordBatch.from_arrays(
                     [taken.column("vec_id"), taken.column("embedding"), pa.array(nodes[row, column], pa.int32()),
-                     pa.array(column == 0)], ["vec_id", "embedding", "list", "nearest"])
+                     pa.array(column == 0), pa.array(dist[row, column])],
+                    ["vec_id", "embedding", "list", "nearest", "residual"])
 
     return vectors.mapInArrow(run, schema)
 
@@ -140,21 +148,44 @@ def list_cells(rows: np.ndarray) -> np.ndarray:
     return cells
 
 
-def lists_to_read(x: np.ndarray, graph: CentroidGraph, count: np.ndarray, k: int, ratio: float) -> np.ndarray:
-    """For each row and list whether the row reads it: all within the ratio, and enough for k other vectors."""
-    read = np.zeros((len(x), len(count)), bool)
-    for at, own in enumerate(x):
-        dist = np.sqrt(((graph.centroids - own) ** 2).sum(1))
-        nodes = np.argsort(dist, kind="stable")
-        dist = dist[nodes]
-        before = np.cumsum(count[nodes]) - count[nodes]
-        read[at, nodes[(dist <= ratio * dist[0]) | (before <= k)]] = True
-    return read
+def lists_to_read(x: np.ndarray, graph: CentroidGraph, count: np.ndarray, k: int, ratio: float,
+                  ) -> tuple[np.ndarray, np.ndarray]:
+    """For each row and list whether the row reads it first, and whether it reads it at all.
+
+    Read at all are the lists within the ratio and as many as hold k other vectors; first come the
+    nearest ones that hold FIRST * k. The graph is searched with a beam that doubles for the rows
+    whose beam still ends inside.
+    """
+    first, read = np.zeros((len(x), len(count)), bool), np.zeros((len(x), len(count)), bool)
+    todo = [(np.arange(len(x)), BEAM)]
+    while todo:
+        rows, beam = todo.pop()
+        most = max(1, BEAM * 64 // beam)  # rows searched together: only memory depends on it
+        if len(rows) > most:
+            todo += [(rows[at:at + most], beam) for at in range(0, len(rows), most)]
+            continue
+        nodes, dist = graph.search(x[rows], beam)
+        held = np.where(np.isfinite(dist), count[nodes], 0)
+        before = np.cumsum(held, axis=1) - held
+        near = np.isfinite(dist) & ((dist <= ratio * dist[:, :1]) | (before <= k))
+        done = ~near[:, -1] if beam < len(count) else np.ones(len(rows), bool)
+        row, column = np.nonzero(near & done[:, None])
+        read[rows[row], nodes[row, column]] = True
+        row, column = np.nonzero(near & done[:, None] & (before <= FIRST * k))
+        first[rows[row], nodes[row, column]] = True
+        if not done.all():
+            todo.append((rows[~done], 2 * beam))
+    return first, read
 
 
 def choose_lists(queries: DataFrame, graph: CentroidGraph, sizes: dict[int, int], cells: np.ndarray, k: int,
-                 ratio: float) -> DataFrame:
-    """query_id, embedding, reads (a bit for each list) and the cells that hold those lists, of each query."""
+                 ratio: float, residual: np.ndarray | None = None) -> DataFrame:
+    """query_id, embedding, floor, reads (a bit for each list) and the cells that hold those lists, of each query.
+
+    ``queries`` hold query_id, embedding and floor, the score that the k-th neighbour reaches (null:
+    unknown). Without ``residual`` the lists read first are chosen, with it the others that may
+    reach the floor.
+    """
     count = np.array([sizes.get(i, 0) for i in range(len(graph.centroids))])
 
     def run(batches):
@@ -162,14 +193,23 @@ def choose_lists(queries: DataFrame, graph: CentroidGraph, sizes: dict[int, int]
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
                 x = matrix(part.column("embedding"))
-                read = lists_to_read(np.hstack([x, np.zeros((len(x), 1))]), graph, count, k, ratio)
+                lifted_x = np.hstack([x, np.zeros((len(x), 1))])
+                first, read = lists_to_read(lifted_x, graph, count, k, ratio)
+                if residual is None:
+                    read = first
+                else:
+                    floor = part.column("floor").fill_null(-np.inf).to_numpy(zero_copy_only=False)
+                    with np.errstate(over="ignore", invalid="ignore"):
+                        length = np.sqrt((x ** 2).sum(1))[:, None]
+                        most = lifted_x @ graph.centroids.T + length * residual * (1 + 1e-9)
+                        read &= ~first & ~(most < floor[:, None] - 1e-9 * np.abs(floor)[:, None])
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("vec_id"), part.column("embedding"),
+                    [part.column("query_id"), part.column("embedding"), part.column("floor"),
                      pa.array([bits.tobytes() for bits in np.packbits(read, axis=1)], pa.binary()),
                      pa.array([np.unique(cells[r]).tolist() for r in read], pa.list_(pa.int32()))],
-                    ["query_id", "embedding", "reads", "cells"])
+                    ["query_id", "embedding", "floor", "reads", "cells"])
 
-    return queries.mapInArrow(run, "query_id long, embedding array<double>, reads binary, cells array<int>")
+    return queries.mapInArrow(run, "query_id long, embedding array<double>, floor double, reads binary, cells array<int>")
 
 
 def exact_scores(q: np.ndarray, v: np.ndarray) -> np.ndarray:
@@ -179,8 +219,9 @@ def exact_scores(q: np.ndarray, v: np.ndarray) -> np.ndarray:
     return out
 
 
-def best_pairs(q: np.ndarray, v: np.ndarray, ids: np.ndarray, read: np.ndarray, k: int):
-    """Row, id and score of the k best ids of each row; ``ids`` ascend, ``read`` are the pairs that count.
+def best_pairs(q: np.ndarray, v: np.ndarray, ids: np.ndarray, read: np.ndarray, k: int, floor: np.ndarray):
+    """Row, id and score of the k best ids of each row that reach its ``floor``; ``ids`` ascend, ``read``
+    are the pairs that count.
 
     A matrix product leaves out what is below the k-th id by more than rounding can explain.
     """
@@ -188,13 +229,15 @@ def best_pairs(q: np.ndarray, v: np.ndarray, ids: np.ndarray, read: np.ndarray,
     with np.errstate(over="ignore", invalid="ignore"):
         rough = np.where(read, q @ v.T, -np.inf)
         by_id = np.maximum.reduceat(rough, starts, axis=1)
-        if len(starts) > k:
-            slack = 4 * q.shape[1] * np.finfo(float).eps * np.sqrt((q ** 2).sum(1) * (v ** 2).sum(1).max())
-            read = read & ~(rough < (np.partition(by_id, -k, axis=1)[:, -k] - slack)[:, None])
+        slack = 4 * q.shape[1] * np.finfo(float).eps * np.sqrt((q ** 2).sum(1) * (v ** 2).sum(1).max())
+        least = np.maximum(floor, np.partition(by_id, -k, axis=1)[:, -k]) if len(starts) > k else floor
+        read = read & ~(rough < (least - slack)[:, None])
         row, column = np.nonzero(read)
         scores = np.zeros(len(row))
         for a, b in zip(q.T, v.T):
             scores += a[row] * b[column]
+        reached = ~(scores < floor[row])
+        row, column, scores = row[reached], column[reached], scores[reached]
     order = np.lexsort((ids[column], -scores, row))
     row, found, scores = row[order], ids[column[order]], scores[order]
     # an id once, with its best score
@@ -217,7 +260,8 @@ def search_cell(k: int):
                 own = part["query_id"].to_numpy()
                 bits = np.frombuffer(b"".join(part["reads"]), np.uint8).reshape(len(part), -1)
                 read = np.unpackbits(bits, axis=1)[:, lists].astype(bool) & (own[:, None] != ids[None, :])
-                row, found, scores = best_pairs(matrix(part["embedding"]), v, ids, read, k)
+                floor = part["floor"].fillna(-np.inf).to_numpy(float)
+                row, found, scores = best_pairs(matrix(part["embedding"]), v, ids, read, k, floor)
                 out.append(pd.DataFrame({"query_id": own[row], "vec_id": found, "score": scores}))
         return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
     return run
@@ -238,10 +282,29 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, ratio: float =
     leaf = max(8, -(-len(chosen) // max(1, min(MAX_LISTS, total["n"] // LIST_SIZE))))
     graph = CentroidGraph(balanced_centroids(lifted(matrix(chosen["embedding"]), total["m"]), leaf))
     lists = materialize(place(vectors, graph, total["m"]), "posting-lists")
-    held = lists.groupBy("list").agg(F.count("*").alias("n"), F.sum(F.col("nearest").cast("int")).alias("own")).collect()
+    held = lists.groupBy("list").agg(F.count("*").alias("n"), F.sum(F.col("nearest").cast("int")).alias("own"),
+                                     F.max("residual").alias("residual")).collect()
     rows = {r["list"]: r["n"] for r in held}
+    own = {r["list"]: r["own"] for r in held}
+    residual = np.zeros(len(graph.centroids))
+    residual[[r["list"] for r in held]] = [r["residual"] for r in held]
     cells = list_cells(np.array([rows.get(i, 0) for i in range(len(graph.centroids))]))
-    reads = materialize(choose_lists(queries, graph, {r["list"]: r["own"] for r in held}, cells, k, ratio), "list-queries")
+    asking = queries.select(F.col("vec_id").alias("query_id"), "embedding")
+    first = choose_lists(asking.withColumn("floor", F.lit(None).cast("double")), graph, own, cells, k, ratio)
+    near = materialize(read_lists(lists, materialize(first, "list-queries"), rows, cells, k), "near-pairs")
+    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    kth = (near.withColumn("_rank", F.row_number().over(best)).filter(F.col("_rank") == k)
+           .select("query_id", F.col("score").alias("floor")))
+    rest = choose_lists(asking.join(kth, "query_id", "left"), graph, own, cells, k, ratio, residual)
+    far = read_lists(lists, materialize(rest.filter(F.size("cells") > 0), "list-queries"), rows, cells, k)
+    return (near.union(far).groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+            .withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
+            .select("query_id", "rank", "vec_id", "score"))
+
+
+def read_lists(lists: DataFrame, reads: DataFrame, rows: dict[int, int], cells: np.ndarray, k: int) -> DataFrame:
+    """query_id, vec_id, score: the k best of each query, reaching its floor, in each part of a cell it reads."""
+    spark = lists.sparkSession
     asked = {r["cell"]: r["n"] for r in reads.select(F.explode("cells").alias("cell")).groupBy("cell")
              .agg(F.count("*").alias("n")).collect()}
     # parts of a cell and blocks of its queries: a table with a row for each list
@@ -253,13 +316,10 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, ratio: float =
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     stored = (lists.join(F.broadcast(cuts), "list").withColumn("part", slot("vec_id", "parts"))
               .select("cell", "part", each("blocks").alias("block"), "vec_id", "embedding", "list"))
-    asking = (reads.select("query_id", "embedding", "reads", F.explode("cells").alias("cell"))
+    asking = (reads.select("query_id", "embedding", "floor", "reads", F.explode("cells").alias("cell"))
               .join(F.broadcast(cuts.drop("list").distinct()), "cell").withColumn("block", slot("query_id", "blocks"))
-              .select("cell", each("parts").alias("part"), "block", "query_id", "embedding", "reads"))
+              .select("cell", each("parts").alias("part"), "block", "query_id", "embedding", "floor", "reads"))
     keys = ["cell", "part", "block"]
     found = asking.groupBy(*keys).cogroup(stored.groupBy(*keys)).applyInPandas(
         lambda q, v: search_cell(k)(q, v), "query_id long, vec_id long, score double")
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return (found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-            .withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
-            .select("query_id", "rank", "vec_id", "score"))
+    return found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
