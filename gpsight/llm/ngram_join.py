@@ -426,10 +426,10 @@ def search_links(sets: DataFrame, prefix: DataFrame) -> DataFrame:
     are searched block by block.
     """
     spread = prefix.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi"),
-                                         F.count("*").alias("many"), F.min("owner").alias("first"))
-    opened = spread.filter("lo != hi").select("token", "many", "first")
+                                         F.count("*").alias("many"))
+    opened = spread.filter("lo != hi").select("token", "many", "lo")
     members = materialize(prefix.join(opened, "token"), "open-lists")
-    short = members.filter(F.col("many") <= SHORT_LIST).drop("many", "first")
+    short = members.filter(F.col("many") <= SHORT_LIST).drop("many", "lo")
     return short_list_links(sets, short).union(long_list_links(sets, members.filter(F.col("many") > SHORT_LIST)))
 
 
@@ -460,10 +460,12 @@ def short_list_links(sets: DataFrame, members: DataFrame) -> DataFrame:
 
 def long_list_links(sets: DataFrame, members: DataFrame) -> DataFrame:
     """Classes outside the largest component of an area ask all others of the area. A class goes
-    once to each pair of blocks, whatever the number of lists and candidates it has there."""
-    reach = components(members.select(F.col("owner").alias("a"), F.col("first").alias("b")), "list-reach")
+    once to each pair of blocks, whatever the number of lists and candidates it has there. Lists
+    connect whole components, not classes, so a large group that the leaders joined is one node."""
+    reach = components(members.select(F.col("component").alias("a"), F.col("lo").alias("b")).distinct(), "list-reach")
     part_of = members.select("owner", "component").distinct()
-    where = materialize(reach.select(F.col("node").alias("owner"), F.col("component").alias("area")).join(part_of, "owner"), "search-areas")
+    where = materialize(part_of.join(reach.select(F.col("node").alias("component"), F.col("component").alias("area")),
+                                     "component"), "search-areas")
     sizes = where.groupBy("area", "component").agg(F.count("*").alias("n"))
     areas = sizes.groupBy("area").agg(F.sum("n").alias("total"), F.max(F.struct("n", "component")).alias("largest"))
     areas = areas.select("area", F.ceil(F.col("total") / SEARCH_BLOCK).cast("int").alias("blocks"),
