@@ -2,17 +2,22 @@
 
 A k-mer is an anchor if its least inner substring lies at its first or last place. Whether it
 is one depends on nothing around it, so an edit changes only the anchors that it touches. The
-fingerprint is the ANCHORS anchors with the least hashes and where they first occur: its size
-is fixed, it covers the whole text, and equal texts have equal fingerprints. Likeness compares
-the least hashes of both texts together, and counts those that occur in both in the same order.
+fingerprint holds every anchor of the text in order, as a hash and the distance from the anchor before;
+equal texts have equal fingerprints, and a passage that two texts share shows as the same run of
+anchors in both, wherever it stands. Likeness takes the anchors that both texts have (a hash by its first
+place) and counts those that stand in the same order, against all anchors of the two.
 
 Edge cases: a null text is empty; an empty text's fingerprint is empty and like only another
-empty one; a text shorter than a k-mer, or without an anchor, has one anchor, its own hash.
+empty one; a text shorter than a k-mer has one anchor, its own hash at place 0; a text of any
+length is read whole, a block of bytes at a time; rows that repeat an id or have none stand next to
+each other, by text; an empty table gives no rows; other columns than doc_id and text are not read.
 """
 
 from __future__ import annotations
 
+import base64
 from bisect import bisect_left
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -24,51 +29,79 @@ from pyspark.sql import functions as F
 from gpsight.llm.bytehash import hash_at, sliding, words64
 from gpsight.llm.common import shuffle_partitions, slices
 
-KMER, INNER, ANCHORS = 20, 8, 48
-MAX_RANGES = 4096
+KMER, INNER = 20, 8
+# Bytes whose k-mers are looked at together: only memory depends on it.
+BLOCK = 1 << 20
 
 
-def fingerprints(texts: list[str]) -> list[list[tuple[int, int]]]:
-    """The (hash, first byte position) anchors of each text, by hash."""
+class Anchors(NamedTuple):
+    """The anchors of a text in order, and each hash once with its first place."""
+
+    hashes: np.ndarray
+    places: np.ndarray
+    known: np.ndarray
+    first: np.ndarray
+
+
+def anchors_in(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes and places of the closed syncmers of ``data``, block by block."""
+    hashes, places = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
+    for begin in range(0, max(1, len(data) - KMER + 1), BLOCK):
+        words = words64(data[begin:begin + BLOCK + KMER - 1])
+        inner = hash_at(words, INNER)
+        least = sliding(inner, KMER - INNER + 1, np.minimum)
+        n = len(least)
+        at = np.flatnonzero((inner[:n] == least) | (inner[KMER - INNER:KMER - INNER + n] == least))
+        hashes.append((hash_at(words, KMER)[at] >> np.uint64(32)).astype(np.uint32))
+        places.append(at + begin)
+    return np.concatenate(hashes), np.concatenate(places)
+
+
+def fingerprints(texts: list[str]) -> list[Anchors]:
     raw = [t.encode("utf-8", "surrogatepass") for t in texts]
-    data = b"".join(raw)
-    ends = np.cumsum([len(r) for r in raw])
-    words = words64(data)
-    inner = hash_at(words, INNER)
-    least = sliding(inner, KMER - INNER + 1, np.minimum)
-    n = len(least)
-    at = np.flatnonzero((inner[:n] == least) | (inner[KMER - INNER:KMER - INNER + n] == least))
-    hashes = hash_at(words, KMER)[at] >> np.uint64(32)
-    out, first = [], 0
-    for r, end in zip(raw, ends.tolist()):
-        a, b = np.searchsorted(at, [first, end - KMER + 1])
-        if b > a:
-            found, where = np.unique(hashes[a:b], return_index=True)
-            out.append(list(zip(found[:ANCHORS].tolist(), (at[a:b][where[:ANCHORS]] - first).tolist())))
-        else:
-            out.append([(xxhash.xxh3_64_intdigest(r) >> 32, 0)] if r else [])
-        first = end
+    hashes, at = anchors_in(b"".join(raw))
+    out, begin = [], 0
+    for r in raw:
+        end = begin + len(r)
+        a, b = np.searchsorted(at, [begin, max(begin, end - KMER + 1)])
+        own, places = hashes[a:b], at[a:b] - begin
+        if r and a == b:
+            own, places = np.array([xxhash.xxh3_64_intdigest(r) >> 32], np.uint32), np.zeros(1, np.int64)
+        known, where = np.unique(own, return_index=True)
+        out.append(Anchors(own, places, known, places[where]))
+        begin = end
     return out
 
 
-def shown(anchors: list[tuple[int, int]]) -> str:
-    """Eight hex digits of the hash and five of the position, modulo 2 ** 20, for each anchor."""
-    return "".join(f"{h:08x}{p & 0xFFFFF:05x}" for h, p in anchors)
+def shown(anchors: Anchors) -> str:
+    """Base64 of all anchors: 4 bytes of hash and 4 of the distance to the anchor before, each."""
+    packed = np.empty((len(anchors.hashes), 2), "<u4")
+    packed[:, 0] = anchors.hashes
+    packed[:, 1] = np.diff(anchors.places, prepend=0)
+    return base64.b64encode(packed.tobytes()).decode()
+
+
+def read_shown(fingerprint: str) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes and byte positions of a fingerprint's anchors."""
+    packed = np.frombuffer(base64.b64decode(fingerprint), "<u4").reshape(-1, 2)
+    return packed[:, 0], packed[:, 1].astype(np.int64).cumsum()
 
 
-def likeness(a: list[tuple[int, int]], b: list[tuple[int, int]]) -> float:
-    if a == b:
+def likeness(a: Anchors, b: Anchors) -> float:
+    if len(a.hashes) == len(b.hashes) and np.array_equal(a.hashes, b.hashes) and np.array_equal(a.places, b.places):
         return 1.0
-    if not a or not b:
+    if not len(a.known) or not len(b.known):
         return 0.0
-    in_a, in_b = dict(a), dict(b)
-    least = sorted(in_a.keys() | in_b.keys())[:ANCHORS]
-    pairs = sorted((in_a[h], in_b[h]) for h in least if h in in_a and h in in_b)
+    _, in_a, in_b = np.intersect1d(a.known, b.known, assume_unique=True, return_indices=True)
+    places = b.first[in_b][np.argsort(a.first[in_a], kind="stable")]
+    together = len(a.known) + len(b.known) - len(places)
+    if (np.diff(places) > 0).all():
+        return len(places) / together
     tails: list[int] = []  # the longest chain of anchors in the same order in both
-    for _, place in pairs:
+    for place in places.tolist():
         i = bisect_left(tails, place)
         tails[i:i + 1] = [place]
-    return len(tails) / len(least)
+    return len(tails) / together
 
 
 def edited(text: str, following: str) -> str:
@@ -83,10 +116,10 @@ def with_following(docs: DataFrame, ranges: int | None = None) -> DataFrame:
     The result has _range, _extra, doc_id, text; sorted inside partitions so that the row before
     a row is the one that follows it in descending doc_id. The extras of the first range are the
     last rows of all. A null id is smaller than any other; ties go by text. Only the borders of
-    the ranges (at most MAX_RANGES numbers) pass through the driver.
+    the ranges (one number a range) pass through the driver.
     """
     spark = docs.sparkSession
-    n = min(ranges or 6 * shuffle_partitions(spark), MAX_RANGES)
+    n = ranges or 6 * shuffle_partitions(spark)
     quantiles = docs.approxQuantile("doc_id", [i / n for i in range(1, n)], 1 / (4 * n)) if n > 1 else []
     borders = np.unique(np.array(quantiles, np.float64)).astype(np.int64)
 
@@ -128,7 +161,7 @@ def fingerprint(docs: DataFrame) -> DataFrame:
     names = arrow.names
 
     def run(batches):
-        before, before_print = "", []
+        before, before_print = "", fingerprints([""])[0]
         for part in slices(batches, 128):
             texts = [t or "" for t in part["text"]]
             following = [before, *texts[:-1]]
