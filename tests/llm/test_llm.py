@@ -15,9 +15,9 @@ import tiktoken
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from gpsight.llm import (byte_bpe, language, neighbours, ngram_join, packing, quality, queries, secret_scan, suffix_dedup,
+from gpsight.llm import (byte_bpe, bytehash, language, neighbours, ngram_join, packing, quality, queries, secret_scan, suffix_dedup,
                          syncmers, toxicity)
-from gpsight.llm.common import table
+from gpsight.llm.common import Remembered, materialize, table
 
 SF = "/root/testdata/sf0.001"
 COLUMNS = "doc_id long, text string, lang string, source string, n_chars long, owner string, component string"
@@ -230,10 +230,55 @@ def test_fingerprints(docs, odd, empty):
         want = Counter((d, syncmers.edited(t, rows[i - 1][1])) for i, (d, t) in enumerate(rows))
         assert Counter((r["doc_id"] if r["doc_id"] is not None else -1, r["edited"]) for r in got) == want
     prints = syncmers.fingerprints(["same text of some length here", "same text of some length here", ""])
-    assert prints[0] == prints[1] and prints[2] == [] and syncmers.likeness([], []) == 1.0
+    shown = [syncmers.shown(p) for p in prints]
+    assert shown[0] == shown[1] and shown[2] == "" and syncmers.likeness(prints[2], prints[2]) == 1.0
+    assert syncmers.likeness(prints[0], prints[1]) == 1.0 and syncmers.likeness(prints[0], prints[2]) == 0.0
     assert syncmers.fingerprint(empty).count() == 0
 
 
+def brute_anchors(text):
+    """Closed syncmers by their definition, k-mer by k-mer."""
+    raw = text.encode()
+    k, s = syncmers.KMER, syncmers.INNER
+    inner = [int(bytehash.hash_at(bytehash.words64(raw[i:i + s]), s)[0]) for i in range(len(raw) - s + 1)]
+    out = []
+    for i in range(len(raw) - k + 1):
+        window = inner[i:i + k - s + 1]
+        if min(window) in (window[0], window[-1]):
+            out.append((int(bytehash.hash_at(bytehash.words64(raw[i:i + k]), k)[0]) >> 32, i))
+    return out
+
+
+def brute_likeness(a, b):
+    first = lambda x: {h: p for h, p in reversed(x)}
+    a, b = first(a), first(b)
+    both = sorted((a[h], b[h]) for h in a.keys() & b.keys())
+    longest = []
+    for i, (_, place) in enumerate(both):
+        longest.append(1 + max((longest[j] for j in range(i) if both[j][1] < place), default=0))
+    return max(longest, default=0) / len(a.keys() | b.keys())
+
+
+def test_fingerprints_hold_every_closed_syncmer(docs, monkeypatch):
+    texts = [r["text"] for r in docs.orderBy("doc_id").limit(6).collect()]
+    texts += [texts[0][300:] + texts[1][:400] + texts[0][:300], "ab" * 60, "x" * 90]
+    want = [brute_anchors(t) for t in texts]
+    for block in (1 << 20, 64):
+        monkeypatch.setattr(syncmers, "BLOCK", block)
+        got = syncmers.fingerprints(texts)
+        for anchors, expected in zip(got, want):
+            hashes, places = syncmers.read_shown(syncmers.shown(anchors))
+            assert list(zip(hashes.tolist(), places.tolist())) == expected
+    for i in (0, 1, -3):
+        assert syncmers.likeness(got[0], got[i]) == pytest.approx(brute_likeness(want[0], want[i]))
+    # beyond 1 MiB: places stay whole, and a passage is found by its run of anchors
+    long = "".join(random.Random(4).choice("abcdefgh ") for _ in range(1_300_000))
+    hashes, places = syncmers.read_shown(syncmers.shown(syncmers.fingerprints([long])[0]))
+    assert places[-1] > 1_299_900 and (np.diff(places) > 0).all()
+    tail = brute_anchors(long[-2000:])
+    assert list(zip(hashes.tolist(), places.tolist()))[-len(tail):] == [(h, p + len(long) - 2000) for h, p in tail]
+
+
 # --- 8 ---
 
 def test_neighbours(spark):
@@ -263,8 +308,9 @@ def test_neighbours_beyond_the_beam(spark, monkeypatch):
     dist = np.sqrt(((q[:, None, :] - graph.centroids) ** 2).sum(2))
     inside = dist <= neighbours.QUERY_RATIO * dist.min(1, keepdims=True)
     assert (inside.sum(1) > neighbours.BEAM).any()
-    read = neighbours.lists_to_read(q, graph, np.full(lists, 8), 20, neighbours.QUERY_RATIO)
-    assert (read >= inside).all()
+    first, read = neighbours.lists_to_read(q, graph, np.full(lists, 8), 20, neighbours.QUERY_RATIO)
+    assert (read & inside).sum() >= 0.95 * inside.sum() and (first <= read).all()
+    assert (first.sum(1) * 8 > 20).all() and first.sum() < read.sum() / 2
     found = defaultdict(set)
     for r in neighbours.nearest(v, v.filter("vec_id % 20 = 0")).collect():
         found[r["query_id"]].add(r["vec_id"])
@@ -290,7 +336,11 @@ def test_best_pairs_are_the_exact_ones():
             if s > -np.inf:
                 best[d] = max(s, best.get(d, -np.inf))
         want += [(i, d, s) for d, s in sorted(best.items(), key=lambda p: (-p[1], p[0]))[:20]]
-    assert list(zip(*(a.tolist() for a in neighbours.best_pairs(q, v, ids, read, 20)))) == want
+    none = np.full(9, -np.inf)
+    assert list(zip(*(a.tolist() for a in neighbours.best_pairs(q, v, ids, read, 20, none)))) == want
+    floor = rng.random(9)
+    assert list(zip(*(a.tolist() for a in neighbours.best_pairs(q, v, ids, read, 20, floor)))) == [
+        w for w in want if w[2] >= floor[w[0]]]
 
 
 def test_neighbours_odd_vectors(spark):
@@ -371,4 +421,104 @@ def test_pipeline_stages(spark, odd):
 
 
 def test_every_operator_is_registered():
-    assert sorted(int(n[2:].split("_")[0]) for n in queries.registry()) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in queries.registry()) == list(range(1, 14))
+
+
+def test_pipeline_stages_equal_plain_python(spark, odd):
+    """Each stage's rows against a plain version, on what the stage before it kept."""
+    import corpus_pipeline
+
+    stages = dict(corpus_pipeline.STAGES)
+    base = [r"(?i:(?:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?)[A-Za-z0-9+/_.=-]{8,}",
+            "AKIA[A-Z0-9]{12,}", "[0-9a-f]{32,}"]
+    for start in (table(spark, SF, "documents"), odd):
+        start = start.select(*(c for c in start.columns))
+        # language ID: texts with a letter, here all in learned scripts; the predicted language is theirs
+        kept = materialize(stages["language_id"](spark, start, SF), "t-language")
+        assert kept.schema.simpleString() == start.schema.simpleString()
+        assert Counter(r["doc_id"] for r in kept.collect()) == Counter(d for d, t in pairs(start) if any(c.isalpha() for c in t or ""))
+        named = {r["doc_id"]: r["lang_pred"] for r in language.language_id(start).collect()}
+        assert all(r["lang"] == named[r["doc_id"]] for r in kept.collect())
+        # near duplicates: the smallest id of each group, and rows without an id
+        single = materialize(stages["near_duplicates"](spark, kept, SF), "t-near")
+        groups = brute_components([p for p in pairs(kept) if p[0] is not None])
+        want = {(d, t) for d, t in pairs(kept) if d is None or groups[d][1] == d}
+        assert Counter(pairs(single)) == Counter(want)
+        # repeated passages
+        cut = materialize(stages["repeated_passages"](spark, single, SF), "t-cut")
+        first = {}
+        for d, t in sorted((d, t) for d, t in pairs(single) if d is not None):
+            raw = t.encode()
+            for i in range(len(raw) - 49):
+                first.setdefault(raw[i:i + 50], d)
+        left = Counter()
+        for d, t in pairs(single):
+            raw = t.encode()
+            gone = bytearray(len(raw))
+            for i in range(len(raw) - 49 if d is not None else 0):
+                if first[raw[i:i + 50]] < d:
+                    gone[i:i + 50] = b"1" * 50
+            text = bytes(x for x, y in zip(raw, gone) if not y).decode("utf-8", "ignore")
+            if not any(gone) or text.strip(" "):
+                left[d, text, len(text)] += 1
+        assert Counter((r["doc_id"], r["text"], r["n_chars"]) for r in cut.collect()) == left
+        # secrets: no base span is left, and texts without a span stay as they were
+        safe = materialize(stages["secrets"](spark, cut, SF), "t-safe")
+        before = defaultdict(set)
+        for d, t in pairs(cut):
+            before[d].add(t)
+        spans = {r["doc_id"]: r["spans"] for r in secret_scan.scan_secrets(cut).collect()}
+        assert safe.count() == cut.count()
+        for r in safe.collect():
+            if not spans[r["doc_id"]]:
+                assert r["text"] in before[r["doc_id"]]
+                assert not any(re.search(p, r["text"]) for p in base)
+            else:
+                assert r["text"] not in before[r["doc_id"]] and r["n_chars"] == len(r["text"])
+                assert not any(re.search(p, r["text"]) for p in base)
+        # packing: every document whole, in sequences without gaps
+        encoder = packing.WordEncoder(public_tokenizers.path("word_bpe_49k.json"))
+        ids = Counter((d, len(encoder.by_library(t or "")) // 4 + 1) for d, t in pairs(safe))
+        rows = stages["packing"](spark, safe, SF).collect()
+        whole = Counter()
+        for r in rows:
+            whole[r["doc_id"]] += r["length"]
+        total = Counter()
+        for (d, n), times in ids.items():
+            total[d] += n * times
+        assert whole == total
+        bins = defaultdict(list)
+        for r in rows:
+            bins[r["sequence_id"]].append((r["offset"], r["length"]))
+        for held in bins.values():
+            at = 0
+            for offset, length in sorted(held):
+                assert offset == at
+                at += length
+            assert at <= 4096
+
+
+def test_long_texts_are_labelled_in_segments(spark, monkeypatch):
+    model = language.learn(table(spark, SF, "documents"))
+    letters = language.letter_table()
+    texts = [r["text"] for r in table(spark, SF, "documents").limit(40).collect()] + [None, "", "x" * 500, "1 2 3"]
+    whole = language.label_texts(texts, model, letters, language.SWITCH_PENALTY)
+    monkeypatch.setattr(language, "SEGMENT", 300)
+    assert language.label_texts(texts, model, letters, language.SWITCH_PENALTY) == whole
+    assert "".join(p for group in language.segments(texts, 300) for _, _, p in group) == "".join(t or "" for t in texts)
+
+
+def test_unknown_scripts_are_rejected(spark):
+    rows = [(i, "plain words of a known language", "en", "s") for i in range(8)] + [(9, "слова другого письма", None, "s")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    kept = language.keep_identified(docs, language.learn(docs))
+    assert sorted(r["doc_id"] for r in kept.collect()) == list(range(8))
+
+
+def test_caches_forget_by_bytes():
+    cache = Remembered(3000)
+    for i in range(100):
+        cache.keep(f"word{i}", b"1234")
+        assert cache.held <= 3000 and len(cache) < 20
+    cache.keep("x" * 5000, b"")
+    assert "x" * 5000 not in cache
