@@ -3,7 +3,8 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and
 read again as the next stage's docs. All but the last return the columns of documents.
 
-* language_id: documents without a language (null, empty, no letters) go.
+* language_id: documents without an identified language go (null, empty, no letters, a script that no
+  learned language uses); of the others the predicted language becomes ``lang``.
 * near_duplicates: of each group of linked documents the smallest id stays; rows without an id stay.
 * repeated_passages: bytes that repeat a smaller id's passage go, with the pieces of a character
   that such a cut leaves; n_chars is counted anew; documents of which nothing is left go.
