@@ -9,7 +9,9 @@ Tokens are emitted once every position from which one may still be running agree
 the lookahead is bounded by the longest token.
 
 Edge cases: null and empty texts have no ids and decode to no bytes; a piece that is itself a
-vocabulary entry is that one id; text of any length is read piece by piece.
+vocabulary entry is that one id; text of any length is read piece by piece; of equal merges the
+leftmost comes first; repeated rows are encoded each; an empty table gives no rows; other columns than
+doc_id and text are not read.
 """
 
 from __future__ import annotations

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
+import inspect
 import sys
+import time
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -81,7 +84,38 @@ def map_rows(df: DataFrame, step: Callable[[dict[str, list]], dict[str, list]],
         for part in slices(batches, rows):
             yield pa.RecordBatch.from_pydict(apply(part), schema=arrow)
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(tidied(run), schema)
+
+
+def tidy() -> None:
+    """Gives memory that a worker has freed back to the system; it serves other operators later."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
+def tidied(run: Callable) -> Callable:
+    """A function on a task's batches that tidies up at the task's end."""
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            tidy()
+    return wrapped
+
+
+def tidied_groups(run: Callable) -> Callable:
+    """A function on one group (or two) that tidies up after it, once in some seconds."""
+    def done(found):
+        if time.monotonic() - vars(sys).get("_gpsight_tidied", 0) > 2:
+            tidy()
+            vars(sys)["_gpsight_tidied"] = time.monotonic()
+        return found
+    if len(inspect.signature(run).parameters) == 1:
+        return lambda group: done(run(group))
+    return lambda left, right: done(run(left, right))
 
 
 def once(key, make: Callable):
@@ -93,6 +127,7 @@ def once(key, make: Callable):
     kept = vars(sys).setdefault("_gpsight_kept", {})
     if key not in kept:
         kept.clear()
+        tidy()
         kept[key] = make()
     return kept[key]
 
@@ -146,4 +181,4 @@ def bounded_sample(labelled: DataFrame, key: str, label: str, per_label: int) ->
 
 
 __all__ = ["Remembered", "SLICE_BYTES", "SLICE_ROWS", "bounded_batches", "bounded_sample", "byte_slices", "carried", "fold", "map_rows", "materialize", "once", "row_schema", "shuffle_partitions",
-           "slices", "table"]
+           "slices", "table", "tidied", "tidied_groups", "tidy"]

@@ -10,7 +10,10 @@ table of a fixed number of trigram buckets.
 
 Edge cases: null texts and texts without a letter are ``und`` with score 0.0; a text whose
 scripts no learned language uses gets the most frequent learned language with score 0.0; if
-nothing was learned every text is ``und``.
+nothing was learned every text is ``und``. A long text is read in segments cut between words (a run
+of letters beyond two segments is several words); equally likely labels go to the language that
+sorts first; repeated rows are labelled each; an empty table gives no rows; other columns than
+doc_id, text and lang are not read (``keep_identified`` hands them on).
 """
 
 from __future__ import annotations
@@ -22,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gpsight.llm.common import bounded_batches, bounded_sample, fold, map_rows, once
+from gpsight.llm.common import bounded_batches, bounded_sample, fold, map_rows, once, tidied
 
 PER_LANGUAGE, BUCKETS, SWITCH_PENALTY = 500, 1 << 15, 12.0
 SMOOTHING, OTHER_SCRIPT = 0.5, -50.0
@@ -227,7 +230,7 @@ def identify(docs: DataFrame, model: Model | None, penalty: float = SWITCH_PENAL
         for part in bounded_batches(batches, 20_000, TOGETHER):
             yield done(part["doc_id"].to_pylist(), part["text"].to_pylist())
 
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    return docs.select("doc_id", "text").mapInArrow(tidied(run), schema)
 
 
 def keep_identified(docs: DataFrame, model: Model | None, penalty: float = SWITCH_PENALTY) -> DataFrame:
@@ -246,7 +249,7 @@ def keep_identified(docs: DataFrame, model: Model | None, penalty: float = SWITC
             columns = [lang if i == at else c for i, c in enumerate(part.columns)]
             yield pa.RecordBatch.from_arrays(columns, names=part.schema.names).filter(pa.array([f[1] > 0 for f in found]))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidied(run), docs.schema)
 
 
 def learn(docs: DataFrame, folds: int = 4, held_out: int = 2, per_language: int = PER_LANGUAGE) -> Model | None:

@@ -19,7 +19,9 @@ score equally and ties go to the smaller id.
 
 Edge cases: vectors that are null, zero, or hold null or non-finite components take no part,
 nor do null ids and vectors of another length than the most frequent one; rows that repeat an
-id and its vector count once; with fewer than k candidates all are returned.
+id and its vector count once, and an id with several vectors has its best score; with fewer than k
+candidates all are returned; an empty table gives no rows; other columns than vec_id and embedding
+are not read.
 """
 
 from __future__ import annotations
@@ -33,7 +35,7 @@ from pyspark.sql import functions as F
 from gpsight.llm.common import materialize
 
 SAMPLE, LIST_SIZE, MAX_LISTS = 20_000, 256, 2048
-BORDER_RATIO, REPLICAS, QUERY_RATIO, BEAM, LINKS = 1.08, 6, 1.3, 48, 16
+BORDER_RATIO, REPLICAS, QUERY_RATIO, BEAM, LINKS = 1.08, 6, 1.3, 48, 32
 # The lists that a query reads first hold about so many times k vectors.
 FIRST = 8
 PART_ROWS, QUERY_BLOCK = 4096, 4096

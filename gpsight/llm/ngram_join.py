@@ -18,7 +18,9 @@ Two sets link if their overlap reaches T = 3/7 of their sizes together (Jaccard
 
 Edge cases: empty and null texts have no shingles and link with nothing; a text of fewer words
 than a shingle has one, its whole sequence; a row without an id links with nothing and has no
-component; rows that repeat an id belong to the component of that id's smallest link.
+component; rows that repeat an id belong to the component of that id's smallest link; a text of
+any length is one set, read whole; lists of equal length go by hash, equal counts by the smaller
+class; an empty table gives no rows; other columns than doc_id and text are not read.
 Shingles are compared by 64-bit hashes, classes by 128-bit ones.
 """
 
@@ -35,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gpsight.llm.bytehash import mixed
-from gpsight.llm.common import map_rows, materialize, shuffle_partitions, slices
+from gpsight.llm.common import map_rows, materialize, shuffle_partitions, slices, tidied, tidied_groups
 from gpsight.llm.components import components
 
 WORDS = 5
@@ -204,9 +206,9 @@ def shared_shingles(docs: DataFrame, bins: int) -> DataFrame:
                                          for row in zip(*(frame[n] for n in names[1:]))])
         return pd.DataFrame({"owner": owners, "s": here + elsewhere})
 
-    packed = docs.select("text").mapInArrow(pack, "bin int, tokens binary, index binary, owners binary, counts binary")
-    found = packed.groupBy("bin").applyInPandas(count, "bucket int, owners binary, here binary, elsewhere binary")
-    return found.groupBy("bucket").applyInPandas(assemble, "owner long, s long")
+    packed = docs.select("text").mapInArrow(tidied(pack), "bin int, tokens binary, index binary, owners binary, counts binary")
+    found = packed.groupBy("bin").applyInPandas(tidied_groups(count), "bucket int, owners binary, here binary, elsewhere binary")
+    return found.groupBy("bucket").applyInPandas(tidied_groups(assemble), "owner long, s long")
 
 
 def live_sets(docs: DataFrame, classes: DataFrame, bins: int) -> DataFrame:
@@ -302,10 +304,10 @@ def profiles(sets: DataFrame, bins: int) -> DataFrame:
             "lengths": [lengths[a:b].tobytes() for a, b in zip(*cuts)],
             "leaders": [[x for x in led[a:b].tolist() if x != o][:LEADERS] for o, a, b in zip(who.tolist(), *met)]})
 
-    packed = sets.select("owner", "tokens").mapInArrow(pack, "bin int, tokens binary, owners binary")
+    packed = sets.select("owner", "tokens").mapInArrow(tidied(pack), "bin int, tokens binary, owners binary")
     read_schema = "bucket int, " + ", ".join(f"{n} binary" for n in names[1:])
-    return (packed.groupBy("bin").applyInPandas(read, read_schema).groupBy("bucket")
-            .applyInPandas(assemble, "owner long, shared long, tokens binary, lengths binary, leaders array<long>"))
+    return (packed.groupBy("bin").applyInPandas(tidied_groups(read), read_schema).groupBy("bucket")
+            .applyInPandas(tidied_groups(assemble), "owner long, shared long, tokens binary, lengths binary, leaders array<long>"))
 
 
 def bucket_of(owners: np.ndarray, buckets: int) -> np.ndarray:
@@ -455,7 +457,7 @@ def short_list_links(sets: DataFrame, members: DataFrame) -> DataFrame:
         met = {of[i]: owners[i] for i in index.reach(np.frombuffer(frame["query"].iloc[0], np.uint64))}
         return pd.DataFrame({"a": frame["owner"].iloc[0], "b": list(met.values())}, columns=["a", "b"])
 
-    return rows.groupBy("owner", "block").applyInPandas(search, "a long, b long")
+    return rows.groupBy("owner", "block").applyInPandas(tidied_groups(search), "a long, b long")
 
 
 def long_list_links(sets: DataFrame, members: DataFrame) -> DataFrame:
@@ -490,7 +492,7 @@ def long_list_links(sets: DataFrame, members: DataFrame) -> DataFrame:
         return pd.DataFrame(out, columns=["a", "b"])
 
     keys = ["area", "block", "turn"]
-    return asking.groupBy(*(f"q_{c}" for c in keys)).cogroup(stored.groupBy(*keys)).applyInPandas(search, "a long, b long")
+    return asking.groupBy(*(f"q_{c}" for c in keys)).cogroup(stored.groupBy(*keys)).applyInPandas(tidied_groups(search), "a long, b long")
 
 
 def jaccard_join(docs: DataFrame) -> DataFrame:

@@ -11,7 +11,9 @@ up each piece's place in the plan: the result is the best-fit decreasing packing
 at once, not of each task's share.
 
 Edge cases: null and empty texts are documents of the end token alone; longer documents than
-the capacity are cut, full pieces fill a bin alone; repeated rows are packed once each.
+the capacity are cut, full pieces fill a bin alone; repeated rows are packed once each; pieces of one
+length are placed in the order of doc_id, piece and ids; an empty table gives no rows; other
+columns than doc_id and text are not read.
 """
 
 from __future__ import annotations

@@ -7,7 +7,11 @@ hundred numbers, fitted on at most ``per_label`` labelled documents of each labe
 scoring use every passage.
 
 Edge cases: null and empty texts are one passage without bytes; rows whose label is null teach
-nothing; with fewer than two classes every score is that class (0.0 without labels).
+nothing; with fewer than two classes every score is that class (0.0 without labels). A text of any
+length gives all its passages; fitting holds those of at most ``2 * per_label`` documents on the
+driver, 16 numbers each. Repeated rows are scored each; a score of exactly the threshold is label 1.
+Without documents there are no rows; other columns than doc_id and text, and than doc_id and the label,
+are not read.
 """
 
 from __future__ import annotations

@@ -2,18 +2,25 @@
 
 Three patterns give the base spans. The method adds candidates in a sensitive context (a word
 such as key or token shortly before or after, or inside): the context goes on over strings with
-no letter or digit between them, as the lines of a key or the parts of a token. A string's marginal cost is what it adds to the
+no letter or digit between them, as the lines of a key or the parts of a token. What is assigned
+to such a name is a candidate with its punctuation too. A string's marginal cost is what it adds to the
 compressed size of its surroundings, under a dictionary of code and identifiers. A string that
 costs nearly its own information content is new to both its surroundings and the dictionary,
 and is reported as kind ``novel``.
 
 Edge cases: a null text has no spans; offsets count code points; a document of any length is
-scanned whole; a candidate that overlaps a base span isn't reported again.
+scanned whole; a candidate that overlaps a base span isn't reported again; spans that start
+together go by kind; repeated rows are scanned each; an empty table gives no rows; other columns than
+doc_id and text are not read (``carry`` hands them on). Identifiers that neither the surroundings nor
+the dictionary hold cost as much as random letters, so a candidate needs a digit and letters (with
+punctuation inside also capitals or punctuation); strings of letters alone are not reported as novel.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
+from itertools import accumulate
 
 import zstandard
 from pyspark.sql import DataFrame
@@ -31,6 +38,9 @@ CONTEXT = re.compile(r"password|passwd|passphrase|pwd|secret|token|key|auth|cred
                      re.ASCII | re.IGNORECASE)
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
 ASSIGNED = re.compile(r"=+(?=[A-Za-z0-9+/])")  # between a name and its value, not a value's padding
+# What is assigned to a name with a sensitive word in it, quoted or up to white space.
+VALUE = re.compile(r"""(?:password|passwd|passphrase|pwd|secret|token|key|auth|credential)s?["']?\x20{0,8}[:=]\x20{0,8}"""
+                   r"""(?P<quote>["'])?(?P<value>(?(quote)[^\s"']{12,256}|[^\s"'<>{}()\[\],;]{12,256}))""", re.ASCII | re.IGNORECASE)
 GAP = re.compile(r"[\W_]{0,32}")
 LAST_LINE = re.compile(r"\s+([A-Za-z0-9+/=]{1,15})(?=\s+-----END)")
 CONTEXT_CHARS, AROUND_CHARS = 64, 512
@@ -112,23 +122,39 @@ def in_context(text: str) -> list[tuple[int, int, list[tuple[int, int]]]]:
 
 def novel_spans(text: str, base: list[tuple[int, int, int]], novelty: Novelty) -> list[tuple[int, int, int]]:
     """Incompressible strings near a sensitive word, outside base spans."""
-    def novel(start: int, end: int) -> bool:
+    starts = [a for a, _, _ in base]
+    reach = list(accumulate((b for _, _, b in base), max))  # the end of the spans up to each one
+
+    def free(start: int, end: int) -> bool:
+        at = bisect_left(starts, end)  # spans from there on start behind it
+        return not at or reach[at - 1] <= start
+
+    def novel(start: int, end: int, kinds: int = 2) -> bool:
         value = text[start:end]
-        mixed = sum((any(c.isdigit() for c in value), any(c.islower() for c in value), any(c.isupper() for c in value)))
-        return (mixed >= 2 and any(c.isdigit() for c in value) and not any(a < end and start < b for a, _, b in base)
+        mixed = sum((any(c.isdigit() for c in value), any(c.islower() for c in value), any(c.isupper() for c in value),
+                     not value.isalnum() and kinds > 2))
+        return (mixed >= kinds and any(c.isdigit() for c in value) and free(start, end)
                 and novelty.cost(text, start, end) >= NOVELTY)
 
     found = []
+    for m in VALUE.finditer(text):  # a value that punctuation makes more than a candidate
+        if not CANDIDATE.fullmatch(text, *m.span("value")) and novel(*m.span("value"), kinds=3):
+            found.append((m.start("value"), 3, m.end("value")))
+    taken = [(a, b) for a, _, b in found]
+    value_starts, value_ends = [a for a, _ in taken], [b for _, b in taken]
     for start, end, words in in_context(text):
         # whole, or what stands beside the sensitive words in it
         tries = [(start, end)]
         if words:
             tries += [(words[0][1], end), (words[-1][1], end), (start, words[0][0])]
         for a, b in tries:
+            at = bisect_left(value_starts, b)
+            if at and value_ends[at - 1] > a:  # inside a reported value
+                continue
             if CANDIDATE.fullmatch(text, a, b) and novel(a, b):
                 found.append((a, 3, b))
                 last = LAST_LINE.match(text, b)
-                if last and not any(x < last.end(1) and last.start(1) < y for x, _, y in base):
+                if last and free(last.start(1), last.end(1)):
                     found.append((last.start(1), 3, last.end(1)))
                 break
     return found

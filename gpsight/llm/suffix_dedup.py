@@ -21,7 +21,9 @@ places, and the windows around an anchor are known from the bytes beside it.
 
 Edge cases: null texts are empty; texts shorter than a window lose nothing; matches inside one
 document don't count, nor do those between rows that repeat an id; a row without an id loses
-nothing and removes nothing. Windows and texts are compared by 64 and 128-bit hashes.
+nothing and removes nothing; a text of any length is one document, read whole; of equal suffixes
+the smallest id counts; an empty table gives no rows; other columns than doc_id and text are not read
+(``carry`` hands them on). Windows and texts are compared by 64 and 128-bit hashes.
 """
 
 from __future__ import annotations
@@ -35,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gpsight.llm.bytehash import hash_at, mixed, sliding, words64
-from gpsight.llm.common import carried, map_rows, materialize, row_schema, shuffle_partitions, slices
+from gpsight.llm.common import carried, map_rows, materialize, row_schema, shuffle_partitions, slices, tidied, tidied_groups
 from gpsight.llm.ngram_join import bin_of, bucket_of, cut_by_bin
 
 WINDOW, KMER = 50, 24
@@ -175,9 +177,9 @@ def shared_anchors(docs: DataFrame, bins: int) -> DataFrame:
         who, cuts = np.unique(owners, return_index=True)
         return pd.DataFrame({"owner": who, "live": [keys[a:b].tobytes() for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(keys)])]})
 
-    packed = docs.select("owner", "text").mapInArrow(pack, "bin int, hashes binary, index binary, owners binary")
-    return (packed.groupBy("bin").applyInPandas(answer, "bucket int, owners binary, keys binary")
-            .groupBy("bucket").applyInPandas(assemble, "owner long, live binary"))
+    packed = docs.select("owner", "text").mapInArrow(tidied(pack), "bin int, hashes binary, index binary, owners binary")
+    return (packed.groupBy("bin").applyInPandas(tidied_groups(answer), "bucket int, owners binary, keys binary")
+            .groupBy("bucket").applyInPandas(tidied_groups(assemble), "owner long, live binary"))
 
 
 def place_key(hashes: np.ndarray, bins: int) -> np.ndarray:
@@ -243,7 +245,7 @@ def sorted_runs(texts: DataFrame, bins: int) -> DataFrame:
         return pa.RecordBatch.from_pydict(rows, schema=schema)
 
     return texts.select("doc_id", "owner", "text", "live").mapInArrow(
-        run, "bin int, shared binary, rests binary, doc binary, owner binary, at binary")
+        tidied(run), "bin int, shared binary, rests binary, doc binary, owner binary, at binary")
 
 
 class Run:
@@ -286,9 +288,10 @@ def merge(runs: list[Run]) -> Iterator[tuple[int, int, bool]]:
     tree = [0] * leaves
     heads = [r.head for r in runs]
 
-    def play(a: int, b: int) -> tuple[int, int]:
-        """Winner and loser of two heads that share as much with the last winner."""
-        x, y = heads[a], heads[b]
+    def play(a: int, b: int, shared: int) -> tuple[int, int]:
+        """Winner and loser of two heads that share ``shared`` bytes with the last winner: only what
+        follows them is compared."""
+        x, y = heads[a][shared:], heads[b][shared:]
         if x == y:
             known[b] = KEY
             return a, b
@@ -308,7 +311,7 @@ def merge(runs: list[Run]) -> Iterator[tuple[int, int, bool]]:
         if known[a] < 0:
             tree[node] = a
             return b
-        winner, tree[node] = play(a, b)
+        winner, tree[node] = play(a, b, 0)
         return winner
 
     winner = first(1)
@@ -328,7 +331,7 @@ def merge(runs: list[Run]) -> Iterator[tuple[int, int, bool]]:
             if theirs > mine:
                 tree[node], winner = winner, other
             elif theirs == mine and mine >= 0:
-                winner, tree[node] = play(winner, other)
+                winner, tree[node] = play(winner, other, mine)
             node //= 2
         shared = known[winner]
 
@@ -438,8 +441,8 @@ def remove_repeats(docs: DataFrame, carry: bool = False) -> DataFrame:
     live = materialize(shared_anchors(texts.filter("doc_id IS NOT NULL"), bins), "shared-anchors")
     searched = live.join(classes, "owner").select("owner", F.col("first_id").alias("doc_id"), "live").dropDuplicates(["owner", "doc_id"])
     runs = sorted_runs(texts.join(searched, ["doc_id", "owner"]), bins)
-    cuts = (runs.groupBy("bin").applyInPandas(lambda f: merged_bin(f, bins), "bucket int, owners binary, docs binary, cuts binary")
-            .groupBy("bucket").applyInPandas(cuts_by_owner, "owner long, doc_id long, cuts binary"))
+    cuts = (runs.groupBy("bin").applyInPandas(tidied_groups(lambda f: merged_bin(f, bins)), "bucket int, owners binary, docs binary, cuts binary")
+            .groupBy("bucket").applyInPandas(tidied_groups(cuts_by_owner), "owner long, doc_id long, cuts binary"))
     cuts = materialize(cuts, "cut-intervals")
     fate = (ids.distinct().join(classes, ["owner", "check"], "left")
             .select("owner", "doc_id", (F.col("doc_id") > F.col("first_id")).alias("copy"))

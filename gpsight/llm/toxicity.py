@@ -10,7 +10,10 @@ same on every run). What it returns is bounded: ``features`` words and their wei
 
 Edge cases: null and empty texts get the model's base score; rows whose label is null teach
 nothing; with fewer than two classes every score is the share of the class that there is
-(0.0 if there are no labels at all).
+(0.0 if there are no labels at all). A text of any length is read whole; a word counts once a
+text. Repeated rows are scored each, and a repeated label row counts once; equally frequent words
+go by their bytes. Without documents there are no rows; other columns than doc_id and text, and than
+doc_id and the label, are not read.
 """
 
 from __future__ import annotations

@@ -312,7 +312,8 @@ def test_neighbours_beyond_the_beam(spark, monkeypatch):
     assert (read & inside).sum() >= 0.95 * inside.sum() and (first <= read).all()
     assert (first.sum(1) * 8 > 20).all() and first.sum() < read.sum() / 2
     found = defaultdict(set)
-    for r in neighbours.nearest(v, v.filter("vec_id % 20 = 0")).collect():
+    # lists this short hold few of a query's neighbours: a wider ratio makes up for it
+    for r in neighbours.nearest(v, v.filter("vec_id % 20 = 0"), ratio=1.4).collect():
         found[r["query_id"]].add(r["vec_id"])
     hits = 0
     for query, near in found.items():
