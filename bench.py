@@ -46,7 +46,9 @@ def main() -> None:
     from gpsight.session import build_session
     from gpsight.sources.store import ingest
 
-    spark = build_session(f"local[{cpus}]", shuffle_partitions=int(os.environ.get("BENCH_SHUFFLE_PARTITIONS", cpus * 2)))
+    # the test tables are single row groups, one task each: deal the line items to all cores at ingest
+    spark = build_session(f"local[{cpus}]", shuffle_partitions=int(os.environ.get("BENCH_SHUFFLE_PARTITIONS", cpus * 2)),
+                          extra={"spark.gpsight.ingest.spread": str(cpus)})
     reg = registry()
     if names == ["all"]:
         names = list(reg)

@@ -10,6 +10,10 @@ read again as the next stage's docs. All but the last return the columns of docu
   that such a cut leaves; n_chars is counted anew; documents of which nothing is left go.
 * secrets: each span is replaced by its kind in brackets.
 * packing: the pieces of the remaining documents in sequences.
+
+In every stage: an empty table gives an empty one; null texts go with the first stage; texts are worked on
+whole, whatever their length; repeated rows with an id become one in near_duplicates, rows without an
+id all stay; ties are those of the operators; extra columns are handed on untouched up to packing.
 """
 
 from __future__ import annotations

@@ -7,8 +7,9 @@
 ``--testdata`` builds them from the driver's test tables. For the chosen practice: the id
 and data checks, the profile row, its postcode-area peers and the comparison with the
 national rate; then, over all practices, both correlation tests and the disease register.
-With ``--out`` each result is written as Parquet under that folder; otherwise the (small)
-results are shown on the console, which is where the original scripts print them.
+With ``--out`` each result is written as Parquet under that folder, in the order of its columns
+and complete or not at all; otherwise the results are printed row by row, as the original
+scripts print them. Intermediate copies are removed at the end.
 """
 
 from __future__ import annotations
@@ -18,7 +19,8 @@ import argparse
 from pyspark.sql import DataFrame, SparkSession
 
 from gpsight.operators import correlate, profile, rates, register, spend, validate
-from gpsight.session import build_session
+from gpsight.session import build_session, remove_written
+from gpsight.sources.sink import ordered_rows, write_ordered
 from gpsight.sources.store import practice_tables
 from gpsight.sources.tables import read_parquet_tables
 
@@ -49,12 +51,16 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> di
     tables = (read_parquet_tables(spark, args.tables) if args.tables
               else practice_tables(spark, args.testdata))
     results = reports(spark, tables, args.practice)
-    for name, df in results.items():
-        if args.out:
-            df.write.mode("overwrite").parquet(f"{args.out.rstrip('/')}/{name}")
-        else:
-            print(f"== {name}")
-            df.show(df.count(), truncate=False)  # whole, as the analysed code prints it
+    try:
+        for name, df in results.items():
+            if args.out:
+                write_ordered(df, f"{args.out.rstrip('/')}/{name}")
+            else:
+                print(f"== {name}", *df.columns, sep="\t")
+                for row in ordered_rows(df):
+                    print(*row, sep="\t")
+    finally:
+        remove_written(spark)
     return results
 
 

@@ -88,6 +88,74 @@ def starts_with_ci(x: Column | str, prefix: str) -> Column:
     return F.lower(_col(x)).startswith(prefix.lower())
 
 
+_QUANTIFIERS = "*?{"
+_SPECIAL = ".[]()|^$+*?{}\\"
+
+
+def literal_prefix(pattern: str) -> tuple[str, bool]:
+    """The text every match of an anchored regex starts with, and whether that is the whole pattern.
+
+    ``('', False)`` if there is none: the pattern is not anchored at the start of the value, or
+    it has alternatives, whose beginnings can differ.
+    """
+    if not pattern.startswith("^"):
+        return "", False
+    out: list[str] = []
+    at = 1
+    while at < len(pattern):
+        c, step = pattern[at], 1
+        if c == "\\":
+            c, step = pattern[at + 1:at + 2], 2
+            if not c or c.isalnum():  # a class, a boundary, a quotation: not a literal
+                break
+        elif c in _SPECIAL:
+            break
+        if pattern[at + step:at + step + 1] in tuple(_QUANTIFIERS):  # may be absent
+            break
+        out.append(c)
+        at += step
+        if pattern[at:at + 1] == "+":  # once at least, then more of it
+            break
+    if _alternatives(pattern):
+        return "", False
+    return "".join(out), at == len(pattern)
+
+
+def _alternatives(pattern: str) -> bool:
+    """Whether a ``|`` stands outside all groups and classes (or may: quoted parts count)."""
+    depth, inside, at = 0, False, 0
+    while at < len(pattern):
+        c = pattern[at]
+        if c == "\\":
+            if pattern[at + 1:at + 2] == "Q":
+                return True
+            at += 1
+        elif inside:
+            inside = c != "]"
+        elif c == "[":
+            inside = True
+        elif c in "()":
+            depth += 1 if c == "(" else -1
+        elif c == "|" and depth == 0:
+            return True
+        at += 1
+    return False
+
+
+def str_detect(x: Column | str, pattern: str) -> Column:
+    """``str_detect(x, pattern)``: whether a regex matches somewhere in the value.
+
+    What an anchored pattern must start with is tested as a plain prefix too, which is pushed to
+    the Parquet scan and skips row groups; the regex itself stays as the residual filter unless
+    the prefix says it all. Patterns are Java's.
+    """
+    c = _col(x)
+    prefix, whole = literal_prefix(pattern)
+    if whole and prefix:
+        return c.startswith(prefix)
+    return c.startswith(prefix) & c.rlike(pattern) if prefix else c.rlike(pattern)
+
+
 def is_valid_practice_id(x: Column | str, pattern: str = PRACTICE_ID_PATTERN) -> Column:
     """Whole-value format check ``^W[0-9]{5}$``; NULL stays NULL."""
     return _col(x).rlike(pattern)

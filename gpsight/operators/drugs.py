@@ -16,6 +16,9 @@ from pyspark.sql import functions as F
 from gpsight.functions.expr import ratio, starts_with, starts_with_ci, sum_na, sum_where
 from gpsight.operators.keys import join_on
 
+# The stored column of ``gpsight.sources.tables`` that holds the drug's name in lower case.
+FOLDED_NAME = "bnfname_folded"
+
 # The drug groups of the analysed code — insulin by BNF code prefix, metformin
 # by a case-insensitive drug-name prefix.
 INSULIN_BNF_PREFIX = "060101"
@@ -35,9 +38,23 @@ def drug_rows(rx: DataFrame, predicate: Column) -> DataFrame:
     return rx.filter(predicate)
 
 
-def total_quantity_by_practice(rx: DataFrame, na: str = "skip") -> DataFrame:
-    """(practiceid, total_drugs_prescribed): total quantity per practice."""
-    return rx.groupBy("practiceid").agg(sum_na("quantity", na).alias("total_drugs_prescribed"))
+def name_prefix_rows(rx: DataFrame, rx_folded: DataFrame | None, prefix: str) -> DataFrame:
+    """``where lower(bnfname) like 'prefix%'``.
+
+    With the stored folded name (``PracticeTables.rx_folded``) the test is a plain prefix that reaches
+    the scan and skips row groups by their min/max; otherwise every name is folded.
+    """
+    if rx_folded is None:
+        return rx.filter(starts_with_ci("bnfname", prefix))
+    return rx_folded.filter(starts_with(FOLDED_NAME, prefix.lower())).select(*rx.columns)
+
+
+def total_quantity_by_practice(rx: DataFrame) -> DataFrame:
+    """(practiceid, total_drugs_prescribed): total quantity per practice.
+
+    A sum of the original's SQL, so missing quantities are skipped; it has no NA policy.
+    """
+    return rx.groupBy("practiceid").agg(F.sum("quantity").alias("total_drugs_prescribed"))
 
 
 def drug_quantity(rx: DataFrame, predicate: Column, name: str, na: str = "skip") -> DataFrame:
@@ -46,10 +63,14 @@ def drug_quantity(rx: DataFrame, predicate: Column, name: str, na: str = "skip")
 
 
 def drug_share(rx: DataFrame, predicate: Column, name: str, na: str = "skip") -> DataFrame:
-    """(practiceid, <name>): matching quantity / total quantity, practices with a match only."""
+    """(practiceid, <name>): matching quantity / total quantity, practices with a match only.
+
+    ``na`` is the policy of the matching quantity, which the original adds up in R; the total
+    comes from its SQL and skips missing quantities.
+    """
     return (rx.groupBy("practiceid")
             .agg(sum_where(predicate, "quantity", na).alias("_drug"),
-                 sum_na("quantity", na).alias("_total"),
+                 F.sum("quantity").alias("_total"),
                  F.count_if(predicate).alias("_matches"))
             .filter(F.col("_matches") > 0)
             .select("practiceid", ratio("_drug", "_total").alias(name)))
@@ -58,7 +79,7 @@ def drug_share(rx: DataFrame, predicate: Column, name: str, na: str = "skip") ->
 def drug_share_two_scans(rx: DataFrame, predicate: Column, name: str, na: str = "skip") -> DataFrame:
     """The same share as written: matching sum INNER JOIN total sum."""
     drug = drug_quantity(rx, predicate, "_drug", na)
-    total = total_quantity_by_practice(rx, na)
+    total = total_quantity_by_practice(rx)
     return (join_on(drug, total)
             .select("practiceid", ratio("_drug", "total_drugs_prescribed").alias(name)))
 

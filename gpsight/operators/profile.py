@@ -23,6 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gpsight.functions.exact import exact_mean
 from gpsight.functions.expr import (NATIONAL_CODE, floor_div, max_where, month_start, percent,
                                     postcode_area, ratio, round_half_even, starts_with,
                                     sum_na, sum_where, year_month)
@@ -36,7 +37,7 @@ def _monthly(rx: DataFrame, na: str) -> DataFrame:
     return (rx.select("practiceid", month_start(year_month("period")).alias("month"),
                       "actcost", "nic")
             .groupBy("practiceid", "month")
-            .agg(sum_na("actcost", na).alias("_cost"), sum_na("nic", na).alias("_nic")))
+            .agg(sum_na("actcost", na).alias("_cost"), F.sum("nic").alias("_nic")))
 
 
 def _qof_by_practice(qof: DataFrame, prefix: str) -> DataFrame:
@@ -49,7 +50,11 @@ def _qof_by_practice(qof: DataFrame, prefix: str) -> DataFrame:
 
 def practice_base(rx: DataFrame, qof: DataFrame, address: DataFrame, prefix: str = "DM",
                   width: int = 2, na: str = "skip") -> DataFrame:
-    """One row per practice with both kinds of data: the per-practice part of the profile."""
+    """One row per practice with both kinds of data: the per-practice part of the profile.
+
+    ``na`` holds for the figures that the original adds up in R (monthly cost, list size,
+    numerators); the net ingredient cost comes from its SQL and skips missing amounts.
+    """
     # monthly prescription rows and QOF rows, grouped once by practice (= inner join of the
     # per-practice prescription figures and the per-practice QOF figures)
     rows = stacked(_monthly(rx, na), {"_cost": F.col("_cost"), "_nic": F.col("_nic")},
@@ -63,7 +68,7 @@ def practice_base(rx: DataFrame, qof: DataFrame, address: DataFrame, prefix: str
     per_practice = on_both_sides(group_by_practice_key(rows).agg(
         F.count_if(of_rx).alias("months"),
         sum_where(of_rx, "_cost", na).cast("double").alias("_total_cost"),
-        sum_where(of_rx, "_nic", na).cast("double").alias("total_costs"),
+        F.sum(F.when(of_rx, F.col("_nic"))).cast("double").alias("total_costs"),
         max_where(of_qof, "_size", na).alias("no_of_patients"),
         patients.alias("_dm"),
         *side_counts()))
@@ -122,10 +127,10 @@ def _with_comparisons(base: DataFrame, peers: DataFrame, qof: DataFrame, prefix:
     national = national_qof.agg(
         F.max(round_half_even(percent(ratio("_dm", "no_of_patients")), 1))).scalar()
 
-    areas = (peers.filter(F.col("postcode").isNotNull())
+    areas = (peers.filter(F.col("postcode").isNotNull()).filter(_reads_all(peers))
              .groupBy("_area")
              .agg(F.count(F.lit(1)).alias("area_practices"),
-                  F.avg("spend_per_patient").alias("area_mean")))
+                  exact_mean("spend_per_patient").alias("area_mean")))
     # at most as many areas as prefixes of two characters; longer prefixes are left to AQE
     areas = F.broadcast(areas) if width <= 2 else areas
 
@@ -136,6 +141,16 @@ def _with_comparisons(base: DataFrame, peers: DataFrame, qof: DataFrame, prefix:
                     "area_practices", "area_mean", "rate_pct", "national_rate_pct"))
 
 
+def _reads_all(df: DataFrame) -> Column:
+    """True for every row, but it reads all columns.
+
+    The areas need few columns of the per-practice table. With this they read the same ones as the
+    practices do, so both have the same plan up to the grouped exchange and Spark runs it once;
+    pruned, they would be two plans and two scans of the facts.
+    """
+    return F.hash(*df.columns) >= F.lit(-2 ** 31)
+
+
 def practice_report(profile: DataFrame) -> DataFrame:
     """(practiceid, summary): the profile as one sentence per practice.
 

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gpsight.functions.expr import (NATIONAL_CODE, max_na, percent, ratio, round_half_even,
-                                    starts_with, sum_na, sum_where)
+                                    starts_with, str_detect, sum_na, sum_where)
 from gpsight.operators.keys import join_on
 
 
@@ -64,6 +64,11 @@ def indicator_rate(qof: DataFrame, prefix: str = "DM", name: str = "rate_diabete
             .select("practiceid", ratio("_patients", "_pop").alias(name)))
 
 
+def indicator_rows(qof: DataFrame, pattern: str) -> DataFrame:
+    """QOF rows whose indicator matches a regex (``filter(str_detect(indicator, pattern))``)."""
+    return qof.filter(str_detect("indicator", pattern))
+
+
 def indicator_rate_full_join(qof: DataFrame, prefix: str = "DM",
                              name: str = "rate_diabetes") -> DataFrame:
     """The same rate as written: prefix sum FULL OUTER JOIN list size, then the ratio."""

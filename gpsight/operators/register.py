@@ -4,9 +4,9 @@ The analysed code filters the national rows nineteen times (one indicator prefix
 sums per organisation, labels each result with its area and stacks the nineteen tables.
 ``disease_register`` does the same in one pass: each indicator is matched to its area by an
 equi-join on its leading characters against the broadcast 19-row area table, then one
-grouped sum. The prefixes are mutually non-overlapping (none is a prefix of another), so an
-indicator matches at most one area and the one-pass form equals the stacked form, which is
-kept as ``disease_register_union``.
+grouped sum. The prefixes, of any length, are those of the area table that is passed.
+Where prefixes overlap (one is the beginning of another) an indicator counts for each of its areas,
+as in the stacked form, which is kept as ``disease_register_union``.
 """
 
 from __future__ import annotations
@@ -50,31 +50,22 @@ AREA_SCHEMA = T.StructType([
 
 
 def area_table(spark: SparkSession, areas=AREAS) -> DataFrame:
-    """The area dimension (idx, prefix, area): a fixed-size table, safe to broadcast."""
+    """The area dimension (idx, prefix, area)."""
     return spark.createDataFrame(list(areas), AREA_SCHEMA)
 
 
-def _check_prefixes(prefixes: list[str]) -> None:
-    for a in prefixes:
-        for b in prefixes:
-            if a != b and b.startswith(a):
-                raise ValueError(f"prefix {a!r} is a prefix of {b!r}; areas would overlap")
+def match_area(rows: DataFrame, area: DataFrame, column: str = "indicator") -> DataFrame:
+    """Attach every area whose prefix starts ``column`` (inner: rows without an area drop out).
 
-
-def match_area(rows: DataFrame, area: DataFrame, prefix_lengths: list[int],
-               column: str = "indicator") -> DataFrame:
-    """Attach the area whose prefix starts ``column`` (inner: rows without an area drop out).
-
-    Each row proposes its leading ``k`` characters for every prefix length ``k`` in use; an
-    equi-join on the proposal against the broadcast area table then finds the area. This is an
-    exact prefix match (codes may carry more letters after the prefix) planned as a broadcast
-    hash join rather than a nested loop.
+    Each row proposes all beginnings of its code (a handful: codes are short), and an equi-join of
+    the proposals with the area table finds the areas, whatever prefixes it holds. This is an
+    exact prefix match (codes may carry more letters after the prefix) planned as a hash join
+    rather than a nested loop; whether the area table is broadcast is left to its measured size.
     """
-    candidates = F.array(*[F.substring(F.col(column), 1, k) for k in sorted(set(prefix_lengths))])
-    proposed = rows.withColumn("_prefix", F.explode(F.array_distinct(candidates)))
-    matched = proposed.join(F.broadcast(area.select("prefix", "area")),
-                            F.col("_prefix") == F.col("prefix"))
-    return matched.drop("_prefix", "prefix")
+    beginnings = F.transform(F.sequence(F.lit(0), F.length(column)),
+                             lambda k: F.substring(F.col(column), F.lit(1), k))
+    proposed = rows.withColumn("_prefix", F.explode(beginnings))
+    return proposed.join(area, F.col("_prefix") == F.col("prefix")).drop("_prefix")
 
 
 def national_rows(qof: DataFrame, org_prefix: str = NATIONAL_CODE) -> DataFrame:
@@ -82,15 +73,17 @@ def national_rows(qof: DataFrame, org_prefix: str = NATIONAL_CODE) -> DataFrame:
     return qof.filter(F.col("orgcode").startswith(org_prefix))
 
 
-def disease_register(qof: DataFrame, area: DataFrame, areas=AREAS,
-                     org_prefix: str = NATIONAL_CODE, na: str = "skip") -> DataFrame:
-    """(practiceid, patients, area): summed numerators per national code and disease area."""
-    prefixes = [p for _, p, _ in areas]
-    _check_prefixes(prefixes)
+def disease_register(qof: DataFrame, area: DataFrame, org_prefix: str = NATIONAL_CODE,
+                     na: str = "skip") -> DataFrame:
+    """(practiceid, patients, area): summed numerators per national code and row of ``area``.
+
+    Each row of ``area`` (idx, prefix, area) gives its own rows, as each filter of the stacked
+    form does, also where two of them share a prefix or a name.
+    """
     rows = (national_rows(qof, org_prefix)
             .select(F.col("orgcode").alias("practiceid"), "indicator", "numerator"))
-    labelled = match_area(rows, area, [len(p) for p in prefixes])
-    return (labelled.groupBy("practiceid", "area")
+    labelled = match_area(rows, area.select("idx", "prefix", "area"))
+    return (labelled.groupBy("practiceid", "idx", "prefix", "area")
             .agg(sum_na("numerator", na).cast("bigint").alias("patients"))
             .select("practiceid", "patients", "area"))
 

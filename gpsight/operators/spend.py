@@ -9,9 +9,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gpsight.functions.expr import (floor_div, month_start, postcode_area, ratio,
-                                    round_half_even, sum_na, year_month)
-from gpsight.operators.cogroup import (KEY_COLUMNS, group_by_practice_key, join_address,
+from gpsight.functions.exact import exact_mean
+from gpsight.functions.expr import (floor_div, max_na, max_where, month_start, postcode_area,
+                                    ratio, round_half_even, sum_na, year_month)
+from gpsight.operators.cogroup import (KEY_COLUMNS, QOF, group_by_practice_key, join_address,
                                        key_columns, on_both_sides, practice_from_key,
                                        side_counts, stacked)
 
@@ -70,32 +71,34 @@ def avg_monthly_spend(rx: DataFrame, na: str = "skip") -> DataFrame:
     )
 
 
-def monthly_cost_per_patient(rx: DataFrame, qof: DataFrame) -> DataFrame:
+def monthly_cost_per_patient(rx: DataFrame, qof: DataFrame, na: str = "skip") -> DataFrame:
     """(practiceid, month, total_cost_meds, avg_cost): monthly cost and monthly cost %/% list
-    size, for every practice."""
+    size, for every practice. ``na``: the original computes both in R."""
     # Both sides grouped on the two-column null-safe key, so the join matches a missing id
     # with a missing id (as dplyr does) and reuses the list-size side's partitioning.
     monthly = (rx.select(*key_columns(), month_start(year_month("period")).alias("month"), "actcost")
                .groupBy(*KEY_COLUMNS, "month")
-               .agg(F.sum("actcost").cast("double").alias("total_cost_meds")))
-    pop = qof.groupBy(*key_columns("orgcode")).agg(F.max("field4").alias("total_pop"))
+               .agg(sum_na("actcost", na).cast("double").alias("total_cost_meds")))
+    pop = qof.groupBy(*key_columns("orgcode")).agg(max_na("field4", na).alias("total_pop"))
     return (monthly.join(pop, list(KEY_COLUMNS))
             .select(practice_from_key(), "month", "total_cost_meds",
                     floor_div("total_cost_meds", "total_pop").alias("avg_cost")))
 
 
-def spend_per_patient(rx: DataFrame, qof: DataFrame, address: DataFrame) -> DataFrame:
+def spend_per_patient(rx: DataFrame, qof: DataFrame, address: DataFrame, na: str = "skip") -> DataFrame:
     """(practiceid, postcode, total_costs, total_pop, spend_per_patient).
 
     Costs and list sizes come from one co-grouped aggregation of both tables (practices on
     both sides only, as the inner join); the address join then drops ``WAL``. Its strategy
     is left to AQE: the per-practice table grows with the number of practices, so no
-    broadcast is forced.
+    broadcast is forced. ``na`` is the policy of the list size, which the original takes in R;
+    the cost comes from its SQL and skips missing amounts.
     """
     rows = stacked(rx, {"_nic": F.col("nic")}, qof, {"_size": F.col("field4")})
     per_practice = on_both_sides(
         group_by_practice_key(rows).agg(F.sum("_nic").cast("double").alias("total_costs"),
-                                        F.max("_size").alias("total_pop"), *side_counts()))
+                                        max_where(F.col("_source") == QOF, "_size", na).alias("total_pop"),
+                                        *side_counts()))
     return (join_address(per_practice, address)
             .select("practiceid", "postcode", "total_costs", "total_pop",
                     ratio("total_costs", "total_pop").alias("spend_per_patient")))
@@ -108,7 +111,7 @@ def rows_of(rows: DataFrame, practices: DataFrame, key: str = "practiceid") -> D
 
 
 def area_peers_of(rx: DataFrame, qof: DataFrame, address: DataFrame, practiceid: str,
-                  width: int = 2) -> DataFrame:
+                  width: int = 2, na: str = "skip") -> DataFrame:
     """:func:`area_peers` from the tables themselves, aggregating the chosen area only.
 
     The chosen practice's area comes from that practice's rows (the equality reaches the
@@ -119,7 +122,7 @@ def area_peers_of(rx: DataFrame, qof: DataFrame, address: DataFrame, practiceid:
                             address.filter(F.col("practiceid") == F.lit(practiceid)))
     chosen = own.agg(F.min(postcode_area("postcode", width))).scalar()
     there = address.filter(F.col("postcode").startswith(chosen))
-    spp = spend_per_patient(rows_of(rx, there), rows_of(qof, there, "orgcode"), there)
+    spp = spend_per_patient(rows_of(rx, there), rows_of(qof, there, "orgcode"), there, na)
     return spp.withColumn("is_chosen", F.col("practiceid") == F.lit(practiceid))
 
 
@@ -142,14 +145,14 @@ def area_peer_stats(spp: DataFrame, width: int = 2) -> DataFrame:
     """(practiceid, area, spend_per_patient, area_practices, area_mean) for every practice.
 
     The per-area aggregate is joined back on the area key; it has one row per postcode
-    area, so it is broadcast, and a populous area never concentrates in one task. The last
-    bits of ``area_mean``, a floating mean, depend on the summation order.
+    area, so it is broadcast, and a populous area never concentrates in one task.
+    ``area_mean`` is added up exactly: the same bits for every order of the rows.
     """
     keyed = spp.select("practiceid", postcode_area("postcode", width).alias("area"),
                        "spend_per_patient")
     stats = (keyed.groupBy(F.col("area").alias("_area"))
              .agg(F.count(F.lit(1)).alias("area_practices"),
-                  F.avg("spend_per_patient").alias("area_mean")))
+                  exact_mean("spend_per_patient").alias("area_mean")))
     # Null-safe key: practices without a postcode form one group, as NA does in group_by.
     # At most as many areas as prefixes of two characters; longer prefixes are left to AQE.
     stats = F.broadcast(stats) if width <= 2 else stats

@@ -253,7 +253,7 @@ def insulin_rows(t: PracticeTables) -> DataFrame:
 @query("metformin_rows")
 def metformin_rows(t: PracticeTables) -> DataFrame:
     """Metformin prescriptions."""
-    return drugs.drug_rows(t.rx, drugs.is_metformin())
+    return drugs.name_prefix_rows(t.rx, t.rx_folded, drugs.METFORMIN_NAME_PREFIX)
 
 
 @query("insulin_quantity")
@@ -265,7 +265,8 @@ def insulin_quantity(t: PracticeTables) -> DataFrame:
 @query("metformin_quantity")
 def metformin_quantity(t: PracticeTables) -> DataFrame:
     """Metformin quantity per practice."""
-    return drugs.drug_quantity(t.rx, drugs.is_metformin(), "met_prsc")
+    rows = drugs.name_prefix_rows(t.rx, t.rx_folded, drugs.METFORMIN_NAME_PREFIX)
+    return drugs.drug_quantity(rows, drugs.is_metformin(), "met_prsc")
 
 
 @query("insulin_rate")

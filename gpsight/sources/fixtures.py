@@ -28,13 +28,14 @@ BASE_TABLES = ("region", "nation", "supplier", "part", "orders", "lineitem")
 
 
 def read_base(spark: SparkSession, sf_dir: str, name: str, spread: int | None = None) -> DataFrame:
-    """Read one test table; ``spread`` deals the line items to so many partitions by order key.
+    """Read one test table; ``spread`` deals the line items to so many partitions.
 
-    Spreading is the caller's choice (a file of one row group is one input split); nothing
-    here depends on the size of the input.
+    They are dealt by (order, line), the table's unique key, so that an order with very many
+    lines is spread as well. Spreading is the caller's choice (a file of one row group is one
+    input split); nothing here depends on the size of the input.
     """
     df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
-    return df.repartition(spread, "l_orderkey") if spread and name == "lineitem" else df
+    return df.repartition(spread, "l_orderkey", "l_linenumber") if spread and name == "lineitem" else df
 
 
 def padded(value: Column, width: int) -> Column:

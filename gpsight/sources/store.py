@@ -28,7 +28,10 @@ from gpsight.sources.tables import (SOURCE_NAMES, PracticeTables, read_parquet_t
 STORE_FOLDER = "gpsight-practice-tables"
 
 # Bumped whenever the stored layout changes, so an older layout is never served.
-STORE_LAYOUT_VERSION = 3
+STORE_LAYOUT_VERSION = 4
+
+# Session setting with the number of partitions to which line items are dealt at ingest.
+SPREAD_SETTING = "spark.gpsight.ingest.spread"
 
 # Target size of one stored file; the number of files grows with the input.
 TARGET_FILE_BYTES = 256 * 1024 * 1024
@@ -109,8 +112,12 @@ def ingest(spark: SparkSession, sf_dir: str, location: str | None = None,
 
     Each ingest writes a new folder, so a copy being written (or abandoned half-way by a
     failed job) is never read, and readers of an older copy are never disturbed. ``spread``
-    deals the line items to so many partitions first, for inputs of a few large row groups.
+    deals the line items to so many partitions first, for inputs that can't be split (a file of
+    one row group is one task, however large). It is the caller's choice, here or by the session
+    setting ``spark.gpsight.ingest.spread``; without either nothing is dealt anew.
     """
+    if spread is None and (chosen := spark.conf.get(SPREAD_SETTING, None)):
+        spread = int(chosen)
     root = location or f"{store_base(spark, sf_dir)}-{uuid.uuid4().hex[:12]}"
     input_bytes = sum(size for _, size, _, _ in _input_summaries(spark, sf_dir))
     partitions = max(spark.sparkContext.defaultParallelism,

@@ -16,10 +16,13 @@ Readers return lazy DataFrames. Column pruning and filters written later reach t
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from gpsight.operators.drugs import FOLDED_NAME
 from gpsight.operators.register import area_table
 
 # Source table names as they are called in the original database.
@@ -38,12 +41,16 @@ QOF_COLUMNS = ("orgcode", "indicator", "numerator", "field4")
 ADDRESS_COLUMNS = ("practiceid", "name", "postcode")
 
 
+
 @dataclass(frozen=True)
 class PracticeTables:
+    """The tables; ``rx_folded`` is ``rx`` with the folded drug name, where the source stores it."""
+
     rx: DataFrame
     qof: DataFrame
     address: DataFrame
     area: DataFrame
+    rx_folded: DataFrame | None = None
 
     def register_views(self, prefix: str = "") -> None:
         """Expose the tables to ``spark.sql`` as temp views."""
@@ -63,11 +70,13 @@ def read_parquet_tables(spark: SparkSession, path: str) -> PracticeTables:
     def read(name: str) -> DataFrame:
         return spark.read.parquet(f"{path.rstrip('/')}/{name}")
 
+    rx = read(SOURCE_NAMES["rx"])
     return PracticeTables(
-        rx=read(SOURCE_NAMES["rx"]).select(*RX_COLUMNS),
+        rx=rx.select(*RX_COLUMNS),
         qof=read(SOURCE_NAMES["qof"]).select(*QOF_COLUMNS),
         address=read(SOURCE_NAMES["address"]),
         area=area_table(spark),
+        rx_folded=rx.select(*RX_COLUMNS, FOLDED_NAME) if FOLDED_NAME in rx.columns else None,
     )
 
 
@@ -133,10 +142,16 @@ def write_parquet_tables(tables: PracticeTables, path: str, mode: str = "overwri
         rx_key = ("practiceid", "period", "bnfcode", ROW_KEY)
     else:
         rx_key = ("practiceid", "period", "bnfcode", "bnfname", "quantity", "nic", "actcost")
-    (tables.rx.repartitionByRange(n, *rx_key).sortWithinPartitions(*rx_key)
-     .select(*RX_COLUMNS)
-     .write.mode(mode).parquet(f"{base}/{SOURCE_NAMES['rx']}"))
     qof_key = ("orgcode", "indicator")
-    (tables.qof.repartitionByRange(n, *qof_key).sortWithinPartitions(*qof_key)
-     .write.mode(mode).parquet(f"{base}/{SOURCE_NAMES['qof']}"))
-    tables.address.write.mode(mode).parquet(f"{base}/{SOURCE_NAMES['address']}")
+    results = {
+        "rx": tables.rx.repartitionByRange(n, *rx_key).sortWithinPartitions(*rx_key)
+        .select(*RX_COLUMNS, F.lower("bnfname").alias(FOLDED_NAME)),
+        "qof": tables.qof.repartitionByRange(n, *qof_key).sortWithinPartitions(*qof_key),
+        "address": tables.address,
+    }
+    # three independent jobs: small stages of one fill the cores that another leaves idle
+    with ThreadPoolExecutor(len(results)) as pool:
+        jobs = [pool.submit(df.write.mode(mode).parquet, f"{base}/{SOURCE_NAMES[name]}")
+                for name, df in results.items()]
+        for job in jobs:
+            job.result()
