@@ -19,11 +19,23 @@ from gpsight.session import materialize
 # Rows of a batch that are held as Python objects at once; only memory depends on it.
 SLICE_ROWS = 256
 # Bytes of text that are worked on at once; only memory depends on it.
-SLICE_BYTES = 8 * 1024 * 1024
+SLICE_BYTES = 4 * 1024 * 1024
+# Rows of an Arrow batch between the JVM and a worker.
+BATCH_SETTING, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 1000
 # Bytes of words and their encodings that a worker remembers, and what an entry costs besides.
 CACHE_BYTES, CACHE_ENTRY = 96 * 1024 * 1024, 200
 
 
+def short_batches(spark: SparkSession) -> None:
+    """Arrow batches of at most BATCH_ROWS rows in this session, unless it asks for fewer.
+
+    Spark's default of 10,000 rows is tens of megabytes of texts, held by the JVM and by the
+    worker of every running task at once.
+    """
+    if int(spark.conf.get(BATCH_SETTING, "10000")) not in range(1, BATCH_ROWS + 1):
+        spark.conf.set(BATCH_SETTING, str(BATCH_ROWS))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -180,5 +192,5 @@ def bounded_sample(labelled: DataFrame, key: str, label: str, per_label: int) ->
     return labelled.drop("_slot")
 
 
-__all__ = ["Remembered", "SLICE_BYTES", "SLICE_ROWS", "bounded_batches", "bounded_sample", "byte_slices", "carried", "fold", "map_rows", "materialize", "once", "row_schema", "shuffle_partitions",
-           "slices", "table", "tidied", "tidied_groups", "tidy"]
+__all__ = ["Remembered", "SLICE_BYTES", "SLICE_ROWS", "bounded_batches", "bounded_sample", "byte_slices", "carried", "fold", "map_rows", "materialize", "once", "row_schema", "short_batches",
+           "shuffle_partitions", "slices", "table", "tidied", "tidied_groups", "tidy"]

@@ -44,7 +44,7 @@ WINDOW, KMER = 50, 24
 LEFT = WINDOW - KMER  # bytes of a window that can lie left of its anchor
 KEY = 8 + WINDOW + LEFT + 2  # hash, right bytes, left bytes, and how many of each are real
 BLOCK_BYTES, RUN_SUFFIXES = 6_000_000, 150_000
-TEXTS_BYTES = 1_500_000  # bytes of texts whose anchors are found at once
+TEXTS_BYTES = 400_000  # bytes of texts whose anchors are found at once
 AT_ONCE = 20_000  # suffixes whose windows are worked on at once
 
 
@@ -432,7 +432,8 @@ def spans_of(cuts: np.ndarray) -> list[tuple[int, int]]:
 def remove_repeats(docs: DataFrame, carry: bool = False) -> DataFrame:
     """doc_id, n_bytes, spans (removed byte intervals) and kept (the remaining bytes) of every document.
 
-    With ``carry`` also row, the whole input row as a struct.
+    With ``carry`` also readable (the kept bytes as text, without the pieces of a character that a
+    cut has left) and row, the whole input row as a struct.
     """
     bins = 2 * shuffle_partitions(docs.sparkSession)
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("owner", F.xxhash64("text"))
@@ -465,21 +466,15 @@ def remove_repeats(docs: DataFrame, carry: bool = False) -> DataFrame:
             out["n_bytes"].append(len(data))
             out["spans"].append([{"begin": a, "end": b} for a, b in spans])
             out["kept"].append(b"".join(kept) + data[at:])
-        return out | ({"row": part["row"]} if carry else {})
+        if carry:
+            out |= {"readable": [kept.decode("utf-8", "ignore") for kept in out["kept"]], "row": part["row"]}
+        return out
 
     return map_rows(both.drop("owner"), step, "doc_id long, n_bytes long, spans array<struct<begin:long,end:long>>, kept binary"
-                    + row_schema(docs, carry))
+                    + ", readable string" * carry + row_schema(docs, carry))
 
 
 def digests(found: DataFrame) -> DataFrame:
     return found.select(
         "doc_id", "n_bytes", (F.col("n_bytes") - F.length("kept")).cast("long").alias("n_removed"),
         F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
-
-
-def readable(kept):
-    """Bytes as text, without the pieces of a character that a cut has left."""
-    @F.pandas_udf("string")
-    def decoded(column: pd.Series) -> pd.Series:
-        return pd.Series([None if b is None else bytes(b).decode("utf-8", "ignore") for b in column], dtype=object)
-    return decoded(kept)
