@@ -22,17 +22,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gpsight.llm import language, ngram_join, packing, secret_scan, suffix_dedup
-from gpsight.llm.common import materialize, table
+from gpsight.llm.common import materialize, short_batches, table
 
 # SQL can't express these stages; tests hold them against brute force.
 ORACLE_SQL = None
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    short_batches(spark)
     return language.keep_identified(docs, language.learn(docs))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    short_batches(spark)
     groups = ngram_join.jaccard_join(docs)
     stay = groups.filter("doc_id = component_id").select("doc_id").distinct()
     # an id can be repeated: the same row once
@@ -41,8 +43,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    short_batches(spark)
     found = suffix_dedup.remove_repeats(docs, carry=True)
-    text = F.when(F.size("spans") == 0, F.col("row.text")).otherwise(suffix_dedup.readable(F.col("kept")))
+    text = F.when(F.size("spans") == 0, F.col("row.text")).otherwise(F.col("readable"))
     changed = found.withColumn("text_left", text).filter((F.size("spans") == 0) | (F.trim("text_left") != ""))
     return changed.select(*(
         F.col("text_left").alias("text") if c == "text" else
@@ -51,6 +54,7 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    short_batches(spark)
     found = secret_scan.scan_secrets(docs, carry=True)
     return found.select(*(
         F.col("masked").alias("text") if c == "text" else
@@ -59,6 +63,7 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    short_batches(spark)
     return packing.pack_documents(docs)
 
 
