@@ -12,10 +12,11 @@ and four full reads of the QOF table. Here it is one plan:
 * the address is joined on. This per-practice table feeds two consumers (the postcode-area
   means and the rows they are joined back to).
 
-The function is lazy: no job runs at call time. Each consumer then reads the facts; with
-``materialize=True`` the per-practice table is written once to the shared checkpoint folder
-(``session.remove_written`` deletes it later) and read back by both. The national rate reads
-the ``WAL`` rows of the QOF table besides.
+The function is lazy: no job runs at call time. Both consumers read the same columns of the same
+grouped exchange (see ``_reads_all``), so Spark runs it once: one scan of the prescriptions and one of
+the whole QOF table. The national rate reads the ``WAL`` rows of the QOF table besides. With
+``materialize=True`` the per-practice table is written to the shared checkpoint folder instead
+(``session.remove_written`` deletes it later), for callers that go on to use it.
 """
 
 from __future__ import annotations

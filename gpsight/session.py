@@ -99,14 +99,19 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return configured
 
 
+def _copies(spark: SparkSession) -> str:
+    return f"{checkpoint_dir(spark).rstrip('/')}/gpsight-materialized/{spark.sparkContext.applicationId}"
+
+
 def remove_written(spark: SparkSession, label: str | None = None) -> int:
-    """Delete what :func:`materialize` has written (only ``label``'s, if given); the number of folders.
+    """Delete what :func:`materialize` has written in this application (only ``label``'s, if given);
+    the number of folders.
 
-    Call it when no query that reads them runs any more.
+    Copies of other applications that share the folder stay. Call it when no query that reads
+    the copies runs any more.
     """
     jvm = spark.sparkContext._jvm
-    pattern = jvm.org.apache.hadoop.fs.Path(
-        f"{checkpoint_dir(spark).rstrip('/')}/gpsight-materialized/{label or ''}*")
+    pattern = jvm.org.apache.hadoop.fs.Path(f"{_copies(spark)}/{label or ''}*")
     fs = pattern.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     found = fs.globStatus(pattern) or []
     return sum(bool(fs.delete(status.getPath(), True)) for status in found)
@@ -121,6 +126,6 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     ``checkpoint()`` but without its second computation pass.
     """
     spark = df.sparkSession
-    path = f"{checkpoint_dir(spark).rstrip('/')}/gpsight-materialized/{label}-{uuid.uuid4().hex}"
+    path = f"{_copies(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

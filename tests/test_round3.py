@@ -207,7 +207,7 @@ def test_written_results_are_ordered_and_whole(spark, tmp_path):
     write_ordered(df.limit(3), out, clean=True)  # replaced as a whole, copies removed
     assert spark.read.parquet(out).count() == 3
     assert os.listdir(tmp_path) == ["result"]
-    left = f"{checkpoint_dir(spark).removeprefix('file:')}/gpsight-materialized"
+    left = f"{checkpoint_dir(spark).removeprefix('file:')}/gpsight-materialized/{spark.sparkContext.applicationId}"
     assert not any(f.startswith("to-order") for f in os.listdir(left))
 
 
