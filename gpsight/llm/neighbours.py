@@ -6,10 +6,11 @@ centroid is almost as near as the nearest. A query's beam is widened until it ho
 whose distance is within a ratio of its nearest. Inner products become distances by one more
 component (sqrt(M² - |x|²), M the largest norm).
 
-A query first reads its nearest lists, which gives a score that its k-th neighbour reaches at
-least. Then it reads those of the other lists that may hold a better one: a list whose centroid's
-score plus the query's length times the list's largest residual stays below that score is
-left out, and only scores that reach it are passed on.
+A query reads its lists in rounds, nearest first, each round a few times as many as before. Every
+round gives a score that its k-th neighbour reaches at least: in the next one a list whose
+centroid's score plus the query's length times the list's largest residual stays below it is
+left out, and only scores that reach it are passed on. So what is exchanged is some multiple of
+k for each query and round, and the number of rounds grows with the logarithm of the table.
 
 All vectors are indexed; only the fit uses the sample. Small lists are read together as a
 cell; large ones are cut into parts of bounded size, and the queries of a cell into blocks, so
@@ -32,12 +33,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gpsight.llm.common import materialize
+from gpsight.llm.common import materialize, shuffle_partitions
 
 SAMPLE, LIST_SIZE, MAX_LISTS = 20_000, 256, 2048
 BORDER_RATIO, REPLICAS, QUERY_RATIO, BEAM, LINKS = 1.08, 6, 1.3, 48, 32
-# The lists that a query reads first hold about so many times k vectors.
-FIRST = 8
+# The lists that a query reads first hold about so many times k vectors, those of each further round
+# so many times what all before hold; a list with this ring is never read.
+FIRST, GROWTH, NEVER = 8, 4, 255
 PART_ROWS, QUERY_BLOCK = 4096, 4096
 
 
@@ -150,15 +152,15 @@ def list_cells(rows: np.ndarray) -> np.ndarray:
     return cells
 
 
-def lists_to_read(x: np.ndarray, graph: CentroidGraph, count: np.ndarray, k: int, ratio: float,
-                  ) -> tuple[np.ndarray, np.ndarray]:
-    """For each row and list whether the row reads it first, and whether it reads it at all.
+def rings_of_lists(x: np.ndarray, graph: CentroidGraph, count: np.ndarray, k: int, ratio: float) -> np.ndarray:
+    """For each row and list the round in which the row reads it, from 0; NEVER if it doesn't.
 
-    Read at all are the lists within the ratio and as many as hold k other vectors; first come the
-    nearest ones that hold FIRST * k. The graph is searched with a beam that doubles for the rows
-    whose beam still ends inside.
+    Read are the lists within the ratio and as many as hold k other vectors, nearest first: round
+    0 ends where FIRST * k vectors are held, each further one holds GROWTH times as many as all before.
+    The graph is searched with a beam that doubles for the rows whose beam still ends inside.
     """
-    first, read = np.zeros((len(x), len(count)), bool), np.zeros((len(x), len(count)), bool)
+    rings = np.full((len(x), len(count)), NEVER, np.uint8)
+    ends = FIRST * k * GROWTH ** np.arange(NEVER)[:28].astype(float)
     todo = [(np.arange(len(x)), BEAM)]
     while todo:
         rows, beam = todo.pop()
@@ -172,22 +174,14 @@ def lists_to_read(x: np.ndarray, graph: CentroidGraph, count: np.ndarray, k: int
         near = np.isfinite(dist) & ((dist <= ratio * dist[:, :1]) | (before <= k))
         done = ~near[:, -1] if beam < len(count) else np.ones(len(rows), bool)
         row, column = np.nonzero(near & done[:, None])
-        read[rows[row], nodes[row, column]] = True
-        row, column = np.nonzero(near & done[:, None] & (before <= FIRST * k))
-        first[rows[row], nodes[row, column]] = True
+        rings[rows[row], nodes[row, column]] = np.searchsorted(ends, before[row, column])
         if not done.all():
             todo.append((rows[~done], 2 * beam))
-    return first, read
+    return rings
 
 
-def choose_lists(queries: DataFrame, graph: CentroidGraph, sizes: dict[int, int], cells: np.ndarray, k: int,
-                 ratio: float, residual: np.ndarray | None = None) -> DataFrame:
-    """query_id, embedding, floor, reads (a bit for each list) and the cells that hold those lists, of each query.
-
-    ``queries`` hold query_id, embedding and floor, the score that the k-th neighbour reaches (null:
-    unknown). Without ``residual`` the lists read first are chosen, with it the others that may
-    reach the floor.
-    """
+def choose_lists(queries: DataFrame, graph: CentroidGraph, sizes: dict[int, int], k: int, ratio: float) -> DataFrame:
+    """query_id, embedding and rings (a byte for each list: the round that reads it) of each query."""
     count = np.array([sizes.get(i, 0) for i in range(len(graph.centroids))])
 
     def run(batches):
@@ -195,23 +189,43 @@ def choose_lists(queries: DataFrame, graph: CentroidGraph, sizes: dict[int, int]
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
                 x = matrix(part.column("embedding"))
-                lifted_x = np.hstack([x, np.zeros((len(x), 1))])
-                first, read = lists_to_read(lifted_x, graph, count, k, ratio)
-                if residual is None:
-                    read = first
-                else:
-                    floor = part.column("floor").fill_null(-np.inf).to_numpy(zero_copy_only=False)
-                    with np.errstate(over="ignore", invalid="ignore"):
-                        length = np.sqrt((x ** 2).sum(1))[:, None]
-                        most = lifted_x @ graph.centroids.T + length * residual * (1 + 1e-9)
-                        read &= ~first & ~(most < floor[:, None] - 1e-9 * np.abs(floor)[:, None])
+                rings = rings_of_lists(np.hstack([x, np.zeros((len(x), 1))]), graph, count, k, ratio)
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("query_id"), part.column("embedding"), pa.array([r.tobytes() for r in rings], pa.binary())],
+                    ["query_id", "embedding", "rings"])
+
+    # few rows, much work each: one share of them for every task
+    dealt = queries.repartition(shuffle_partitions(queries.sparkSession), "query_id")
+    return dealt.mapInArrow(run, "query_id long, embedding array<double>, rings binary")
+
+
+def reads_of_round(chosen: DataFrame, number: int, graph: CentroidGraph, cells: np.ndarray, residual: np.ndarray) -> DataFrame:
+    """query_id, embedding, floor, reads (a bit for each list) and the cells that hold those lists, of the queries
+    that still read in a round.
+
+    ``chosen`` holds query_id, embedding, rings and floor, the score that the k-th neighbour reaches
+    (null: unknown). Lists that can't reach it are left out.
+    """
+    def run(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                x = matrix(part.column("embedding"))
+                rings = np.frombuffer(b"".join(part.column("rings").to_pylist()), np.uint8).reshape(len(x), -1)
+                floor = part.column("floor").fill_null(-np.inf).to_numpy(zero_copy_only=False)
+                with np.errstate(over="ignore", invalid="ignore"):
+                    length = np.sqrt((x ** 2).sum(1))[:, None]
+                    most = x @ graph.centroids[:, :-1].T + length * residual * (1 + 1e-9)
+                    read = (rings == number) & ~(most < floor[:, None] - 1e-9 * np.abs(floor)[:, None])
+                some = np.flatnonzero(read.any(1))
+                taken = part.take(pa.array(some))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("query_id"), part.column("embedding"), part.column("floor"),
-                     pa.array([bits.tobytes() for bits in np.packbits(read, axis=1)], pa.binary()),
-                     pa.array([np.unique(cells[r]).tolist() for r in read], pa.list_(pa.int32()))],
+                    [taken.column("query_id"), taken.column("embedding"), taken.column("floor"),
+                     pa.array([bits.tobytes() for bits in np.packbits(read[some], axis=1)], pa.binary()),
+                     pa.array([np.unique(cells[r]).tolist() for r in read[some]], pa.list_(pa.int32()))],
                     ["query_id", "embedding", "floor", "reads", "cells"])
 
-    return queries.mapInArrow(run, "query_id long, embedding array<double>, floor double, reads binary, cells array<int>")
+    return chosen.mapInArrow(run, "query_id long, embedding array<double>, floor double, reads binary, cells array<int>")
 
 
 def exact_scores(q: np.ndarray, v: np.ndarray) -> np.ndarray:
@@ -292,16 +306,19 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, ratio: float =
     residual[[r["list"] for r in held]] = [r["residual"] for r in held]
     cells = list_cells(np.array([rows.get(i, 0) for i in range(len(graph.centroids))]))
     asking = queries.select(F.col("vec_id").alias("query_id"), "embedding")
-    first = choose_lists(asking.withColumn("floor", F.lit(None).cast("double")), graph, own, cells, k, ratio)
-    near = materialize(read_lists(lists, materialize(first, "list-queries"), rows, cells, k), "near-pairs")
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    kth = (near.withColumn("_rank", F.row_number().over(best)).filter(F.col("_rank") == k)
-           .select("query_id", F.col("score").alias("floor")))
-    rest = choose_lists(asking.join(kth, "query_id", "left"), graph, own, cells, k, ratio, residual)
-    far = read_lists(lists, materialize(rest.filter(F.size("cells") > 0), "list-queries"), rows, cells, k)
-    return (near.union(far).groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-            .withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
-            .select("query_id", "rank", "vec_id", "score"))
+    chosen = materialize(choose_lists(asking, graph, own, k, ratio), "list-queries")
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    best = spark.createDataFrame([], "query_id long, vec_id long, score double, rank int")
+    rounds = 1
+    while FIRST * k * GROWTH ** (rounds - 1) < sum(own.values()):
+        rounds += 1
+    for number in range(rounds):
+        floor = best.filter(F.col("rank") == k).select("query_id", F.col("score").alias("floor"))
+        reads = materialize(reads_of_round(chosen.join(floor, "query_id", "left"), number, graph, cells, residual), "list-reads")
+        found = best.drop("rank").union(read_lists(lists, reads, rows, cells, k))
+        best = materialize(found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+                           .withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k), "nearest-so-far")
+    return best.select("query_id", "rank", "vec_id", "score")
 
 
 def read_lists(lists: DataFrame, reads: DataFrame, rows: dict[int, int], cells: np.ndarray, k: int) -> DataFrame:

@@ -308,9 +308,10 @@ def test_neighbours_beyond_the_beam(spark, monkeypatch):
     dist = np.sqrt(((q[:, None, :] - graph.centroids) ** 2).sum(2))
     inside = dist <= neighbours.QUERY_RATIO * dist.min(1, keepdims=True)
     assert (inside.sum(1) > neighbours.BEAM).any()
-    first, read = neighbours.lists_to_read(q, graph, np.full(lists, 8), 20, neighbours.QUERY_RATIO)
-    assert (read & inside).sum() >= 0.95 * inside.sum() and (first <= read).all()
-    assert (first.sum(1) * 8 > 20).all() and first.sum() < read.sum() / 2
+    rings = neighbours.rings_of_lists(q, graph, np.full(lists, 8), 20, neighbours.QUERY_RATIO)
+    read = rings < neighbours.NEVER
+    assert (read & inside).sum() >= 0.95 * inside.sum()
+    assert ((rings == 0).sum(1) * 8 > 20).all() and (rings[read] <= 3).all()
     found = defaultdict(set)
     # lists this short hold few of a query's neighbours: a wider ratio makes up for it
     for r in neighbours.nearest(v, v.filter("vec_id % 20 = 0"), ratio=1.4).collect():
