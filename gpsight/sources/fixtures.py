@@ -6,11 +6,13 @@ must give identical rows.
 
 Plan notes (scale):
 * ``nation`` / ``region`` / the area table have a fixed row count, so they are broadcast.
-* ``lineitem`` joins ``orders`` / ``part`` without hints: Catalyst and AQE choose from
-  the measured sizes (broadcast under the threshold, sort-merge above it).
+* In the QOF view ``lineitem`` joins ``orders`` / ``part`` without hints: Catalyst and AQE choose
+  from the measured sizes (broadcast under the threshold, sort-merge above it). The prescriptions
+  join ``part`` by a shuffled hash: the line items' numbers are exchanged right after the scan,
+  so an input that can't be split is one task's reading only, not its strings and its sampling too.
 * The QOF view counts distinct patients per (practice, indicator) and per practice, by plain
-  hash aggregates over one grouping of (practice, patient, indicator): partial aggregates
-  before each exchange, and no state that depends on the order of rows.
+  hash aggregates over one grouping of (practice, patient): partial aggregates before each
+  exchange, and no state that depends on the order of rows.
 """
 
 from __future__ import annotations
@@ -25,6 +27,9 @@ from gpsight.sources.tables import ROW_KEY, PracticeTables
 # The test tables the views read.
 BASE_TABLES = ("region", "nation", "supplier", "part", "orders", "lineitem")
 
+# Indicators that an area can have (remainders of three, of either sign), and the bits of the
+# masks that hold a patient's indicators in all 19 areas.
+KINDS, MASK_BITS, MASK_STARTS = 5, 48, (0, 48)
 
 
 def read_base(spark: SparkSession, sf_dir: str, name: str, spread: int | None = None) -> DataFrame:
@@ -77,7 +82,7 @@ def gp_data_view(spark: SparkSession, sf_dir: str, row_key: bool = False, spread
         "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_quantity",
         "l_extendedprice", "l_discount")
     part = read_base(spark, sf_dir, "part").select("p_partkey", "p_name", "p_size")
-    joined = lineitem.join(part, F.col("l_partkey") == F.col("p_partkey"))
+    joined = lineitem.join(part.hint("shuffle_hash"), F.col("l_partkey") == F.col("p_partkey"))
 
     bnfcode = F.concat(
         padded(F.col("p_size") % 15 + 1, 2),
@@ -110,23 +115,25 @@ def qof_view(spark: SparkSession, sf_dir: str, spread: int | None = None) -> Dat
     part = read_base(spark, sf_dir, "part").select("p_partkey", "p_size")
     area = area_table(spark).select("idx", "prefix")
 
-    indicator = F.concat(F.col("prefix"), padded(F.col("p_partkey") % 3 + 1, 3))
-    patient_rows = (lineitem
-                    .join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
-                    .join(part, F.col("l_partkey") == F.col("p_partkey"))
-                    .join(F.broadcast(area), F.col("p_size") % 19 == F.col("idx"))
-                    .select(practice_code(F.col("l_suppkey")).alias("orgcode"),
-                            indicator.alias("indicator"),
-                            F.col("o_custkey")))
-
-    # Distinct (practice, patient, indicator) rows feed both counts; they need the same columns,
-    # so Spark computes the joins and the first exchange once.
-    patients = (patient_rows.filter(F.col("o_custkey").isNotNull())
-                .groupBy("orgcode", "o_custkey", "indicator").agg(F.count(F.lit(1)).alias("_rows")))
-    numerators = patients.groupBy("orgcode", "indicator").agg(F.count(F.lit(1)).alias("numerator"))
-    sizes = (patients.groupBy("orgcode", "o_custkey").agg(F.sum("_rows").alias("_rows"))
-             .groupBy("orgcode").agg(F.count(F.lit(1)).cast("bigint").alias("field4")))
-    practice_rows = numerators.join(sizes, "orgcode").select("orgcode", "indicator", "numerator", "field4")
+    # One group for each practice and patient; its indicators are bits of two masks, so joins, the
+    # exchange and the grouping run once, on numbers. A part's number in its area (the remainder of
+    # a negative key is negative) is 0 to 4 here.
+    number = F.col("idx") * KINDS + (F.col("p_partkey") % 3).cast("int") + 2
+    masks = [F.when(number.between(first, first + MASK_BITS - 1), F.call_function("shiftleft", F.lit(1).cast("bigint"), number - first))
+             .otherwise(F.lit(0).cast("bigint")) for first in MASK_STARTS]
+    patients = (lineitem.filter(F.col("l_suppkey").isNotNull())
+                .join(orders.filter(F.col("o_custkey").isNotNull()), F.col("l_orderkey") == F.col("o_orderkey"))
+                .join(part, F.col("l_partkey") == F.col("p_partkey"))
+                .join(F.broadcast(area), F.col("p_size") % 19 == F.col("idx"))
+                .groupBy("l_suppkey", "o_custkey")
+                .agg(*(F.bit_or(mask).alias(f"_mask{i}") for i, mask in enumerate(masks))))
+    held = [F.count_if(F.getbit(f"_mask{i}", F.lit(bit)) == 1) for i in range(len(MASK_STARTS)) for bit in range(MASK_BITS)]
+    sizes = patients.groupBy("l_suppkey").agg(F.count(F.lit(1)).alias("field4"), F.array(*held).alias("_held"))
+    named = (sizes.select(practice_code(F.col("l_suppkey")).alias("orgcode"), "field4", F.posexplode("_held").alias("_number", "numerator"))
+             .filter("numerator > 0"))
+    indicator = F.concat(F.col("prefix"), padded(F.col("_number") % KINDS - 1, 3))
+    practice_rows = (named.join(F.broadcast(area), F.expr(f"_number DIV {KINDS}") == F.col("idx"))
+                     .select("orgcode", indicator.alias("indicator"), "numerator", "field4"))
     national_rows = (practice_rows.groupBy("indicator")
                      .agg(F.sum("numerator").cast("bigint").alias("numerator"),
                           F.sum("field4").cast("bigint").alias("field4"))

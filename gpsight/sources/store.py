@@ -33,8 +33,9 @@ STORE_LAYOUT_VERSION = 4
 # Session setting with the number of partitions to which line items are dealt at ingest.
 SPREAD_SETTING = "spark.gpsight.ingest.spread"
 
-# Target size of one stored file; the number of files grows with the input.
-TARGET_FILE_BYTES = 256 * 1024 * 1024
+# Input bytes behind one stored file; the number of files grows with the input. A task sorts
+# one file's rows, which are several times larger in memory: more than this is sorted on disk.
+TARGET_FILE_BYTES = 32 * 1024 * 1024
 
 
 def _fs(spark: SparkSession, path: str):
