@@ -39,6 +39,17 @@ RANKED_TOGETHER = 1_000_000
 PLAIN = regex.compile(r"[\x21-\x7e¡-įı-ňŊ-ž]+").fullmatch
 
 
+class Words(Remembered):
+    """Encodings of words, made when they are first asked for."""
+
+    def __init__(self, encode):
+        super().__init__()
+        self.encode = encode
+
+    def __missing__(self, word: str) -> bytes:
+        return self.keep(word, self.encode(word))
+
+
 class WordEncoder:
     """Ids of a word-end BPE vocabulary, as the tokenizers library gives them.
 
@@ -71,18 +82,23 @@ class WordEncoder:
                                        special_tokens={})._core_bpe.encode_single_piece
         name = lambda w: "".join(shown[b] for b in w.removesuffix(b"\xff")) + suffix * w.endswith(b"\xff")
         self.id_of = np.array([vocab.get(name(w), 0) if w != b"\xff" else 0 for w in order], "<u4")
-        self.known = Remembered()
+        self.packed = [number.to_bytes(4, "little") for number in self.id_of.tolist()]
+        # letters alone are one piece, unless this vocabulary splits them
+        self.letters_whole = all(self.split(x) == [x] for x in ("ab", "zq" * 40, "st", "llvere", "a"))
+        self.known = Words(self.word)
 
     def by_library(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def word(self, word: str) -> bytes:
-        if not PLAIN(word):
+        if self.letters_whole and word.isascii() and word.isalpha():
+            pieces = (word.lower(),)
+        elif PLAIN(word):
+            pieces = self.split(word.lower())
+        else:
             return self.by_library(word)
-        found: list[int] = []
-        for piece in self.split(word.lower()):
-            found += self.merge(piece.encode() + b"\xff")
-        return self.id_of[found].tobytes()
+        packed = self.packed
+        return b"".join([packed[i] for piece in pieces for i in self.merge(piece.encode() + b"\xff")])
 
     def ids(self, text: str | None) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
@@ -91,13 +107,7 @@ class WordEncoder:
             return self.by_library(text)
         if any(token in text for token in self.added):
             return self.by_library(text)
-        known, out = self.known, []
-        for word in text.split():
-            packed = known.get(word)
-            if packed is None:
-                packed = known.keep(word, self.word(word))
-            out.append(packed)
-        return b"".join(out)
+        return b"".join(map(self.known.__getitem__, text.split()))
 
 
 def byte_letters() -> dict[int, str]:

@@ -524,3 +524,18 @@ def test_caches_forget_by_bytes():
         assert cache.held <= 3000 and len(cache) < 20
     cache.keep("x" * 5000, b"")
     assert "x" * 5000 not in cache
+
+
+def test_words_are_encoded_once_each():
+    """Known words cost one lookup; a miss is kept by the lookup itself, and letters alone skip the patterns."""
+    encoder = packing.WordEncoder(public_tokenizers.path("word_bpe_49k.json"))
+    asked = []
+    plain = encoder.word
+    encoder.known.encode = lambda word: asked.append(word) or plain(word)
+    text = "Alpha beta alpha's 12 café beta ǅ Alpha x_y ZZZ " * 3
+    want = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json")).encode(text, add_special_tokens=False).ids
+    for _ in range(2):
+        assert np.frombuffer(encoder.ids(text), "<u4").tolist() == want
+    assert asked == list(dict.fromkeys(text.split()))
+    encoder.split = None  # not needed for letters
+    assert encoder.word("Beta") == encoder.known["beta"]
