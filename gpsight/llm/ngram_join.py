@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from gpsight.llm.bytehash import mixed
 from gpsight.llm.common import map_rows, materialize, shuffle_partitions, slices, tidied, tidied_groups
-from gpsight.llm.components import components
+from gpsight.llm.components import components, merged_components
 
 WORDS = 5
 BLOCK_SHINGLES = 1_000_000  # shingles that a task packs at once
@@ -504,9 +504,10 @@ def jaccard_join(docs: DataFrame) -> DataFrame:
     sets = materialize(live_sets(docs, classes, bins), "live-sets")
     found = materialize(profiles(sets, bins), "live-profiles")
     stars = materialize(star_links(sets, found), "star-links")
-    prefix = materialize(prefixes(sets, found, components(stars, "star-components")), "prefix-lists")
+    joined = components(stars, "star-components")
+    prefix = materialize(prefixes(sets, found, joined), "prefix-lists")
     links = materialize(search_links(sets, prefix), "search-links")
-    joined = components(stars.union(links), "link-components")
+    joined = merged_components(joined, links, "link-components")
     least = classes.groupBy("owner").agg(F.min("doc_id").alias("class_id"))
     named = (joined.join(least, F.col("node") == F.col("owner")).groupBy("component").agg(F.min("class_id").alias("component_id"))
              .join(joined, "component").select(F.col("node").alias("owner"), "component_id"))

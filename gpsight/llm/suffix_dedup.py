@@ -449,12 +449,15 @@ def remove_repeats(docs: DataFrame, carry: bool = False) -> DataFrame:
             .select("owner", "doc_id", (F.col("doc_id") > F.col("first_id")).alias("copy"))
             .filter("doc_id IS NOT NULL").groupBy("owner", "doc_id").agg(F.max("copy").alias("copy"))
             .join(cuts, ["owner", "doc_id"], "left").filter("copy OR cuts IS NOT NULL"))
-    whole = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), *carried(docs, carry))
-    both = whole.withColumn("owner", F.xxhash64("text")).join(fate, ["doc_id", "owner"], "left")
+    # a carried row holds the text already: one copy of it is exchanged
+    whole = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("owner"),
+                        *(carried(docs, carry) or [F.col("text")]))
+    both = whole.join(fate, ["doc_id", "owner"], "left")
 
     def step(part):
         out = {"doc_id": part["doc_id"], "n_bytes": [], "spans": [], "kept": []}
-        for data, copy, pairs in zip(encoded(part["text"]), part["copy"], part["cuts"]):
+        texts = [row["text"] for row in part["row"]] if carry else part["text"]
+        for data, copy, pairs in zip(encoded(texts), part["copy"], part["cuts"]):
             if copy:
                 spans = [(0, len(data))] if len(data) >= WINDOW else []
             else:

@@ -539,3 +539,47 @@ def test_words_are_encoded_once_each():
     assert asked == list(dict.fromkeys(text.split()))
     encoder.split = None  # not needed for letters
     assert encoder.word("Beta") == encoder.known["beta"]
+
+
+def test_components_end_when_edges_are_stars(spark, monkeypatch):
+    """A group whose links one task has seen needs no round; larger ones need few, with the same result."""
+    from gpsight.llm import components as module
+    rng = random.Random(5)
+    edges = [(i, rng.randrange(1, 4)) for i in range(4, 300)] + [(i, i + 1) for i in range(1000, 1060)] + [(7, 7), (2000, 2001)]
+    near = [(1, 2), (2, 3), (1040, 5)]
+
+    def brute(pairs):
+        root = {x: x for p in pairs if p[0] != p[1] for x in p}
+        for _ in range(len(root)):
+            new = dict(root)
+            for a, b in pairs:
+                if a != b:
+                    new[a] = new[b] = min(new[a], new[b])
+            if new == root:
+                break
+            root = new
+        return root
+    table_of = lambda pairs: spark.createDataFrame(pairs, "a long, b long")
+    calls = []
+    kept = module.materialize
+    monkeypatch.setattr(module, "materialize", lambda df, label: calls.append(label) or kept(df, label))
+    as_dict = lambda df: {r["node"]: r["component"] for r in df.collect()}
+    found = module.components(table_of(edges), "t")
+    assert as_dict(found) == brute(edges) and calls == ["t-all", "t"]
+    merged = module.merged_components(found, table_of(near + [(5000, 5001)]), "m")
+    assert as_dict(merged) == brute(edges + near + [(5000, 5001)]) and merged.count() == len(brute(edges + near + [(5000, 5001)]))
+    monkeypatch.setattr(module, "FOREST_EDGES", 16)  # many lots: the rounds join them
+    assert as_dict(module.components(table_of(edges + near), "t")) == brute(edges + near)
+    assert module.components(table_of([]), "t").count() == 0
+
+
+def test_carried_rows_are_exchanged_with_one_text(spark, odd):
+    """The row that is carried holds the text; no second copy goes through the exchange."""
+    found = suffix_dedup.remove_repeats(odd, carry=True)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    at = plan[plan.index("Join LeftOuter"):].splitlines()
+    project = next(line for line in at if "row#" in line and "Project" in line)
+    assert "coalesce(text" not in project.split("xxhash64")[0] and project.count("text#") == 2, project
+    rows = {(r["doc_id"], r["row"]["text"]): (r["kept"], r["n_bytes"]) for r in found.collect()}
+    plain = {(r["doc_id"], r["n_bytes"]): r["kept"] for r in suffix_dedup.remove_repeats(odd).collect()}
+    assert all(plain[d, n] == kept for (d, _), (kept, n) in rows.items())
