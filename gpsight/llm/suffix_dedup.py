@@ -143,7 +143,8 @@ def shared_anchors(docs: DataFrame, bins: int) -> DataFrame:
             marked = used[-1] == len(known)
             short = np.where(short == len(used) - 1, 0, short + 1) if marked else short + 1
             owners = known[used[:-1] if marked else used]
-            for name, value in zip(rows, (place, short_hash(hashes[a:b]).tobytes(), short.astype("<u4").tobytes(), owners.tobytes())):
+            short = short.astype("<u2" if len(used) < 65535 else "<u4")
+            for name, value in zip(rows, (place, short_hash(hashes[a:b]).tobytes(), short.tobytes(), owners.tobytes())):
                 rows[name].append(value)
         return pa.RecordBatch.from_pydict(rows, schema=schema)
 
@@ -154,7 +155,7 @@ def shared_anchors(docs: DataFrame, bins: int) -> DataFrame:
         hashes, owners, marked = [], [], []
         for raw, index, who in zip(frame["hashes"], frame["index"], frame["owners"]):
             hashes.append(np.frombuffer(raw, np.uint8).reshape(-1, 5))
-            short = np.frombuffer(index, "<u4")
+            short = np.frombuffer(index, "<u2" if 5 * len(index) == 2 * len(raw) else "<u4")
             owners.append(np.insert(np.frombuffer(who, np.int64), 0, 0)[short])
             marked.append(short == 0)
         number, owners, marked = number_of(np.concatenate(hashes)), np.concatenate(owners), np.concatenate(marked)
