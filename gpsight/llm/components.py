@@ -17,22 +17,31 @@ from gpsight.llm.common import materialize, tidied
 FOREST_EDGES = 32_768  # edges that a task thins at once
 
 
-def spanning(pairs: Iterable[tuple[int, int]]) -> dict[int, int]:
-    """The smallest node that pairs connect with each node, for all nodes but that one."""
-    above: dict[int, int] = {}
+class Joined(dict):
+    """The node above each node but the smallest of those that joins have connected."""
 
-    def root(x: int) -> int:
+    def root(self, x: int) -> int:
         top = x
-        while (up := above.get(top, top)) != top:
+        while (up := self.get(top, top)) != top:
             top = up
         while x != top:
-            above[x], x = top, above[x]
+            self[x], x = top, self[x]
         return top
-    for a, b in pairs:
-        a, b = root(a), root(b)
+
+    def join(self, a: int, b: int) -> bool:
+        """Connects two nodes; whether they were not connected yet."""
+        a, b = self.root(a), self.root(b)
         if a != b:
-            above[max(a, b)] = min(a, b)
-    return {x: root(x) for x in list(above)}
+            self[max(a, b)] = min(a, b)
+        return a != b
+
+
+def spanning(pairs: Iterable[tuple[int, int]]) -> dict[int, int]:
+    """The smallest node that pairs connect with each node, for all nodes but that one."""
+    above = Joined()
+    for a, b in pairs:
+        above.join(a, b)
+    return {x: above.root(x) for x in list(above)}
 
 
 def forests(edges: DataFrame) -> DataFrame:

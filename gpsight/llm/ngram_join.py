@@ -7,14 +7,16 @@ Two sets link if their overlap reaches T = 3/7 of their sizes together (Jaccard
    shingles, exchanged as packed blocks, counts for each class how many of its shingles occur in
    another class. Few classes stay.
 3. The staying classes are indexed again, with the length of every inverted list. In each list
-   the class with the most shared shingles is the leader; members are compared with the
-   leaders they meet most often. That joins large groups of near copies without all pairs.
+   the class with the fewest shingles of its own is the leader, in every bin alike; members are
+   compared with the leaders they meet most often. That joins large groups of near copies
+   without all pairs: the copy with the fewest changes links with whatever has links at all.
 4. The classes are ordered into prefixes, shortest lists first: linked classes share a list of
    their prefixes. Where such a list still holds several components, the classes outside its
-   largest component are searched by DivideSkip against all classes that lists connect with
-   them, in blocks: short lists are merged with a heap, long ones probed by binary search, and
-   classes that reach T are linked. Nothing is cut off: pairs that are not searched share no
-   prefix list or are in one component already.
+   largest component are searched by DivideSkip against the classes that lists connect with
+   them and whose sizes their shared shingles can reach, in blocks: short lists are merged with
+   a heap, long ones probed by binary search, and classes that reach T are linked; of the links
+   of a block a spanning forest goes on. Nothing is cut off: pairs that are not searched share
+   no prefix list, can't reach T or are in one component already.
 
 Edge cases: empty and null texts have no shingles and link with nothing; a text of fewer words
 than a shingle has one, its whole sequence; a row without an id links with nothing and has no
@@ -38,7 +40,7 @@ from pyspark.sql import functions as F
 
 from gpsight.llm.bytehash import mixed
 from gpsight.llm.common import map_rows, materialize, shuffle_partitions, slices, tidied, tidied_groups
-from gpsight.llm.components import components, merged_components
+from gpsight.llm.components import Joined, components, merged_components
 
 WORDS = 5
 BLOCK_SHINGLES = 1_000_000  # shingles that a task packs at once
@@ -46,6 +48,7 @@ LONG_LIST = 16  # lists up to this length need no exact length: they come first
 LEADERS = 3
 SHORT_LIST = 32  # lists up to this length name their pairs, longer ones are searched in blocks
 SEARCH_BLOCK = 512  # classes in an in-memory index
+GRADES = 16  # grades of set sizes, for each factor of e
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -212,21 +215,22 @@ def shared_shingles(docs: DataFrame, bins: int) -> DataFrame:
 
 
 def live_sets(docs: DataFrame, classes: DataFrame, bins: int) -> DataFrame:
-    """owner, n, tokens of the classes that may have a link."""
+    """owner, n, own (at most the number of its shingles that no other class has), tokens of the classes
+    that may have a link."""
     live = (classes.join(shared_shingles(docs, bins), "owner").filter(4 * F.col("s") >= 3 * F.col("n"))
-            .select(F.col("owner").alias("l_owner"), F.col("doc_id").alias("l_id")))
+            .select(F.col("owner").alias("l_owner"), F.col("doc_id").alias("l_id"), F.greatest(F.col("n") - F.col("s"), F.lit(0)).alias("own")))
 
     def step(part):
-        out = {"owner": [], "n": [], "tokens": []}
-        for owner, text in zip(part["l_owner"], part["text"]):
+        out = {"owner": [], "n": [], "own": [], "tokens": []}
+        for owner, own, text in zip(part["l_owner"], part["own"], part["text"]):
             found = shingles(text)
             if int(np.frombuffer(identity(found), np.int64)[0]) == owner:
-                for name, value in zip(out, (owner, len(found), found.tobytes())):
+                for name, value in zip(out, (owner, len(found), own, found.tobytes())):
                     out[name].append(value)
         return out
 
-    texts = docs.select("doc_id", "text").join(live, F.col("doc_id") == F.col("l_id")).select("l_owner", "text")
-    return map_rows(texts, step, "owner long, n long, tokens binary").dropDuplicates(["owner"])
+    texts = docs.select("doc_id", "text").join(live, F.col("doc_id") == F.col("l_id")).select("l_owner", "own", "text")
+    return map_rows(texts, step, "owner long, n long, own long, tokens binary").dropDuplicates(["owner"])
 
 
 def profiles(sets: DataFrame, bins: int) -> DataFrame:
@@ -238,18 +242,31 @@ def profiles(sets: DataFrame, bins: int) -> DataFrame:
     names = ["bucket", "owners", "shared", "of_long", "tokens", "lengths", "members", "led", "times"]
     buckets = bins
     def pack(batches):
-        schema = pa.schema([("bin", pa.int32()), ("tokens", pa.binary()), ("owners", pa.binary())])
-        decoded = lambda part: ((o, np.frombuffer(t, np.uint64)) for o, t in zip(part["owner"], part["tokens"]))
+        schema = pa.schema([(n, pa.binary() if n != "bin" else pa.int32()) for n in ("bin", "tokens", "index", "owners", "turns")])
+        turn = {}
+
+        def decoded(part):
+            for owner, n, own, found in zip(*(part[c] for c in ("owner", "n", "own", "tokens"))):
+                # leaders have few shingles of their own, then many in all
+                turn[owner] = min(own, 0xFFFF) << 16 | 0xFFFF - min(n, 0xFFFF)
+                yield owner, np.frombuffer(found, np.uint64)
         for tokens, owners in gathered(batches, decoded):
             rows = {k: [] for k in schema.names}
             for place, a, b in cut_by_bin(tokens, bins):
-                for name, value in zip(rows, (place, tokens[a:b].tobytes(), owners[a:b].tobytes())):
+                who, index = np.unique(owners[a:b], return_inverse=True)
+                turns = np.array([turn[o] for o in who.tolist()], "<u4")
+                index = index.astype("<u2" if len(who) < 65536 else "<u4")
+                for name, value in zip(rows, (place, *(x.tobytes() for x in (tokens[a:b], index, who, turns)))):
                     rows[name].append(value)
+            turn.clear()
             yield pa.RecordBatch.from_pydict(rows, schema=schema)
 
     def read(frame: pd.DataFrame) -> pd.DataFrame:
         tokens = np.frombuffer(b"".join(frame["tokens"]), np.uint64)
-        owners = np.frombuffer(b"".join(frame["owners"]), np.int64)
+        owners = np.concatenate([np.frombuffer(w, np.int64)[np.frombuffer(i, "<u2" if 4 * len(i) == len(t) else "<u4")]
+                                 for t, w, i in zip(frame["tokens"], frame["owners"], frame["index"])])
+        listed, at = np.unique(np.frombuffer(b"".join(frame["owners"]), np.int64), return_index=True)
+        turns = np.frombuffer(b"".join(frame["turns"]), "<u4")[at]
         order = np.argsort(tokens, kind="stable")
         tokens, owners = tokens[order], owners[order]
         first = np.flatnonzero(np.diff(tokens, prepend=tokens[:1] + np.uint64(1)))
@@ -258,11 +275,10 @@ def profiles(sets: DataFrame, bins: int) -> DataFrame:
         if not shared.any():
             return pd.DataFrame({n: [] for n in names})
         tokens, owners, length = tokens[shared], owners[shared], length[shared]
-        # the leader of a list: the class whose lists here are the longest, then the smallest
+        # the leader of a list: the first by turn, then the smallest
         who, number = np.unique(owners, return_inverse=True)
-        weight = np.bincount(number, np.log2(length), len(who))
         rank = np.empty(len(who), np.int64)
-        rank[np.lexsort((who, -weight))] = np.arange(len(who))
+        rank[np.lexsort((who, turns[np.searchsorted(listed, who)]))] = np.arange(len(who))
         first = np.flatnonzero(np.diff(tokens, prepend=tokens[:1] + np.uint64(1)))
         best = np.minimum.reduceat(rank[number], first)
         by_rank = np.argsort(rank)
@@ -304,7 +320,8 @@ def profiles(sets: DataFrame, bins: int) -> DataFrame:
             "lengths": [lengths[a:b].tobytes() for a, b in zip(*cuts)],
             "leaders": [[x for x in led[a:b].tolist() if x != o][:LEADERS] for o, a, b in zip(who.tolist(), *met)]})
 
-    packed = sets.select("owner", "tokens").mapInArrow(tidied(pack), "bin int, tokens binary, owners binary")
+    packed = (sets.select("owner", "n", "own", "tokens")
+              .mapInArrow(tidied(pack), "bin int, tokens binary, index binary, owners binary, turns binary"))
     read_schema = "bucket int, " + ", ".join(f"{n} binary" for n in names[1:])
     return (packed.groupBy("bin").applyInPandas(tidied_groups(read), read_schema).groupBy("bucket")
             .applyInPandas(tidied_groups(assemble), "owner long, shared long, tokens binary, lengths binary, leaders array<long>"))
@@ -366,7 +383,7 @@ class Index:
     """Inverted lists of a block of sets."""
 
     def __init__(self, sets: list[np.ndarray]):
-        self.sizes = [len(s) for s in sets]
+        self.sizes = np.array([len(s) for s in sets], np.int64)
         tokens = np.concatenate(sets)
         of = np.repeat(np.arange(len(sets)), self.sizes)
         order = np.argsort(tokens, kind="stable")
@@ -390,17 +407,20 @@ class Index:
         longest = len(lists[-1])
         skip = min(least - 1, int(least / (0.0085 * np.log2(longest + 1) + 1)), len(lists) - 1)
         short, long = [x.tolist() for x in lists[:len(lists) - skip]], lists[len(lists) - skip:]
+        merged = np.array(list(merged_counts(short, least - skip)), np.int64).reshape(-1, 2)
+        numbers, counts = merged.T
+        t = np.maximum(least, needed(n, self.sizes[numbers]))
         found = []
-        for number, count in merged_counts(short, least - skip):
-            t = max(least, needed(n, self.sizes[number]))
-            for left, probed in zip(range(len(long), 0, -1), long):
-                if count >= t or count + left < t:
-                    break
-                at = np.searchsorted(probed, number)
-                count += at < len(probed) and probed[at] == number
-            if count >= t:
-                found.append(number)
-        return found
+        for left, probed in zip(range(len(long), 0, -1), long):
+            # the others have reached their T or can't any more
+            found += numbers[counts >= t].tolist()
+            rest = (counts < t) & (counts + left >= t)
+            numbers, counts, t = numbers[rest], counts[rest], t[rest]
+            if not len(numbers):
+                return found
+            at = np.minimum(np.searchsorted(probed, numbers), len(probed) - 1)
+            counts = counts + (probed[at] == numbers)
+        return found + numbers[counts >= t].tolist()
 
 
 def merged_counts(lists: list[list[int]], least: int) -> Iterator[tuple[int, int]]:
@@ -461,38 +481,49 @@ def short_list_links(sets: DataFrame, members: DataFrame) -> DataFrame:
 
 
 def long_list_links(sets: DataFrame, members: DataFrame) -> DataFrame:
-    """Classes outside the largest component of an area ask all others of the area. A class goes
-    once to each pair of blocks, whatever the number of lists and candidates it has there. Lists
-    connect whole components, not classes, so a large group that the leaders joined is one node."""
+    """Classes outside the largest component of an area ask the others of the area whose sizes they can
+    reach T with, grade of sizes by grade. A class goes once to each pair of blocks, whatever the
+    number of lists and candidates it has there. Lists connect whole components, not classes, so
+    a large group that the leaders joined is one node."""
     reach = components(members.select(F.col("component").alias("a"), F.col("lo").alias("b")).distinct(), "list-reach")
-    part_of = members.select("owner", "component").distinct()
+    part_of = members.select("owner", "component", "n", "s").distinct()
     where = materialize(part_of.join(reach.select(F.col("node").alias("component"), F.col("component").alias("area")),
                                      "component"), "search-areas")
-    sizes = where.groupBy("area", "component").agg(F.count("*").alias("n"))
-    areas = sizes.groupBy("area").agg(F.sum("n").alias("total"), F.max(F.struct("n", "component")).alias("largest"))
-    areas = areas.select("area", F.ceil(F.col("total") / SEARCH_BLOCK).cast("int").alias("blocks"),
-                         F.ceil((F.col("total") - F.col("largest.n")) / SEARCH_BLOCK).cast("int").alias("turns"),
-                         F.col("largest.component").alias("main"))
-    full = where.join(areas.filter("turns > 0"), "area").join(sets.select("owner", "tokens"), "owner")
+    main = (where.groupBy("area", "component").agg(F.count("*").alias("n")).groupBy("area")
+            .agg(F.max(F.struct("n", "component"))["component"].alias("main")))
+    grade = lambda n: F.floor(F.log(n) * GRADES).cast("int")
+    holding = lambda df: df.withColumn("grade", grade(F.col("n")))
+    # sizes from 3/4 of its own up to the one whose T is all that the class shares
+    asking = lambda df: (
+        df.join(main, "area").filter("component != main").withColumn("least", F.expr("(3 * n + 3) div 4"))
+        .withColumn("most", F.expr("7 * s div 3 - n")).filter("least <= most")
+        .withColumn("grade", F.explode(F.sequence(grade(F.col("least")), grade(F.col("most"))))))
+    many = lambda df, name: df.groupBy("area", "grade").agg(F.ceil(F.count("*") / SEARCH_BLOCK).cast("int").alias(name))
+    lots = materialize(many(holding(where), "blocks").join(many(asking(where), "turns"), ["area", "grade"]), "search-lots")
     slot = lambda n: F.pmod(F.xxhash64("owner"), F.col(n)).cast("int")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    columns = ["area", "block", "turn", "owner", "component", "tokens"]
-    stored = full.withColumn("block", slot("blocks")).withColumn("turn", each("turns")).select(*columns)
-    asking = (full.filter("component != main").withColumn("turn", slot("turns")).withColumn("block", each("blocks"))
-              .select(*columns).toDF(*(f"q_{c}" for c in columns)))
+    keys = ["area", "grade", "block", "turn"]
+    columns = [*keys, "owner", "component", "n", "s", "tokens"]
+    full = where.join(sets.select("owner", "tokens"), "owner")
+    stored = (holding(full).join(lots, ["area", "grade"]).withColumn("block", slot("blocks"))
+              .withColumn("turn", each("turns")).select(*columns))
+    queries = (asking(full).join(lots, ["area", "grade"]).withColumn("turn", slot("turns"))
+               .withColumn("block", each("blocks")).select(*columns).toDF(*(f"q_{c}" for c in columns)))
 
     def search(queries: pd.DataFrame, block: pd.DataFrame) -> pd.DataFrame:
-        out = []
+        out, joined = [], Joined()
+        if len(queries) and len(block):
+            block = block[7 * block["s"] >= 3 * (block["n"] + queries["q_n"].min())]
         if len(queries) and len(block):
+            queries = queries[7 * queries["q_s"] >= 3 * (queries["q_n"] + block["n"].min())]
             index = Index([np.frombuffer(t, np.uint64) for t in block["tokens"]])
             owners, of = block["owner"].tolist(), block["component"].tolist()
             for owner, component, tokens in zip(queries["q_owner"], queries["q_component"], queries["q_tokens"]):
-                met = {of[i]: owners[i] for i in index.reach(np.frombuffer(tokens, np.uint64)) if of[i] != component}
-                out += [(owner, other) for other in met.values()]  # one link to a component is enough
+                # a link between components that others connect already adds nothing
+                out += [(owner, owners[i]) for i in index.reach(np.frombuffer(tokens, np.uint64)) if joined.join(component, of[i])]
         return pd.DataFrame(out, columns=["a", "b"])
 
-    keys = ["area", "block", "turn"]
-    return asking.groupBy(*(f"q_{c}" for c in keys)).cogroup(stored.groupBy(*keys)).applyInPandas(tidied_groups(search), "a long, b long")
+    return queries.groupBy(*(f"q_{c}" for c in keys)).cogroup(stored.groupBy(*keys)).applyInPandas(tidied_groups(search), "a long, b long")
 
 
 def jaccard_join(docs: DataFrame) -> DataFrame:

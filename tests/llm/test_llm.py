@@ -93,6 +93,50 @@ def test_divide_skip_reaches_what_counting_reaches():
             assert sorted(index.reach(q)) == want
 
 
+def near_copies(copies):
+    """Copies of a text with a few changed words each, some of them shorter, and texts with half of it."""
+    rng = random.Random(5)
+    base = [f"b{i}" for i in range(150)]
+    rows = []
+    for doc_id in range(copies):
+        words = base[:150 - rng.choice((0, 0, 0, rng.randrange(36)))]
+        for k in range(rng.randrange(1, 8)):
+            words[rng.randrange(len(words))] = f"x{doc_id}.{k}"
+        rows.append((doc_id, " ".join(words)))
+    return rows + [(copies + i, " ".join(base[:75] + [f"y{i}.{k}" for k in range(75)])) for i in range(copies // 4)]
+
+
+def test_a_group_of_near_copies_is_searched_without_all_its_pairs(spark, monkeypatch):
+    rows, seen = near_copies(200), {}
+
+    def kept(df, label):
+        seen[label] = materialize(df, label)
+        return seen[label]
+    monkeypatch.setattr(ngram_join, "materialize", kept)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.jaccard_join(frame(spark, rows)).collect()}
+    assert got == brute_components(rows)
+    assert seen["search-areas"].count() > 100
+    assert seen["search-links"].count() < len(rows)
+
+
+def test_a_block_gives_links_of_a_forest(spark, monkeypatch):
+    from gpsight.llm.components import spanning
+    sets = [np.unique(np.delete(np.arange(100, dtype=np.uint64), [i])) for i in range(60)]
+    sets += [np.arange(80, dtype=np.uint64), np.arange(500, 600, dtype=np.uint64)]  # of another size; linked with nothing
+    table_of = spark.createDataFrame([(i, len(s), s.tobytes()) for i, s in enumerate(sets)], "owner long, n long, tokens binary")
+    members = spark.createDataFrame([(7, i, i, len(s), len(s), len(sets), 0) for i, s in enumerate(sets)],
+                                    "token long, owner long, component long, n long, s long, many long, lo long")
+    for size in (512, 20):
+        monkeypatch.setattr(ngram_join, "SEARCH_BLOCK", size)
+        links = [(r["a"], r["b"]) for r in ngram_join.long_list_links(table_of, members).collect()]
+        if size == 512:  # a block of either size, with a forest each
+            assert len(links) <= 2 * len(sets)
+        above = spanning(links)
+        assert len({above.get(i, i) for i in range(61)}) == 1 and 61 not in above
+        for a, b in links:
+            assert len(np.intersect1d(sets[a], sets[b])) >= ngram_join.needed(len(sets[a]), len(sets[b]))
+
+
 # --- 9 ---
 
 def brute_removed(rows):
