@@ -8,9 +8,10 @@ places, and the windows around an anchor are known from the bytes beside it.
 
 1. Equal texts are one class: only its smallest id is searched, the others go whole.
 2. Anchors whose bytes occur in one class alone are dropped: their hashes are exchanged as packed
-   blocks, and each class hears which of its anchors occur elsewhere.
-3. Each task sorts the suffixes of the anchors that are left (the bytes to the right, then those
-   to the left, outwards) under their hash and writes them front-coded: the prefix length that a
+   blocks, and each bucket of classes hears which of its anchors occur elsewhere.
+3. The texts come to their buckets compressed. Each bucket sorts the suffixes of the anchors that
+   are left (the bytes right of the anchor, then those left of it, outwards) under their hash,
+   which stands for the anchor's own bytes, and writes them front-coded: the prefix length that a
    suffix shares with the one before, and the rest. These sorted runs are exchanged by ranges of
    the hash, so that all suffixes of an anchor meet.
 4. A loser tree merges the runs. It keeps, for each run, the prefix that its head shares with
@@ -19,6 +20,10 @@ places, and the windows around an anchor are known from the bytes beside it.
 5. Among the distinct suffixes of an anchor every window is looked up with its smallest document.
    All windows around an anchor overlap, so what goes there is one interval of bytes.
 
+What is exchanged is packed in columns and compressed, classes go by their number in their bucket,
+and the shuffle files of a step that is written are removed at its end, so that the scratch disk
+holds one step's exchanges at a time.
+
 Edge cases: null texts are empty; texts shorter than a window lose nothing; matches inside one
 document don't count, nor do those between rows that repeat an id; a row without an id loses
 nothing and removes nothing; a text of any length is one document, read whole; of equal suffixes
@@ -42,8 +47,10 @@ from gpsight.llm.ngram_join import bin_of, bucket_of, cut_by_bin
 
 WINDOW, KMER = 50, 24
 LEFT = WINDOW - KMER  # bytes of a window that can lie left of its anchor
-KEY = 8 + WINDOW + LEFT + 2  # hash, right bytes, left bytes, and how many of each are real
+RIGHT = WINDOW - KMER  # and right of it, past its own bytes
+KEY = 8 + RIGHT + LEFT + 2  # hash, right bytes, left bytes, and how many of each (right: with the anchor's) are real
 BLOCK_BYTES, RUN_SUFFIXES = 6_000_000, 150_000
+PACK_BYTES = 16_000_000  # bytes of texts that a task sorts into buckets at once
 TEXTS_BYTES = 400_000  # bytes of texts whose anchors are found at once
 AT_ONCE = 20_000  # suffixes whose windows are worked on at once
 
@@ -66,7 +73,7 @@ def anchors(texts: list[bytes]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     for number, end in enumerate(ends.tolist()):
         a, b = cuts[number], cuts[number + 1]
         if b > a:
-            yield number, at[a:b] - begin, hashes[at[a:b]]
+            yield number, at[a:b] - begin, mixed(hashes[at[a:b]])  # least hashes are small: mixed, they fill all bins alike
         begin = end
 
 
@@ -82,6 +89,19 @@ def chunks(texts: list[bytes]) -> Iterator[tuple[int, list[bytes]]]:
         yield first, texts[first:]
 
 
+def squeezed(*columns: np.ndarray) -> bytes:
+    """Columns of as many numbers, byte plane by byte plane, compressed."""
+    planes = (np.ascontiguousarray(c).view(np.uint8).reshape(len(c), -1).T.tobytes() for c in columns)
+    return pa.compress(b"".join(planes), "zstd", asbytes=True)
+
+
+def unsqueezed(body: bytes, n: int, *kinds: str) -> list[np.ndarray]:
+    widths = [np.dtype(k).itemsize for k in kinds]
+    raw = np.frombuffer(pa.decompress(body, n * sum(widths), "zstd", asbytes=True), np.uint8)
+    ends = n * np.cumsum(widths)
+    return [np.ascontiguousarray(raw[end - n * w:end].reshape(w, n).T).view(k)[:, 0] for k, w, end in zip(kinds, widths, ends.tolist())]
+
+
 def encoded(texts) -> list[bytes]:
     return [(t or "").encode("utf-8", "surrogatepass") for t in texts]
 
@@ -97,11 +117,14 @@ def number_of(raw: np.ndarray) -> np.ndarray:
     return full.view("<u8")[:, 0]
 
 
-def shared_anchors(docs: DataFrame, bins: int) -> DataFrame:
-    """owner and live: of each class (owner: xxhash64 of the text) the anchors that another has too.
+def tag_of(owners: np.ndarray) -> np.ndarray:
+    """32 bits of an owner, to find it in its bucket. Owners that share them have each other's anchors looked up too."""
+    return (mixed(owners.view(np.uint64) ^ np.uint64(KMER)) >> np.uint64(32)).astype("<u4")
 
-    Answers go back in packed blocks, one for each bin and bucket of owners.
-    """
+
+def shared_anchors(docs: DataFrame, buckets: int) -> DataFrame:
+    """bucket, n and live: for each bucket of classes (owner: xxhash64 of the text) the anchors that another class has
+    too, packed as place keys and tags of the owners. There are as many bins of hashes as buckets."""
     schema = pa.schema([("bin", pa.int32()), ("hashes", pa.binary()), ("index", pa.binary()), ("owners", pa.binary())])
 
     def pack(batches):
@@ -130,15 +153,15 @@ def shared_anchors(docs: DataFrame, bins: int) -> DataFrame:
         size = np.diff(np.append(first, len(hashes)))
         several = np.repeat(size > 1, size)
         # what several classes of this block have needs no answer: it goes to the owners' buckets
-        who, what = known[index[several]], place_key(hashes[several], bins)
-        bucket = bucket_of(who, bins)
+        who, what = known[index[several]], place_key(hashes[several], buckets)
+        bucket = bucket_of(who, buckets)
         for place in np.unique(bucket).tolist():
             own = bucket == place
-            for name, value in zip(rows, (-1 - place, what[own].tobytes(), b"", who[own].tobytes())):
+            for name, value in zip(rows, (-1 - place, squeezed(what[own], tag_of(who[own])), int(own.sum()).to_bytes(8), b"")):
                 rows[name].append(value)
         one = np.where(size > 1, len(known), index[first])
         hashes = hashes[first]
-        for place, a, b in cut_by_bin(hashes, bins):
+        for place, a, b in cut_by_bin(hashes, buckets):
             used, short = np.unique(one[a:b], return_inverse=True)
             marked = used[-1] == len(known)
             short = np.where(short == len(used) - 1, 0, short + 1) if marked else short + 1
@@ -151,7 +174,7 @@ def shared_anchors(docs: DataFrame, bins: int) -> DataFrame:
     def answer(frame: pd.DataFrame) -> pd.DataFrame:
         place = int(frame["bin"].iloc[0])
         if place < 0:
-            return pd.DataFrame({"bucket": -1 - place, "owners": frame["owners"], "keys": frame["hashes"]})
+            return pd.DataFrame({"bucket": -1 - place, "n": [int.from_bytes(n) for n in frame["index"]], "live": frame["hashes"]})
         hashes, owners, marked = [], [], []
         for raw, index, who in zip(frame["hashes"], frame["index"], frame["owners"]):
             hashes.append(np.frombuffer(raw, np.uint8).reshape(-1, 5))
@@ -167,20 +190,69 @@ def shared_anchors(docs: DataFrame, bins: int) -> DataFrame:
         hi = np.maximum.reduceat(np.where(marked, np.iinfo(np.int64).min, owners), first)
         live = np.repeat(np.logical_or.reduceat(marked, first) | (lo != hi), size) & ~marked
         owners, keys = owners[live], number[live] | np.uint64(place << 40)
-        bucket = bucket_of(owners, bins)
-        return pd.DataFrame([(b, owners[bucket == b].tobytes(), keys[bucket == b].tobytes()) for b in np.unique(bucket).tolist()],
-                            columns=["bucket", "owners", "keys"])
-
-    def assemble(frame: pd.DataFrame) -> pd.DataFrame:
-        owners, keys = np.frombuffer(b"".join(frame["owners"]), np.int64), np.frombuffer(b"".join(frame["keys"]), np.uint64)
-        order = np.argsort(owners, kind="stable")
-        owners, keys = owners[order], keys[order]
-        who, cuts = np.unique(owners, return_index=True)
-        return pd.DataFrame({"owner": who, "live": [keys[a:b].tobytes() for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(keys)])]})
+        bucket = bucket_of(owners, buckets)
+        tags, order = tag_of(owners), np.argsort(bucket, kind="stable")  # keys stay sorted
+        keys, tags, bucket = keys[order], tags[order], bucket[order]
+        cuts = np.flatnonzero(np.diff(bucket, prepend=-1))
+        return pd.DataFrame([(int(bucket[a]), b - a, squeezed(keys[a:b], tags[a:b]))
+                             for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(keys)])], columns=["bucket", "n", "live"])
 
     packed = docs.select("owner", "text").mapInArrow(tidied(pack), "bin int, hashes binary, index binary, owners binary")
-    return (packed.groupBy("bin").applyInPandas(tidied_groups(answer), "bucket int, owners binary, keys binary")
-            .groupBy("bucket").applyInPandas(tidied_groups(assemble), "owner long, live binary"))
+    return packed.groupBy("bin").applyInPandas(tidied_groups(answer), "bucket int, n long, live binary")
+
+
+def packed_texts(docs: DataFrame, buckets: int) -> DataFrame:
+    """The texts that hold a window, in blocks for each bucket of owners: equal texts of a block once, with their
+    smallest id."""
+    schema = pa.schema([("bucket", pa.int32()), ("n", pa.int64()), ("numbers", pa.binary()), ("texts", pa.binary())])
+
+    def pack(batches):
+        kept, size = {}, 0
+        for part in slices(batches):
+            for owner, doc, text in zip(part["owner"], part["doc_id"], part["text"]):
+                if len(text) < WINDOW:
+                    continue
+                if text not in kept:
+                    size += len(text)
+                    kept[text] = owner, doc
+                elif doc < kept[text][1]:
+                    kept[text] = owner, doc
+            if size >= PACK_BYTES:
+                yield block(kept)
+                kept, size = {}, 0
+        if kept:
+            yield block(kept)
+
+    def block(kept):
+        rows = {k: [] for k in schema.names}
+        texts, known = list(kept), np.array(list(kept.values()), np.int64)
+        bucket = bucket_of(np.ascontiguousarray(known[:, 0]), buckets)
+        order = np.argsort(bucket, kind="stable")
+        cuts = np.flatnonzero(np.diff(bucket[order], prepend=-1))
+        for some in np.split(order, cuts[1:]):
+            each = [texts[i] for i in some.tolist()]
+            sizes = np.array([len(t) for t in each], np.int64)
+            for name, value in zip(rows, (int(bucket[some[0]]), len(some), squeezed(known[some, 0], known[some, 1], sizes),
+                                          pa.compress(b"".join(each), "zstd", asbytes=True))):
+                rows[name].append(value)
+        return pa.RecordBatch.from_pydict(rows, schema=schema)
+
+    return docs.select("doc_id", "owner", F.col("text").cast("binary").alias("text")).mapInArrow(
+        tidied(pack), "bucket int, n long, numbers binary, texts binary")
+
+
+def unpacked_texts(frame: pd.DataFrame) -> list[tuple[int, int, bytes]]:
+    """(owner, smallest id, text) of the classes of a bucket, in order."""
+    least = {}
+    for n, numbers, texts in zip(frame["n"], frame["numbers"], frame["texts"]):
+        owners, docs, sizes = unsqueezed(numbers, n, "<i8", "<i8", "<i8")
+        data, at = pa.decompress(texts, int(sizes.sum()), "zstd", asbytes=True), 0
+        for owner, doc, size in zip(owners.tolist(), docs.tolist(), sizes.tolist()):
+            text = data[at:at + size]
+            at += size
+            if (known := least.get((owner, text))) is None or doc < known:
+                least[owner, text] = doc
+    return sorted(((owner, doc, text) for (owner, text), doc in least.items()), key=lambda x: x[:2])
 
 
 def place_key(hashes: np.ndarray, bins: int) -> np.ndarray:
@@ -193,60 +265,84 @@ def keys_of(data: bytes, at: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     padded = np.frombuffer(bytes(LEFT) + data + bytes(WINDOW), np.uint8)
     out = np.empty((len(at), KEY), np.uint8)
     out[:, :8] = hashes.astype(">u8").view(np.uint8).reshape(-1, 8)
-    out[:, 8:8 + WINDOW] = padded[(at + LEFT)[:, None] + np.arange(WINDOW)]
-    out[:, 8 + WINDOW:-2] = padded[(at + LEFT)[:, None] - 1 - np.arange(LEFT)]
+    out[:, 8:8 + RIGHT] = padded[(at + LEFT + KMER)[:, None] + np.arange(RIGHT)]
+    out[:, 8 + RIGHT:-2] = padded[(at + LEFT)[:, None] - 1 - np.arange(LEFT)]
     out[:, -2] = np.minimum(len(data) - at, WINDOW)
     out[:, -1] = np.minimum(at, LEFT)
     return out
 
 
 def front_coded(keys: np.ndarray) -> tuple[np.ndarray, bytes]:
-    """The prefix that each sorted key shares with the one before, and the rests one after the other."""
+    """The prefix that each sorted key shares with the one before, and what follows it and the hash, one after the other."""
     differs = keys[1:] != keys[:-1]
     shared = np.concatenate(([0], np.where(differs.any(1), differs.argmax(1), KEY))).astype(np.uint8)
-    return shared, keys[np.arange(KEY) >= shared[:, None]].tobytes()
+    return shared, keys[:, 8:][np.arange(8, KEY) >= shared[:, None]].tobytes()
 
 
-def sorted_runs(texts: DataFrame, bins: int) -> DataFrame:
-    """Front-coded sorted runs of the live suffixes; each row is the part of a run in a bin."""
-    schema = pa.schema([("bin", pa.int32()), ("shared", pa.binary()), ("rests", pa.binary()), ("doc", pa.binary()),
-                        ("owner", pa.binary()), ("at", pa.binary())])
+def rests_of(shared: np.ndarray, hashes: np.ndarray, context: bytes) -> bytes:
+    """What follows the shared prefix of each key, hash and all."""
+    there = np.arange(KEY) >= shared[:, None]
+    of_hash = np.broadcast_to(np.arange(KEY) < 8, there.shape)[there]
+    out = np.empty(len(of_hash), np.uint8)
+    out[of_hash] = hashes.astype(">u8").view(np.uint8).reshape(-1, 8)[there[:, :8]]
+    out[~of_hash] = np.frombuffer(context, np.uint8)
+    return out.tobytes()
 
-    def run(batches):
-        kept, size = [], 0
-        for part in slices(batches):
-            for i, raw in enumerate(part["live"]):
-                live = np.frombuffer(raw, np.uint64)
-                data = encoded(part["text"][i:i + 1])
-                for _, at, hashes in anchors(data):
-                    here = np.isin(place_key(hashes, bins), live)
-                    kept.append((keys_of(data[0], at[here], hashes[here]), at[here], part["doc_id"][i], part["owner"][i]))
+
+NUMBERS = ("u1", "<u8", "<i8", "<u4", "<u4")  # shared, steps between hashes, document, number of the class, position
+
+
+def sorted_runs(texts: DataFrame, live: DataFrame, buckets: int, bins: int) -> DataFrame:
+    """Front-coded sorted runs of the live suffixes of each bucket; a row is the part of a run in a bin.
+
+    Classes go by their number in the bucket; a row with a negative bin names their owners and documents.
+    """
+    names = ["bin", "bucket", "n", "numbers", "context"]
+
+    def run(packed: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
+        rows, kept, size = [], [], 0
+        if len(packed) and len(answers):
+            bucket = int(packed["bucket"].iloc[0])
+            classes = unpacked_texts(packed)
+            owners, docs = (np.array([c[i] for c in classes], np.int64) for i in (0, 1))
+            keys, tags = (np.concatenate(x) for x in zip(*(unsqueezed(b, n, "<u8", "<u4") for n, b in zip(answers["n"], answers["live"]))))
+            order = np.argsort(tags, kind="stable")
+            keys, tags = keys[order], tags[order]
+            begin, end = (np.searchsorted(tags, tag_of(owners), side).tolist() for side in ("left", "right"))
+            some = [i for i in range(len(classes)) if begin[i] < end[i]]
+            for first, data in chunks([classes[i][2] for i in some]):
+                for j, at, hashes in anchors(data):
+                    i = some[first + j]
+                    here = np.isin(place_key(hashes, buckets), keys[begin[i]:end[i]])
+                    kept.append((keys_of(data[j], at[here], hashes[here]), at[here], docs[i], i))
                     size += int(here.sum())
                 if size >= RUN_SUFFIXES:
-                    yield packed(kept)
+                    rows += parts(kept, bucket)
                     kept, size = [], 0
-        if size:
-            yield packed(kept)
+            if size:
+                rows += parts(kept, bucket)
+            if rows:
+                rows.append((-1 - bucket, bucket, len(classes), squeezed(owners, docs), b""))
+        return pd.DataFrame(rows, columns=names)
 
-    def packed(kept):
+    def parts(kept, bucket):
         keys = np.concatenate([k for k, *_ in kept])
         each = [len(k) for k, *_ in kept]
         at = np.concatenate([a for _, a, *_ in kept]).astype("<u4")
         doc = np.repeat(np.array([d for *_, d, _ in kept], np.int64), each)
-        owner = np.repeat(np.array([o for *_, o in kept], np.int64), each)
+        number = np.repeat(np.array([i for *_, i in kept], "<u4"), each)
         order = np.argsort(np.ascontiguousarray(keys).view(f"S{KEY}")[:, 0], kind="stable")
         # numpy's byte strings end at a zero: keys end in two counts, so equal ones stay equal
-        keys, at, doc, owner = keys[order], at[order], doc[order], owner[order]
+        keys, at, doc, number = keys[order], at[order], doc[order], number[order]
         hashes = np.ascontiguousarray(keys[:, :8]).view(">u8")[:, 0].astype(np.uint64)
-        rows = {k: [] for k in schema.names}
         for place, a, b in cut_by_bin(hashes, bins):
-            shared, rests = front_coded(keys[a:b])
-            for name, value in zip(rows, (place, shared.tobytes(), rests, doc[a:b].tobytes(), owner[a:b].tobytes(), at[a:b].tobytes())):
-                rows[name].append(value)
-        return pa.RecordBatch.from_pydict(rows, schema=schema)
+            shared, context = front_coded(keys[a:b])
+            steps = np.diff(hashes[a:b], prepend=np.uint64(0))
+            yield (place, bucket, b - a, squeezed(shared, steps, doc[a:b], number[a:b], at[a:b]),
+                   pa.compress(context, "zstd", asbytes=True))
 
-    return texts.select("doc_id", "owner", "text", "live").mapInArrow(
-        tidied(run), "bin int, shared binary, rests binary, doc binary, owner binary, at binary")
+    return texts.groupBy("bucket").cogroup(live.groupBy("bucket")).applyInPandas(
+        tidied_groups(run), "bin int, bucket int, n long, numbers binary, context binary")
 
 
 class Run:
@@ -338,25 +434,27 @@ def merge(runs: list[Run]) -> Iterator[tuple[int, int, bool]]:
 
 
 _TABLE = np.random.default_rng(11).integers(1, 2 ** 63, 256, np.uint64) | np.uint64(1)
-_POWER = np.cumprod(np.full(LEFT + WINDOW, 0x9E3779B97F4A7C15, np.uint64))
+_POWER = np.cumprod(np.full(LEFT + RIGHT, 0x9E3779B97F4A7C15, np.uint64))
 _INVERSE = np.array([pow(int(p), -1, 1 << 64) for p in _POWER], np.uint64)
 
 
 def removals(keys: np.ndarray, least: np.ndarray) -> np.ndarray:
     """For each distinct suffix and each place of an anchor in a window, the smallest document
-    with that window (the largest number where the window isn't inside the text)."""
+    with that window (the largest number where the window isn't inside the text).
+
+    The hash of the anchor stands for its own bytes; a window is known by it and the bytes around."""
     right, left = keys[:, -2].astype(int), keys[:, -1].astype(int)
     group = np.ascontiguousarray(keys[:, :8]).view("<u8")[:, 0]
     never = np.iinfo(np.int64).max
     windows = np.empty((LEFT + 1, len(keys)), np.uint64)
     for a in range(0, len(keys), AT_ONCE):
         some = keys[a:a + AT_ONCE]
-        row = np.hstack([some[:, 8 + WINDOW:-2][:, ::-1], some[:, 8:8 + WINDOW]])
-        sums = np.zeros((len(row), LEFT + WINDOW + 1), np.uint64)
+        row = np.hstack([some[:, 8 + RIGHT:-2][:, ::-1], some[:, 8:8 + RIGHT]])
+        sums = np.zeros((len(row), LEFT + RIGHT + 1), np.uint64)
         np.cumsum(_TABLE[row] * _POWER, axis=1, out=sums[:, 1:])
         salt = mixed(group[a:a + AT_ONCE])
         for o in range(LEFT + 1):
-            window = (sums[:, LEFT - o + WINDOW] - sums[:, LEFT - o]) * _INVERSE[LEFT - o]
+            window = (sums[:, LEFT - o + RIGHT] - sums[:, LEFT - o]) * _INVERSE[LEFT - o]
             windows[o, a:a + AT_ONCE] = mixed(window ^ salt)
     out = np.full((len(keys), LEFT + 1), never)
     for o in range(LEFT + 1):
@@ -372,9 +470,17 @@ def removals(keys: np.ndarray, least: np.ndarray) -> np.ndarray:
     return out
 
 
-def merged_bin(frame: pd.DataFrame, buckets: int) -> pd.DataFrame:
-    """The intervals that go, from all runs of a bin, packed for each bucket of owners."""
-    runs = [Run(s, r) for s, r in zip(frame["shared"], frame["rests"])]
+def merged_bin(frame: pd.DataFrame) -> pd.DataFrame:
+    """The intervals that go, from all runs of a bin, packed for each bucket of classes."""
+    names = ["bucket", "n", "names", "cuts"]
+    if frame["bin"].iloc[0] < 0:
+        return pd.DataFrame({"bucket": frame["bucket"], "n": frame["n"], "names": frame["numbers"], "cuts": b""}, columns=names)
+    runs, columns = [], []
+    for n, numbers, packed in zip(frame["n"], frame["numbers"], frame["context"]):
+        shared, steps, *rest = unsqueezed(numbers, n, *NUMBERS)
+        context = pa.decompress(packed, int((KEY - np.maximum(shared, 8).astype(int)).sum()), "zstd", asbytes=True)
+        runs.append(Run(shared.tobytes(), rests_of(shared, np.cumsum(steps, dtype=np.uint64), context)))
+        columns.append(rest)
     starts = np.concatenate(([0], np.cumsum([len(r.shared) for r in runs])))
     total = int(starts[-1])
     order, fresh, distinct = np.empty(total, np.int64), np.empty(total, bool), bytearray()
@@ -384,8 +490,9 @@ def merged_bin(frame: pd.DataFrame, buckets: int) -> pd.DataFrame:
         fresh[i] = not equal
         if not equal:
             distinct += runs[run].head
-    every = lambda name, kind: np.frombuffer(b"".join(frame[name]), kind)[order]
-    doc, owner, place = every("doc", np.int64), every("owner", np.int64), every("at", "<u4").astype(np.int64)
+    doc, number, place = (np.concatenate(c)[order] for c in zip(*columns))
+    place = place.astype(np.int64)
+    bucket = np.repeat(frame["bucket"].to_numpy(), np.diff(starts))[order]
     keys = np.frombuffer(distinct, np.uint8).reshape(-1, KEY)
     first = np.flatnonzero(fresh)
     size = np.diff(np.append(first, total))
@@ -405,21 +512,30 @@ def merged_bin(frame: pd.DataFrame, buckets: int) -> pd.DataFrame:
             low = gone[some].argmax(1)
             high = LEFT - gone[some][:, ::-1].argmax(1)
             spot = place[members][some]
-            out.append((owner[members][some], doc[members][some], spot - high, spot - low + WINDOW))
-    owner, doc, begin, end = (np.concatenate(x) for x in zip(*out))
-    bucket, pairs = bucket_of(owner, buckets), np.stack([begin, end], 1).astype("<u4")
-    return pd.DataFrame([(b, owner[bucket == b].tobytes(), doc[bucket == b].tobytes(), pairs[bucket == b].tobytes())
-                         for b in np.unique(bucket).tolist()], columns=["bucket", "owners", "docs", "cuts"])
+            out.append((bucket[members][some], number[members][some], spot - high, spot - low + WINDOW))
+    bucket, number, begin, end = (np.concatenate(x) for x in zip(*out))
+    order = np.lexsort((begin, number, bucket))
+    bucket, number, begin, size = bucket[order], number[order], begin[order], (end - begin)[order].astype(np.uint8)
+    cuts = np.flatnonzero(np.diff(bucket, prepend=-1))
+    return pd.DataFrame([(int(bucket[a]), b - a, b"", squeezed(number[a:b], begin[a:b].astype("<u4"), size[a:b]))
+                         for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(bucket)])], columns=names)
 
 
 def cuts_by_owner(frame: pd.DataFrame) -> pd.DataFrame:
-    owner, doc = (np.frombuffer(b"".join(frame[c]), np.int64) for c in ("owners", "docs"))
-    pairs = np.frombuffer(b"".join(frame["cuts"]), "<u4").reshape(-1, 2)
-    by = np.lexsort((doc, owner))
-    owner, doc, pairs = owner[by], doc[by], pairs[by]
-    cuts = np.flatnonzero((np.diff(owner, prepend=owner[:1] - 1) != 0) | (np.diff(doc, prepend=doc[:1] - 1) != 0))
-    return pd.DataFrame({"owner": owner[cuts], "doc_id": doc[cuts], "cuts": [
-        pairs[a:b].tobytes() for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(owner)])]})
+    """The spans that go of each class of a bucket."""
+    is_cut = frame["names"].str.len() == 0
+    found = [unsqueezed(c, n, "<u4", "<u4", "u1") for n, c in zip(frame["n"][is_cut], frame["cuts"][is_cut])]
+    if not found:
+        return pd.DataFrame({"owner": [], "doc_id": [], "cuts": []})
+    (n, names), = zip(frame["n"][~is_cut], frame["names"][~is_cut])
+    owners, docs = unsqueezed(names, n, "<i8", "<i8")
+    number, begin, size = (np.concatenate(x) for x in zip(*found))
+    order = np.argsort(number, kind="stable")
+    number, begin, size = number[order], begin[order].astype(np.int64), size[order]
+    pairs = np.stack([begin, begin + size], 1)
+    cuts = np.flatnonzero(np.diff(number.astype(np.int64), prepend=-1))
+    return pd.DataFrame({"owner": owners[number[cuts]], "doc_id": docs[number[cuts]], "cuts": [
+        np.array(spans_of(p), "<u4").tobytes() for p in np.split(pairs, cuts[1:])]})
 
 
 def spans_of(cuts: np.ndarray) -> list[tuple[int, int]]:
@@ -436,16 +552,17 @@ def remove_repeats(docs: DataFrame, carry: bool = False) -> DataFrame:
     With ``carry`` also readable (the kept bytes as text, without the pieces of a character that a
     cut has left) and row, the whole input row as a struct.
     """
-    bins = 2 * shuffle_partitions(docs.sparkSession)
+    buckets = shuffle_partitions(docs.sparkSession)
+    bins = 2 * buckets
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("owner", F.xxhash64("text"))
     ids = materialize(texts.select("doc_id", "owner", F.md5(F.col("text").cast("binary")).alias("check")), "text-ids")
     classes = ids.filter("doc_id IS NOT NULL").groupBy("owner", "check").agg(F.min("doc_id").alias("first_id"))
-    live = materialize(shared_anchors(texts.filter("doc_id IS NOT NULL"), bins), "shared-anchors")
-    searched = live.join(classes, "owner").select("owner", F.col("first_id").alias("doc_id"), "live").dropDuplicates(["owner", "doc_id"])
-    runs = sorted_runs(texts.join(searched, ["doc_id", "owner"]), bins)
-    cuts = (runs.groupBy("bin").applyInPandas(tidied_groups(lambda f: merged_bin(f, bins)), "bucket int, owners binary, docs binary, cuts binary")
+    searched = texts.filter("doc_id IS NOT NULL")
+    live = materialize(shared_anchors(searched, buckets), "shared-anchors", release=True)
+    runs = sorted_runs(packed_texts(searched, buckets), live, buckets, bins)
+    cuts = (runs.groupBy("bin").applyInPandas(tidied_groups(merged_bin), "bucket int, n long, names binary, cuts binary")
             .groupBy("bucket").applyInPandas(tidied_groups(cuts_by_owner), "owner long, doc_id long, cuts binary"))
-    cuts = materialize(cuts, "cut-intervals")
+    cuts = materialize(cuts, "cut-intervals", release=True)
     fate = (ids.distinct().join(classes, ["owner", "check"], "left")
             .select("owner", "doc_id", (F.col("doc_id") > F.col("first_id")).alias("copy"))
             .filter("doc_id IS NOT NULL").groupBy("owner", "doc_id").agg(F.max("copy").alias("copy"))

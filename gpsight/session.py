@@ -117,15 +117,27 @@ def remove_written(spark: SparkSession, label: str | None = None) -> int:
     return sum(bool(fs.delete(status.getPath(), True)) for status in found)
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
+# Removes the shuffle files of a query at its end; else they stay until the driver happens to collect its garbage.
+RELEASE_SETTING = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def materialize(df: DataFrame, label: str, release: bool = False) -> DataFrame:
     """Write ``df`` once as Parquet in the shared checkpoint folder and read it back.
 
     Used where a plan would otherwise compute the same intermediate result twice (two
     consumers whose column sets differ, so Spark cannot reuse the exchange). One job computes
     the result; the written copy survives executor loss and cuts the lineage, like
-    ``checkpoint()`` but without its second computation pass.
+    ``checkpoint()`` but without its second computation pass. With ``release`` the shuffle files
+    of that job go as soon as the copy is written.
     """
     spark = df.sparkSession
     path = f"{_copies(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(RELEASE_SETTING, None)
+    if release:
+        spark.conf.set(RELEASE_SETTING, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if release:
+            spark.conf.unset(RELEASE_SETTING) if before is None else spark.conf.set(RELEASE_SETTING, before)
     return spark.read.schema(df.schema).parquet(path)

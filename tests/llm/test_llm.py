@@ -627,3 +627,52 @@ def test_carried_rows_are_exchanged_with_one_text(spark, odd):
     rows = {(r["doc_id"], r["row"]["text"]): (r["kept"], r["n_bytes"]) for r in found.collect()}
     plain = {(r["doc_id"], r["n_bytes"]): r["kept"] for r in suffix_dedup.remove_repeats(odd).collect()}
     assert all(plain[d, n] == kept for (d, _), (kept, n) in rows.items())
+
+
+def test_suffix_dedup_leaves_no_shuffle_files_of_its_steps(spark, docs):
+    """Each written step removes its shuffle files; the disk holds the exchanges of one step at a time."""
+    def files():
+        found = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {found.apply(i).getName() for i in range(found.size())}
+    before = {name for name in files() if name.startswith("shuffle_")}
+    result = suffix_dedup.remove_repeats(docs)  # all steps but the last have run
+    left = {name for name in files() if name.startswith("shuffle_")} - before
+    numbers = Counter(name.split("_")[1] for name in left)
+    assert len(numbers) <= 1, numbers  # that of the step without release: ids only, no exchange
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
+    assert result.count() == docs.count()
+
+
+def test_suffix_dedup_exchanges_packed_suffixes_evenly(spark, docs):
+    """Suffixes travel without their anchor's bytes, compressed, over all bins alike."""
+    texts = docs.select("doc_id", "text").withColumn("owner", F.xxhash64("text"))
+    live = suffix_dedup.shared_anchors(texts, 8)
+    blocks = suffix_dedup.packed_texts(texts, 8).collect()
+    size = sum(len(t or "") for _, t in pairs(docs))
+    assert sum(len(r["texts"]) + len(r["numbers"]) for r in blocks) < size / 2
+    rows = [r for r in suffix_dedup.sorted_runs(suffix_dedup.packed_texts(texts, 8), live, 8, 16).collect() if r["bin"] >= 0]
+    n, held = sum(r["n"] for r in rows), sum(len(r["numbers"]) + len(r["context"]) for r in rows)
+    assert held < 50 * n, held / n  # 106 bytes each before they are packed
+    by = Counter()
+    for r in rows:
+        by[r["bin"]] += r["n"]
+    assert len(by) == 16 and max(by.values()) < 2 * n / 16, by
+
+
+def test_packed_columns_round_trip():
+    rng = np.random.default_rng(3)
+    for n in (1, 7, 1000):
+        keys = rng.integers(97, 100, (n, suffix_dedup.KEY)).astype(np.uint8)
+        keys[:, 2:8] = 0
+        keys = keys[np.argsort(np.ascontiguousarray(keys).view(f"S{suffix_dedup.KEY}")[:, 0], kind="stable")]
+        keys[n // 2:n // 2 + 2] = keys[n // 2]  # equal ones
+        hashes = np.ascontiguousarray(keys[:, :8]).view(">u8")[:, 0].astype(np.uint64)
+        shared, context = suffix_dedup.front_coded(keys)
+        numbers = suffix_dedup.squeezed(shared, np.diff(hashes, prepend=np.uint64(0)), np.arange(n), hashes.astype("<u4"))
+        again, steps, place, low = suffix_dedup.unsqueezed(numbers, n, "u1", "<u8", "<i8", "<u4")
+        assert place.tolist() == list(range(n)) and low.tolist() == hashes.astype("<u4").tolist()
+        run = suffix_dedup.Run(again.tobytes(), suffix_dedup.rests_of(again, np.cumsum(steps, dtype=np.uint64), context))
+        got = []
+        while run.advance() >= 0:
+            got += [run.head] * (run.next - run.first)
+        assert got == [k.tobytes() for k in keys]
